@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from lodeseek.functions import text as tx
 from lodeseek.functions.globs import matches_globs
 
+# Word characters are Unicode's and only a newline ends a line.
+_FLAGS = "dU"
+
 # Constructs that may match a line alone but not the same line inside its text.
 _LINE_BOUND = re.compile(r"\(\?[=!<>]|\\[AzZG]|[*+?}]\+")
 
@@ -19,11 +22,16 @@ def line_matches(text: Column, pattern: str, per_file: int | None = None) -> Col
 
     The cap is applied inside the row's own array, so it needs no window.
     """
+    # The last newline ends a line, it does not begin one.
+    body = F.when(text.endswith("\n"), tx.drop_last_break(text)).otherwise(text)
+    lines = F.split(body, "\n")
     numbered = F.transform(
-        tx.split_lines(text),
-        lambda line, i: F.struct((i + 1).alias("line"), line.alias("snippet")),
+        lines,
+        lambda line, i: F.struct(
+            (i + 1).alias("line"), F.rtrim(line, F.lit("\r")).alias("snippet")
+        ),
     )
-    hits = F.filter(numbered, lambda x: x["snippet"].rlike(pattern))
+    hits = F.filter(numbered, lambda x: x["snippet"].rlike(f"(?{_FLAGS}){pattern}"))
     return hits if per_file is None else F.slice(hits, 1, per_file)
 
 
@@ -32,7 +40,7 @@ def matching_lines(texts: DataFrame, pattern: str, per_file: int | None = None)
     if not _LINE_BOUND.search(pattern):
         # Most texts match nowhere; one scan of the whole text drops them
         # before they are cut into lines.
-        texts = texts.where(F.col("text").rlike(f"(?m){pattern}"))
+        texts = texts.where(F.col("text").rlike(f"(?m{_FLAGS}){pattern}"))
     return texts.select(
         "path", F.inline(line_matches(F.col("text"), pattern, per_file))
     ).select("path", F.col("line").cast("int"), "snippet")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodeseek.functions.tokens import symbol_tokens
 from lodeseek.workspace import work_path
@@ -108,18 +109,16 @@ def _nearest_to_block(
 ) -> DataFrame:
     names = [name for name, _ in block]
     vectors = np.asarray([v for _, v in block], dtype=np.float64)
-    arrow = [f.name for f in schema.fields]
+    arrow = to_arrow_schema(schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, dist = _task_top_k(vectors, k, batches)
         for q, found in enumerate(ids):
             if found is not None:
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        arrow[0]: [names[q]] * len(found),
-                        arrow[1]: found.tolist(),
-                        arrow[2]: dist[q],
-                    }
+                columns = [[names[q]] * len(found), found.tolist(), dist[q]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)],
+                    schema=arrow,
                 )
 
     return rows.mapInArrow(search, schema)

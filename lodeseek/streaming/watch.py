@@ -123,3 +123,30 @@ def watch(spark: SparkSession, cfg: Config, work: str, rounds: int | None = None
         pass
     finally:
         query.stop()
+
+
+def stream_latest_changes(stream: DataFrame, work: str) -> DataFrame:
+    """Run a change stream to its end and return the last change of every path.
+
+    Each micro-batch is reduced to one row per path and written; the maximum
+    over these is the maximum over all events, so no state is held between
+    batches and a replayed batch overwrites its own file.
+    """
+    spark = stream.sparkSession
+
+    def reduce_batch(batch: DataFrame, batch_id: int) -> None:
+        last = batch.groupBy("path").agg(
+            F.max_by(F.struct("change", "ts", "seq"), F.struct("ts", "seq")).alias("last")
+        )
+        last.select("path", "last.*").write.mode("overwrite").parquet(
+            f"{work}/batches/batch={batch_id}"
+        )
+
+    query = (
+        stream.writeStream.foreachBatch(reduce_batch)
+        .option("checkpointLocation", f"{work}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return latest_changes(spark.read.schema(CHANGE_SCHEMA).parquet(f"{work}/batches"))
