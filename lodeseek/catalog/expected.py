@@ -189,12 +189,11 @@ def _hashed(source: str, key: str, text: str, name: str) -> str:
              FROM {source}),
 {name}_n AS (SELECT {key}, w, md5(w) AS h, count(*) AS n FROM {name}_w GROUP BY {key}, w),
 {name}_s AS (SELECT {key}, (('0x' || left(h, 8))::UBIGINT % {dim})::INT AS slot,
-                    sum(CASE WHEN substr(h, 9, 1) < '8' THEN n ELSE -n END)::DOUBLE AS x
+                    sum(n)::DOUBLE AS x
              FROM {name}_n GROUP BY {key}, slot),
 {name} AS (SELECT {key}, slot,
                   (x / sqrt(sum(x * x) OVER (PARTITION BY {key})))::FLOAT::DOUBLE AS x
-           FROM {name}_s
-           QUALIFY sum(x * x) OVER (PARTITION BY {key}) > 0)"""
+           FROM {name}_s)"""
 
 
 SEMANTIC = f"""WITH {TEXTS}, {_markdown_pieces()}, {_packed(MAX_CHUNK_CHARS)},
@@ -238,6 +237,11 @@ LATEST = f"WITH {EVENTS} SELECT path, arg_max(change, (ts, seq)) AS change FROM
 
 
 
+# A chunk without a word gets no vector and no row.
+HAS_WORDS = "regexp_matches(lower(content), '[a-z0-9]')"
+
+CHUNK_ID = "left(sha256(path || '::' || symbol || '::' || start_line), 32)"
+
 def _second_run(select: str) -> str:
     """A query over `c`: the chunks of the labelled documents, first run in `before`."""
     again = f"t AS (SELECT path, symbol AS stem, content AS text FROM incoming), " + (
@@ -245,15 +249,13 @@ def _second_run(select: str) -> str:
     )
     return f"""WITH {INCOMING}, {TEXTS},
 first_run AS (WITH {_markdown_pieces()}, {_packed(MAX_CHUNK_CHARS)}
-              SELECT *, sha256(content) AS content_hash FROM c),
+              SELECT *, sha256(content) AS content_hash FROM c WHERE {HAS_WORDS}),
 second_run AS (WITH {again} SELECT *, sha256(content) AS content_hash FROM c),
 same AS (SELECT * FROM second_run SEMI JOIN first_run
          USING (path, symbol, start_line, content_hash))
 {select}"""
 
 
-CHUNK_ID = "left(sha256(path || '::' || symbol || '::' || start_line), 32)"
-
 EXPECTED: dict[str, str] = {
     "knn_l2_topk": f"""WITH {VECTORS}
 SELECT id, symbol, round(distance, 6) AS distance FROM d ORDER BY d.distance, id LIMIT 10""",
@@ -400,22 +402,24 @@ SELECT path, 'page' AS symbol, 'html' AS lang, 1 AS start_line, 1 AS end_line,
 FROM rs WHERE NOT regexp_matches(lower(content), '[a-z0-9]')""",
     "index_run": f"""WITH {TEXTS}, {_markdown_pieces()}, {_packed(MAX_CHUNK_CHARS)}
 SELECT {CHUNK_ID} AS id, path, symbol, start_line::INT AS start_line, end_line::INT AS end_line,
-       sha256(content) AS content_hash FROM c""",
+       sha256(content) AS content_hash FROM c WHERE {HAS_WORDS}""",
     "index_update": _second_run(
         f"""SELECT {CHUNK_ID} AS id, path, symbol, content_hash FROM first_run
 WHERE path NOT IN (SELECT path FROM incoming)
-UNION ALL SELECT {CHUNK_ID}, path, symbol, content_hash FROM second_run"""
+UNION ALL SELECT {CHUNK_ID}, path, symbol, content_hash FROM second_run WHERE {HAS_WORDS}"""
     ),
     "index_stats": _second_run(
-        """SELECT (SELECT count(*) FROM incoming) AS files,
+        f"""SELECT (SELECT count(*) FROM incoming) AS files,
        (SELECT count(*) FROM second_run) AS chunks,
-       (SELECT count(*) FROM second_run) - (SELECT count(*) FROM same) AS embedded,
-       0::BIGINT AS skipped, (SELECT count(*) FROM same) AS cache_hits,
+       (SELECT count(*) FROM second_run WHERE {HAS_WORDS}) - (SELECT count(*) FROM same)
+           AS embedded,
+       (SELECT count(*) FROM second_run WHERE NOT {HAS_WORDS}) AS skipped, (SELECT count(*) FROM same) AS cache_hits,
        (SELECT count(*) FROM incoming WHERE strlen(content) > 4000) AS chunker_skipped_files"""
     ),
-    "index_prune": f"WITH {INCOMING} SELECT DISTINCT path FROM incoming",
+    "index_prune": f"""WITH {INCOMING}, {STORED}
+SELECT DISTINCT path FROM incoming WHERE path IN (SELECT path FROM stored WHERE {HAS_WORDS})""",
     "table_stats": f"""WITH {TEXTS}, {_markdown_pieces()}, {_packed(MAX_CHUNK_CHARS)}
-SELECT count(*) AS rows, 'chunks' AS "table" FROM c""",
+SELECT count(*) AS rows, 'chunks' AS "table" FROM c WHERE {HAS_WORDS}""",
     "changes_union": f"""WITH {DOCS}, {EVENTS}
 SELECT path FROM docs UNION SELECT path FROM ev""",
     "change_latest": LATEST,

@@ -105,13 +105,12 @@ class HttpProvider:
 
 
 @lru_cache(maxsize=1 << 16)
-def _slot(token: str, dim: int) -> tuple[int, int]:
-    digest = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
-    return int(digest[:8], 16) % dim, 1 if digest[8] < "8" else -1
+def _slot(token: str, dim: int) -> int:
+    return int(hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()[:8], 16) % dim
 
 
 class HashProvider:
-    """Signed feature hashing of lower-case words; needs no server."""
+    """Normalised word counts, hashed into the vector's slots; needs no server."""
 
     name = "hash"
 
@@ -122,8 +121,7 @@ class HashProvider:
     def _one(self, text: str) -> Embedded:
         vector = np.zeros(self.dim)
         for token, n in Counter(re.findall("[a-z0-9]+", text.lower())).items():
-            slot, sign = _slot(token, self.dim)
-            vector[slot] += sign * n
+            vector[_slot(token, self.dim)] += n
         norm = np.sqrt((vector * vector).sum())
         if norm == 0:
             return Embedded(None, "protocol: no words to embed")
