@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Callable, Iterable
+import warnings
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -41,7 +42,9 @@ _ARROW_PIECES = pa.list_(
 
 def python_spans(text: str) -> list[Span]:
     """Functions and classes at any depth; a decorator is not part of its function."""
-    tree = ast.parse(text)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        tree = ast.parse(text)
     # Python ends lines at \n, \r\n and \r only, and counts columns in bytes.
     lines = re.findall(r"[^\r\n]*(?:\r\n|[\r\n])|[^\r\n]+\Z", text)
     starts = [0]
@@ -54,7 +57,7 @@ def python_spans(text: str) -> list[Span]:
         return starts[row - 1] + shift
 
     spans = []
-    for node in ast.walk(tree):
+    for node in _statements(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             kind = "class" if isinstance(node, ast.ClassDef) else "function"
             start = offset(node.lineno, node.col_offset)
@@ -62,6 +65,16 @@ def python_spans(text: str) -> list[Span]:
     return spans
 
 
+def _statements(tree: ast.Module) -> Iterator[ast.AST]:
+    """All statements; definitions cannot stand inside of expressions."""
+    stack: list[ast.AST] = [tree]
+    while stack:
+        node = stack.pop()
+        for block in ("body", "orelse", "finalbody", "handlers", "cases"):
+            stack.extend(getattr(node, block, ()))
+        yield node
+
+
 def _builtin_spans(lang: str, text: str) -> list[Span]:
     return python_spans(text) if lang == "python" else brace_spans(lang, text)
 

@@ -20,8 +20,7 @@ _BODY_LINE = rf"(?!{_HEADING})(?!{_FENCE}){_LINE}"
 # Possessive quantifiers keep the matcher iterative on long texts.
 SECTION = rf"(?!\z)(?:{_HEADING}{_LINE})?+(?:{_FENCED_BLOCK}|{_BODY_LINE})*+"
 
-# A heading line followed by blank lines only.
-HEADING_ONLY = rf"\A{_HEADING}{_LINE}[{tx.SPACE_CHARS}]*\z"
+_IS_HEADING = rf"\A{_HEADING}"
 
 
 def raw_sections(text: Column) -> Column:
@@ -29,13 +28,17 @@ def raw_sections(text: Column) -> Column:
     return F.regexp_extract_all(tx.unify_breaks(text), F.lit(SECTION), F.lit(0))
 
 
+def _first_line(section: Column) -> Column:
+    # An anchored search still visits every character of what it is given.
+    return F.substring_index(section, "\n", 1)
+
+
 def section_title(section: Column, start_line: Column, stem: Column) -> Column:
     """Heading text, `section-N` for a bare heading, the file stem before any heading."""
-    heading = tx.strip(F.regexp_replace(
-        tx.strip(F.substring_index(section, "\n", 1)), r"\A#+", ""
-    ))
+    line = _first_line(section)
+    heading = tx.strip(F.regexp_replace(tx.strip(line), r"\A#+", ""))
     return (
-        F.when(~section.rlike(rf"\A{_HEADING}"), stem)
+        F.when(~line.rlike(_IS_HEADING), stem)
         .when(F.length(heading) == 0, F.concat(F.lit("section-"), start_line.cast("string")))
         .otherwise(heading)
     )
@@ -62,7 +65,10 @@ def numbered_sections(text: Column) -> Column:
 
 
 def is_heading_only(section: Column) -> Column:
-    return section.rlike(HEADING_ONLY)
+    """A heading line followed by blank lines only."""
+    line = _first_line(section)
+    rest = F.substring(section, F.length(line) + 1, F.length(section))
+    return line.rlike(_IS_HEADING) & tx.is_blank(rest)
 
 
 def markdown_pieces(path: Column, text: Column) -> Column:

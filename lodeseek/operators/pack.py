@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,12 +32,21 @@ def split_parts(content: Column, cap: int) -> Column:
     return F.regexp_extract_all(content, F.lit(part_pattern(cap)), F.lit(0))
 
 
+def _strip_newlines(text: Column) -> Column:
+    # General trimming visits every character; most texts end in one newline.
+    return (
+        F.when(text.endswith("\n\n"), F.rtrim(text, F.lit("\n")))
+        .when(text.endswith("\n"), tx.drop_last_break(text))
+        .otherwise(text)
+    )
+
+
 def part_content(part: Column, cap: int) -> Column:
     """Text of a part: no trailing newlines, an overlong line cut and marked."""
-    cut = F.rtrim(F.substring(part, 1, cap), F.lit("\n"))
+    cut = _strip_newlines(F.substring(part, 1, cap))
     return F.when(
         F.length(part) > cap, F.concat(cut, F.format_string(CUT_NOTE, F.length(part)))
-    ).otherwise(F.rtrim(part, F.lit("\n")))
+    ).otherwise(_strip_newlines(part))
 
 
 def pack_piece(piece: Column, cap: int) -> Column:
@@ -45,8 +56,25 @@ def pack_piece(piece: Column, cap: int) -> Column:
             F.array(piece)
         )
 
+    content = piece["content"]
+    # Without carriage returns and the like, counting newlines is enough.
+    packed = F.when(tx.has_rare_breaks(content), _packed(piece, cap, tx.line_count)).otherwise(
+        _packed(piece, cap, _newline_lines)
+    )
+    return F.when(F.length(content) > cap, packed).otherwise(F.array(piece))
+
+
+def _newline_lines(part: Column) -> Column:
+    return tx.newline_count(part) + F.when(part.endswith("\n"), 0).otherwise(1)
+
+
+def _packed(piece: Column, cap: int, count_lines: Callable[[Column], Column]) -> Column:
+    counted = F.transform(
+        split_parts(piece["content"], cap),
+        lambda part: F.struct(part.alias("text"), count_lines(part).alias("lines")),
+    )
+
     def add(acc: Column, part: Column) -> Column:
-        lines = tx.line_count(part)
         done = acc["done"]
         item = F.struct(
             F.concat(
@@ -54,19 +82,18 @@ def pack_piece(piece: Column, cap: int) -> Column:
             ).alias("symbol"),
             piece["kind"].alias("kind"),
             acc["line"].alias("start_line"),
-            (acc["line"] + lines - 1).alias("end_line"),
-            part_content(part, cap).alias("content"),
+            (acc["line"] + part["lines"] - 1).alias("end_line"),
+            part_content(part["text"], cap).alias("content"),
         ).cast(PIECE_SCHEMA)
         return F.struct(
-            (acc["line"] + lines).cast("int").alias("line"),
+            (acc["line"] + part["lines"]).cast("int").alias("line"),
             F.concat(done, F.array(item)).alias("done"),
         )
 
     start = F.struct(
         piece["start_line"].cast("int").alias("line"), F.array().cast(_pieces()).alias("done")
     )
-    packed = F.aggregate(split_parts(piece["content"], cap), start, add, lambda acc: acc["done"])
-    return F.when(F.length(piece["content"]) > cap, packed).otherwise(F.array(piece))
+    return F.aggregate(counted, start, add, lambda acc: acc["done"])
 
 
 def _pieces() -> str:

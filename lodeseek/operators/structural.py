@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+import warnings
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -103,7 +104,9 @@ def _match_items(patterns: list, nodes: list, found: dict) -> bool:
 def python_hits(pattern: list[ast.AST], text: str) -> list[dict]:
     """1-based line and first source line of every match, in document order."""
     try:
-        tree = ast.parse(text)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     lines = text.splitlines()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as tx
 from lodeseek.functions.ident import chunk_id, content_hash
+from lodeseek.workspace import spread
 
 KINDS = ("function", "method", "class", "impl", "module", "section")
 LANGS = ("rust", "go", "javascript", "typescript", "tsx", "java", "kotlin")
@@ -35,7 +36,7 @@ def document_path(suffix: str = ".md") -> Column:
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as markdown files."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(
         "doc_id", document_path().alias("path"), F.lit("markdown").alias("lang"), "text"
     )
@@ -53,7 +54,7 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with their URL, without scheme, query and fragment, as path."""
     bare = F.regexp_replace("url", "^https?://|[?#].*$", "")
     path = F.concat(F.col("page_id").cast("string"), F.lit("/"), bare)
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages")).select(
         path.alias("path"), F.lit("html").alias("lang"), F.col("html").alias("text")
     )
 
@@ -62,7 +63,7 @@ def turn_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as markdown: a title, then a section per text line."""
     body = F.replace(F.col("text"), F.lit("\n"), F.lit("\n## Next\n"))
     text = F.concat(F.lit("\nby a user\n# "), F.col("role"), F.lit("\n## Empty\n\n## Said\n"), body)
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations")).select(
         _turn_path(), F.lit("markdown").alias("lang"), text.alias("text")
     )
 
@@ -73,7 +74,7 @@ def turn_fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(
         F.lit("# Log\n```sh\n"), body, F.lit("\n~~~\n## After\n"), F.col("role"), F.lit("\n  ```\n# x")
     )
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations")).select(
         _turn_path(), F.lit("markdown").alias("lang"), text.alias("text")
     )
 
@@ -95,7 +96,7 @@ def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python module per document: one class, one function per text line."""
     functions = _numbered("def f%1$d(x):\n    return %2$d")
     head = F.format_string("class D%d:\n    size = %d\n\n", "doc_id", "n_chars")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         document_path(".py").alias("path"),
         F.lit("python").alias("lang"),
         F.concat(head, F.array_join(functions, "\n\n")).alias("text"),
@@ -104,7 +105,7 @@ def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brace_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source per document in one of the brace languages, one function per text line."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     nth = F.pmod("doc_id", F.lit(len(LANGS)))
     lang = F.element_at(F.array(*[F.lit(x) for x in LANGS]), (nth + 1).cast("int"))
     text = F.lit(None).cast("string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -16,6 +16,17 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lodeseek/{name}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a scan dealt out evenly where it has fewer splits than there are cores.
+
+    A few large row groups would leave most cores idle in the CPU-bound stage
+    that follows. A scan with a split per core is passed on as it is, so large
+    inputs are never shuffled for this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores * 2)
+
+
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
