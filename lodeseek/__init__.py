@@ -1,3 +1,11 @@
 """Code and text retrieval on Spark DataFrames: chunk, embed, store, search."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors by value, so that these
+# need no copy of the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

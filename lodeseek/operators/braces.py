@@ -201,6 +201,8 @@ def brace_spans(lang: str, text: str) -> list[tuple[str, str, int, int]]:
         elif ch == "{":
             stack.append([declared(pos, True) if frame[2] == 0 else None, pos + 1, 0])
         elif ch == "}":
+            if line_ended and frame[2] == 0:
+                emit(declared(pos, False), pos)
             if len(stack) > 1:
                 emit(stack.pop()[0], pos + 1)
             if stack[-1][2] == 0:

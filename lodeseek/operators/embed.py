@@ -104,11 +104,6 @@ class HttpProvider:
         return out
 
 
-@lru_cache(maxsize=1 << 16)
-def _slot(token: str, dim: int) -> int:
-    return int(hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()[:8], 16) % dim
-
-
 class HashProvider:
     """Normalised word counts, hashed into the vector's slots; needs no server."""
 
@@ -117,11 +112,21 @@ class HashProvider:
     def __init__(self, cfg: EmbeddingConfig):
         self.dim = cfg.dim
         self.batch_size = max(1, cfg.batch_size)
+        self._slots: dict[str, int] = {}
+
+    def _slot(self, token: str) -> int:
+        slot = self._slots.get(token)
+        if slot is None:
+            if len(self._slots) >= 1 << 16:
+                self._slots.clear()
+            digest = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
+            slot = self._slots[token] = int(digest[:8], 16) % self.dim
+        return slot
 
     def _one(self, text: str) -> Embedded:
         vector = np.zeros(self.dim)
         for token, n in Counter(re.findall("[a-z0-9]+", text.lower())).items():
-            vector[_slot(token, self.dim)] += n
+            vector[self._slot(token)] += n
         norm = np.sqrt((vector * vector).sum())
         if norm == 0:
             return Embedded(None, "protocol: no words to embed")

@@ -186,7 +186,7 @@ def rerank_score(distance: Column, kind: Column, symbol: Column, tokens: Column)
     is_test = head.startswith("test_") | head.startswith("Test")
     symbol_words = symbol_tokens(F.coalesce(symbol, F.lit("")))
     overlap = F.size(F.array_intersect(tokens, symbol_words))
-    coverage = overlap / F.size(symbol_words)
+    coverage = F.try_divide(overlap, F.size(symbol_words))
     return F.coalesce(
         distance
         * F.when(is_function, F.lit(FUNCTION_FACTOR)).otherwise(1.0)

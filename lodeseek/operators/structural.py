@@ -73,10 +73,17 @@ def _match(pattern, node, found: dict) -> bool:
         return pattern == node
     if type(pattern) is not type(node):
         return False
+    if isinstance(pattern, ast.arguments):
+        # A lone `$$$` stands for parameters of every sort.
+        given = [x for f in pattern._fields for x in [getattr(pattern, f)] if x]
+        many = _hole(given[0][0], _MANY) if len(given) == 1 and given[0] == pattern.args else None
+        if many is not None and len(pattern.args) == 1:
+            return _bind(many, node, found)
     return all(
         _match(getattr(pattern, f, None), getattr(node, f, None), found)
         for f in pattern._fields
-        if f not in _IGNORED
+        # A decorator is not part of what it decorates.
+        if f not in _IGNORED and not (f == "decorator_list" and not pattern.decorator_list)
     )
 
 
