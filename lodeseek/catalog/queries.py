@@ -26,7 +26,7 @@ from lodeseek.sources import tables as tb
 from lodeseek.sources.git import union_changes
 from lodeseek.sources.repo import list_modules
 from lodeseek.streaming.watch import latest_changes, listing_changes, stream_latest_changes
-from lodeseek.workspace import work_path
+from lodeseek.workspace import saved, work_path
 
 # Fixed parameters of the registered queries; the expected results use the same.
 QUERY_VECTOR = 7
@@ -116,12 +116,11 @@ def semantic_search(spark, sf_dir):
     rows = chunks.where(F.col("vector").isNotNull()).select(
         "id", "path", "symbol", "kind", "start_line", "vector"
     )
-    path = work_path(spark, "chunks")
-    rows.write.parquet(path)
+    rows = saved(rows, work_path(spark, "chunks"))
     queries = tb.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
-    hits = semantic_search_each(queries, spark.read.parquet(path), HASHED, k=5)
+    hits = semantic_search_each(queries, rows, HASHED, k=5)
     return hits.select(
         "query_id",
         "rank",
@@ -223,8 +222,9 @@ def pack_oversized(spark, sf_dir):
         F.col("text").alias("content"),
     )
     docs = tb.document_texts(spark, sf_dir).where(F.length("text") > PACK_CAP)
-    return docs.select("path", piece.alias("p")).select(
-        "path", F.inline(pack_piece(F.col("p"), PACK_CAP))
+    rare = tx.has_rare_breaks(F.col("text")).alias("rare")
+    return docs.select("path", piece.alias("p"), rare).select(
+        "path", F.inline(pack_piece(F.col("p"), F.col("rare"), PACK_CAP))
     )
 
 

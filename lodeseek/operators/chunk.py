@@ -51,14 +51,12 @@ def chunk_texts(
     )
     whole = F.array(head_piece(path, text))
     pieces = F.when(F.size("pieces") > 0, F.col("pieces")).otherwise(whole)
+    rare = tx.has_rare_breaks(F.col("piece.content")).alias("rare")
+    packed = pack_piece(F.col("piece"), F.col("rare"), max_chunk_chars)
     parts = (
         cut.select("path", "lang", *keep, F.explode(pieces).alias("piece"))
-        .select(
-            "path",
-            "lang",
-            *keep,
-            F.explode(pack_piece(F.col("piece"), max_chunk_chars)).alias("c"),
-        )
+        .select("*", rare)
+        .select("path", "lang", *keep, F.explode(packed).alias("c"))
         .select("path", "lang", *keep, "c.*")
     )
     return parts.withColumn("content_hash", content_hash(F.col("content"))).select(

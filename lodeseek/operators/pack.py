@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,30 +47,21 @@ def part_content(part: Column, cap: int) -> Column:
     ).otherwise(_strip_newlines(part))
 
 
-def pack_piece(piece: Column, cap: int) -> Column:
-    """Array of one piece as it is, or of its numbered parts where it exceeds the cap."""
-    if cap <= 0:
-        return F.when(F.length(piece["content"]) > cap, F.array().cast(_pieces())).otherwise(
-            F.array(piece)
-        )
+def pack_piece(piece: Column, rare: Column, cap: int) -> Column:
+    """Array of one piece as it is, or of its numbered parts where it exceeds the cap.
 
+    `rare` tells whether the piece has line breaks other than newlines. Pass a
+    column, not an expression: it is asked for again for every part.
+    """
     content = piece["content"]
-    # Without carriage returns and the like, counting newlines is enough.
-    packed = F.when(tx.has_rare_breaks(content), _packed(piece, cap, tx.line_count)).otherwise(
-        _packed(piece, cap, _newline_lines)
-    )
-    return F.when(F.length(content) > cap, packed).otherwise(F.array(piece))
-
-
-def _newline_lines(part: Column) -> Column:
-    return tx.newline_count(part) + F.when(part.endswith("\n"), 0).otherwise(1)
-
+    if cap <= 0:
+        return F.when(F.length(content) > cap, F.array().cast(_pieces())).otherwise(F.array(piece))
 
-def _packed(piece: Column, cap: int, count_lines: Callable[[Column], Column]) -> Column:
-    counted = F.transform(
-        split_parts(piece["content"], cap),
-        lambda part: F.struct(part.alias("text"), count_lines(part).alias("lines")),
-    )
+    def measured(part: Column) -> Column:
+        # Without carriage returns and the like, counting newlines is enough.
+        plain = tx.newline_count(part) + F.when(part.endswith("\n"), 0).otherwise(1)
+        lines = F.when(rare, tx.line_count(part)).otherwise(plain)
+        return F.struct(part.alias("text"), lines.alias("lines"))
 
     def add(acc: Column, part: Column) -> Column:
         done = acc["done"]
@@ -93,7 +82,9 @@ def _packed(piece: Column, cap: int, count_lines: Callable[[Column], Column]) ->
     start = F.struct(
         piece["start_line"].cast("int").alias("line"), F.array().cast(_pieces()).alias("done")
     )
-    return F.aggregate(counted, start, add, lambda acc: acc["done"])
+    parts = F.transform(split_parts(content, cap), measured)
+    packed = F.aggregate(parts, start, add, lambda acc: acc["done"])
+    return F.when(F.length(content) > cap, packed).otherwise(F.array(piece))
 
 
 def _pieces() -> str:

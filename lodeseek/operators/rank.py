@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodeseek.functions.tokens import symbol_tokens
-from lodeseek.workspace import work_path
+from lodeseek.workspace import saved, work_path
 
 # Factors on the distance, lower is better.
 FUNCTION_FACTOR = 0.85
@@ -161,9 +161,7 @@ def nearest_to_each(
             continue
         hits = _ranked(_nearest_to_block(slim, block, k, schema), k, key)
         if blocks > 1:
-            path = work_path(slim.sparkSession, "nearest")
-            hits.write.parquet(path)
-            hits = slim.sparkSession.read.parquet(path)
+            hits = saved(hits, work_path(slim.sparkSession, "nearest"))
         parts.append(hits)
     out = parts[0]
     for part in parts[1:]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from lodeseek.operators.merge import (
 from lodeseek.plans.store import ChunkTable
 from lodeseek.sources.git import changed_files
 from lodeseek.sources.repo import read_contents, repo_files, submodule_globs
-from lodeseek.workspace import work_path
+from lodeseek.workspace import discard, saved, work_path
 
 
 def chunk_table(spark: SparkSession, cfg: Config) -> ChunkTable:
@@ -44,17 +45,6 @@ def prune_index(spark: SparkSession, cfg: Config) -> int:
     return chunk_table(spark, cfg).prune(discover_files(spark, cfg))
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate result once and go on from the files.
-
-    Later steps then neither repeat calls to the embedding server nor depend on
-    the memory of executors that may be lost.
-    """
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def embed_chunks(
     chunks: DataFrame, table: ChunkTable, paths: DataFrame, cfg: Config, use_cache: bool
 ) -> DataFrame:
@@ -75,6 +65,7 @@ def index_contents(
     files: DataFrame,
     contents: DataFrame,
     use_cache: bool = False,
+    work: str | None = None,
 ) -> DataFrame:
     """Index (path, size, content) rows and commit them; returns the saved run.
 
@@ -83,7 +74,10 @@ def index_contents(
     """
     table = chunk_table(spark, cfg)
     chunks = chunk_files(contents, cfg.index.max_file_bytes, cfg.index.max_chunk_chars)
-    run = saved(embed_chunks(chunks, table, files.select("path"), cfg, use_cache), "run")
+    run = saved(
+        embed_chunks(chunks, table, files.select("path"), cfg, use_cache),
+        work or work_path(spark, "run"),
+    )
     touched = table.touched(files)
     stored = table.read(touched).drop("bucket")
     table.replace_buckets(reconcile(stored, files.select("path"), run), touched)
@@ -112,19 +106,23 @@ def index_repo(
     table = chunk_table(spark, cfg)
     table.check_writable()
     table.create()
-    files = saved(discover_files(spark, cfg, since), "files")
-    parts = max(1, cfg.index.commits)
-    runs = []
-    for i in range(parts):
-        mine = files.where(path_bucket(F.col("path"), parts) == i) if parts > 1 else files
-        contents = read_contents(mine, cfg.target, cfg.index.max_file_bytes)
+    work = work_path(spark, "index")
+    try:
+        files = saved(discover_files(spark, cfg, since), f"{work}/files")
+        parts = max(1, cfg.index.commits)
         use_cache = since is not None and not force
-        runs.append(index_contents(spark, cfg, mine, contents, use_cache))
-    run = runs[0]
-    for part in runs[1:]:
-        run = run.unionByName(part)
-    write_skip_log(run, cfg.skip_log_path)
-    return run_stats(files, run, cfg.index.max_file_bytes).first().asDict()
+        runs = []
+        for i in range(parts):
+            mine = files.where(path_bucket(F.col("path"), parts) == i) if parts > 1 else files
+            contents = read_contents(mine, cfg.target, cfg.index.max_file_bytes)
+            runs.append(
+                index_contents(spark, cfg, mine, contents, use_cache, f"{work}/run-{i}")
+            )
+        run = reduce(DataFrame.unionByName, runs)
+        write_skip_log(run, cfg.skip_log_path)
+        return run_stats(files, run, cfg.index.max_file_bytes).first().asDict()
+    finally:
+        discard(spark, work)
 
 
 def init_project(cfg: Config, force: bool = False) -> Path:

@@ -130,7 +130,8 @@ def list_tree(spark: SparkSession, root: str | Path, excludes: Sequence[str] = (
     return (
         spark.read.format("repo_files")
         .option("excludes", "\n".join(excludes))
-        .option("tasks", str(max(8, spark.sparkContext.defaultParallelism)))
+        # Several directories per core even out subtrees of unlike size.
+        .option("tasks", str(8 * spark.sparkContext.defaultParallelism))
         .load(str(root))
     )
 

@@ -16,9 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodeseek.config import Config
 from lodeseek.functions.globs import selected
-from lodeseek.plans.index import saved, discover_files, index_contents
+from lodeseek.plans.index import discover_files, index_contents
 from lodeseek.schemas import CHANGE_SCHEMA, FILE_SCHEMA
 from lodeseek.sources.repo import read_contents, submodule_globs
+from lodeseek.workspace import discard, saved, work_path
 
 # Fixed value: seconds between two batches.
 DEBOUNCE_SECONDS = 2.0
@@ -72,20 +73,23 @@ def record_changes(
     return changes
 
 
-def apply_changes(spark: SparkSession, cfg: Config, changes: DataFrame) -> DataFrame:
-    """Bring the table up to date with one batch of changes; returns the saved run.
+def apply_changes(spark: SparkSession, cfg: Config, changes: DataFrame) -> None:
+    """Bring the table up to date with one batch of changes.
 
     Deleted and vanished files lose their rows and the others are replaced, in
     one commit. A batch that is replayed after a failure gives the same table.
     """
     include = cfg.index.include_globs
     exclude = [*cfg.index.exclude_globs, *submodule_globs(cfg.target)]
-    latest = saved(
-        latest_changes(changes.where(selected(F.col("path"), include, exclude))), "changes"
-    )
-    live = latest.where(F.col("change") != "deleted")
-    contents = read_contents(live, cfg.target)
-    return index_contents(spark, cfg, latest, contents)
+    ours = changes.where(selected(F.col("path"), include, exclude))
+    work = work_path(spark, "changes")
+    try:
+        latest = saved(latest_changes(ours), f"{work}/latest")
+        live = latest.where(F.col("change") != "deleted")
+        contents = read_contents(live, cfg.target)
+        index_contents(spark, cfg, latest, contents, work=f"{work}/run")
+    finally:
+        discard(spark, work)
 
 
 def watch_changes(

@@ -16,6 +16,22 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lodeseek/{name}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, path: str) -> DataFrame:
+    """Write an intermediate result once and go on from its files.
+
+    Later steps then neither repeat calls to an embedding server nor depend on
+    the memory of executors that may be lost.
+    """
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete intermediate files that no later step reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Rows of a scan dealt out evenly where it has fewer splits than there are cores.
 

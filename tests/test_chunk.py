@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodeseek.functions.text import has_rare_breaks
 from lodeseek.operators.chunk import chunk_files, chunk_texts
 from lodeseek.operators.code import code_pieces
 from lodeseek.operators.pack import pack_piece
@@ -18,7 +19,8 @@ def chunks(spark, path, lang, text, cap=2500):
 def packed(spark, texts, cap):
     rows = [(i, ("s", "k", 10, 0, t)) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, f"i int, p {PIECE_SCHEMA.simpleString()}")
-    out = df.select("i", F.posexplode(pack_piece(F.col("p"), cap)).alias("n", "c"))
+    df = df.select("i", "p", has_rare_breaks(F.col("p.content")).alias("rare"))
+    out = df.select("i", F.posexplode(pack_piece(F.col("p"), F.col("rare"), cap)).alias("n", "c"))
     return {(r["i"], r["n"]): r["c"] for r in out.collect()}
 
 
