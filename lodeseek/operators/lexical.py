@@ -37,9 +37,11 @@ def line_matches(text: Column, pattern: str, per_file: int | None = None) -> Col
 
 def matching_lines(texts: DataFrame, pattern: str, per_file: int | None = None) -> DataFrame:
     """(path, line, snippet) of every match in a (path, text) table, unordered."""
-    if not _LINE_BOUND.search(pattern):
-        # Most texts match nowhere; one scan of the whole text drops them
-        # before they are cut into lines.
+    # Most texts match nowhere; one scan of the whole text drops them before
+    # they are cut into lines.
+    if re.fullmatch(r"[\w ]+", pattern):
+        texts = texts.where(F.contains(F.col("text"), F.lit(pattern)))
+    elif not _LINE_BOUND.search(pattern):
         texts = texts.where(F.col("text").rlike(f"(?m{_FLAGS}){pattern}"))
     return texts.select(
         "path", F.inline(line_matches(F.col("text"), pattern, per_file))

@@ -59,13 +59,15 @@ def nearest(
     """The k nearest rows with their `_distance`, ties broken by key.
 
     Distances are Arrow batches of doubles; ordering and limit become one
-    per-partition top-k, so only k rows per task leave it.
+    per-partition top-k, so only k rows per task leave it. Rows without a
+    distance go last and are dropped behind the limit: a filter before it would
+    be pushed down and measure every vector a second time.
     """
     return (
         rows.withColumn("_distance", squared_l2(F.col(vector), query))
-        .where(F.col("_distance").isNotNull())
-        .orderBy("_distance", key)
+        .orderBy(F.asc_nulls_last("_distance"), key)
         .limit(k)
+        .where(F.col("_distance").isNotNull())
     )
 
 

@@ -41,7 +41,7 @@ def test_limits_language_and_glob(texts):
     assert [n for p, n, _ in capped if p == "b/d.py"] == [1, 2]
 
 
-@pytest.mark.parametrize("pattern", ["^foo$", "^fn|foo$", r"\Afoo", r"\w+\s*$", "[^(]++$", "caff.\\b"])
+@pytest.mark.parametrize("pattern", ["foo", "last foo", "^foo$", "^fn|foo$", r"\Afoo", r"\w+\s*$", "[^(]++$", "caff.\\b"])
 def test_patterns_apply_to_single_lines(texts, pattern):
     """The whole-text test before splitting must not lose a line."""
     import re

@@ -146,3 +146,14 @@ def test_reconcile_keeps_what_is_unchanged_or_failed(spark):
     assert content(merge.reconcile(stored, touched, run)) == [
         ("a", "edit", "2x"), ("a", "fail", "4"), ("a", "new", "9"), ("a", "same", "1"), ("b", "other", "5"),
     ]
+
+
+def test_filters_and_columns_reach_the_scan(table, spark):
+    from lodeseek.operators.rank import nearest
+    from lodeseek.plans.search import prefilter
+
+    table.upsert(rows(spark, ("src/a.py", "f", 1, "1")))
+    slim = prefilter(table.read(), "x", "src/").select("bucket", "id", "vector")
+    plan = nearest(slim, [0.0, 0.0], 3)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,x)" in plan and "StringStartsWith(path,src/)" in plan
+    assert "content" not in plan
