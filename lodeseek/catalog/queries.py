@@ -410,7 +410,7 @@ def _index_config(spark, name: str) -> Config:
     )
 
 
-def _first_index(spark, sf_dir, name: str) -> tuple[Config, DataFrame]:
+def first_index(spark, sf_dir, name: str) -> tuple[Config, DataFrame]:
     cfg = _index_config(spark, name)
     files = tb.document_files(tb.document_texts(spark, sf_dir))
     return cfg, index_contents(spark, cfg, files, files)
@@ -423,7 +423,7 @@ def _reviewed_files(spark, sf_dir) -> DataFrame:
 
 @query
 def index_run(spark, sf_dir):
-    cfg, _ = _first_index(spark, sf_dir, "index-run")
+    cfg, _ = first_index(spark, sf_dir, "index-run")
     return chunk_table(spark, cfg).rows().select(
         "id", "path", "symbol", "start_line", "end_line", "content_hash"
     )
@@ -432,7 +432,7 @@ def index_run(spark, sf_dir):
 @query
 def index_update(spark, sf_dir):
     """The table after labelled documents were indexed again."""
-    cfg, _ = _first_index(spark, sf_dir, "index-update")
+    cfg, _ = first_index(spark, sf_dir, "index-update")
     files = _reviewed_files(spark, sf_dir)
     index_contents(spark, cfg, files, files, use_cache=True)
     return chunk_table(spark, cfg).rows().select("id", "path", "symbol", "content_hash")
@@ -441,7 +441,7 @@ def index_update(spark, sf_dir):
 @query
 def index_stats(spark, sf_dir):
     """The counters of that second run."""
-    cfg, _ = _first_index(spark, sf_dir, "index-stats")
+    cfg, _ = first_index(spark, sf_dir, "index-stats")
     files = _reviewed_files(spark, sf_dir)
     run = index_contents(spark, cfg, files, files, use_cache=True)
     return merge.run_stats(files, run, 4000)
@@ -450,7 +450,7 @@ def index_stats(spark, sf_dir):
 @query
 def index_prune(spark, sf_dir):
     """Paths left after files without a label are gone."""
-    cfg, _ = _first_index(spark, sf_dir, "index-prune")
+    cfg, _ = first_index(spark, sf_dir, "index-prune")
     table = chunk_table(spark, cfg)
     table.prune(tb.incoming_documents(spark, sf_dir).select("path"))
     return ChunkTable(spark, cfg.table_path).paths()
@@ -458,7 +458,7 @@ def index_prune(spark, sf_dir):
 
 @query
 def table_stats(spark, sf_dir):
-    cfg, _ = _first_index(spark, sf_dir, "table-stats")
+    cfg, _ = first_index(spark, sf_dir, "table-stats")
     stats = chunk_table(spark, cfg).stats()
     return spark.createDataFrame([(stats["rows"], stats["table"])], "rows bigint, table string")
 

@@ -41,6 +41,9 @@ _FILE_SCHEMA = T.StructType(
     ]
 )
 
+# Table path -> (commit, buckets, state) as last read by this process.
+_STATES: dict[str, tuple[int, int, dict[int, tuple[int, int]]]] = {}
+
 
 class ChunkTable:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
@@ -55,9 +58,16 @@ class ChunkTable:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def exists(self) -> bool:
+    def _commits(self) -> list[int]:
+        """Numbers of all begun commits."""
         fs, p = self._hadoop(f"{self.path}/commits")
-        return fs.exists(p) and len(fs.listStatus(p)) > 0
+        if not fs.exists(p):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        return sorted(int(n[7:]) for n in names if n.startswith("commit="))
+
+    def exists(self) -> bool:
+        return bool(self._commits())
 
     def check_writable(self) -> None:
         """Fail before any work is done if nothing can be written here."""
@@ -69,9 +79,18 @@ class ChunkTable:
             raise RuntimeError(f"table path not writable: {self.path}: {e}") from e
 
     def _current(self) -> dict[int, tuple[int, int]]:
-        """bucket -> (gen, rows); at most one entry per bucket."""
-        if not self.exists():
+        """bucket -> (gen, rows); at most one entry per bucket.
+
+        The state is kept for as long as no commit follows the one it was read
+        from, so that a search need not read the records again.
+        """
+        begun = self._commits()
+        if not begun:
             return {}
+        known = _STATES.get(self.path)
+        if known and known[0] == begun[-1]:
+            self._new_buckets = known[1]
+            return known[2]
         log = self.spark.read.schema(_COMMIT_SCHEMA).json(f"{self.path}/commits")
         last = log.groupBy("bucket").agg(
             F.max_by(F.struct("gen", "rows"), "commit").alias("s"),
@@ -80,7 +99,11 @@ class ChunkTable:
         rows = last.collect()
         if rows:
             self._new_buckets = rows[0]["buckets"]
-        return {r["bucket"]: (r["s"]["gen"], r["s"]["rows"]) for r in rows if r["bucket"] >= 0}
+        state = {r["bucket"]: (r["s"]["gen"], r["s"]["rows"]) for r in rows if r["bucket"] >= 0}
+        fs, done = self._hadoop(f"{self.path}/commits/commit={begun[-1]}/_SUCCESS")
+        if fs.exists(done):
+            _STATES[self.path] = (begun[-1], self._new_buckets, state)
+        return state
 
     @property
     def buckets(self) -> int:
@@ -88,10 +111,8 @@ class ChunkTable:
         return self._new_buckets
 
     def _next_commit(self) -> int:
-        if not self.exists():
-            return 0
-        log = self.spark.read.schema(_COMMIT_SCHEMA).json(f"{self.path}/commits")
-        return log.agg(F.max("commit")).first()[0] + 1
+        # A number that a dead job began is not used again.
+        return max(self._commits(), default=-1) + 1
 
     # -- reads ------------------------------------------------------------
 

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,21 @@ def test_unrecorded_files_are_invisible(table, spark):
     assert {p for p, _, _ in content(table.rows())} == {"a.py", "b.py"}
 
 
+def test_a_commit_that_died_is_stepped_over(table, spark):
+    table.upsert(rows(spark, ("a.py", "f", 1, "1")))
+    Path(f"{table.path}/commits/commit=1/_temporary").mkdir(parents=True)
+    assert content(table.rows()) == [("a.py", "f", "1")]
+    table.upsert(rows(spark, ("a.py", "f", 1, "2")))
+    assert content(table.rows()) == [("a.py", "f", "2")] and table._commits() == [0, 1, 2]
+
+
+def test_another_writer_is_noticed(table, spark):
+    table.upsert(rows(spark, ("a.py", "f", 1, "1")))
+    assert table.stats()["rows"] == 1
+    ChunkTable(spark, table.path).upsert(rows(spark, ("b.py", "f", 1, "1")))
+    assert table.stats()["rows"] == 2
+
+
 def test_prune(table, spark):
     table.upsert(rows(spark, ("src/keep.py", "f", 1, "1"), ("src/ghost.py", "g", 1, "2")))
     disk = spark.createDataFrame([("src/keep.py",), ("src/new.py",)], "path string")
