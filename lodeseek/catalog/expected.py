@@ -295,6 +295,12 @@ WHERE regexp_matches(path, '(^|/)example\\.[^/]*/.')
   AND regexp_matches(snippet, '{q.PAGE_PATTERN}')""",
     "structural_python": f"""WITH {PY_LINES}
 SELECT path, (3 * i + 5)::INT AS line, 'return ' || n AS snippet FROM fs""",
+    "structural_rust": f"""WITH docs AS (
+    SELECT 'src/' || source || '/' || doc_id || '.rust' AS path, {_lines('text')} AS ls
+    FROM documents WHERE doc_id % {len(LANGS)} = 0),
+fs AS (SELECT path, generate_subscripts(ls, 1) - 1 AS i, length(unnest(ls)) AS n FROM docs)
+SELECT path, (i + 2)::INT AS line, 'fn f' || i || '(x: u8) -> u64 {{ ' || n || ' }}' AS snippet
+FROM fs""",
     "markdown_sections": _markdown_chunks(TURN_MARKDOWN),
     "markdown_fenced": _markdown_chunks(TURN_FENCED),
     "heading_only_drop": f"""WITH {TURN_MARKDOWN}, {_markdown_pieces()}

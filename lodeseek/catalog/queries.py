@@ -178,6 +178,12 @@ def structural_python(spark, sf_dir):
     return structural_search(tb.python_sources(spark, sf_dir), "return $N", "python", None)
 
 
+@query
+def structural_rust(spark, sf_dir):
+    sources = tb.brace_sources(spark, sf_dir)
+    return structural_search(sources, "fn $F(x: u8) -> u64 { $N }", "rust", None)
+
+
 # -- chunking -----------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ _CHAR = r"'(?:\\.[^'\n]*|[^'\\\n])'"
 _BACKTICK = r"`(?:\\.|[^`\\])*`"
 _REGEX = r"(?:(?<=[=(,:\[!&|?{};])|(?<=\breturn))\s*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/"
 _JS_MASK = rf"{_COMMENT}|{_STRING}|'(?:\\.|[^'\\\n])*'|{_BACKTICK}|{_REGEX}"
-_MASKS = {
+MASKS = {
     "rust": rf'{_COMMENT}|b?r(#*)".*?"\1|"(?:\\.|[^"\\])*"|{_CHAR}',
     "go": rf"{_COMMENT}|{_STRING}|{_CHAR}|`[^`]*`",
     "javascript": _JS_MASK,
@@ -173,7 +173,7 @@ def _impl_name(tail: str) -> str:
 
 def brace_spans(lang: str, text: str) -> list[tuple[str, str, int, int]]:
     """Declarations with their half-open offsets, nested ones included."""
-    mask = re.sub(_MASKS[lang], _blank, text, flags=re.S)
+    mask = re.sub(MASKS[lang], _blank, text, flags=re.S)
     line_ended = lang in _LINE_ENDED
     spans = []
     # One frame per open brace: its declaration, where its next header begins,

@@ -1,4 +1,4 @@
-"""Code search by syntax pattern.
+"""Code search by syntax pattern: Python by its syntax tree, brace languages by tokens.
 
 `$NAME` stands for one node and must be equal wherever it is repeated, `$_`
 for any node, `$$$NAME` or `$$$` for any run of list items.
@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_HOLE = re.compile(r"\$\$\$([A-Z0-9_]*)|\$([A-Z_][A-Z0-9_]*)")
+from lodeseek.operators.braces import BRACE_LANGS
+from lodeseek.operators.token_match import HOLE, pattern_tokens, token_hits
+
 _MANY, _ONE = "__many_", "__one_"
 _IGNORED = {"ctx", "type_comment", "type_ignores", "kind"}
 _HIT_TYPE = pa.list_(pa.struct([("line", pa.int32()), ("snippet", pa.string())]))
@@ -22,7 +24,7 @@ _HIT_TYPE = pa.list_(pa.struct([("line", pa.int32()), ("snippet", pa.string())])
 
 def parse_pattern(pattern: str) -> list[ast.AST]:
     """The statements of a pattern, or its single expression."""
-    source = _HOLE.sub(
+    source = HOLE.sub(
         lambda m: f"{_MANY}{m[1]}" if m[1] is not None else f"{_ONE}{m[2]}", pattern
     )
     try:
@@ -145,16 +147,26 @@ def python_hits(pattern: list[ast.AST], text: str) -> list[dict]:
 
 def required_words(pattern: str) -> list[str]:
     """Identifiers that every matching source must contain."""
-    return sorted(set(re.findall(r"[^\W\d]\w*", re.sub(r"'[^']*'|\"[^\"]*\"", " ", _HOLE.sub(" ", pattern)))))
+    plain = re.sub(r"'[^']*'|\"[^\"]*\"|`[^`]*`", " ", HOLE.sub(" ", pattern))
+    return sorted(set(re.findall(r"[^\W\d]\w*", plain)))
+
+
+def structural_matches(text: Column, pattern: str, lang: str) -> Column:
+    """Array of (line, snippet) of one source."""
+    if lang == "python":
+        parsed = parse_pattern(pattern)
 
+        def find(source: str) -> list[dict]:
+            return python_hits(parsed, source)
+    else:
+        words = pattern_tokens(lang, pattern)
 
-def structural_matches(text: Column, pattern: str) -> Column:
-    """Array of (line, snippet) of one Python source."""
-    parsed = parse_pattern(pattern)
+        def find(source: str) -> list[dict]:
+            return token_hits(lang, words, source)
 
     @F.arrow_udf("array<struct<line:int,snippet:string>>")
     def search(texts: pa.Array) -> pa.Array:
-        return pa.array([python_hits(parsed, t or "") for t in texts.to_pylist()], type=_HIT_TYPE)
+        return pa.array([find(t or "") for t in texts.to_pylist()], type=_HIT_TYPE)
 
     return search(text)
 
@@ -167,13 +179,13 @@ def structural_search(
     Sources that lack one of the pattern's identifiers are dropped by plain
     string tests in the scan stage, before any text is sent to Python.
     """
-    if lang != "python":
-        raise ValueError(f"structural search knows python only, not {lang!r}")
+    if lang != "python" and lang not in BRACE_LANGS:
+        raise ValueError(f"structural search does not know {lang!r}")
     sources = texts.where(F.col("lang") == lang)
     for word in required_words(pattern):
         sources = sources.where(F.contains(F.col("text"), F.lit(word)))
     hits = sources.select(
-        "path", F.inline(structural_matches(F.col("text"), pattern))
+        "path", F.inline(structural_matches(F.col("text"), pattern, lang))
     ).select("path", "line", "snippet")
     if max_results is None:
         return hits

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeseek.operators.lexical import is_binary, lexical_search
+from lodeseek.operators.token_match import pattern_tokens, token_hits
 from lodeseek.operators.structural import parse_pattern, python_hits, required_words, structural_search
 
 TEXTS = [
@@ -112,6 +113,47 @@ def test_structural_search(spark):
     assert "Contains(text" in plan
 
 
+BRACES = """// foo(1)
+fn main() {
+    foo(a, b[1, 2]);
+    foo(a, a); foo();
+    let x = bar.baz(|y| { y + 1 }, "foo(z)");
+    if x == y.z { return x; }
+    /* foo(a) */ foo(
+        c,
+        d)
+}
+"""
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [
+        ("foo($A, $B)", [3, 4, 7]),
+        ("foo($A, $A)", [4]),
+        ("foo()", [4]),
+        ("foo($$$)", [3, 4, 4, 7]),
+        ("let $X = $Y;", [5]),
+        ("$A == $B {", [6]),
+        ("if $C { $$$BODY }", [6]),
+        ("fn $F($$$) { $$$ }", [2]),
+        ('bar.baz($$$A, "foo(z)")', [5]),
+        ("|y| { $E }", [5]),
+        ("nothing($$$)", []),
+    ],
+)
+def test_token_patterns(pattern, want):
+    hits = token_hits("rust", pattern_tokens("rust", pattern), BRACES)
+    assert [h["line"] for h in hits] == want
+
+
+def test_structural_search_of_brace_languages(spark):
+    rows = [("a.rs", "rust", BRACES), ("b.go", "go", BRACES)]
+    df = spark.createDataFrame(rows, "path string, lang string, text string")
+    got = structural_search(df, "foo($A, $A)", "rust").collect()
+    assert [tuple(r) for r in got] == [("a.rs", 4, "foo(a, a)")]
+
+
 def test_bad_patterns():
     with pytest.raises(ValueError, match="not valid Python"):
         parse_pattern("foo(")
