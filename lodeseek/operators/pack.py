@@ -21,7 +21,7 @@ def part_pattern(cap: int) -> str:
     so the split stays one JVM expression.
     """
     fits = rf".{{1,{cap}}}(?:(?<=[{tx.LONE_BREAKS}])|(?<=\r)(?!\n)|\z)"
-    overlong = rf"[^{tx.BREAK_CHARS}]+(?:{tx.LINE_BREAK})?"
+    overlong = rf"[^{tx.BREAK_CHARS}]*+(?:{tx.LINE_BREAK})|[^{tx.BREAK_CHARS}]++"
     return f"(?s){fits}|{overlong}"
 
 
