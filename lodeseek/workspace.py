@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Only a session whose executors are threads of the driver may do without the
+    setting; elsewhere each machine would write to a disk of its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.gettempdir()
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.gettempdir()
+    base = shared_folder(spark)
     return f"{base.rstrip('/')}/lodeseek/{name}-{uuid.uuid4().hex}"
 
 
