@@ -6,6 +6,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
 
 
 def _lengths(column: pa.Array) -> np.ndarray:
-    lengths = pa.compute.binary_length(column).fill_null(0)
+    lengths = pc.binary_length(column).fill_null(0)
     return lengths.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
@@ -40,6 +42,13 @@ def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder, and its path there; for files that tasks write themselves."""
+    if ":" not in uri.split("/")[0]:
+        return pafs.LocalFileSystem(), uri
+    return pafs.FileSystem.from_uri(uri)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers (the finaliser of SplitMix64)."""
     h = h.astype(np.uint64, copy=True)
@@ -70,14 +79,13 @@ def attach(
         F.col(key), F.struct(*values).alias("_hot")
     )
     cold = groups.select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"))
-    kind = groups.schema[key].dataType
     served = rows.join(F.broadcast(hot), key, "left")
     # A hot row looks for a key that no group has: null would meet in one task.
     spread = F.when(F.col("_hot").isNull(), F.col(key).cast("string")).otherwise(
         F.concat(F.lit("\x01"), F.rand(11).cast("string"))
     )
     joined = served.withColumn("_at", spread).join(
-        cold.withColumn("_at", F.col("_key").cast(kind).cast("string")).drop("_key"),
+        cold.withColumn("_at", F.col("_key").cast("string")).drop("_key"),
         "_at",
         "left",
     )

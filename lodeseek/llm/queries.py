@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import lang_id, token_bin
+from lodeseek.llm import lang_id, pii, token_bin, warc
 from lodeseek.workspace import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,59 @@ def op1_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_bin.read_checksums(spark, folder, manifest)
 
 
+@query
+def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through Zstandard archives and back."""
+    folder = work_path(spark, "warc")
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder, manifest).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+LLM_EXPECTED["op2_warc_zstd"] = """
+WITH named AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         sha1(coalesce(html, '')) AS hex
+  FROM pages
+), grouped AS (
+  SELECT *, max(page_id) OVER (PARTITION BY hex) AS response FROM named
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string([substr(
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT)
+               >> CAST(15 - 5 * (i % 4) AS INTEGER)) % 32 + 1 AS BIGINT), 1)
+         FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to
+FROM grouped
+"""
+
+
+@query
+def op3_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; counts and digest are those of the base spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_spans(docs, pii.learn(docs), ["doc_id"])
+
+    def listed(spans: Column) -> Column:
+        one = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+        return F.array_join(F.transform(spans, one), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [
+        F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+        for kind in pii.KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from two thirds of them."""

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodeseek.llm.common import slices, strings
+from lodeseek.llm.common import file_system, slices, strings
 from lodeseek.workspace import saved
 
 MAGIC = b"S8BTOK01"
@@ -285,12 +285,6 @@ def read_shard(
                 pending, first = pending[taken:], done
 
 
-def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
     """Encode (doc_id, text) into files below ``folder``; returns the manifest, read from there."""
     key = F.xxhash64("text")
@@ -304,7 +298,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer = WordEncoder(tokenizer), None
         end = np.array([end_id], np.uint32)
-        fs, root = _file_system(files)
+        fs, root = file_system(files)
         name = f"{uuid.uuid4().hex}.s8b"
         for part in slices(batches):
             if writer is None:
@@ -343,7 +337,7 @@ def read_runs(
     files = f"{folder}/files"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _file_system(files)
+        fs, root = file_system(files)
         for batch in batches:
             for name, at in zip(*(c.to_pylist() for c in batch.columns)):
                 for docs, counts, ids in read_shard(fs, f"{root}/{name}"):
