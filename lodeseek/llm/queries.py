@@ -74,14 +74,13 @@ def op3_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
         return F.array_join(F.transform(spans, one), ",")
 
+    def counted(spans: Column, kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter("spans", lambda s: s["base"])
-    counts = [
-        F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-        for kind in pii.KINDS
-    ]
     return found.select(
         "doc_id",
-        *counts,
+        *(counted(base, kind) for kind in pii.KINDS),
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
