@@ -15,8 +15,10 @@ SLICE_BYTES = 2_000_000
 HOT_SHARE = 1024
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``SLICE_BYTES`` of text, whatever Arrow's batches hold.
+def slices(
+    batches: Iterable[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``size`` bytes of text, whatever Arrow's batches hold.
 
     A text longer than that is a slice of its own, so memory follows the longest
     text and not the number of rows of a batch.
@@ -26,7 +28,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))
+            stop = int(np.searchsorted(ends, before + size, side="right"))
             stop = max(stop, start + 1)
             yield batch.slice(start, stop - start)
             start = stop
@@ -80,8 +82,9 @@ def attach(
     )
     cold = groups.select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"))
     served = rows.join(F.broadcast(hot), key, "left")
-    # A hot row looks for a key that no group has: null would meet in one task.
-    spread = F.when(F.col("_hot").isNull(), F.col(key).cast("string")).otherwise(
+    # Hot rows and rows without a key look for a key that no group has: nulls would meet in one task.
+    lookup = F.col("_hot").isNull() & F.col(key).isNotNull()
+    spread = F.when(lookup, F.col(key).cast("string")).otherwise(
         F.concat(F.lit("\x01"), F.rand(11).cast("string"))
     )
     joined = served.withColumn("_at", spread).join(

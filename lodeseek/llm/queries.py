@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import lang_id, pii, token_bin, warc
+from lodeseek.llm import jaccard_join, lang_id, pii, token_bin, warc
 from lodeseek.workspace import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     model = lang_id.learn(docs.where(F.col("doc_id").isNotNull() & ~F.col("held_out")))
     return lang_id.predict(docs, model, ["doc_id", "held_out"])
+
+
+@query
+def op8_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets agree to nine tenths."""
+    docs = table(spark, sf_dir, "documents")
+    return jaccard_join.jaccard_groups(docs, work_path(spark, "jaccard"), width=3, percent=90)
