@@ -183,16 +183,12 @@ def read_records(source) -> Iterator[dict]:
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from the bounded sample; empty where that is too small."""
-    sample = (
-        pages.select(
-            F.xxhash64("page_id", "url").alias("at"),
-            F.substring("html", 1, DICT_CHARS).cast("binary").alias("part"),
-        )
-        .where(F.length("part") > 0)
-        .orderBy("at", "part")
-        .limit(DICT_SAMPLE)
-    )
-    parts = [bytes(r["part"]) for r in sample.collect()]
+    named = pages.where(F.length("html") > 0).select(F.xxhash64("page_id", "url").alias("at"), "html")
+    chosen = named.select("at").distinct().orderBy("at").limit(DICT_SAMPLE)
+    last = chosen.agg(F.max("at")).first()[0]
+    part = F.substring("html", 1, DICT_CHARS).cast("binary")
+    sample = named.where(F.col("at") <= F.lit(last)).groupBy("at").agg(F.min(part).alias("part"))
+    parts = [bytes(r["part"]) for r in sample.orderBy("at").collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, parts).as_bytes() if len(parts) > 7 else b""
     except zstandard.ZstdError:
