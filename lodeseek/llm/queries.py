@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import jaccard_join, lang_id, pii, token_bin, warc
+from lodeseek.llm import ann, cotrain, jaccard_join, lang_id, pii, token_bin, warc
 from lodeseek.workspace import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,8 +96,24 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs, model, ["doc_id", "held_out"])
 
 
+@query
+def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by its text and its metadata."""
+    docs = table(spark, sf_dir, "documents")
+    model = cotrain.learn(docs, table(spark, sf_dir, "labels"))
+    return cotrain.score(docs, model, ["doc_id"])
+
+
 @query
 def op8_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets agree to nine tenths."""
     docs = table(spark, sf_dir, "documents")
     return jaccard_join.jaccard_groups(docs, work_path(spark, "jaccard"), width=3, percent=90)
+
+
+@query
+def op9_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector, by inner product."""
+    return ann.nearest(
+        table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20, work_path(spark, "ann")
+    )
