@@ -26,7 +26,10 @@ stand as they come; an empty table gives no file and no row; extra columns are n
 
 from __future__ import annotations
 
+import functools
+import os
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -34,18 +37,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodeseek.llm.common import file_system, slices, strings
+from lodeseek.llm.common import file_system, slices
 from lodeseek.workspace import saved
 
 MAGIC = b"S8BTOK01"
 BLOCK = 4096
 END_ID = 2
+ENCODE_BYTES = 6_000_000
 # Bits per id of selectors 1 to 15; each word holds 60 // bits of them.
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 COUNTS = 60 // BITS
@@ -71,15 +76,17 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, owner = np.concatenate(at), np.concatenate(owner)
     order = np.lexsort((at, owner))
     at, owner = at[order], owner[order]
-    escaped = selector[at] == ESCAPE
+    chosen = selector[at]
+    escaped = chosen == ESCAPE
     size = 1 + escaped
     slot = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
     for s, (bits, n) in enumerate(zip(BITS, COUNTS, strict=True), start=1):
-        mine = selector[at] == s
-        word = np.full(int(mine.sum()), np.uint64(s << 60))
-        for j in range(n):
-            word |= values[at[mine] + j] << np.uint64(j * bits)
+        mine = chosen == s
+        first = at[mine]
+        word = np.full(len(first), np.uint64(s << 60))
+        for j in range(n if len(first) else 0):
+            word |= values[first + j] << np.uint64(j * bits)
         words[slot[mine]] = word
     words[slot[escaped] + 1] = values[at[escaped]]
     held = np.bincount(owner, weights=size, minlength=blocks).astype(np.int64)
@@ -90,17 +97,17 @@ def _choose(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each position: the selector that packs most of the ids from here to the block's end."""
     n = len(values)
     selector, count = np.zeros(n, np.int8), np.ones(n, np.int64)
-    last = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
     widest = int(values.max()).bit_length()
     for s in range(len(BITS), 0, -1):
         bits, want = int(BITS[s - 1]), int(COUNTS[s - 1])
         if bits >= widest:
-            fits = np.ones(n, bool)
+            first = np.arange(max(0, n - want + 1))
         else:
-            wide = np.concatenate(([0], np.cumsum((values >> np.uint64(bits)) > 0)))
-            fits = wide[np.minimum(np.arange(n) + want, n)] == wide[:-1]
-        fits &= np.arange(n) + want <= last
-        selector[fits], count[fits] = s, want
+            small = np.flatnonzero(values < np.uint64(1 << bits))
+            head, tail = small[: len(small) - want + 1], small[want - 1 :]
+            first = head[tail - head == want - 1] if len(small) >= want else small[:0]
+        first = first[first % BLOCK + want <= BLOCK]
+        selector[first], count[first] = s, want
     return selector, count
 
 
@@ -136,67 +143,149 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-class WordEncoder:
-    """A tokenizer's ids of whole texts, each distinct word encoded once per task.
+_SPACE = r"\s\x0b\x1c-\x1f\x{85}\pZ"
 
-    The tokenizer's rule never joins a blank between two visible characters to
-    what stands before it, so a text is cut there and the ids of its pieces are
-    those of the text. A text in which a blank touches other white space, or that
-    spells a special token, goes to the tokenizer in one piece.
+
+class WordEncoder:
+    """A tokenizer's ids of whole texts, each distinct word encoded once.
+
+    The tokenizer's rule begins a new piece at a blank or line break between two
+    visible characters, and where punctuation follows a letter or digit. So a text
+    is cut into words, each with its blank or line break, and a word's closing
+    punctuation is cut off; the ids of these units, one after another, are those of
+    the text. A text in which a blank or line break touches other white space, or
+    that spells a special token, goes to the tokenizer in one piece. New units are
+    encoded many at a time, as one text; a token that begins with a blank or line
+    break begins a unit. At most ``LIMIT`` words are remembered.
     """
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
+    RUN = 20_000
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
-        self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r" [\s\x1c-\x1f]", r"[\s\x1c-\x1f] ", *map(re.escape, special)]))
+        self.whole = "|".join([f"[ \n][{_SPACE}]", f"[{_SPACE}][ \n]", *map(re.escape, special)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        heads = tuple(self.tokenizer.encode(c, add_special_tokens=False).tokens[0] for c in " \n")
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(heads)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.starts = np.empty(0, np.uint32), np.zeros(2, np.int64)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in found]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.LIMIT:
-            self.known, self.ids, self.starts = {}, self.ids[:0], self.starts[:1]
-        known, out = self.known, [None] * len(texts)
-        pieces, cut = [], []
-        for i, text in enumerate(texts):
-            if self.whole.search(text):
-                out[i] = self._encode([text])[0]
-            elif text:
-                words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-                if words is None:
-                    out[i] = self._encode([text])[0]
-                    continue
-                pieces += words
-                cut.append((i, len(words)))
-            else:
-                out[i] = np.empty(0, np.uint32)
-        new = list({w: None for w in pieces if w not in known})
+    def _encode_joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units that begin with a blank or line break, and their numbers of ids."""
+        ids, sizes = [], []
+        for at in range(0, len(units), self.RUN):
+            some = units[at : at + self.RUN]
+            own = self._encode(["".join(some)])[0]
+            starts = np.flatnonzero(self.begins[own])
+            size = np.diff(np.append(starts, len(own)))
+            if len(starts) != len(some) or starts[0]:
+                each = self._encode(some)
+                own, size = np.concatenate(each), np.array([len(x) for x in each])
+            ids.append(own)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _places(self, units: list[str]) -> np.ndarray:
+        """Where the units are remembered; new ones are encoded first."""
+        new = [u for u in units if u not in self.known]
+        if new and len(self.known) + len(new) > self.LIMIT:
+            self._forget()
+            new = [u for u in units if u]
         if new:
-            found = self._encode(new)
-            for w in new:
-                known[w] = len(known)
-            ends = len(self.ids) + np.cumsum([len(x) for x in found])
+            joined = [u for u in new if u[0] in " \n" and u[1:] and not u[-1].isspace()]
+            rest = list(set(new).difference(joined)) if len(joined) < len(new) else []
+            parts, sizes = [self.ids], []
+            if joined:
+                ids, size = self._encode_joined(joined)
+                parts.append(ids)
+                sizes.append(size)
+            if rest:
+                each = self._encode(rest)
+                parts += each
+                sizes.append(np.array([len(x) for x in each]))
+            first = len(self.known)
+            self.known.update(zip([*joined, *rest], range(first, first + len(new)), strict=True))
+            ends = self.starts[-1] + np.cumsum(np.concatenate(sizes))
             self.starts = np.concatenate((self.starts, ends))
-            self.ids = np.concatenate((self.ids, *found))
-        if cut:
-            which = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-            starts = self.starts
-            size = np.diff(starts)[which]
-            ends = np.cumsum(size)
-            flat = np.repeat(starts[which] - (ends - size), size) + np.arange(ends[-1])
-            ids, word = self.ids[flat], 0
-            for i, n in cut:
-                first = ends[word - 1] if word else 0
-                out[i] = ids[first : ends[word + n - 1]]
-                word += n
+            self.ids = np.concatenate(parts)
+        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, each with its blank or line break, and where each begins."""
+        stems = pc.utf8_rtrim(words, string.punctuation)
+        cut = pc.match_substring_regex(stems, r"[\pL\pN]\z")
+        stems = pc.if_else(cut, stems, words)
+        extra = pc.subtract(pc.binary_length(words), pc.binary_length(stems)).to_numpy()
+        at = np.flatnonzero(extra)
+        closed = words.take(pa.array(at)).to_pylist()
+        ends = [w[-n:] for w, n in zip(closed, extra[at].tolist(), strict=True)]
+        blank = pc.binary_join_element_wise(pa.scalar(""), stems, " ")
+        coded = pc.if_else(pc.starts_with(stems, "\n"), stems, blank).dictionary_encode()
+        distinct = list(dict.fromkeys(ends))
+        stem_list = coded.dictionary.to_pylist()
+        place = self._places([*stem_list, *distinct])
+        suffix = dict(zip(distinct, place[len(stem_list) :].tolist(), strict=True))
+        units = np.zeros((len(words), 2), np.int64)
+        units[:, 0] = place[coded.indices.to_numpy()]
+        units[at, 1] = [suffix[e] for e in ends]
+        ids, starts = _gather(self.ids, self.starts, units.ravel())
+        return ids, starts[::2]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string array; null is the empty text."""
+        texts = texts.fill_null("")
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+        for i in np.flatnonzero(whole):
+            out[i] = self._encode([texts[i].as_py()])[0]
+        at = np.flatnonzero(~whole)
+        if not len(at):
+            return out
+        lines = pc.replace_substring(texts.take(pa.array(at)), "\n", " \n")
+        split = pc.split_pattern(lines, " ")
+        flat = split.flatten()
+        borders = split.offsets.to_numpy() - split.offsets[0].as_py()
+        # The first word of a text has no blank before it.
+        lead = self._encode(flat.take(pa.array(borders[:-1])).to_pylist())
+        coded = flat.dictionary_encode()
+        word_ids, word_starts = self._words(coded.dictionary)
+        which = coded.indices.to_numpy()
+        ids, starts = _gather(word_ids, word_starts, which)
+        skip = np.diff(word_starts)[which[borders[:-1]]]
+        lows, highs = starts[borders[:-1]] + skip, starts[borders[1:]]
+        for i, first, lo, hi in zip(at, lead, lows, highs, strict=True):
+            out[i] = np.concatenate((first, ids[lo:hi]))
         return out
 
 
+def _gather(
+    values: np.ndarray, starts: np.ndarray, which: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``which`` of ``values`` one after another, and where each begins (and the end)."""
+    size = np.diff(starts)[which]
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    flat = np.repeat(starts[which] - (ends - size), size) + np.arange(total)
+    return values[flat], np.concatenate(([0], ends))
+
+
+@functools.cache
+def encoder_of(path: str) -> WordEncoder:
+    """A worker's encoder; one process encodes one task at a time, so threads would only wait."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordEncoder(path)
+
+
 class ShardWriter:
     """Streams documents into one file; memory is a few blocks and the footer."""
 
@@ -296,15 +385,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     files = f"{folder}/files"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer = WordEncoder(tokenizer), None
+        encoder, writer = encoder_of(tokenizer), None
         end = np.array([end_id], np.uint32)
         fs, root = file_system(files)
         name = f"{uuid.uuid4().hex}.s8b"
-        for part in slices(batches):
+        for part in slices(batches, size=ENCODE_BYTES):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 writer = ShardWriter(fs, f"{root}/{name}")
-            for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(strings(part))):
+            for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                 writer.add(doc_id, np.concatenate((ids, end)))
         if writer is not None:
             n_docs, n_ids = writer.close()
