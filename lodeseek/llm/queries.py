@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import ann, cotrain, jaccard_join, lang_id, pii, token_bin, warc
+from lodeseek.llm import ann, cotrain, jaccard_join, lang_id, line_dedup, pii, qgram_decon, sp_sample, token_bin, warc
 from lodeseek.workspace import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,21 @@ def op3_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_gumbel_topk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct sampled segmentations of every document, and whether they decode to its text."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").withColumn("name", F.md5(F.coalesce("text", F.lit(""))))
+    columns = ["doc_id", "sample", "log_prob", "perturbed", "inclusion"]
+    drawn = sp_sample.sample(docs, model, ["doc_id", "name"])
+    kept = [*columns, "n_pieces", "ids_hash", "name"]
+    facts = drawn.withColumns({"n_pieces": F.size("ids"), "ids_hash": F.xxhash64("ids")})
+    back = sp_sample.decode(facts, model, kept)
+    return back.select(
+        *kept[:-1], (F.md5("text") == F.col("name")).alias("round_trip")
+    )
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from two thirds of them."""
@@ -104,6 +119,14 @@ def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.score(docs, model, ["doc_id"])
 
 
+@query
+def op7_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a part of a benchmark text, with the part."""
+    return qgram_decon.leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 @query
 def op8_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets agree to nine tenths."""
@@ -117,3 +140,51 @@ def op9_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(
         table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20, work_path(spark, "ann")
     )
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that have an earlier equal or near line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup_lines(docs, work_path(spark, "lines"))
+    return out.withColumnRenamed("_removed", "n_removed")
+
+
+LLM_EXPECTED["op10_line_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, i - 1 AS line_no, string_split(text, chr(10))[i] AS line
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+        FROM documents)
+), visible AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS place FROM lines
+  WHERE regexp_matches(line, '[^ \t\r\x0b\f]')
+), firsts AS (
+  SELECT line, length(line) AS n, min(place) AS place FROM visible GROUP BY line
+), keyed AS (
+  SELECT line, n, place, size, unnest([
+    '0' || size || ' ' || substr(line, 1, size // 2),
+    '1' || size || ' ' || substr(line, n - (size - size // 2) + 1, size - size // 2)]) AS half
+  FROM (SELECT *, unnest([n, n - 1]) AS size FROM firsts) WHERE n >= 10 AND size >= 10
+), pairs AS (
+  SELECT DISTINCT a.line, a.n, b.line AS earlier, b.n AS m
+  FROM keyed a JOIN keyed b ON a.half = b.half AND b.place < a.place AND abs(a.n - b.n) <= 1
+), near AS (
+  SELECT DISTINCT line FROM pairs
+  WHERE CASE WHEN n = m
+    THEN list_sum([CASE WHEN substr(line, i, 1) <> substr(earlier, i, 1) THEN 1 ELSE 0 END
+                   FOR i IN range(1, n + 1)]) <= 1
+    ELSE list_bool_or([
+      CASE WHEN n > m THEN substr(line, 1, i - 1) || substr(line, i + 1) = earlier
+           ELSE substr(earlier, 1, i - 1) || substr(earlier, i + 1) = line END
+      FOR i IN range(1, greatest(n, m) + 1)]) END
+), gone AS (
+  SELECT v.doc_id, v.line_no FROM visible v JOIN firsts f USING (line)
+  WHERE v.place <> f.place OR v.line IN (SELECT line FROM near)
+)
+SELECT l.doc_id,
+       coalesce(string_agg(CASE WHEN g.doc_id IS NULL THEN l.line END, chr(10) ORDER BY l.line_no), '')
+         AS text,
+       CAST(count(g.doc_id) AS BIGINT) AS n_removed
+FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no
+GROUP BY l.doc_id
+"""
