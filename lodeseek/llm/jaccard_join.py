@@ -1,4 +1,4 @@
-"""Exact join of texts whose word-shingle sets have a large Jaccard index, by pivots and regions.
+r"""Exact join of texts whose word-shingle sets have a large Jaccard index, by pivots and regions.
 
 Texts of equal sets are one *node*. Nodes x, y link where the Jaccard distance
 d(x, y) is at most D. Pivots are used on two levels.
@@ -12,22 +12,32 @@ shingles of x, so by the inequality x is copied into all regions with
 a region. (Whole documents as outermost pivots cannot part a corpus: nearly all of
 it is at distance 1 from any document, inside every window. See the README.)
 
+*Bounds.* Counting a set's shingles in ``CLASSES`` hash classes maps it to a vector
+whose L1 distances never exceed |x \ y| + |y \ x|, and saturated counts keep that.
+These 128 bytes rule out nearly all chance meetings without a set being moved.
+
 *Inner regions.* In each region the most central node is the pivot p: the one that
-shares most of its regions. All distances d(x, p) are computed exactly. Nodes within
-D of p link to it, which joins them with each other as well, so pairs among them
-need no look. Beyond, |d(x, p) - d(y, p)| <= d(x, y): a node inside D can link to one
-outside only if it is within D of the nearest outside node. Those of that window and
-all outside nodes form the next region, which is joined in the same way. What is
-left after ``ROUNDS`` rounds is joined pairwise in blocks of ``LEAF`` nodes.
+shares most of its regions. Distances to p are computed for all members, first the
+bounds, then exactly where those allow a link. Nodes within D of p link to it, which
+joins them with each other as well, so pairs among them need no look. Beyond,
+|d(x, p) - d(y, p)| <= d(x, y): a node inside D can link to one outside only if it is
+within D of the nearest outside node. Those of that window and all outside nodes
+form the next region, which is joined in the same way. What is left after ``ROUNDS``
+rounds is compared pairwise in blocks of ``LEAF`` nodes, by bounds and then exactly.
+Nodes that links found so far have joined are never compared: before each round
+components are named, and regions of a single one are done.
+
+A first pass of the same kind, with bounds only, finds the nodes that may have a
+link at all; only their texts are read again, to get their sets.
 
 The order needs no exact counts, only to be the same for all texts: frequent
 shingles come from tasks that count in ``2 ** SKETCH_BITS`` counters and report the
 heavy ones; the summed classes, 4 MB, go to all tasks.
 
-Sizes: documents move once as slim rows of (id, size, node, first shingles); texts
-of nodes that share a region with another one move once more. Pairs are stars, so
-their number follows the members of regions. Hot nodes, regions and pivots are
-dealt out (``common.attach``). Hashes have 64 bits, nodes in addition their size.
+Sizes: documents move once as slim rows of (id, size, node, counts, first shingles);
+texts of possible partners move once more. Pairs are stars, so their number follows
+the members of regions. Hot nodes, regions and pivots are dealt out
+(``common.attach``). Hashes have 64 bits, nodes in addition their size.
 
 Defined cases: a null text, or one without words, has the empty set and links with
 nothing; a row without id is counted but takes no part and has a null component;
@@ -37,11 +47,12 @@ of any length is taken whole; extra columns are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm.common import attach, mix64, slices
@@ -50,9 +61,11 @@ from lodeseek.llm.shingles import shingles
 from lodeseek.workspace import saved
 
 SKETCH_BITS = 22
-ROUNDS = 4
+ROUNDS = 2
 LEAF = 256
+CLASSES = 128
 _SLICE = 6_000_000
+_CLASS = np.uint64(CLASSES - 1)
 _NODE_KEY = np.uint64(0xA0761D6478BD642F)
 
 
@@ -98,18 +111,20 @@ def _sets(part: pa.Array, width: int) -> Iterator[tuple[np.ndarray, int]]:
 
 
 def name_sets(docs: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, first): set sizes, nodes and the shingles whose regions a node enters."""
+    """(doc_id, n, node, counts, first): set sizes, nodes, class counts, shingles to enter by."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     shift = np.uint64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for part in slices(batches, size=_SLICE):
-            sizes, nodes, first = [], [], []
+            sizes, nodes, counts, first = [], [], [], []
             for own, node in _sets(part.column(1), width):
                 n = len(own)
                 sizes.append(n)
                 nodes.append(node)
+                per = np.bincount((own & _CLASS).astype(np.int64), minlength=CLASSES)
+                counts.append(np.minimum(per, 255).astype(np.uint8).tobytes())
                 take = spare(n, percent) + 1 if n else 0
                 order = rank[(own >> shift).astype(np.int64)]
                 if order.any():
@@ -122,12 +137,13 @@ def name_sets(docs: DataFrame, classes: np.ndarray, width: int, percent: int) ->
                     part.column(0),
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.int64()),
+                    pa.array(counts, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                ["doc_id", "n", "node", "first"],
+                ["doc_id", "n", "node", "counts", "first"],
             )
 
-    kinds = "doc_id long, n long, node long, first array<long>"
+    kinds = "doc_id long, n long, node long, counts binary, first array<long>"
     return docs.select("doc_id", "text").mapInArrow(run, kinds)
 
 
@@ -154,14 +170,57 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, items binary").dropDuplicates(["node"])
 
 
-def measured(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
-    """(pivot, node, shared, united): the exact sizes of the pairs' intersections and unions."""
+def centred(pairs: DataFrame, facts: DataFrame, values: list[str], path: str) -> DataFrame:
+    """(pivot, node) pairs with the facts of both, those of the pivot as ``p_*``."""
     stars = saved(pairs.groupBy("pivot").agg(F.count("*").alias("pairs")), f"{path}-stars")
     total = stars.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
-    centres = stars.join(sets, F.col("pivot") == F.col("node")).select(
-        "pivot", "pairs", F.col("items").alias("centre")
-    )
-    rows = attach(pairs.join(sets, "node"), centres, "pivot", ["centre"], "pairs", total)
+    own = facts.select(F.col("node").alias("pivot"), *(F.col(v).alias(f"p_{v}") for v in values))
+    centres = stars.join(own, "pivot")
+    full = pairs.join(facts.select("node", *values), "node")
+    return attach(full, centres, "pivot", [f"p_{v}" for v in values], "pairs", total)
+
+
+def _gap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """L1 distances of rows of class counts."""
+    return np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(1, dtype=np.int64)
+
+
+def _counts(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CLASSES)
+
+
+def _possible(gap: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of ``total`` shingles in all, ``gap`` or more of them unshared, may link."""
+    return gap * (100 + percent) <= total * (100 - percent)
+
+
+def bounded(pairs: DataFrame, nodes: DataFrame, percent: int, path: str) -> DataFrame:
+    """(pivot, node, gap, total, possible) of the pairs, from class counts."""
+    rows = centred(pairs, nodes, ["n", "counts"], path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            gap = _gap(_counts(batch.column(4)), _counts(batch.column(5)))
+            yield pa.record_batch(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(gap),
+                    pa.array(total),
+                    pa.array(_possible(gap, total, percent)),
+                ],
+                ["pivot", "node", "gap", "total", "possible"],
+            )
+
+    kinds = "pivot long, node long, gap long, total long, possible boolean"
+    rows = rows.select("pivot", "node", "n", "p_n", "counts", "p_counts")
+    return saved(rows.mapInArrow(run, kinds), path)
+
+
+def measured(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+    """(pivot, node, shared, united): the exact sizes of the pairs' intersections and unions."""
+    rows = centred(pairs.select("pivot", "node"), sets, ["items"], path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,59 +231,186 @@ def measured(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
                 shared.append(both)
                 united.append(len(x) + len(y) - both)
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(united, pa.int64())],
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(shared, pa.int64()),
+                    pa.array(united, pa.int64()),
+                ],
                 ["pivot", "node", "shared", "united"],
             )
 
     kinds = "pivot long, node long, shared long, united long"
-    return saved(rows.select("pivot", "node", "items", "centre").mapInArrow(run, kinds), path)
+    return saved(rows.select("pivot", "node", "items", "p_items").mapInArrow(run, kinds), path)
 
 
-def leaf_links(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within the regions (region, node), from all pairs of blocks of about ``LEAF`` nodes."""
-    sized = live.groupBy("region").agg(F.ceil(F.count("*") / LEAF).alias("blocks"), F.count("*").alias("n"))
-    total = live.count()
-    placed = attach(live.select("region", "node"), sized, "region", ["blocks"], "n", total)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    placed = placed.withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+def close_pairs(
+    live: DataFrame, nodes: DataFrame, percent: int, names_only: bool, path: str
+) -> DataFrame:
+    """Pairs (pivot, node) within regions that their bounds allow, or only the nodes in them.
+
+    A region of more than ``LEAF`` nodes is dealt out as pairs of its blocks. Rows
+    arrive sorted by such cells; a task holds one cell and compares a block of rows
+    with all others in numpy, except for nodes of one ``part``.
+    """
+    sized = saved(live.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), path)
+    total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    placed = attach(
+        live.select("region", "node", "part"), sized.withColumn("size", F.col("n")), "region", ["size"], "n", total
+    ).where("size > 1")
+    blocks = F.ceil(F.col("size") / LEAF)
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    )
+    cell = (
+        placed.select(
+            F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
+            "node",
+            "part",
+        )
+        .join(nodes.select("node", "n", "counts"), "node")
+        .repartition("cell")
+        .sortWithinPartitions("cell", "node")
+    )
+
+    def compare(
+        ids: np.ndarray, part: np.ndarray, n: np.ndarray, counts: np.ndarray
+    ) -> list[tuple[int, int]]:
+        found = []
+        if (part == part[0]).all():
+            return found
+        for i in range(len(ids) - 1):
+            size = n[i + 1 :]
+            fit = np.flatnonzero(
+                (100 * np.minimum(size, n[i]) >= percent * np.maximum(size, n[i]))
+                & (part[i + 1 :] != part[i])
+            )
+            if len(fit):
+                gap = _gap(counts[i + 1 + fit], counts[i])
+                for j in fit[_possible(gap, size[fit] + n[i], percent)]:
+                    found.append((int(ids[i]), int(ids[i + 1 + j])))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            cells = table["cell"].to_numpy()
+            ids, n, part = (table[c].to_numpy() for c in ("node", "n", "part"))
+            counts = _counts(table["counts"])
+            cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1), len(cells)]
+            pairs = {
+                pair
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True)
+                for pair in compare(ids[a:b], part[a:b], n[a:b], counts[a:b])
+            }
+            if names_only:
+                rows = [[x for x in {x for pair in pairs for x in pair}]]
+            else:
+                rows = [[p[0] for p in pairs], [p[1] for p in pairs]]
+            if rows[0]:
+                names = ["node"] if names_only else ["pivot", "node"]
+                yield pa.record_batch([pa.array(r, pa.int64()) for r in rows], names)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            cells = table["cell"].to_numpy()
+            last = int(np.searchsorted(cells == cells[-1], True))
+            if last:
+                yield from emit(table.slice(0, last))
+                held = table.slice(last).combine_chunks().to_batches()
+        if held:
+            yield from emit(pa.Table.from_batches(held))
+
+    kinds = "node long" if names_only else "pivot long, node long"
+    return cell.mapInArrow(run, kinds).distinct()
+
+
+def stars(live: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """(region, node, weight, part, pivot, own_part) of all members but the pivots.
+
+    ``live`` has (region, node, weight, part); ``own_part`` is the pivot's. Also the
+    number of its rows in regions of more than one node.
+    """
+    pivots = saved(
+        live.groupBy("region")
+        .agg(F.max(F.struct("weight", "node", "part")).alias("top"), F.count("*").alias("n"))
+        .where("n > 1")
+        .select(
+            "region", F.col("top.node").alias("pivot"), F.col("top.part").alias("own_part"), "n"
+        ),
+        f"{path}-pivots",
+    )
+    total = pivots.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = attach(live, pivots, "region", ["pivot", "own_part"], "n", total).where(
+        F.col("pivot").isNotNull() & (F.col("pivot") != F.col("node"))
+    )
+    return saved(members, f"{path}-members"), total
+
+
+def parted(live: DataFrame, parts: DataFrame, path: str) -> DataFrame:
+    """``live`` with the ``part`` of each node (its own where ``parts`` has none), in regions of several."""
+    placed = saved(
+        live.select("region", "node", "weight")
+        .join(parts, "node", "left")
+        .withColumn("part", F.coalesce("part", "node")),
+        f"{path}-placed",
+    )
+    several = saved(
+        placed.groupBy("region")
+        .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
+        .where("low <> high")
+        .select("region", "n", F.col("n").alias("size")),
+        f"{path}-several",
+    )
+    total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kept = attach(placed, several, "region", ["size"], "n", total).where("size > 0")
+    return saved(kept.select("region", "node", "weight", "part"), f"{path}-parted")
+
+
+def beyond(
+    apart: DataFrame, total: int, measure: str, reach: Column, path: str
+) -> DataFrame:
+    """What a region still has to join: nodes outside of the pivot's reach, and the window.
+
+    ``apart`` has (region, node, weight, outside) and the distance ``measure`` from the
+    pivot, null where it was not measured; ``reach`` is the largest distance of a link.
+    """
+    nearest = saved(
+        apart.groupBy("region")
+        .agg(
+            F.min(F.when(F.col("outside"), F.col(measure))).alias("nearest"),
+            reach.alias("reach"),
+            F.count("*").alias("n"),
+        )
+        .where("nearest IS NOT NULL AND n > 1")
+        .withColumn("edge", F.col("nearest") - F.col("reach")),
+        f"{path}-nearest",
+    )
+    return saved(
+        attach(apart, nearest, "region", ["edge"], "n", total)
+        .where(F.col("edge").isNotNull())
+        .where(F.col("outside") | F.col(measure).isNull() | (F.col(measure) >= F.col("edge")))
+        .select("region", "node", "weight"),
+        f"{path}-live",
     )
-    cell = placed.select(
-        "region",
-        F.least("own", "other").alias("a"),
-        F.greatest("own", "other").alias("b"),
-        "own",
-        "node",
-    ).join(sets, "node")
-
-    def run(key, table):
-        nodes, blocks = table["node"].to_pylist(), table["own"].to_pylist()
-        items = [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
-        same, left, right = key[1].as_py() == key[2].as_py(), [], []
-        for i in range(len(nodes)):
-            for j in range(i):
-                if same or blocks[i] != blocks[j]:
-                    n, m = sorted((len(items[i]), len(items[j])))
-                    if 100 * n < percent * m:
-                        continue
-                    both = len(np.intersect1d(items[i], items[j], assume_unique=True))
-                    if 100 * both >= percent * (n + m - both):
-                        left.append(nodes[i])
-                        right.append(nodes[j])
-        return pa.table({"u": pa.array(left, pa.int64()), "v": pa.array(right, pa.int64())})
-
-    return cell.groupBy("region", "a", "b").applyInArrow(run, "u long, v long")
 
 
 def linked_nodes(
     docs: DataFrame, named: DataFrame, folder: str, width: int, percent: int
 ) -> DataFrame:
     """Links (u, v) that join all nodes of a component; ``named`` is from ``name_sets``."""
-    spark = docs.sparkSession
     nodes = saved(
         named.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
         .groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("first").alias("first")),
+        .agg(
+            F.min("doc_id").alias("doc_id"),
+            F.first("n").alias("n"),
+            F.first("counts").alias("counts"),
+            F.first("first").alias("first"),
+        ),
         f"{folder}/nodes",
     )
     entries = nodes.select("node", F.explode("first").alias("region"))
@@ -237,65 +423,73 @@ def linked_nodes(
     central = saved(
         met.groupBy("node").agg(F.collect_list("region").alias("regions")), f"{folder}/met"
     )
+
+    def regions(of: DataFrame) -> DataFrame:
+        return of.select(
+            F.explode("regions").alias("region"),
+            "node",
+            F.size("regions").alias("weight"),
+            F.col("node").alias("part"),
+        )
+
+    # Which nodes may have a link at all, by bounds.
+    facts = nodes.select("node", "n", "counts")
+    members, total = stars(regions(central), f"{folder}/first")
+    bounds = bounded(
+        members.select("pivot", "node").distinct(), facts, percent, f"{folder}/first-bounds"
+    )
+    apart = members.join(bounds, ["pivot", "node"]).withColumn("outside", ~F.col("possible"))
+    widest = F.max("total") * ((100 - percent) / (100 + percent)) * 2
+    live = beyond(apart, total, "gap", widest, f"{folder}/first")
+    near = bounds.where("possible")
+    sure = near.select("node").union(near.select("pivot")).distinct()
+    # Nodes that are wanted anyway need no comparison with each other.
+    live = parted(live, sure.withColumn("part", F.lit(0).cast("long")), f"{folder}/first")
+    wanted = (
+        sure.union(close_pairs(live, facts, percent, True, f"{folder}/first-cells"))
+        .distinct()
+    )
     wanted = saved(
-        central.select("node").join(nodes.select("node", "doc_id"), "node"), f"{folder}/wanted"
+        wanted.join(nodes.select("node", "doc_id"), "node"), f"{folder}/wanted"
     )
+
+    # The links themselves, exactly.
     sets = saved(sets_of(docs, wanted, width), f"{folder}/sets")
-    live = central.select(
-        F.explode("regions").alias("region"), "node", F.size("regions").alias("weight")
-    )
-    links = None
-    least = 1 - percent / 100
+    live = regions(central.join(wanted.select("node"), "node"))
+    links = []
     for step in range(ROUNDS):
         at = f"{folder}/round{step}"
-        pivots = saved(
-            live.groupBy("region")
-            .agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("n"))
-            .where("n > 1")
-            .select("region", F.col("top.node").alias("pivot"), "n"),
-            f"{at}-pivots",
-        )
-        total = pivots.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        members, total = stars(live, at)
         if not total:
-            return links if links is not None else spark.createDataFrame([], "u long, v long")
-        members = saved(
-            attach(live, pivots, "region", ["pivot"], "n", total).where(
-                F.col("pivot").isNotNull() & (F.col("pivot") != F.col("node"))
-            ),
-            f"{at}-members",
-        )
-        far = measured(members.select("pivot", "node").distinct(), sets, f"{at}-measured")
-        near = far.where(F.col("shared") * 100 >= F.col("united") * percent).select(
-            F.col("pivot").alias("u"), F.col("node").alias("v")
+            break
+        pairs = members.where("part <> own_part").select("pivot", "node").distinct()
+        bounds = bounded(pairs, facts, percent, f"{at}-bounds")
+        exact = measured(bounds.where("possible"), sets, f"{at}-measured")
+        linked = F.col("shared") * 100 >= F.col("united") * percent
+        links.append(exact.where(linked).select(F.col("pivot").alias("u"), F.col("node").alias("v")))
+        least = 2 * F.col("gap") / (F.col("total") + F.col("gap"))
+        far = bounds.join(exact, ["pivot", "node"], "left").select(
+            "pivot",
+            "node",
+            F.coalesce(1 - F.col("shared") / F.col("united"), least).alias("d"),
+            (~F.coalesce(linked, F.lit(False))).alias("outside"),
         )
-        links = near if links is None else links.union(near)
-        apart = saved(
-            members.join(
-                far.select(
-                    "pivot",
-                    "node",
-                    (1 - F.col("shared") / F.col("united")).alias("d"),
-                    (F.col("shared") * 100 < F.col("united") * percent).alias("outside"),
-                ),
-                ["pivot", "node"],
-            ).select("region", "node", "weight", "d", "outside"),
-            f"{at}-apart",
+        # Members of the pivot's own part have no distance and stay while others do.
+        apart = members.join(far, ["pivot", "node"], "left").withColumn(
+            "outside", F.coalesce("outside", F.lit(False))
         )
-        nearest = saved(
-            apart.groupBy("region")
-            .agg(F.min(F.when(F.col("outside"), F.col("d"))).alias("edge"), F.count("*").alias("n"))
-            .where("edge IS NOT NULL AND n > 1"),
-            f"{at}-nearest",
-        )
-        # The window's slack covers the rounding of a difference of doubles.
-        live = saved(
-            attach(apart, nearest, "region", ["edge"], "n", total)
-            .where(F.col("outside") | (F.col("d") >= F.col("edge") - least - 1e-9))
-            .where(F.col("edge").isNotNull())
-            .select("region", "node", "weight"),
-            f"{at}-live",
+        # The slack covers the rounding of a difference of doubles.
+        live = beyond(apart, total, "d", F.lit(1 - percent / 100 + 1e-9), at)
+        roots = components(functools.reduce(DataFrame.union, links), f"{at}-components")
+        live = parted(live, roots.withColumnRenamed("root", "part"), at)
+    last = close_pairs(live, facts, percent, False, f"{folder}/last-cells")
+    exact = measured(saved(last, f"{folder}/last"), sets, f"{folder}/last-measured")
+    links.append(
+        exact.where(F.col("shared") * 100 >= F.col("united") * percent).select(
+            F.col("pivot").alias("u"), F.col("node").alias("v")
         )
-    return links.union(leaf_links(live, sets, percent))
+    )
+    return functools.reduce(DataFrame.union, links)
 
 
 def jaccard_groups(docs: DataFrame, folder: str, width: int = 5, percent: int = 80) -> DataFrame:
@@ -337,3 +531,21 @@ def jaccard_groups(docs: DataFrame, folder: str, width: int = 5, percent: int =
         .otherwise(F.col("doc_id"))
         .alias("component_id"),
     )
+
+
+def representatives(
+    docs: DataFrame, folder: str, width: int = 5, percent: int = 80
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id is the smallest of their component.
+
+    Rows without id, and texts without words, stay. An id that stands on several rows
+    is one document: its rows go when one of them does.
+    """
+    groups = jaccard_groups(docs.select("doc_id", "text"), folder, width, percent)
+    gone = saved(
+        groups.where(F.col("component_id") < F.col("doc_id"))
+        .select(F.col("doc_id").alias("_copy_id"))
+        .distinct(),
+        f"{folder}/gone",
+    )
+    return docs.join(gone, docs["doc_id"] == gone["_copy_id"], "left_anti")
