@@ -9,9 +9,9 @@ query's neighbours project, and buckets are visited in falling order of it until
 chances add up to what ``RECALL`` asks of a table. Candidates of all tables meet at
 the query, where exact inner products rank them.
 
-The fit uses ``SAMPLE`` vectors at most: they set the slabs' widths and the distance
-at which neighbours are expected, the quantile of distances that k of all vectors
-make up. Every vector is indexed. Equal vectors are one entry with its k + 1 smallest
+The fit uses ``SAMPLE`` vectors at most: they set the slabs' widths, and from the
+nearest of their pairs, as large a share as k is of all vectors, where neighbours
+project. Every vector is indexed. Equal vectors are one entry with its k + 1 smallest
 ids, which is all that k neighbours and the query itself can take.
 
 Where the work goes: the directory of buckets, at most ``TABLES * SLABS ** HASHES``
@@ -28,7 +28,6 @@ an empty table gives no row; extra columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,9 +42,10 @@ from lodeseek.workspace import saved
 TABLES = 2
 HASHES = 6
 SLABS = 4
-RECALL = 0.99
+RECALL = 0.995
 SAMPLE = 4096
 SAMPLE_QUERIES = 128
+SAMPLE_PAIRS = 512
 BLOCK = 4096
 CELL = 8192
 _QUERY_BLOCK = 256
@@ -53,11 +53,18 @@ _QUERY_BLOCK = 256
 
 @dataclass
 class Index:
-    """``directions`` (tables, dims + 1, hashes); ``edges``: inner borders of the slabs."""
+    """What the fit found.
+
+    ``directions`` (tables, dims + 1, hashes); ``edges``: inner borders of the slabs;
+    neighbours project to ``slope`` times the query's projection plus ``shift``, give or
+    take ``spread``.
+    """
 
     directions: np.ndarray
     edges: np.ndarray
-    radius: float
+    slope: np.ndarray
+    shift: np.ndarray
+    spread: np.ndarray
     longest: float
     codes: np.ndarray
     blocks: np.ndarray
@@ -92,18 +99,14 @@ def _normal(x: np.ndarray) -> np.ndarray:
 
 def probes(queries: np.ndarray, index: Index) -> list[np.ndarray]:
     """The buckets that each (aimed) query visits, of all tables, in order of success per table."""
-    # All points, and the aimed queries, lie on a sphere: a neighbour is a share of the
-    # query and a remainder of any direction.
-    share = 1 - index.radius**2 / (2 * index.longest**2)
-    rest = index.longest * math.sqrt(max(1 - share**2, 1e-12))
-    spread = rest / math.sqrt(max(1, queries.shape[1] - 1))
     goal = 1 - (1 - RECALL) ** (1 / TABLES)
     visits: list[list[np.ndarray]] = [[] for _ in queries]
     for t, directions in enumerate(index.directions):
         own = index.codes[index.codes // SLABS**HASHES == t]
         digits = (own[:, None] // SLABS ** np.arange(HASHES)) % SLABS
         projected = queries @ directions
-        inner = _normal((index.edges[t][None] - share * projected[:, :, None]) / spread)
+        centre = index.slope[t] * projected + index.shift[t]
+        inner = _normal((index.edges[t][None] - centre[:, :, None]) / index.spread[t][:, None])
         outer = np.concatenate(
             (np.zeros((*projected.shape, 1)), inner, np.ones((*projected.shape, 1))), axis=2
         )
@@ -144,15 +147,43 @@ def packed(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.select(*names, "vector").mapInArrow(run, f"{kinds}, vector binary")
 
 
+def _spreads(
+    raw: np.ndarray, points: np.ndarray, directions: np.ndarray, longest: float, share: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where neighbours project, seen from their query: slope, shift and spread by direction.
+
+    Neighbours are the nearest ``share`` of the sample's pairs, ``SAMPLE_PAIRS`` at least.
+    """
+    slope = np.ones(TABLES)
+    shift = np.zeros((TABLES, HASHES))
+    spread = np.full((TABLES, HASHES), longest)
+    if len(raw) < 2:
+        return slope, shift, spread
+    aimed = _aimed(raw[:SAMPLE_QUERIES], longest)
+    likeness = aimed @ points.T
+    likeness[np.arange(len(aimed)), np.arange(len(aimed))] = -np.inf
+    pairs = len(aimed) * (len(points) - 1)
+    n = min(pairs, max(round(share * pairs), SAMPLE_PAIRS))
+    query, near = np.divmod(np.argpartition(-likeness.ravel(), n - 1)[:n], len(points))
+    for t in range(TABLES):
+        q, x = aimed[query] @ directions[t], points[near] @ directions[t]
+        slope[t] = (q * x).sum() / max((q * q).sum(), 1e-12)
+        rest = x - slope[t] * q
+        shift[t], spread[t] = rest.mean(0), np.maximum(rest.std(0), 1e-6 * longest)
+    return slope, shift, spread
+
+
 def fit(entries: DataFrame, k: int, seed: int = 17) -> Index:
-    """Directions, slabs and radius from the sample; the directory of all buckets."""
+    """Directions, slabs and spreads from the sample; the directory of all buckets."""
     spark = entries.sparkSession
     total = entries.count()
     lengths = entries.select("vector").mapInArrow(_longest, "longest double")
     longest = lengths.agg(F.max("longest")).first()[0] or 1.0
     rows = entries.select("u", "vector").orderBy("u").limit(SAMPLE).collect()
     rng = np.random.default_rng(seed)
-    raw = np.array([np.frombuffer(r["vector"], "f8") for r in rows]).reshape(len(rows), -1)
+    raw = np.array([np.frombuffer(r["vector"], "f8") for r in rows]).reshape(
+        len(rows), -1 if rows else 0
+    )
     points = _extended(raw, longest)
     dims = points.shape[1]
     width = max(HASHES, dims)
@@ -166,17 +197,9 @@ def fit(entries: DataFrame, k: int, seed: int = 17) -> Index:
         shift = rng.random(HASHES) - 0.5
         for s in range(SLABS - 1):
             edges[t, :, s] = projected.mean(0) + step * (s - (SLABS - 2) / 2 + 0.5 * shift)
-    aimed = _aimed(raw[:SAMPLE_QUERIES], longest) if len(raw) else points
-    gaps = np.sqrt(np.maximum(
-        (aimed**2).sum(1)[:, None] + (points**2).sum(1) - 2 * aimed @ points.T, 0
-    )) if len(raw) else np.ones((1, 1))
-    if len(raw) > 1:
-        gaps[np.arange(len(aimed)), np.arange(len(aimed))] = np.inf
-    share = min(1.0, k / max(1, total - 1))
-    radius = float(np.quantile(gaps[np.isfinite(gaps)], share)) if np.isfinite(gaps).any() else 1.0
-    index = Index(
-        directions, edges, max(radius, 1e-9), longest, np.empty(0, np.int64), np.empty(0, np.int64), 1
-    )
+    slope, shift, spread = _spreads(raw, points, directions, longest, k / max(1, total - 1))
+    none = np.empty(0, np.int64)
+    index = Index(directions, edges, slope, shift, spread, longest, none, none, 1)
     shared = spark.sparkContext.broadcast(index)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,17 +82,21 @@ def attach(
     )
     cold = groups.select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"))
     served = rows.join(F.broadcast(hot), key, "left")
-    # Hot rows and rows without a key look for a key that no group has: nulls would meet in one task.
+    # Hot rows and rows without a key look for a random key: as nulls they would meet in one
+    # task. Should the key exist, its values are not taken.
     lookup = F.col("_hot").isNull() & F.col(key).isNotNull()
-    spread = F.when(lookup, F.col(key).cast("string")).otherwise(
-        F.concat(F.lit("\x01"), F.rand(11).cast("string"))
-    )
+    own = F.col(key) if dict(rows.dtypes)[key] == "bigint" else F.xxhash64(key)
+    spread = F.when(lookup, own).otherwise((F.rand(11) * float(1 << 62)).cast("long"))
+    there = F.col("_key") if dict(groups.dtypes)[key] == "bigint" else F.xxhash64("_key")
     joined = served.withColumn("_at", spread).join(
-        cold.withColumn("_at", F.col("_key").cast("string")).drop("_key"),
-        "_at",
+        cold.withColumn("_there", there),
+        (F.col("_at") == F.col("_there")) & (F.col(key) == F.col("_key")),
         "left",
     )
-    picked = [F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values]
+    picked = [
+        F.coalesce(F.col(f"_hot.{v}"), F.when(lookup, F.col(f"_cold.{v}"))).alias(v)
+        for v in values
+    ]
     kept = [F.col(c) for c in rows.columns if c not in values]
     return joined.select(*kept, *picked)
 

@@ -188,16 +188,26 @@ def _calibrate(view: View, x: np.ndarray, y: np.ndarray) -> None:
     good, bad = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
     raw = view.raw(x)
+    size = max(float(np.abs(raw).max()), 1e-9)
+    z = raw / size
+
+    def loss(a: float, b: float) -> float:
+        v = a * z + b
+        return float((np.logaddexp(0, v) - target * v).sum()) + 1e-3 * a * a
+
     a, b = 1.0, 0.0
-    for _ in range(50):
-        p = _sigmoid(a * raw + b)
-        off, w = p - target, p * (1 - p) + 1e-9
-        g = np.array([(off * raw).sum() + 1e-3 * (a - 1), off.sum()])
-        h = np.array([[(w * raw * raw).sum() + 1e-3, (w * raw).sum()], [(w * raw).sum(), w.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-7:
+    for _ in range(100):
+        p = _sigmoid(a * z + b)
+        off, w = p - target, p * (1 - p)
+        g = np.array([(off * z).sum() + 2e-3 * a, off.sum()])
+        h = np.array([[(w * z * z).sum() + 2e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
+        step, share = np.linalg.solve(h, g), 1.0
+        while share > 1e-6 and loss(a - share * step[0], b - share * step[1]) > loss(a, b):
+            share /= 2
+        a, b = a - share * step[0], b - share * step[1]
+        if share * np.abs(step).max() < 1e-6:
             break
+    a /= size
     # A view that does not separate the labels falls back to the prior.
     view.slope, view.shift = (a, b) if a > 0 else (0.0, float(np.log((good + 1) / (bad + 1))))
 

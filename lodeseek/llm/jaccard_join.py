@@ -9,7 +9,9 @@ the set of all shingles from s on. The directed difference |x \\ U| obeys
 holds it whole, which is that of its first shingle. A linked y may lack up to b(x)
 shingles of x, so by the inequality x is copied into all regions with
 |x \\ U(s)| <= b(x): those of its first b(x) + 1 shingles. Linked nodes then meet in
-a region. (Whole documents as outermost pivots cannot part a corpus: nearly all of
+a region. Regions are parted by the distance to the empty set too: a set's size, the
+logarithm of which differs by a step at most in linked sets; rings of sizes span
+``RING`` steps, and nodes within a step of the next ring enter it as well. (Whole documents as outermost pivots cannot part a corpus: nearly all of
 it is at distance 1 from any document, inside every window. See the README.)
 
 *Bounds.* Counting a set's shingles in ``CLASSES`` hash classes maps it to a vector
@@ -17,7 +19,8 @@ whose L1 distances never exceed |x \ y| + |y \ x|, and saturated counts keep tha
 These 128 bytes rule out nearly all chance meetings without a set being moved.
 
 *Inner regions.* In each region the most central node is the pivot p: the one that
-shares most of its regions. Distances to p are computed for all members, first the
+enters by most frequent shingles, as an original does that its copies alter. Regions
+of one pivot are united. Distances to p are computed for all members, first the
 bounds, then exactly where those allow a link. Nodes within D of p link to it, which
 joins them with each other as well, so pairs among them need no look. Beyond,
 |d(x, p) - d(y, p)| <= d(x, y): a node inside D can link to one outside only if it is
@@ -32,7 +35,7 @@ link at all; only their texts are read again, to get their sets.
 
 The order needs no exact counts, only to be the same for all texts: frequent
 shingles come from tasks that count in ``2 ** SKETCH_BITS`` counters and report the
-heavy ones; the summed classes, 4 MB, go to all tasks.
+heavy ones; the summed classes, 2 MB, go to all tasks.
 
 Sizes: documents move once as slim rows of (id, size, node, counts, first shingles);
 texts of possible partners move once more. Pairs are stars, so their number follows
@@ -48,6 +51,7 @@ of any length is taken whole; extra columns are not read.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,11 +64,12 @@ from lodeseek.llm.components import components
 from lodeseek.llm.shingles import shingles
 from lodeseek.workspace import saved
 
-SKETCH_BITS = 22
+SKETCH_BITS = 21
 ROUNDS = 2
 LEAF = 256
+RING = 4
 CLASSES = 128
-_SLICE = 6_000_000
+_SLICE = 2_000_000
 _CLASS = np.uint64(CLASSES - 1)
 _NODE_KEY = np.uint64(0xA0761D6478BD642F)
 
@@ -111,14 +116,18 @@ def _sets(part: pa.Array, width: int) -> Iterator[tuple[np.ndarray, int]]:
 
 
 def name_sets(docs: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, counts, first): set sizes, nodes, class counts, shingles to enter by."""
+    """(doc_id, n, node, counts, heavy, first): of each document its set's facts.
+
+    ``first`` are the shingles whose regions the node enters, ``heavy`` how many of
+    them are frequent ones.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     shift = np.uint64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for part in slices(batches, size=_SLICE):
-            sizes, nodes, counts, first = [], [], [], []
+            sizes, nodes, counts, heavy, first = [], [], [], [], []
             for own, node in _sets(part.column(1), width):
                 n = len(own)
                 sizes.append(n)
@@ -130,6 +139,7 @@ def name_sets(docs: DataFrame, classes: np.ndarray, width: int, percent: int) ->
                 if order.any():
                     own = own[np.argsort(order, kind="stable")]
                 first.append(own[:take].view(np.int64))
+                heavy.append(int(np.count_nonzero(np.sort(order)[:take])))
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             flat = np.concatenate(first) if first else np.empty(0, np.int64)
             yield pa.record_batch(
@@ -138,12 +148,13 @@ def name_sets(docs: DataFrame, classes: np.ndarray, width: int, percent: int) ->
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.int64()),
                     pa.array(counts, pa.binary()),
+                    pa.array(heavy, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                ["doc_id", "n", "node", "counts", "first"],
+                ["doc_id", "n", "node", "counts", "heavy", "first"],
             )
 
-    kinds = "doc_id long, n long, node long, counts binary, first array<long>"
+    kinds = "doc_id long, n long, node long, counts binary, heavy long, first array<long>"
     return docs.select("doc_id", "text").mapInArrow(run, kinds)
 
 
@@ -409,27 +420,41 @@ def linked_nodes(
             F.min("doc_id").alias("doc_id"),
             F.first("n").alias("n"),
             F.first("counts").alias("counts"),
+            F.first("heavy").alias("heavy"),
             F.first("first").alias("first"),
         ),
         f"{folder}/nodes",
     )
-    entries = nodes.select("node", F.explode("first").alias("region"))
+    # Sizes of linked sets differ by one step at most; each ring has RING steps.
+    at = F.log(F.col("n").cast("double")) / math.log(100 / percent)
+    ring = F.floor(at / RING)
+    near_end = at - ring * RING >= RING - 1 - 1e-6
+    rings = F.when(near_end, F.array(ring, ring + 1)).otherwise(F.array(ring))
+    placed = nodes.withColumn("rings", rings)
+    each = F.transform("rings", lambda r: F.transform("first", lambda s: F.xxhash64(s, r)))
+    entries = placed.select("node", "heavy", F.explode(F.flatten(each)).alias("entry"))
     sizes = saved(
-        entries.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"),
+        entries.groupBy("entry")
+        .agg(F.count("*").alias("size"), F.max(F.struct("heavy", "node")).alias("top"))
+        .where("size > 1")
+        .select("entry", "size", F.col("top.node").alias("pivot")),
         f"{folder}/sizes",
     )
-    total = nodes.agg(F.coalesce(F.sum(F.size("first")), F.lit(0))).first()[0]
-    met = attach(entries, sizes, "region", ["size"], "size", total).where("size > 1")
+    total = placed.agg(
+        F.coalesce(F.sum(F.size("first") * F.size("rings")), F.lit(0))
+    ).first()[0]
+    met = attach(entries, sizes, "entry", ["pivot"], "size", total).where("pivot IS NOT NULL")
+    # Regions of one pivot are one region: pairs that met still meet, in fewer rows.
     central = saved(
-        met.groupBy("node").agg(F.collect_list("region").alias("regions")), f"{folder}/met"
+        met.groupBy("node").agg(
+            F.collect_set("pivot").alias("regions"), F.first("heavy").alias("weight")
+        ),
+        f"{folder}/met",
     )
 
     def regions(of: DataFrame) -> DataFrame:
         return of.select(
-            F.explode("regions").alias("region"),
-            "node",
-            F.size("regions").alias("weight"),
-            F.col("node").alias("part"),
+            F.explode("regions").alias("region"), "node", "weight", F.col("node").alias("part")
         )
 
     # Which nodes may have a link at all, by bounds.

@@ -237,7 +237,7 @@ def dedup_lines(docs: DataFrame, folder: str, drop_empty: bool = False) -> DataF
     text = F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(rest)
     out = joined.withColumn("_line_all", lines).withColumn("_line_text", text)
     if drop_empty:
-        out = out.where(F.col("_line_gone").isNull() | F.col("_line_text").rlike(_VISIBLE))
+        out = out.where(F.col("_line_gone").isNull() | F.col("_line_text").rlike(_VISIBLE.replace("^", r"^\n")))
     columns = [
         F.col("_line_text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns
     ]

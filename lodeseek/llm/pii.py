@@ -51,9 +51,10 @@ EMBED = 12
 TAGS = 1 + 2 * len(KINDS)
 TRAIN_DOCS = 1000
 TRAIN_WINDOWS = 1500
-EPOCHS = 8
+EPOCHS = 25
 BATCH = 64
-LEAST = 0.97
+RATE = 0.02
+LEAST = 0.9
 DECODE_BATCH = 1024
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -325,8 +326,7 @@ def train(windows: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, seed: int
             rows = order[at : at + BATCH]
             _, grad = gradients(p, windows[rows].T, tags[rows].T)
             step += 1
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-            rate = 0.02 * (1 - step / (rounds + 1)) * min(1.0, 5 / (norm + 1e-9))
+            rate = RATE * (1 - step / (rounds + 1))
             for k, g in grad.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g

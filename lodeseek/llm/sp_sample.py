@@ -47,7 +47,7 @@ from lodeseek.llm.common import mix64, slices
 from lodeseek.llm.runs import gather
 
 SAMPLES = 2
-SLICE = 5_000_000
+SLICE = 2_500_000
 BLANK = "▁"
 _END = 0x1FFFFF
 _MARKS = ("\x00", "\x01", "\x02", "￿")
@@ -303,25 +303,47 @@ class Text:
     branch: tuple | None = None
 
 
-def _open(lattice: Lattice, text: Text, path: np.ndarray, since: int, bound: float, turn: int) -> None:
-    """Add a path and the nodes that it left from step ``since`` on, truncated at ``bound``."""
+# No Gumbel variable that ``_uniform`` can give is larger.
+_LARGEST = 37.5
+_NEAR = 45.0
+
+
+def _open(
+    lattice: Lattice, text: Text, path: np.ndarray, since: int, bound: float, turn: int, k: int
+) -> None:
+    """Add a path and the nodes that it left from step ``since`` on, truncated at ``bound``.
+
+    The sets left later and later have ever less mass. Once k nodes lie above what the
+    mass still ahead can reach with the largest variable, the rest is never needed.
+    """
     p = lattice.p[path]
     log = np.log(np.maximum(p, 1e-300))
     upto = np.cumsum(log)
-    own = slice(since, None)
-    with np.errstate(divide="ignore"):
-        mass = (upto - log)[own] + np.log1p(-np.minimum(p[own], 1.0))
     with np.errstate(over="ignore"):
         place = _U(text.seed) ^ (_U(turn + 1) * _NODE)
-        h = place + np.arange(since, len(path), dtype=np.uint64) * _STEP
-    shifted = mass + _gumbel(_uniform(h))
-    values = np.full(len(path), -np.inf)
-    values[own] = -np.logaddexp(-bound, -shifted)
-    values[own][~np.isfinite(mass)] = -np.inf
+
+    def values(stop: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(since, stop)
+        with np.errstate(divide="ignore", over="ignore"):
+            mass = (upto - log)[own] + np.log1p(-np.minimum(p[own], 1.0))
+            h = place + np.arange(since, stop, dtype=np.uint64) * _STEP
+        shifted = mass + _gumbel(_uniform(h))
+        return shifted, np.where(np.isfinite(mass), -np.logaddexp(-bound, -shifted), -np.inf)
+
+    stop = len(path)
+    ahead = upto[since:] < (upto[since - 1] if since else 0.0) - _NEAR
+    if ahead.any():
+        stop = since + int(ahead.argmax()) + 1
+    shifted, found = values(stop)
+    if stop < len(path) and (shifted > upto[stop - 1] + _LARGEST).sum() < k:
+        stop = len(path)
+        shifted, found = values(stop)
+    nodes = np.full(stop, -np.inf)
+    nodes[since:] = found
     text.paths.append(path)
     text.logs.append(float(upto[-1]) if len(path) else 0.0)
     text.values.append(bound)
-    text.nodes.append(values)
+    text.nodes.append(nodes)
 
 
 def _best(text: Text) -> tuple[float, int, int]:
@@ -362,7 +384,7 @@ def _branch(lattice: Lattice, text: Text, turn: int) -> bool:
     return True
 
 
-def _finish(lattice: Lattice, texts: list[Text], turn: int, offsets: list) -> None:
+def _finish(lattice: Lattice, texts: list[Text], turn: int, offsets: list, k: int) -> None:
     """Draw the rests of all branched texts at once, and open their nodes."""
     places, seeds = [], []
     for text, count in zip(texts, offsets, strict=True):
@@ -382,7 +404,7 @@ def _finish(lattice: Lattice, texts: list[Text], turn: int, offsets: list) -> No
         n = count.pop()
         path = np.concatenate((prefix, [new], edges[sums[at] : sums[at + n]]))
         at += n
-        _open(lattice, text, path, t + 1, value, turn)
+        _open(lattice, text, path, t + 1, value, turn, k)
 
 
 def _word_seeds(seed: int, turn: int, words: np.ndarray) -> np.ndarray:
@@ -429,13 +451,13 @@ def sample_texts(
     searches = []
     for i in range(len(texts)):
         text = Text(begin[borders[i] : borders[i + 1]], int(own[i]), [], [], [], [], {})
-        _open(lattice, text, edges[cuts[i] : cuts[i + 1]], 0, float(roots[i]), 0)
+        _open(lattice, text, edges[cuts[i] : cuts[i + 1]], 0, float(roots[i]), 0, k)
         searches.append(text)
     for turn in range(1, k):
         going = [t for t in searches if len(t.paths) == turn and _branch(lattice, t, turn)]
         if not going:
             break
-        _finish(lattice, going, turn, [[] for _ in going])
+        _finish(lattice, going, turn, [[] for _ in going], k)
     out = []
     for text in searches:
         threshold = _best(text)[0]
@@ -455,9 +477,18 @@ def decode_ids(ids: np.ndarray, v: Vocabulary) -> str:
 
 
 def sample(
-    docs: DataFrame, model: str, keep: list[str], key: str = "doc_id", k: int = SAMPLES, seed: int = 1
+    docs: DataFrame,
+    model: str,
+    keep: list[str],
+    key: str = "doc_id",
+    k: int = SAMPLES,
+    seed: int = 1,
+    verify: bool = False,
 ) -> DataFrame:
-    """``keep`` and (sample, ids, log_prob, perturbed, inclusion): up to k rows per row of ``docs``."""
+    """``keep`` and (sample, ids, log_prob, perturbed, inclusion): up to k rows per row of ``docs``.
+
+    With ``verify`` also ``round_trip``: whether the ids decode to the text.
+    """
     rows = docs.select(*keep, F.xxhash64(key).alias("_key"), F.col("text").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
 
@@ -472,17 +503,25 @@ def sample(
             ends = np.cumsum([0, *(len(r[0]) for r in flat)]).astype(np.int32)
             ids = np.concatenate([r[0] for r in flat]).astype(np.int32)
             order = pa.array([j + 1 for rows in found for j in range(len(rows))], pa.int32())
-            yield pa.record_batch(
-                [
-                    *(c.take(which) for c in part.columns[: len(keep)]),
-                    order,
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)),
-                    *(pa.array([r[j] for r in flat], pa.float64()) for j in (1, 2, 3)),
-                ],
-                [*keep, "sample", "ids", "log_prob", "perturbed", "inclusion"],
-            )
+            columns = [
+                *(c.take(which) for c in part.columns[: len(keep)]),
+                order,
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)),
+                *(pa.array([r[j] for r in flat], pa.float64()) for j in (1, 2, 3)),
+            ]
+            if verify:
+                same = [
+                    decode_ids(r[0], v) == text
+                    for text, rows in zip(texts, found, strict=True)
+                    for r in rows
+                ]
+                columns.append(pa.array(same, pa.bool_()))
+            yield pa.record_batch(columns, names)
 
+    names = [*keep, "sample", "ids", "log_prob", "perturbed", "inclusion"]
     more = "sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
+    if verify:
+        names, more = [*names, "round_trip"], f"{more}, round_trip boolean"
     return rows.mapInArrow(run, f"{kinds}, {more}")
 
 

@@ -159,7 +159,7 @@ class WordEncoder:
     break begins a unit. At most ``LIMIT`` words are remembered.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 600_000
     RUN = 20_000
 
     def __init__(self, path: str):
@@ -347,6 +347,8 @@ def read_shard(
             raise ValueError(f"{path}: not a token file")
         n_docs, n_blocks, total, crc = struct.unpack("<qqqI", tail[: -len(MAGIC)])
         length = 17 * n_docs + 8 * n_blocks
+        if not 0 <= length <= size - _TAIL - len(MAGIC) or min(n_docs, n_blocks) < 0:
+            raise ValueError(f"{path}: damaged tail")
         footer = f.read_at(length, size - _TAIL - length)
         if zlib.crc32(footer) != crc:
             raise ValueError(f"{path}: damaged footer")
