@@ -5,7 +5,7 @@ from __future__ import annotations
 from lodeseek.catalog import queries as q
 from lodeseek.functions.tokens import STOPWORDS
 from lodeseek.operators import rank as r
-from lodeseek.operators.chunk import HEAD_LINES, MAX_CHUNK_CHARS
+from lodeseek.operators.chunk import MAX_CHUNK_CHARS
 from lodeseek.sources.tables import KINDS, LANGS, SOURCES
 
 NL = "chr(10)"
@@ -108,8 +108,8 @@ kept AS (SELECT path, start_line, end_line, content, 'section' AS kind,
                      ELSE coalesce(nullif(trim(regexp_replace(trim(title), '^#+', '')), ''),
                                    'section-' || start_line) END AS symbol
          FROM a WHERE filled > 0 AND NOT (headed AND filled = 1)),
-whole AS (SELECT path, 1 AS start_line, least(len({_lines('text')}), {HEAD_LINES}) AS end_line,
-                 array_to_string({_lines('text')}[:{HEAD_LINES}], {NL}) AS content,
+whole AS (SELECT path, 1 AS start_line, len({_lines('text')}) AS end_line,
+                 array_to_string({_lines('text')}, {NL}) AS content,
                  'module' AS kind, regexp_extract(path, '[^/]*$') AS symbol
           FROM {source}
           WHERE regexp_matches(text, '\\S') AND path NOT IN (SELECT path FROM kept)),
@@ -121,25 +121,27 @@ def _packed(cap: int, source: str = "p", out: str = "c") -> str:
     """CTEs from pieces to `c`: (path, symbol, kind, start_line, end_line, content)."""
     return f"""
 big AS (SELECT *, string_split(content, {NL}) AS ls FROM {source} WHERE length(content) > {cap}),
-lens AS (SELECT *, list_transform(ls, lambda x, i: length(x) + (i < len(ls))::INT) AS ns
+lens AS (SELECT *, flatten([[
+             {{'line': substr(ls[i], k * {cap} + 1, {cap}), 'i': i,
+               'ended': k = greatest(1, (length(ls[i]) + {cap} - 1) // {cap}) - 1 AND i < len(ls)}}
+             FOR k IN range(greatest(1, (length(ls[i]) + {cap} - 1) // {cap}))]
+             FOR i IN range(1, len(ls) + 1)]) AS us
          FROM big),
 fold AS (SELECT *, list_reduce(
             list_prepend({{'n': {cap} + 1, 'p': 0, 'ids': []::BIGINT[]}},
-                list_transform(ns, lambda x: {{'n': x::INT, 'p': 0, 'ids': []::BIGINT[]}})),
+                list_transform(us, lambda x: {{'n': length(x.line)::INT + x.ended::INT, 'p': 0,
+                                               'ids': []::BIGINT[]}})),
             lambda acc, x: CASE WHEN acc.n + x.n > {cap}
-                THEN {{'n': least(x.n, {cap} + 1), 'p': acc.p + 1,
-                       'ids': list_append(acc.ids, acc.p + 1)}}
+                THEN {{'n': x.n, 'p': acc.p + 1, 'ids': list_append(acc.ids, acc.p + 1)}}
                 ELSE {{'n': acc.n + x.n, 'p': acc.p,
                        'ids': list_append(acc.ids, acc.p)}} END).ids AS ids
          FROM lens),
-un AS (SELECT path, symbol, kind, start_line AS first, unnest(ls) AS line, unnest(ns) AS n,
-              unnest(ids) AS part, generate_subscripts(ls, 1) AS i FROM fold),
+un AS (SELECT path, symbol, kind, start_line AS first, unnest(us) AS u, unnest(ids) AS part,
+              generate_subscripts(us, 1) AS seq FROM fold),
 parts AS (SELECT path, symbol || ':part' || part AS symbol, kind,
-                 first + min(i) - 1 AS start_line, first + max(i) - 1 AS end_line,
-                 CASE WHEN max(n) > {cap}
-                      THEN rtrim(left(any_value(line) || {NL}, {cap}), {NL}) || {NL}
-                           || '# [line truncated, original ' || max(n) || ' chars]'
-                      ELSE rtrim(string_agg(line, {NL} ORDER BY i), {NL}) END AS content
+                 first + min(u.i) - 1 AS start_line, first + max(u.i) - 1 AS end_line,
+                 rtrim(string_agg(u.line || CASE WHEN u.ended THEN {NL} ELSE '' END, ''
+                                  ORDER BY seq), {NL}) AS content
           FROM un GROUP BY path, symbol, kind, first, part),
 {out} AS (SELECT path, symbol, kind, start_line, end_line, content FROM parts
       UNION ALL BY NAME
@@ -291,8 +293,16 @@ SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY path ORDER BY line) <
 ls AS (SELECT path, unnest({_lines('html')}) AS snippet,
               generate_subscripts({_lines('html')}, 1)::INT AS line FROM pg)
 SELECT path, line, snippet FROM ls
-WHERE regexp_matches(path, '(^|/)example\\.[^/]*/.')
+WHERE regexp_matches(path, '(^|/)[^/]*\\.example\\.com/.')
   AND regexp_matches(snippet, '{q.PAGE_PATTERN}')""",
+    "lexical_crlf": f"""WITH {DOCS},
+ls AS (SELECT path, unnest({_lines('text')}) AS snippet,
+              generate_subscripts({_lines('text')}, 1)::INT AS line FROM docs)
+SELECT path, line, snippet FROM ls WHERE regexp_matches(snippet, '[a-z]\\.$')""",
+    "chunk_coverage": f"""WITH {TEXTS}
+SELECT path, length(replace(text, {NL}, '')) AS chars,
+       length(replace(text, {NL}, ''))::HUGEINT::BIGINT AS kept_chars
+FROM t WHERE regexp_matches(text, '\\S')""",
     "structural_python": f"""WITH {PY_LINES}
 SELECT path, (3 * i + 5)::INT AS line, 'return ' || n AS snippet FROM fs""",
     "structural_rust": f"""WITH docs AS (
@@ -310,8 +320,7 @@ FROM a GROUP BY path""",
     SELECT path, {_lines("replace(text, '. ', '.' || chr(10))")} AS ls FROM (
         SELECT {DOC_PATH} AS path, text FROM documents))
 SELECT path, regexp_extract(path, '[^/]*$') AS symbol, 'module' AS kind, 1 AS start_line,
-       least(len(ls), {HEAD_LINES})::INT AS end_line,
-       array_to_string(ls[:{HEAD_LINES}], {NL}) AS content FROM t""",
+       len(ls)::INT AS end_line, array_to_string(ls, {NL}) AS content FROM t""",
     "pack_oversized": f"""WITH {DOCS},
 p AS (SELECT path, 'doc' AS symbol, 'section' AS kind, 5 AS start_line, 0 AS end_line,
              text AS content FROM docs WHERE length(text) > {q.PACK_CAP}),
@@ -352,7 +361,7 @@ SELECT path FROM docs WHERE NOT regexp_matches(path, '(^|/)src3/')
   AND NOT regexp_matches(path, '^src/[^/]*/1[^/]*\\.md$')
   AND NOT regexp_matches(path, '^src/src1[^/]/')""",
     "glob_pages": f"""WITH pg AS (SELECT {PAGE_PATH} AS path FROM pages)
-SELECT path, (regexp_matches(path, '(^|/)example\\.[^/]*/[a-e][^/]/')
+SELECT path, (regexp_matches(path, '(^|/)[^/]*\\.example\\.[^/]*/[a-e][^/]/')
        OR regexp_matches(path, '(^|/)[^/]*\\.net(/|$)'))
        AND NOT regexp_matches(path, '(^|/)9') AS hit FROM pg""",
     "lang_detect": f"""WITH docs AS (

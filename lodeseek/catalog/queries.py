@@ -12,12 +12,12 @@ from lodeseek.functions import text as tx
 from lodeseek.functions.globs import matches_globs, selected
 from lodeseek.functions.tokens import query_tokens, symbol_tokens
 from lodeseek.operators import merge
-from lodeseek.operators.chunk import chunk_texts, head_piece
+from lodeseek.operators.chunk import chunk_texts, whole_piece
 from lodeseek.operators.embed import embed_rows, skipped_rows
 from lodeseek.operators.lexical import lexical_search
 from lodeseek.operators.markdown import is_heading_only, numbered_sections
 from lodeseek.operators.pack import pack_piece
-from lodeseek.operators.rank import nearest, nearest_to_each, rerank
+from lodeseek.operators.rank import nearest, nearest_to_each, rerank, squared_l2
 from lodeseek.operators.structural import structural_search
 from lodeseek.plans.index import chunk_table, index_contents
 from lodeseek.plans.search import prefilter, semantic_search_each
@@ -33,7 +33,7 @@ QUERY_VECTOR = 7
 QUERY_TEXT = "the small ring of a red gear"
 WORD_PATTERN = r"(^| )(the|les?) [a-z]{9,}"
 PAGE_PATTERN = "<h[1-6]>"
-PAGE_GLOB = "**/example.*/**"
+PAGE_GLOB = "**/*.example.com/**"
 PACK_CAP = 400
 HASHED = EmbeddingConfig(provider="hash", dim=64)
 
@@ -100,9 +100,9 @@ def rerank_hits(spark, sf_dir):
 def rerank_all(spark, sf_dir):
     """The score of every chunk, not just of the nearest."""
     chunks = tb.vector_chunks(spark, sf_dir)
-    n = chunks.count()
+    distance = squared_l2(F.col("vector"), _query_vector(chunks))
     ranked = rerank(
-        nearest(chunks, _query_vector(chunks), n), query_tokens(F.lit(QUERY_TEXT))
+        chunks.withColumn("_distance", distance), query_tokens(F.lit(QUERY_TEXT))
     )
     return ranked.select("id", six("_rerank_score").alias("rerank_score"))
 
@@ -173,6 +173,15 @@ def lexical_pages(spark, sf_dir):
     return lexical_search(pages, PAGE_PATTERN, path_glob=PAGE_GLOB, lang="html", max_results=None)
 
 
+@query
+def lexical_crlf(spark, sf_dir):
+    """Line ends of texts whose lines end in a carriage return and a newline."""
+    texts = tb.document_texts(spark, sf_dir).withColumn(
+        "text", F.replace("text", F.lit("\n"), F.lit("\r\n"))
+    )
+    return lexical_search(texts, r"[a-z]\.$", max_results=None)
+
+
 @query
 def structural_python(spark, sf_dir):
     return structural_search(tb.python_sources(spark, sf_dir), "return $N", "python", None)
@@ -205,7 +214,7 @@ def heading_only_drop(spark, sf_dir):
     )
     return sections.groupBy("path").agg(
         F.count("*").alias("sections"),
-        F.count_if(is_heading_only(F.col("s.section"))).alias("heading_only"),
+        F.count_if(is_heading_only(F.col("s.text"))).alias("heading_only"),
     )
 
 
@@ -214,7 +223,7 @@ def whole_file_chunk(spark, sf_dir):
     sentence_lines = F.replace(F.col("text"), F.lit(". "), F.lit(".\n"))
     docs = tb.document_texts(spark, sf_dir)
     return docs.select("path", sentence_lines.alias("text")).select(
-        "path", F.inline(F.array(head_piece(F.col("path"), F.col("text"))))
+        "path", F.inline(F.array(whole_piece(F.col("path"), F.col("text"))))
     )
 
 
@@ -228,9 +237,23 @@ def pack_oversized(spark, sf_dir):
         F.col("text").alias("content"),
     )
     docs = tb.document_texts(spark, sf_dir).where(F.length("text") > PACK_CAP)
-    rare = tx.has_rare_breaks(F.col("text")).alias("rare")
-    return docs.select("path", piece.alias("p"), rare).select(
-        "path", F.inline(pack_piece(F.col("p"), F.col("rare"), PACK_CAP))
+    packed = pack_piece(F.col("p"), PACK_CAP).alias("parts")
+    return docs.select("path", piece.alias("p")).select("path", packed).select(
+        "path", F.inline("parts")
+    )
+
+
+@query
+def chunk_coverage(spark, sf_dir):
+    """Characters of each text and of its chunks, line breaks aside: only bare headings go."""
+    kept = chunk_texts(tb.document_texts(spark, sf_dir)).groupBy("path").agg(
+        F.sum(F.length(F.replace("content", F.lit("\n")))).alias("kept_chars")
+    )
+    return (
+        tb.document_texts(spark, sf_dir)
+        .select("path", F.length(F.replace("text", F.lit("\n"))).alias("chars"))
+        .join(kept, "path")
+        .select("path", F.col("chars").cast("long"), "kept_chars")
     )
 
 
@@ -273,7 +296,7 @@ def glob_filter(spark, sf_dir):
 @query
 def glob_pages(spark, sf_dir):
     pages = tb.page_texts(spark, sf_dir)
-    hit = matches_globs(F.col("path"), ["**/example.*/[a-e]?/**", "*.net", "!**/9*"])
+    hit = matches_globs(F.col("path"), ["**/*.example.*/[a-e]?/**", "*.net", "!**/9*"])
     return pages.select("path", hit.alias("hit"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # Query words that carry no meaning for symbol overlap.
 STOPWORDS = (
-    "the a an of for to in on and or is are with by at as be this that".split()
+    "the", "a", "an", "of", "for", "to", "in", "on", "and", "or",
+    "is", "are", "with", "by", "at", "as", "be", "this", "that",
 )
 # The shapes of a lower-case word and of a camel-case part.
 WORD = "[a-z0-9]+"

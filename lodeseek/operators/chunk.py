@@ -13,19 +13,16 @@ from lodeseek.operators.pack import pack_piece
 from lodeseek.schemas import CHUNK_COLUMNS, PIECE_SCHEMA
 
 MAX_CHUNK_CHARS = 2500
-# Fixed value: leading lines that stand for a file without any symbol.
-HEAD_LINES = 200
 
-
-def head_piece(path: Column, text: Column) -> Column:
-    """The leading lines of a file as one module piece named after the file."""
-    head = F.substring_index(tx.drop_last_break(tx.unify_breaks(text)), "\n", HEAD_LINES)
+def whole_piece(path: Column, text: Column) -> Column:
+    """A whole file as one module piece named after the file."""
+    whole = tx.drop_last_break(tx.unify_breaks(text))
     return F.struct(
         tx.file_name(path).alias("symbol"),
         F.lit("module").alias("kind"),
         F.lit(1).alias("start_line"),
-        (tx.newline_count(head) + 1).alias("end_line"),
-        head.alias("content"),
+        (tx.newline_count(whole) + 1).alias("end_line"),
+        whole.alias("content"),
     ).cast(PIECE_SCHEMA)
 
 
@@ -45,18 +42,17 @@ def chunk_texts(
         "lang",
         "text",
         *keep,
-        F.when(lang == "markdown", markdown_pieces(path, text))
+        F.when(lang == "markdown", markdown_pieces(path, F.when(lang == "markdown", text)))
         .otherwise(code_pieces(lang, code_text))
         .alias("pieces"),
     )
-    whole = F.array(head_piece(path, text))
+    whole = F.array(whole_piece(path, text))
     pieces = F.when(F.size("pieces") > 0, F.col("pieces")).otherwise(whole)
-    rare = tx.has_rare_breaks(F.col("piece.content")).alias("rare")
-    packed = pack_piece(F.col("piece"), F.col("rare"), max_chunk_chars)
+    packed = pack_piece(F.col("piece"), max_chunk_chars)
     parts = (
         cut.select("path", "lang", *keep, F.explode(pieces).alias("piece"))
-        .select("*", rare)
-        .select("path", "lang", *keep, F.explode(packed).alias("c"))
+        .select("path", "lang", *keep, packed.alias("parts"))
+        .select("path", "lang", *keep, F.explode("parts").alias("c"))
         .select("path", "lang", *keep, "c.*")
     )
     return parts.withColumn("content_hash", content_hash(F.col("content"))).select(

@@ -79,15 +79,32 @@ def _builtin_spans(lang: str, text: str) -> list[Span]:
     return python_spans(text) if lang == "python" else brace_spans(lang, text)
 
 
+def _place(span: Span) -> tuple[int, int]:
+    return span[2], -span[3]
+
+
+def _between(text: str, spans: list[Span]) -> Iterator[Span]:
+    """Spans of what no declaration covers, from its first visible character to its last."""
+    at = 0
+    for start, end in [*((s[2], s[3]) for s in spans), (len(text), len(text))]:
+        gap = text[at:start]
+        if gap.strip():
+            lead = len(gap) - len(gap.lstrip())
+            yield "", "module", at + lead, at + lead + len(gap.strip())
+        at = max(at, end)
+
+
 def pieces_of(lang: str, text: str, find: Callable[[str, str], Iterable[Span]]) -> list[dict]:
-    """Pieces in document order, one per (symbol, start line), the widest kept."""
+    """Pieces in document order: one per span, and `module` pieces of the text between them."""
     try:
-        spans = sorted(find(lang, text), key=lambda s: (s[2], -s[3]))
+        spans = sorted(set(find(lang, text)), key=_place)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
+    if not spans:
+        return []
     pieces: dict[tuple[str, int], dict] = {}
     line, seen = 1, 0
-    for symbol, kind, start, end in spans:
+    for symbol, kind, start, end in sorted([*spans, *_between(text, spans)], key=_place):
         content = text[start:end]
         if not content.strip():
             continue
@@ -95,17 +112,18 @@ def pieces_of(lang: str, text: str, find: Callable[[str, str], Iterable[Span]])
             continue
         line += text.count("\n", seen, start)
         seen = start
-        name = symbol or f"anon@{line}"
-        pieces.setdefault(
-            (name, line),
-            {
-                "symbol": name,
-                "kind": kind,
-                "start_line": line,
-                "end_line": line + content.count("\n"),
-                "content": content,
-            },
-        )
+        own = symbol or f"{'module' if kind == 'module' else 'anon'}@{line}"
+        # Rows are named by symbol and line; a second one of both gets a name of its own.
+        name, n = own, 2
+        while (name, line) in pieces:
+            name, n = f"{own}#{n}", n + 1
+        pieces[name, line] = {
+            "symbol": name,
+            "kind": kind,
+            "start_line": line,
+            "end_line": line + content.count("\n"),
+            "content": content,
+        }
     return list(pieces.values())
 
 

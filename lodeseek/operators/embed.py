@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import http.client
 import json
+import math
 import re
 import urllib.error
 import urllib.request
@@ -59,14 +61,19 @@ class HttpProvider:
         )
         with urllib.request.urlopen(request, timeout=self._cfg.timeout_seconds) as reply:
             try:
-                return json.loads(reply.read())
-            except ValueError as e:
+                answer = json.loads(reply.read())
+            except (ValueError, http.client.HTTPException) as e:
                 raise _Malformed(f"reply is not JSON: {e}") from e
+            if not isinstance(answer, dict):
+                raise _Malformed(f"reply is no object but {type(answer).__name__}")
+            return answer
 
     def _checked(self, vector, text: str) -> list[float]:
         if not isinstance(vector, list) or len(vector) != self.dim:
             got = len(vector) if isinstance(vector, list) else "no vector"
             raise _Malformed(f"vector length {got}, expected {self.dim} ({len(text)} chars)")
+        if not all(isinstance(x, (int, float)) and math.isfinite(x) for x in vector):
+            raise _Malformed(f"vector holds what is no finite number ({len(text)} chars)")
         return vector
 
     def _batch(self, texts: list[str]) -> list[Embedded]:
@@ -84,7 +91,7 @@ class HttpProvider:
             return Embedded(None, f"http_{e.code}: {detail!r}")
         except _Malformed as e:
             return Embedded(None, f"protocol: {e}")
-        except OSError as e:
+        except (OSError, http.client.HTTPException) as e:
             return Embedded(None, f"transport: {e!r}")
 
     def embed(self, texts: list[str]) -> list[Embedded]:
@@ -97,7 +104,7 @@ class HttpProvider:
                     continue
             except urllib.error.HTTPError as e:
                 self._has_batches = e.code != 404
-            except (_Malformed, OSError):
+            except (_Malformed, OSError, http.client.HTTPException):
                 pass
             # One bad text must not cost its neighbours their vectors.
             out += [self._single(t) for t in batch]

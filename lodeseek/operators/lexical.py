@@ -39,10 +39,14 @@ def matching_lines(texts: DataFrame, pattern: str, per_file: int | None = None)
     """(path, line, snippet) of every match in a (path, text) table, unordered."""
     # Most texts match nowhere; one scan of the whole text drops them before
     # they are cut into lines.
+    # They are searched as they are shown, without carriage returns at line ends.
+    text = F.when(
+        F.contains("text", F.lit("\r")), F.regexp_replace("text", r"\r+(?=\n|\z)", "")
+    ).otherwise(F.col("text"))
     if re.fullmatch(r"[\w ]+", pattern):
         texts = texts.where(F.contains(F.col("text"), F.lit(pattern)))
     elif not _LINE_BOUND.search(pattern):
-        texts = texts.where(F.col("text").rlike(f"(?m{_FLAGS}){pattern}"))
+        texts = texts.where(text.rlike(f"(?m{_FLAGS}){pattern}"))
     return texts.select(
         "path", F.inline(line_matches(F.col("text"), pattern, per_file))
     ).select("path", F.col("line").cast("int"), "snippet")

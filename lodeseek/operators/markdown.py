@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as tx
+from lodeseek.functions.lines import numbered_pieces
 from lodeseek.schemas import PIECE_SCHEMA
 
 _LINE = r"[^\n]*\n"
@@ -45,23 +46,8 @@ def section_title(section: Column, start_line: Column, stem: Column) -> Column:
 
 
 def numbered_sections(text: Column) -> Column:
-    """Array of (section, start_line, lines)."""
-
-    def add(acc: Column, section: Column) -> Column:
-        lines = tx.newline_count(section)
-        item = F.struct(
-            section.alias("section"), acc["line"].alias("start_line"), lines.alias("lines")
-        )
-        return F.struct(
-            (acc["line"] + lines).cast("int").alias("line"),
-            F.concat(acc["done"], F.array(item)).alias("done"),
-        )
-
-    start = F.struct(
-        F.lit(1).alias("line"),
-        F.array().cast("array<struct<section:string,start_line:int,lines:int>>").alias("done"),
-    )
-    return F.aggregate(raw_sections(text), start, add, lambda acc: acc["done"])
+    """Array of (text, start_line, end_line) of the sections."""
+    return numbered_pieces(raw_sections(text), F.lit(1))
 
 
 def is_heading_only(section: Column) -> Column:
@@ -75,16 +61,16 @@ def markdown_pieces(path: Column, text: Column) -> Column:
     """Array of section pieces; heading-only and blank sections are left out."""
     kept = F.filter(
         numbered_sections(text),
-        lambda s: ~is_heading_only(s["section"]) & ~tx.is_blank(s["section"]),
+        lambda s: ~is_heading_only(s["text"]) & ~tx.is_blank(s["text"]),
     )
     stem = tx.file_stem(path)
     return F.transform(
         kept,
         lambda s: F.struct(
-            section_title(s["section"], s["start_line"], stem).alias("symbol"),
+            section_title(s["text"], s["start_line"], stem).alias("symbol"),
             F.lit("section").alias("kind"),
             s["start_line"].alias("start_line"),
-            (s["start_line"] + s["lines"] - 1).alias("end_line"),
-            tx.drop_last_break(s["section"]).alias("content"),
+            s["end_line"].alias("end_line"),
+            tx.drop_last_break(s["text"]).alias("content"),
         ).cast(PIECE_SCHEMA),
     )

@@ -6,23 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as tx
+from lodeseek.functions.lines import numbered_pieces
 from lodeseek.schemas import PIECE_SCHEMA
 
-# Fixed format: what follows a line that was cut at the cap.
-CUT_NOTE = "\n# [line truncated, original %d chars]"
-
-
 def part_pattern(cap: int) -> str:
-    """One greedy part: as many whole lines as fit, else one overlong line.
+    """One greedy part: as many whole lines as fit, else the next `cap` characters of a line.
 
     Quantified up to `cap` code points and forced to stop behind a line break,
     the first branch backs off to the last break that fits, which is what
     filling a buffer line by line arrives at. It needs no state across lines,
-    so the split stays one JVM expression.
+    so the split stays one JVM expression. An overlong line is cut and goes on
+    in the next part; a break right behind a cut stays with the cut.
     """
     fits = rf".{{1,{cap}}}(?:(?<=[{tx.LONE_BREAKS}])|(?<=\r)(?!\n)|\z)"
-    overlong = rf"[^{tx.BREAK_CHARS}]*+(?:{tx.LINE_BREAK})|[^{tx.BREAK_CHARS}]++"
-    return f"(?s){fits}|{overlong}"
+    overlong = rf"[^{tx.BREAK_CHARS}]{{1,{cap}}}+(?:{tx.LINE_BREAK})?"
+    return f"(?s){fits}|{overlong}|{tx.LINE_BREAK}"
 
 
 def split_parts(content: Column, cap: int) -> Column:
@@ -39,53 +37,21 @@ def _strip_newlines(text: Column) -> Column:
     )
 
 
-def part_content(part: Column, cap: int) -> Column:
-    """Text of a part: no trailing newlines, an overlong line cut and marked."""
-    cut = _strip_newlines(F.substring(part, 1, cap))
-    return F.when(
-        F.length(part) > cap, F.concat(cut, F.format_string(CUT_NOTE, F.length(part)))
-    ).otherwise(_strip_newlines(part))
-
-
-def pack_piece(piece: Column, rare: Column, cap: int) -> Column:
-    """Array of one piece as it is, or of its numbered parts where it exceeds the cap.
-
-    `rare` tells whether the piece has line breaks other than newlines. Pass a
-    column, not an expression: it is asked for again for every part.
-    """
-    content = piece["content"]
+def pack_piece(piece: Column, cap: int) -> Column:
+    """Array of one piece as it is, or of its numbered parts where it exceeds the cap."""
     if cap <= 0:
-        return F.when(F.length(content) > cap, F.array().cast(_pieces())).otherwise(F.array(piece))
-
-    def measured(part: Column) -> Column:
-        # Without carriage returns and the like, counting newlines is enough.
-        plain = tx.newline_count(part) + F.when(part.endswith("\n"), 0).otherwise(1)
-        lines = F.when(rare, tx.line_count(part)).otherwise(plain)
-        return F.struct(part.alias("text"), lines.alias("lines"))
+        raise ValueError(f"a part needs room for characters, not {cap}")
+    content = piece["content"]
+    over = F.length(content) > cap
+    parts = numbered_pieces(F.when(over, split_parts(content, cap)), piece["start_line"])
 
-    def add(acc: Column, part: Column) -> Column:
-        done = acc["done"]
-        item = F.struct(
-            F.concat(
-                piece["symbol"], F.lit(":part"), (F.size(done) + 1).cast("string")
-            ).alias("symbol"),
+    def part(p: Column, i: Column) -> Column:
+        return F.struct(
+            F.concat(piece["symbol"], F.lit(":part"), (i + 1).cast("string")).alias("symbol"),
             piece["kind"].alias("kind"),
-            acc["line"].alias("start_line"),
-            (acc["line"] + part["lines"] - 1).alias("end_line"),
-            part_content(part["text"], cap).alias("content"),
+            p["start_line"].alias("start_line"),
+            p["end_line"].alias("end_line"),
+            _strip_newlines(p["text"]).alias("content"),
         ).cast(PIECE_SCHEMA)
-        return F.struct(
-            (acc["line"] + part["lines"]).cast("int").alias("line"),
-            F.concat(done, F.array(item)).alias("done"),
-        )
-
-    start = F.struct(
-        piece["start_line"].cast("int").alias("line"), F.array().cast(_pieces()).alias("done")
-    )
-    parts = F.transform(split_parts(content, cap), measured)
-    packed = F.aggregate(parts, start, add, lambda acc: acc["done"])
-    return F.when(F.length(content) > cap, packed).otherwise(F.array(piece))
-
 
-def _pieces() -> str:
-    return f"array<{PIECE_SCHEMA.simpleString()}>"
+    return F.when(over, F.transform(parts, part)).otherwise(F.array(piece))

@@ -34,8 +34,10 @@ def _matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     rows = np.flatnonzero(lengths == dim)
     usable = vectors if len(rows) == len(vectors) else vectors.take(pa.array(rows))
-    flat = usable.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return rows, flat.reshape(-1, dim)
+    m = usable.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    # A component that is null or not a number leaves its vector without a distance.
+    sound = np.isfinite(m).all(1)
+    return (rows, m) if sound.all() else (np.asarray(rows)[sound], m[sound])
 
 
 def squared_l2(vector: Column, query: list[float]) -> Column:

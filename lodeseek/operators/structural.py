@@ -101,10 +101,18 @@ def _match_items(patterns: list, nodes: list, found: dict) -> bool:
             found.update(trial)
             return True
         return False
+    # Unnamed placeholders bind nothing, so nothing of what they skip needs to be kept.
+    free = many in ("", "_")
+    if len(patterns) == 1:
+        held = [] if free else [ast.dump(x) if isinstance(x, ast.AST) else x for x in nodes]
+        return _bind(many, held, found)
+    shown: list = []
     for n in range(len(nodes) + 1):
         trial = dict(found)
-        held = [ast.dump(x) if isinstance(x, ast.AST) else x for x in nodes[:n]]
-        if _bind(many, held, trial) and _match_items(patterns[1:], nodes[n:], trial):
+        if n and not free:
+            last = nodes[n - 1]
+            shown.append(ast.dump(last) if isinstance(last, ast.AST) else last)
+        if _bind(many, list(shown), trial) and _match_items(patterns[1:], nodes[n:], trial):
             found.update(trial)
             return True
     return False
@@ -118,7 +126,8 @@ def python_hits(pattern: list[ast.AST], text: str) -> list[dict]:
             tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
-    lines = text.splitlines()
+    # The parser ends lines at \n, \r\n and \r only.
+    lines = re.split(r"\r\n|[\r\n]", text)
     hits = []
     for node in ast.walk(tree):
         if len(pattern) == 1:

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CHANGED = (
-    ("diff", "--name-only", "-z", "{since}..HEAD"),
-    ("diff", "--name-only", "-z"),
-    ("diff", "--name-only", "-z", "--cached"),
+    ("diff", "--relative", "--name-only", "-z", "{since}..HEAD"),
+    ("diff", "--relative", "--name-only", "-z"),
+    ("diff", "--relative", "--name-only", "-z", "--cached"),
     ("ls-files", "--others", "--exclude-standard", "-z"),
 )
 

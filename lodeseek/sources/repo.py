@@ -62,7 +62,8 @@ class _TreeReader(DataSourceReader):
         try:
             with os.scandir(os.path.join(self._root, rel)) as found:
                 return list(found)
-        except OSError:
+        except (FileNotFoundError, NotADirectoryError):
+            # Gone since its name was read; any other fault must not look like deletions.
             return []
 
     def partitions(self) -> Sequence[InputPartition]:
@@ -105,7 +106,7 @@ class _TreeReader(DataSourceReader):
                     if not e.is_file():
                         continue
                     stat = e.stat()
-                except OSError:
+                except FileNotFoundError:
                     continue
                 yield path, stat.st_size, stat.st_mtime
 
@@ -169,7 +170,7 @@ def read_contents(files: DataFrame, root: str | Path, max_bytes: int | None = No
                 try:
                     with open(os.path.join(base, path), "rb") as f:
                         content = f.read()
-                except OSError:
+                except FileNotFoundError:
                     continue
                 rows.append({"path": path, "size": len(content), "content": content})
                 held += len(content)

@@ -1,10 +1,11 @@
 import hashlib
+import time
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodeseek.functions.text import has_rare_breaks
 from lodeseek.operators.chunk import chunk_files, chunk_texts
 from lodeseek.operators.code import code_pieces
 from lodeseek.operators.pack import pack_piece
@@ -19,11 +20,14 @@ def chunks(spark, path, lang, text, cap=2500):
 def packed(spark, texts, cap):
     rows = [(i, ("s", "k", 10, 0, t)) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, f"i int, p {PIECE_SCHEMA.simpleString()}")
-    df = df.select("i", "p", has_rare_breaks(F.col("p.content")).alias("rare"))
-    out = df.select("i", F.posexplode(pack_piece(F.col("p"), F.col("rare"), cap)).alias("n", "c"))
+    parts = df.select("i", pack_piece(F.col("p"), cap).alias("parts"))
+    out = parts.select("i", F.posexplode("parts").alias("n", "c"))
     return {(r["i"], r["n"]): r["c"] for r in out.collect()}
 
 
+BREAKS = "\n\r\x0b"
+
+
 def buffered(text, cap):
     """Line-by-line buffering: (content, start, end) of every part."""
     parts, buf, at = [], [], 10
@@ -36,10 +40,13 @@ def buffered(text, cap):
     for line in text.splitlines(keepends=True):
         if len(line) > cap:
             flush()
-            note = f"\n# [line truncated, original {len(line)} chars]"
-            parts.append((line[:cap].rstrip("\n") + note, at, at))
-            at += 1
-            continue
+            while len(line) > cap and len(line.rstrip(BREAKS)) > cap:
+                parts.append((line[:cap], at, at))
+                line = line[cap:]
+            if len(line) > cap:
+                parts.append((line.rstrip("\n"), at, at))
+                at += 1
+                continue
         if buf and sum(map(len, buf)) + len(line) > cap:
             flush()
         buf.append(line)
@@ -70,8 +77,18 @@ def test_parts_agree_with_buffering(spark, texts, cap):
         assert [p["symbol"] for p in mine] == [f"s:part{n + 1}" for n in range(len(mine))]
 
 
-def test_no_positive_cap_gives_no_parts(spark):
-    assert packed(spark, ["abc"], 0) == {}
+def test_a_cap_must_be_positive(spark):
+    with pytest.raises(ValueError, match="room"):
+        packed(spark, ["abc"], 0)
+
+
+def test_time_is_linear_in_sections(spark):
+    text = "# a\nb\n" * 100_000
+    df = spark.createDataFrame([("m.md", "markdown", text)], "path string, lang string, text string")
+    start = time.monotonic()
+    got = chunk_texts(df).agg(F.count("*"), F.max("end_line")).first()
+    assert tuple(got) == (100_000, 200_000)
+    assert time.monotonic() - start < 60
 
 
 def test_markdown_sections(spark):
@@ -154,7 +171,7 @@ class Calc:
 
 
 def test_python_chunks(spark):
-    got = chunks(spark, "m.py", "python", PYTHON)
+    got = [r for r in chunks(spark, "m.py", "python", PYTHON) if r["kind"] != "module"]
     assert [(r["symbol"], r["kind"], r["start_line"], r["end_line"]) for r in got] == [
         ("add", "function", 3, 4),
         ("Calc", "class", 7, 10),
@@ -169,7 +186,7 @@ def test_unparseable_and_flat_modules_fall_back(spark):
     flat = "\n".join(f"x{i} = {i}" for i in range(800))
     got = chunks(spark, "pkg/flat.py", "python", flat, cap=400)
     assert all(r["symbol"].startswith("flat.py:part") and len(r["content"]) <= 400 for r in got)
-    assert max(r["end_line"] for r in got) == 200
+    assert max(r["end_line"] for r in got) == 800
     for bad in ("def broken(:\n  pass", "x = 1\x00", "def f():\n\tif 1:\n        pass"):
         (row,) = chunks(spark, "bad.py", "python", bad)
         assert (row["symbol"], row["kind"], row["content"]) == ("bad.py", "module", bad)
@@ -180,10 +197,20 @@ def test_unknown_language_falls_back(spark):
     assert (row["symbol"], row["kind"], row["end_line"]) == ("a.c", "module", 2)
 
 
-def test_two_hundredth_line_may_be_blank(spark):
+def test_no_line_of_a_whole_file_is_lost(spark):
     text = "\n".join(["x"] * 199 + ["", "y", "z"])
     (row,) = chunks(spark, "a.c", "c", text)
-    assert (row["content"], row["end_line"]) == ("x\n" * 199, 200)
+    assert (row["content"], row["end_line"]) == (text, 202)
+
+
+def test_text_between_declarations_is_kept(spark):
+    text = "import os\n\nLIMIT = 3\ndef f():\n    pass\nprint(LIMIT)\n"
+    got = [(r["symbol"], r["kind"], r["content"]) for r in chunks(spark, "m.py", "python", text)]
+    assert got == [
+        ("module@1", "module", "import os\n\nLIMIT = 3"),
+        ("f", "function", "def f():\n    pass"),
+        ("module@6", "module", "print(LIMIT)"),
+    ]
 
 
 def test_giant_function_is_split(spark):
@@ -208,13 +235,15 @@ def test_files_are_filtered_and_decoded(spark):
         ("none.py", 0, None),
     ]
     df = spark.createDataFrame(rows, "path string, size bigint, content binary")
-    assert sorted(r["symbol"] for r in chunk_files(df, 50).collect()) == ["f", "h"]
+    got = sorted((r["symbol"], r["content"]) for r in chunk_files(df, 50).collect())
+    assert got == [("f", "def f(): pass"), ("h", "def h(): pass"), ("module@1", "# \ufffd")]
 
 
 def test_another_parser_can_be_plugged_in(spark):
     df = spark.createDataFrame([("x", "abcdef")], "lang string, text string")
     piece = code_pieces(F.col("lang"), F.col("text"), lambda lang, text: [("n", "class", 1, 4)])
-    assert df.select(piece).first()[0][0]["content"] == "bcd"
+    got = [(p["symbol"], p["content"]) for p in df.select(piece).first()[0]]
+    assert got == [("module@1", "a"), ("n", "bcd"), ("module@1#2", "ef")]
 
 
 def test_chunk_plan_has_no_shuffle(spark):
