@@ -212,9 +212,9 @@ def fit(entries: DataFrame, k: int, seed: int = 17) -> Index:
         yield pa.record_batch([pa.array(at), pa.array(n[at])], ["code", "n"])
 
     counted = entries.select("vector").mapInArrow(count, "code long, n long")
-    found = counted.groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
-    index.codes = found["code"].to_numpy(dtype=np.int64)
-    index.blocks = -(-found["n"].to_numpy(dtype=np.int64) // BLOCK)
+    found = counted.groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
+    index.codes = found["code"].to_numpy()
+    index.blocks = -(-found["n"].to_numpy() // BLOCK)
     index.cells = max(1, -(-TABLES * total // CELL))
     return index
 

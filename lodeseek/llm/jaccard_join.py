@@ -99,10 +99,10 @@ def frequency_classes(docs: DataFrame, width: int) -> np.ndarray:
     rows = (
         counted.groupBy("counter")
         .agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("c"))
-        .toPandas()
+        .toArrow()
     )
     classes = np.zeros(1 << SKETCH_BITS, np.uint8)
-    classes[rows["counter"].to_numpy(dtype=np.int64)] = rows["c"].to_numpy(dtype=np.int64)
+    classes[rows["counter"].to_numpy()] = rows["c"].to_numpy()
     return classes
 
 

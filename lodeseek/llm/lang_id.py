@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,11 +142,11 @@ def learn(docs: DataFrame, bits: int = BITS) -> Model:
     counted = known.mapInArrow(
         lambda batches: count_ngrams(batches, bits), "lang string, bucket int, n long"
     )
-    rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(rows["lang"].unique())
+    rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(rows["lang"].unique().to_pylist())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; the matrix is made for {MAX_LANGUAGES}")
-    column = rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64)
+    column = pc.index_in(rows["lang"], pa.array(languages, pa.string())).to_numpy()
     bucket, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
     counts = np.zeros(((1 << bits) + 1, len(languages)))
     gram = bucket >= 0
