@@ -220,6 +220,25 @@ SELECT item_id AS query_id, path, symbol, start_line::INT AS start_line,
 FROM scored QUALIFY rank <= 5"""
 
 
+STORED_SEARCH = f"""WITH {TEXTS}, {_markdown_pieces()}, {_packed(MAX_CHUNK_CHARS)},
+ci AS (SELECT *, left(sha256(path || '::' || symbol || '::' || start_line), 32) AS id FROM c
+       WHERE starts_with(path, 'src/src1')),
+qs AS (SELECT 0 AS item_id, '{q.QUERY_TEXT}' AS text),
+{_hashed('ci', 'id', 'content', 'e')},
+{_hashed('qs', 'item_id', 'text', 'b')},
+en AS (SELECT id, sum(x * x) AS xx FROM e GROUP BY id),
+dots AS (SELECT id, sum(e.x * b.x) AS xy FROM e JOIN b USING (slot) GROUP BY id),
+bn AS (SELECT sum(x * x) AS bb FROM b),
+dist AS (SELECT id, xx + bb - 2 * coalesce(xy, 0) AS distance
+         FROM en CROSS JOIN bn LEFT JOIN dots USING (id)),
+near AS (SELECT * FROM dist ORDER BY round(distance, 9), id LIMIT 30),
+scored AS (SELECT *, {_rerank(QUERY_TOKENS)} AS total FROM near JOIN ci USING (id))
+SELECT path, symbol, kind, 'markdown' AS lang, start_line::INT AS start_line,
+       end_line::INT AS end_line, content, round(distance, 6) AS score,
+       round(total, 6) AS rerank_score
+FROM scored ORDER BY round(total, 9), round(distance, 9), id LIMIT 10"""
+
+
 # -- line search ------------------------------------------------------------------------
 
 LINE_HITS = f"""{DOCS},
@@ -278,6 +297,8 @@ FROM scored ORDER BY score, scored.distance, id LIMIT 20""",
     "rerank_all": f"""WITH {VECTORS}
 SELECT id, round({_rerank(QUERY_TOKENS)}, 6) AS rerank_score FROM d""",
     "semantic_search": SEMANTIC,
+    "stored_search": STORED_SEARCH,
+    "stored_search_each": SEMANTIC,
     "symbol_token_sets": f"""WITH s AS (
     SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '),
         lambda w: upper(left(w, 1)) || lower(substr(w, 2))), 'string_agg', '')

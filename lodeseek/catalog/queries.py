@@ -21,6 +21,7 @@ from lodeseek.operators.rank import nearest, nearest_to_each, rerank, squared_l2
 from lodeseek.operators.structural import structural_search
 from lodeseek.plans.index import chunk_table, index_contents
 from lodeseek.plans.search import prefilter, semantic_search_each
+from lodeseek.plans.search import semantic_search as search_stored
 from lodeseek.plans.store import ChunkTable
 from lodeseek.sources import tables as tb
 from lodeseek.sources.git import union_changes
@@ -116,7 +117,10 @@ def semantic_search(spark, sf_dir):
     rows = chunks.where(F.col("vector").isNotNull()).select(
         "id", "path", "symbol", "kind", "start_line", "vector"
     )
-    rows = saved(rows, work_path(spark, "chunks"))
+    return _five_best(spark, sf_dir, saved(rows, work_path(spark, "chunks")))
+
+
+def _five_best(spark, sf_dir, rows: DataFrame) -> DataFrame:
     queries = tb.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
@@ -153,7 +157,7 @@ def query_token_sets(spark, sf_dir):
 
 @query
 def lexical_top(spark, sf_dir):
-    return lexical_search(tb.document_texts(spark, sf_dir), WORD_PATTERN)
+    return lexical_search(tb.document_texts(spark, sf_dir), WORD_PATTERN, max_results=50)
 
 
 @query
@@ -458,6 +462,23 @@ def index_run(spark, sf_dir):
     )
 
 
+@query
+def stored_search(spark, sf_dir):
+    """One text against the stored chunks below a path, with all that a hit shows."""
+    cfg, _ = first_index(spark, sf_dir, "stored-search")
+    hits = search_stored(spark, cfg, QUERY_TEXT, lang="markdown", path_prefix="src/src1")
+    return hits.withColumns({"score": six("score"), "rerank_score": six("rerank_score")})
+
+
+@query
+def stored_search_each(spark, sf_dir):
+    """Every benchmark text against the stored chunks."""
+    cfg, _ = first_index(spark, sf_dir, "stored-each")
+    rows = chunk_table(spark, cfg).rows()
+    rows = rows.select("id", "path", "symbol", "kind", "start_line", "vector")
+    return _five_best(spark, sf_dir, rows)
+
+
 @query
 def index_update(spark, sf_dir):
     """The table after labelled documents were indexed again."""

@@ -57,7 +57,7 @@ def lexical_search(
     pattern: str,
     path_glob: str | None = None,
     lang: str | None = None,
-    max_results: int | None = 50,
+    max_results: int | None = None,
     per_file: int | None = None,
 ) -> DataFrame:
     """Matching lines in (path, line) order, at most `max_results` of them.

@@ -181,7 +181,7 @@ def structural_matches(text: Column, pattern: str, lang: str) -> Column:
 
 
 def structural_search(
-    texts: DataFrame, pattern: str, lang: str, max_results: int | None = 50
+    texts: DataFrame, pattern: str, lang: str, max_results: int | None = None
 ) -> DataFrame:
     """(path, line, snippet) of syntax matches in a (path, lang, text) table.
 

@@ -45,15 +45,22 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+# A scan of up to this many bytes may be dealt out anew; larger ones never are.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """Rows of a scan dealt out evenly where it has fewer splits than there are cores.
+    """Rows of a small scan dealt out evenly over the cores.
 
-    A few large row groups would leave most cores idle in the CPU-bound stage
-    that follows. A scan with a split per core is passed on as it is, so large
-    inputs are never shuffled for this.
+    A few row groups would leave most cores idle in the CPU-bound stage that
+    follows. The planner's estimate of the scan's size decides, without running
+    anything; a scan of more than ``SPREAD_BYTES`` is passed on as it is and never
+    shuffled for this.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores * 2)
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BYTES:
+        return scan
+    return scan.repartition(2 * scan.sparkSession.sparkContext.defaultParallelism)
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:

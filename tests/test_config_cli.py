@@ -64,9 +64,10 @@ def test_index_and_searches(spark, project, capsys):
     save_config(cfg)
     target = ["--target", cfg.target]
     assert cli.main(["index", *target, "--prune"]) == 0
-    assert "indexed files=1 chunks=1 embedded=1 pruned=0" in capsys.readouterr().out
+    shown = capsys.readouterr().out
+    assert "vectors made: 1\n" in shown and "paths pruned: 0\n" in shown
     assert cli.main(["search", "alpha", *target, "--no-rerank"]) == 0
-    assert "-> 1 hits (rerank=off)\n  a.py:1-2  alpha (function)" in capsys.readouterr().out
+    assert "1. function alpha, a.py, lines 1 to 2, score " in capsys.readouterr().out
     assert cli.main(["lexical", "beta", *target]) == 0
     assert "a.py:2:    return beta(1)" in capsys.readouterr().out
     assert cli.main(["structural", "beta($X)", "--lang", "python", *target]) == 0

@@ -77,7 +77,7 @@ def test_index_search_prune(spark, project):
     assert {r["lang"] for r in raw} == {"python"} and raw[0]["rerank_score"] is None
     below = se.semantic_search(spark, cfg, "foo", path_prefix="src/l").collect()
     assert {r["path"] for r in below} == {"src/l.rs"}
-    assert se.render_hits(spark, cfg, "transfer fee", 2).startswith("'transfer fee' -> 2 hits\n  README.md:3-4  Fees")
+    assert se.render_hits(spark, cfg, "transfer fee", 2).startswith("1. section Fees, README.md, lines 3 to 4, score ")
     assert "non-empty" in se.render_hits(spark, cfg, "  ")
     with pytest.raises(ValueError, match="non-empty"):
         se.semantic_search(spark, cfg, " \n")
@@ -90,7 +90,7 @@ def test_index_search_prune(spark, project):
 def test_search_without_a_table(spark, project):
     cfg = project({})
     assert se.semantic_search(spark, cfg, "x").collect() == []
-    assert se.render_hits(spark, cfg, "x") == "(no results)"
+    assert se.render_hits(spark, cfg, "x") == "Nothing found."
 
 
 def test_live_file_search(spark, project):
@@ -187,7 +187,7 @@ def test_modules_and_digests(spark, project):
     cfg = project(TREE | {".lodeseek/digests/src.md": "about src"})
     assert se.modules(cfg) == ["src", "vendor"]
     assert se.digest(cfg, "src") == "about src"
-    assert se.digest(cfg, "none") == "(no digest at .lodeseek/digests/none.md)"
+    assert se.digest(cfg, "none") .endswith("write one to .lodeseek/digests/none.md.")
     for bad in ("../x", "a/b", "", ".."):
         with pytest.raises(ValueError):
             se.digest(cfg, bad)
