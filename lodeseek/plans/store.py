@@ -14,6 +14,7 @@ leaves files that no record refers to. There must be one writer at a time.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -165,21 +166,23 @@ class ChunkTable:
         """Commit `rows` as the whole content of the touched buckets."""
         if not touched:
             return 0
-        commit, n = self._next_commit(), self.buckets
+        # Files get a folder of their own: of two writers that began with the same state, the
+        # second fails at its record and leaves the files of the first alone.
+        commit, n, gen = self._next_commit(), self.buckets, uuid.uuid4().int >> 65
         out = rows.select(*STORED_COLUMNS).withColumn("bucket", path_bucket(F.col("path"), n))
         # Rows are brought together by bucket for few, large files; adaptive
         # execution splits a bucket that a hot path makes too large for a task.
         (
             out.hint("rebalance", "bucket")
             .sortWithinPartitions("bucket", "path", "start_line")
-            .write.mode("overwrite")
+            .write.mode("errorifexists")
             .partitionBy("bucket")
-            .parquet(f"{self.path}/data/gen={commit}")
+            .parquet(f"{self.path}/data/gen={gen}")
         )
         written = (
             self.spark.read.schema(_FILE_SCHEMA)
             .option("basePath", f"{self.path}/data")
-            .parquet(f"{self.path}/data/gen={commit}")
+            .parquet(f"{self.path}/data/gen={gen}")
             .groupBy("bucket")
             .count()
         )
@@ -187,7 +190,7 @@ class ChunkTable:
         strays = set(counts) - set(touched)
         if strays:
             raise ValueError(f"rows outside of the touched buckets: {sorted(strays)[:5]}")
-        self._record(commit, [(b, commit, counts.get(b, 0)) for b in touched])
+        self._record(commit, [(b, gen, counts.get(b, 0)) for b in touched])
         return sum(counts.values())
 
     def _record(self, commit: int, entries: list[tuple[int, int, int]]) -> None:

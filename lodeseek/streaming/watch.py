@@ -52,15 +52,33 @@ def listing_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def states(spark: SparkSession, state_path: str) -> list[int]:
+    """Steps of the complete listings that are kept, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(state_path)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for entry in fs.listStatus(path) if fs.exists(path) else []:
+        name = entry.getPath().getName()
+        done = spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
+        if name.startswith("step=") and fs.exists(done):
+            found.append(int(name[5:]))
+    return sorted(found)
+
+
 def record_changes(
     spark: SparkSession, cfg: Config, log_path: str, state_path: str, step: int
 ) -> DataFrame:
-    """List the tree, append its changes to the log, keep the listing as state N."""
+    """List the tree, append its changes to the log, keep the listing as state N.
+
+    Changes count from the oldest state that is there. It goes once they are in the
+    log, so what a stopped run had not logged is logged by the next one.
+    """
+    older = [n for n in states(spark, state_path) if n < step]
     listing = discover_files(spark, cfg)
     listing.write.mode("overwrite").parquet(f"{state_path}/step={step}")
     after = spark.read.schema(FILE_SCHEMA).parquet(f"{state_path}/step={step}")
-    if step:
-        before = spark.read.schema(FILE_SCHEMA).parquet(f"{state_path}/step={step - 1}")
+    if older:
+        before = spark.read.schema(FILE_SCHEMA).parquet(f"{state_path}/step={older[0]}")
     else:
         before = spark.createDataFrame([], FILE_SCHEMA)
     changes = listing_changes(before, after).select(
@@ -70,7 +88,9 @@ def record_changes(
         F.lit(step).cast("bigint").alias("seq"),
     )
     changes.write.mode("append").json(log_path)
-    return changes
+    for n in older:
+        discard(spark, f"{state_path}/step={n}")
+    return spark.read.schema(CHANGE_SCHEMA).json(log_path).where(F.col("seq") == step)
 
 
 def apply_changes(spark: SparkSession, cfg: Config, changes: DataFrame) -> None:
@@ -87,7 +107,8 @@ def apply_changes(spark: SparkSession, cfg: Config, changes: DataFrame) -> None:
         latest = saved(latest_changes(ours), f"{work}/latest")
         live = latest.where(F.col("change") != "deleted")
         contents = read_contents(live, cfg.target)
-        index_contents(spark, cfg, latest, contents, work=f"{work}/run")
+        # A restart or a touched file asks for no vector again where the content is the same.
+        index_contents(spark, cfg, latest, contents, use_cache=True, work=f"{work}/run")
     finally:
         discard(spark, work)
 
@@ -113,12 +134,17 @@ def watch_changes(
 
 
 def watch(spark: SparkSession, cfg: Config, work: str, rounds: int | None = None) -> None:
-    """Poll the tree and follow its changes until interrupted."""
-    step = 0
+    """Poll the tree and follow its changes until interrupted.
+
+    A run goes on from the state that an earlier one in the same folder left, so files
+    that went while none ran are reported and unchanged ones are not. Polling lists the
+    whole tree; where a change log exists, feed ``watch_changes`` with it instead.
+    """
+    first = step = max(states(spark, f"{work}/state"), default=-1) + 1
     record_changes(spark, cfg, f"{work}/log", f"{work}/state", step)
     query = watch_changes(spark, cfg, f"{work}/log", f"{work}/checkpoint")
     try:
-        while rounds is None or step < rounds:
+        while rounds is None or step < first + rounds:
             time.sleep(DEBOUNCE_SECONDS)
             step += 1
             record_changes(spark, cfg, f"{work}/log", f"{work}/state", step)

@@ -92,3 +92,30 @@ def test_watch_stops_after_its_rounds(spark, project, tmp_path_factory, monkeypa
     cfg = project({"a.py": "def a(): pass"})
     wt.watch(spark, cfg, str(tmp_path_factory.mktemp("w")), rounds=1)
     assert paths(spark, cfg) == ["a.py"] and not spark.streams.active
+
+
+def test_a_restart_goes_on_from_the_last_state(spark, project, tmp_path_factory, monkeypatch):
+    monkeypatch.setattr(wt, "DEBOUNCE_SECONDS", 0.2)
+    cfg = project({"a.py": "def a(): pass", "b.py": "def b(): pass"})
+    work = str(tmp_path_factory.mktemp("w"))
+    wt.watch(spark, cfg, work, rounds=1)
+    assert paths(spark, cfg) == ["a.py", "b.py"]
+    (Path(cfg.target) / "a.py").unlink()
+    wt.watch(spark, cfg, work, rounds=0)
+    assert paths(spark, cfg) == ["b.py"]
+    log = spark.read.schema(wt.CHANGE_SCHEMA).json(f"{work}/log")
+    assert sorted((r["change"], r["path"]) for r in log.collect()) == [
+        ("added", "a.py"), ("added", "b.py"), ("deleted", "a.py"),
+    ]
+    assert len(wt.states(spark, f"{work}/state")) == 1
+
+
+def test_changes_that_were_not_logged_are_logged_by_the_next_run(spark, project, tmp_path_factory):
+    cfg = project({"a.py": "def a(): pass"})
+    work = str(tmp_path_factory.mktemp("w"))
+    wt.record_changes(spark, cfg, f"{work}/log", f"{work}/state", 0)
+    (Path(cfg.target) / "b.py").write_text("def b(): pass")
+    # The listing was kept, but the run ended before the log had its changes.
+    wt.discover_files(spark, cfg).write.parquet(f"{work}/state/step=1")
+    again = wt.record_changes(spark, cfg, f"{work}/log", f"{work}/state", 2)
+    assert [(r["change"], r["path"]) for r in again.collect()] == [("added", "b.py")]
