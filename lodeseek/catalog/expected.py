@@ -436,6 +436,9 @@ LEFT JOIN e ON e.path = paths.path AND e.slot = slots.slot""",
 SELECT path, 'page' AS symbol, 'html' AS lang, 1 AS start_line, 1 AS end_line,
        length(content)::INT AS chars, 'protocol: no words to embed' AS reason
 FROM rs WHERE NOT regexp_matches(lower(content), '[a-z0-9]')""",
+    "decoded_invalid": f"""
+SELECT {DOC_PATH} AS path, sha256(text || chr(65533) || '-' || chr(65533)) AS digest
+FROM documents""",
     "index_run": f"""WITH {TEXTS}, {_markdown_pieces()}, {_packed(MAX_CHUNK_CHARS)}
 SELECT {CHUNK_ID} AS id, path, symbol, start_line::INT AS start_line, end_line::INT AS end_line,
        sha256(content) AS content_hash FROM c WHERE {HAS_WORDS}""",
@@ -465,3 +468,4 @@ SELECT CASE WHEN i.path IS NULL THEN 'deleted' ELSE 'modified' END AS change, s.
 FROM stored s LEFT JOIN incoming i ON s.path = i.path
 WHERE i.path IS NULL OR strlen(i.content) <> strlen(s.content)""",
 }
+EXPECTED["skip_log_file"] = EXPECTED["skip_log"]

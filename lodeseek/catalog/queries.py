@@ -19,7 +19,7 @@ from lodeseek.operators.markdown import is_heading_only, numbered_sections
 from lodeseek.operators.pack import pack_piece
 from lodeseek.operators.rank import nearest, nearest_to_each, rerank, squared_l2
 from lodeseek.operators.structural import structural_search
-from lodeseek.plans.index import chunk_table, index_contents
+from lodeseek.plans.index import chunk_table, index_contents, write_skip_log
 from lodeseek.plans.search import prefilter, semantic_search_each
 from lodeseek.plans.search import semantic_search as search_stored
 from lodeseek.plans.store import ChunkTable
@@ -282,6 +282,14 @@ def _chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
+@query
+def decoded_invalid(spark, sf_dir):
+    """Texts with bytes behind them that are no UTF-8."""
+    docs = tb.document_texts(spark, sf_dir)
+    broken = F.concat(F.col("text").cast("binary"), F.lit(bytearray(b"\xff-\xc3")))
+    return docs.select("path", F.sha2(tx.decode_utf8(broken), 256).alias("digest"))
+
+
 @query
 def chunk_ids(spark, sf_dir):
     return tb.stored_documents(spark, sf_dir).select("path", "id", "content_hash")
@@ -422,8 +430,21 @@ def embed_stage(spark, sf_dir):
 @query
 def skip_log(spark, sf_dir):
     """Chunks of the pages' link texts; those without a word cannot be embedded."""
+    return skipped_rows(embed_rows(_link_chunks(spark, sf_dir), HASHED))
+
+
+@query
+def skip_log_file(spark, sf_dir):
+    """The same, written as a log of JSON lines and read back."""
+    path = work_path(spark, "skip-log")
+    run = embed_rows(_link_chunks(spark, sf_dir), HASHED)
+    write_skip_log(run, path)
+    return spark.read.schema(skipped_rows(run).schema).json(path)
+
+
+def _link_chunks(spark, sf_dir) -> DataFrame:
     digits = F.regexp_replace("html", "[a-zA-Z0-9]+", "")
-    rows = tb.table(spark, sf_dir, "pages").select(
+    return tb.table(spark, sf_dir, "pages").select(
         F.col("url").alias("path"),
         F.lit("page").alias("symbol"),
         F.lit("html").alias("lang"),
@@ -431,7 +452,6 @@ def skip_log(spark, sf_dir):
         F.lit(1).alias("end_line"),
         F.when(F.contains("url", F.lit("#")), digits).otherwise(F.col("html")).alias("content"),
     )
-    return skipped_rows(embed_rows(rows, HASHED))
 
 
 # -- index runs on a real table -----------------------------------------------------
