@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm.common import attach, mix64
@@ -57,25 +57,23 @@ def _id():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
 
 
-def half_keys(lines: DataFrame) -> DataFrame:
-    """Each line of ``LEAST`` characters or more with the keys of its halves.
+def half_keys() -> list[Column]:
+    """(size, side, half) structs of a ``line`` of ``n`` characters: the keys of its halves.
 
     ``size`` is the length of the shorter line of a pair: a line stands for itself as
     the shorter or equal one, and for one character less as the longer one.
     """
-    long = lines.where(F.length("line") >= LEAST).withColumn("n", F.length("line"))
-    sized = long.withColumn("size", F.explode(F.array("n", F.col("n") - 1))).where(
-        F.col("size") >= LEAST
-    )
-    first = F.expr("substring(line, 1, size div 2)")
-    second = F.expr("substring(line, n - (size - size div 2) + 1, size - size div 2)")
-    keys = F.array(
-        F.struct(F.lit(0).alias("side"), F.xxhash64(F.lit(0), "size", first).alias("half")),
-        F.struct(F.lit(1).alias("side"), F.xxhash64(F.lit(1), "size", second).alias("half")),
-    )
-    return sized.withColumn("key", F.explode(keys)).select(
-        "name", "line", "n", "size", "key.side", "key.half"
-    )
+    keys = []
+    for less in (0, 1):
+        size = f"(n - {less})"
+        first = F.expr(f"substring(line, 1, {size} div 2)")
+        second = F.expr(f"substring(line, n - ({size} - {size} div 2) + 1, {size} - {size} div 2)")
+        for side, part in ((0, first), (1, second)):
+            half = F.xxhash64(F.lit(side), F.expr(size), part)
+            keys.append(
+                F.struct(F.expr(size).alias("size"), F.lit(side).alias("side"), half.alias("half"))
+            )
+    return keys
 
 
 @functools.lru_cache(maxsize=4)
@@ -133,16 +131,21 @@ def neighbour_keys(candidates: DataFrame) -> DataFrame:
 
 def near_lines(lines: DataFrame, firsts: DataFrame, folder: str) -> DataFrame:
     """(name): distinct lines with an earlier line at distance 1."""
-    keyed = half_keys(lines.select(F.unhex(F.md5("line")).alias("name"), "line"))
+    long = lines.select("line", F.length("line").alias("n")).where(F.col("n") >= LEAST)
+    # A hash tells different lines of one half apart; lines themselves are not copied.
+    halves = F.array(*(k["half"] for k in half_keys()))
+    slim = long.select(F.xxhash64("line").alias("own"), F.explode(halves).alias("half"))
     shared = saved(
-        keyed.groupBy("half")
-        .agg(F.min("name").alias("low"), F.max("name").alias("high"))
+        slim.groupBy("half")
+        .agg(F.min("own").alias("low"), F.max("own").alias("high"))
         .where("low <> high")
         .select("half"),
         f"{folder}/halves",
     )
     candidates = saved(
-        keyed.join(shared, "half")
+        long.select("line", F.inline(F.array(*half_keys())))
+        .join(shared, "half")
+        .select(F.unhex(F.md5("line")).alias("name"), "half", "side", "size", "line")
         .groupBy("name", "half", "side", "size")
         .agg(F.first("line").alias("line")),
         f"{folder}/candidates",
@@ -229,13 +232,14 @@ def dedup_lines(docs: DataFrame, folder: str, drop_empty: bool = False) -> DataF
         gone.withColumnRenamed("removed", "_line_gone"), ["_line_id", "_line_mark"], "left"
     )
     lines = F.split("text", "\n", -1)
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+    numbers = F.sequence(F.lit(0), F.size("_line_all") - 1)
     kept = F.transform(
         F.array_except(numbers, F.col("_line_gone")), lambda i: F.get(F.col("_line_all"), i)
     )
     rest = F.array_join(kept, "\n")
     text = F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(rest)
-    out = joined.withColumn("_line_all", lines).withColumn("_line_text", text)
+    touched = F.when(F.col("_line_gone").isNotNull(), lines)
+    out = joined.withColumn("_line_all", touched).withColumn("_line_text", text)
     if drop_empty:
         out = out.where(F.col("_line_gone").isNull() | F.col("_line_text").rlike(_VISIBLE.replace("^", r"^\n")))
     columns = [
