@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 HOT_SHARE = 1024
 
 
@@ -24,6 +26,8 @@ def slices(
     text and not the number of rows of a batch.
     """
     for batch in batches:
+        # What earlier slices, batches and tasks of this worker freed goes back to the system.
+        release()
         ends = np.cumsum(_lengths(batch.column(batch.schema.get_field_index(text))))
         start = 0
         while start < batch.num_rows:
@@ -34,6 +38,15 @@ def slices(
             start = stop
 
 
+def release() -> None:
+    """Hand freed memory back, where the C library can: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def _lengths(column: pa.Array) -> np.ndarray:
     lengths = pc.binary_length(column).fill_null(0)
     return lengths.to_numpy(zero_copy_only=False).astype(np.int64)

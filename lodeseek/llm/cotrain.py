@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import slices, strings
+from lodeseek.llm.common import release, slices, strings
 from lodeseek.llm.lang_id import buckets
 
 BITS = 10
 SIZES = (1, 2, 3)
-LABELLED = 6000
-POOL = 4000
+LABELLED = 4000
+POOL = 3000
 ROUNDS = 4
 PER_ROUND = 200
 SURE = 0.9
@@ -266,15 +266,14 @@ def _collect(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
                 ["doc_id", "tag", "t", "m"],
             )
 
-    rows = viewed(docs).mapInArrow(run, "doc_id long, tag int, t binary, m binary").collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    one = lambda k: np.array([np.frombuffer(r[k], np.float32) for r in rows])
-    width = (1 << BITS) + _MEASURES, (1 << _META_BITS) + 34
-    return (
-        one("t").reshape(len(rows), width[0]),
-        one("m").reshape(len(rows), width[1]),
-        [(r["doc_id"], r["tag"]) for r in rows],
-    )
+    rows = viewed(docs).mapInArrow(run, "doc_id long, tag int, t binary, m binary").toArrow()
+    rows = rows.sort_by("doc_id")
+
+    def matrix(name: str, width: int) -> np.ndarray:
+        return np.frombuffer(b"".join(rows[name].to_pylist()), np.float32).reshape(-1, width)
+
+    tags = list(zip(rows["doc_id"].to_pylist(), rows["tag"].to_pylist(), strict=True))
+    return matrix("t", (1 << BITS) + _MEASURES), matrix("m", (1 << _META_BITS) + 34), tags
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
@@ -312,10 +311,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model |
     tag = np.array([t for _, t in tags], np.int64)
     fold = np.array([hash_fold(d) for d, _ in tags], np.int64)
     have = tag >= 0
-    return train(
+    model = train(
         text[have], meta[have], tag[have].astype(np.float64), fold[have] == 0,
         text[~have], meta[~have],
     )
+    release()
+    return model
 
 
 def hash_fold(doc_id: int) -> int:

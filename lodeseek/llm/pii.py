@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import slices, strings
+from lodeseek.llm.common import release, slices, strings
 
 KINDS = ("email", "ip", "card", "phone")
 # The base rules.
@@ -480,10 +480,12 @@ def learn(docs: DataFrame) -> Params | None:
     )
     if not any(any(r["t"]) for r in rows):
         return None
-    return train(
+    params = train(
         np.array([list(r["w"]) for r in rows], np.int64),
         np.array([list(r["t"]) for r in rows], np.int64),
     )
+    release()
+    return params
 
 
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int,score:double,base:boolean>>"

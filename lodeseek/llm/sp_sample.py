@@ -47,7 +47,7 @@ from lodeseek.llm.common import mix64, slices
 from lodeseek.llm.runs import gather
 
 SAMPLES = 2
-SLICE = 2_500_000
+SLICE = 1_000_000
 BLANK = "▁"
 _END = 0x1FFFFF
 _MARKS = ("\x00", "\x01", "\x02", "￿")
@@ -273,13 +273,13 @@ def walk(lattice: Lattice, place: np.ndarray, seed: np.ndarray) -> tuple[np.ndar
     taken: list[tuple[np.ndarray, np.ndarray]] = []
     while len(live):
         edge = _pick(lattice, at, _uniform(own))
-        taken.append((live, edge))
+        taken.append((live.astype(np.int32), edge.astype(np.int32)))
         count[live] += 1
         at = lattice.end[edge]
         more = lattice.distance[at] > 0
         live, at, own = live[more], at[more], own[more] + _STEP
     starts = np.cumsum(count) - count
-    out = np.empty(int(count.sum()), np.int64)
+    out = np.empty(int(count.sum()), np.int32)
     for step, (who, edge) in enumerate(taken):
         out[starts[who] + step] = edge
     return out, count
@@ -402,7 +402,7 @@ def _finish(lattice: Lattice, texts: list[Text], turn: int, offsets: list, k: in
     for text, count in zip(texts, offsets, strict=True):
         value, prefix, new, t = text.branch
         n = count.pop()
-        path = np.concatenate((prefix, [new], edges[sums[at] : sums[at + n]]))
+        path = np.concatenate((prefix, np.array([new], np.int32), edges[sums[at] : sums[at + n]]))
         at += n
         _open(lattice, text, path, t + 1, value, turn, k)
 
