@@ -16,7 +16,8 @@ it is at distance 1 from any document, inside every window. See the README.)
 
 *Bounds.* Counting a set's shingles in ``CLASSES`` hash classes maps it to a vector
 whose L1 distances never exceed |x \ y| + |y \ x|, and saturated counts keep that.
-These 128 bytes rule out nearly all chance meetings without a set being moved.
+These 128 bytes, 2 KB for long texts, rule out nearly all chance meetings without a
+set being moved.
 
 *Inner regions.* In each region the most central node is the pivot p: the one that
 enters by most frequent shingles, as an original does that its copies alter. Regions
@@ -59,7 +60,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import attach, mix64, slices
+from lodeseek.llm.common import attach, mix64, release, slices
 from lodeseek.llm.components import components
 from lodeseek.llm.shingles import shingles
 from lodeseek.workspace import saved
@@ -69,8 +70,9 @@ ROUNDS = 2
 LEAF = 256
 RING = 4
 CLASSES = 128
+LONG = 2048
+LONG_CLASSES = 2048
 _SLICE = 2_000_000
-_CLASS = np.uint64(CLASSES - 1)
 _NODE_KEY = np.uint64(0xA0761D6478BD642F)
 
 
@@ -103,9 +105,18 @@ def frequency_classes(docs: DataFrame, width: int) -> np.ndarray:
     )
     classes = np.zeros(1 << SKETCH_BITS, np.uint8)
     classes[rows["counter"].to_numpy()] = rows["c"].to_numpy()
+    del rows
+    release()
     return classes
 
 
+def _class_counts(own: np.ndarray) -> bytes:
+    """Numbers of a set's shingles by their lowest bits, saturated; long sets have more classes."""
+    classes = CLASSES if len(own) <= LONG else LONG_CLASSES
+    per = np.bincount((own & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+    return np.minimum(per, 255).astype(np.uint8).tobytes()
+
+
 def _sets(part: pa.Array, width: int) -> Iterator[tuple[np.ndarray, int]]:
     """The sorted set of each text, and its node."""
     h, borders = shingles(part, width)
@@ -132,8 +143,7 @@ def name_sets(docs: DataFrame, classes: np.ndarray, width: int, percent: int) ->
                 n = len(own)
                 sizes.append(n)
                 nodes.append(node)
-                per = np.bincount((own & _CLASS).astype(np.int64), minlength=CLASSES)
-                counts.append(np.minimum(per, 255).astype(np.uint8).tobytes())
+                counts.append(_class_counts(own))
                 take = spare(n, percent) + 1 if n else 0
                 order = rank[(own >> shift).astype(np.int64)]
                 if order.any():
@@ -196,8 +206,31 @@ def _gap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(1, dtype=np.int64)
 
 
-def _counts(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CLASSES)
+def _counts(raw: list[bytes]) -> np.ndarray:
+    """Rows of class counts, those of more classes folded to the fewest that any has."""
+    width = min(map(len, raw), default=CLASSES)
+    rows = [np.frombuffer(r, np.uint8) for r in raw]
+    return np.array(
+        [
+            r if len(r) == width
+            else np.minimum(r.reshape(-1, width).sum(0, dtype=np.int64), 255).astype(np.uint8)
+            for r in rows
+        ],
+        np.uint8,
+    ).reshape(len(raw), width)
+
+
+def _gaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """L1 distances of pairs of class counts, each pair at the fewer classes of the two."""
+    out = np.empty(len(left), np.int64)
+    short = np.array([len(a) == len(b) == CLASSES for a, b in zip(left, right, strict=True)], bool)
+    at = np.flatnonzero(short)
+    if len(at):
+        out[at] = _gap(_counts([left[i] for i in at]), _counts([right[i] for i in at]))
+    for i in np.flatnonzero(~short):
+        pair = _counts([left[i], right[i]])
+        out[i] = _gap(pair[:1], pair[1:])[0]
+    return out
 
 
 def _possible(gap: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
@@ -212,7 +245,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int, path: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            gap = _gap(_counts(batch.column(4)), _counts(batch.column(5)))
+            gap = _gaps(batch.column(4).to_pylist(), batch.column(5).to_pylist())
             yield pa.record_batch(
                 [
                     batch.column(0),
@@ -285,11 +318,12 @@ def close_pairs(
     )
 
     def compare(
-        ids: np.ndarray, part: np.ndarray, n: np.ndarray, counts: np.ndarray
+        ids: np.ndarray, part: np.ndarray, n: np.ndarray, raw: list[bytes]
     ) -> list[tuple[int, int]]:
         found = []
         if (part == part[0]).all():
             return found
+        counts = _counts(raw)
         for i in range(len(ids) - 1):
             size = n[i + 1 :]
             fit = np.flatnonzero(
@@ -306,12 +340,12 @@ def close_pairs(
         def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
             cells = table["cell"].to_numpy()
             ids, n, part = (table[c].to_numpy() for c in ("node", "n", "part"))
-            counts = _counts(table["counts"])
+            raw = table["counts"].to_pylist()
             cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1), len(cells)]
             pairs = {
                 pair
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True)
-                for pair in compare(ids[a:b], part[a:b], n[a:b], counts[a:b])
+                for pair in compare(ids[a:b], part[a:b], n[a:b], raw[a:b])
             }
             if names_only:
                 rows = [[x for x in {x for pair in pairs for x in pair}]]

@@ -123,3 +123,17 @@ def test_components(spark):
     assert got == want
     empty = spark.createDataFrame([], "u long, v long")
     assert components(empty, work_path(spark, "cc")).collect() == []
+
+
+def test_bounds_never_exceed_the_difference(monkeypatch):
+    monkeypatch.setattr(jj, "LONG", 300)
+    monkeypatch.setattr(jj, "LONG_CLASSES", 512)
+    rng = np.random.default_rng(9)
+    pool = rng.integers(1, 1 << 63, 900, dtype=np.uint64)
+    for n, m in [(290, 310), (310, 330), (10, 12), (1, 900), (300, 301)]:
+        for _ in range(20):
+            x, y = (np.unique(rng.choice(pool, k, replace=False)) for k in (n, m))
+            apart = len(np.setxor1d(x, y))
+            (gap,) = jj._gaps([jj._class_counts(x)], [jj._class_counts(y)])
+            assert abs(n - m) <= gap <= apart
+        assert jj._gaps([jj._class_counts(x)], [jj._class_counts(x)])[0] == 0
