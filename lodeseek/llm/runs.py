@@ -12,5 +12,7 @@ def gather(
     size = np.diff(starts)[which]
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
-    flat = np.repeat(starts[which] - (ends - size), size) + np.arange(total)
+    kind = np.int32 if max(total, int(starts[-1])) < 1 << 31 else np.int64
+    flat = np.repeat((starts[which] - (ends - size)).astype(kind), size)
+    flat += np.arange(total, dtype=kind)
     return values[flat], np.concatenate(([0], ends))

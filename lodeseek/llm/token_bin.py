@@ -45,12 +45,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodeseek.llm.common import file_system, slices
+from lodeseek.llm.runs import gather
 from lodeseek.workspace import saved
 
 MAGIC = b"S8BTOK01"
 BLOCK = 4096
 END_ID = 2
-ENCODE_BYTES = 6_000_000
+ENCODE_BYTES = 12_000_000
 # Bits per id of selectors 1 to 15; each word holds 60 // bits of them.
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 COUNTS = 60 // BITS
@@ -238,7 +239,7 @@ class WordEncoder:
         units = np.zeros((len(words), 2), np.int64)
         units[:, 0] = place[coded.indices.to_numpy()]
         units[at, 1] = [suffix[e] for e in ends]
-        ids, starts = _gather(self.ids, self.starts, units.ravel())
+        ids, starts = gather(self.ids, self.starts, units.ravel())
         return ids, starts[::2]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -260,7 +261,7 @@ class WordEncoder:
         coded = flat.dictionary_encode()
         word_ids, word_starts = self._words(coded.dictionary)
         which = coded.indices.to_numpy()
-        ids, starts = _gather(word_ids, word_starts, which)
+        ids, starts = gather(word_ids, word_starts, which)
         skip = np.diff(word_starts)[which[borders[:-1]]]
         lows, highs = starts[borders[:-1]] + skip, starts[borders[1:]]
         for i, first, lo, hi in zip(at, lead, lows, highs, strict=True):
@@ -268,17 +269,6 @@ class WordEncoder:
         return out
 
 
-def _gather(
-    values: np.ndarray, starts: np.ndarray, which: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """The runs ``which`` of ``values`` one after another, and where each begins (and the end)."""
-    size = np.diff(starts)[which]
-    ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
-    flat = np.repeat(starts[which] - (ends - size), size) + np.arange(total)
-    return values[flat], np.concatenate(([0], ends))
-
-
 @functools.cache
 def encoder_of(path: str) -> WordEncoder:
     """A worker's encoder; one process encodes one task at a time, so threads would only wait."""
