@@ -444,7 +444,7 @@ def beyond(
 
 
 def linked_nodes(
-    docs: DataFrame, named: DataFrame, folder: str, width: int, percent: int
+    docs: DataFrame, named: DataFrame, folder: str, width: int, percent: int, rounds: int
 ) -> DataFrame:
     """Links (u, v) that join all nodes of a component; ``named`` is from ``name_sets``."""
     nodes = saved(
@@ -516,7 +516,7 @@ def linked_nodes(
     sets = saved(sets_of(docs, wanted, width), f"{folder}/sets")
     live = regions(central.join(wanted.select("node"), "node"))
     links = []
-    for step in range(ROUNDS):
+    for step in range(rounds):
         at = f"{folder}/round{step}"
         members, total = stars(live, at)
         if not total:
@@ -551,7 +551,9 @@ def linked_nodes(
     return functools.reduce(DataFrame.union, links)
 
 
-def jaccard_groups(docs: DataFrame, folder: str, width: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_groups(
+    docs: DataFrame, folder: str, width: int = 5, percent: int = 80, rounds: int = ROUNDS
+) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of (doc_id, text).
 
     Texts link where 100 * |intersection| >= percent * |union| of their sets of
@@ -559,7 +561,7 @@ def jaccard_groups(docs: DataFrame, folder: str, width: int = 5, percent: int =
     """
     classes = frequency_classes(docs, width)
     named = saved(name_sets(docs, classes, width, percent), f"{folder}/named")
-    links = linked_nodes(docs, named, folder, width, percent)
+    links = linked_nodes(docs, named, folder, width, percent, rounds)
     roots = components(links, f"{folder}/components")
     nodes = named.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("low"), F.count("*").alias("copies")
@@ -593,14 +595,14 @@ def jaccard_groups(docs: DataFrame, folder: str, width: int = 5, percent: int =
 
 
 def representatives(
-    docs: DataFrame, folder: str, width: int = 5, percent: int = 80
+    docs: DataFrame, folder: str, width: int = 5, percent: int = 80, rounds: int = ROUNDS
 ) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id is the smallest of their component.
 
     Rows without id, and texts without words, stay. An id that stands on several rows
     is one document: its rows go when one of them does.
     """
-    groups = jaccard_groups(docs.select("doc_id", "text"), folder, width, percent)
+    groups = jaccard_groups(docs.select("doc_id", "text"), folder, width, percent, rounds)
     gone = saved(
         groups.where(F.col("component_id") < F.col("doc_id"))
         .select(F.col("doc_id").alias("_copy_id"))

@@ -69,7 +69,6 @@ def near(text, edits, rng):
 @pytest.mark.parametrize("width, percent, leaf, rounds", [(3, 90, 256, 2), (5, 80, 4, 1), (2, 50, 3, 0), (3, 90, 2, 2)])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, width, percent, leaf, rounds):
     monkeypatch.setattr(jj, "LEAF", leaf)
-    monkeypatch.setattr(jj, "ROUNDS", rounds)
     texts = []
     for text, rng in corpus(width * percent, 60):
         texts.append(text)
@@ -82,7 +81,7 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, width, percent, l
     rows += [(9000, None), (9001, ""), (9002, " \t\n"), (9003, "One"), (9004, "oNE"), (None, base), rows[3]]
     rows += [(9005, "Ä ä"), (9006, "ä ä"), (9007, " ".join(f"q{i}" for i in range(30_000)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS n").repartition(6)
-    got = [tuple(r) for r in jj.jaccard_groups(docs, work_path(spark, "jj"), width, percent).collect()]
+    got = [tuple(r) for r in jj.jaccard_groups(docs, work_path(spark, "jj"), width, percent, rounds).collect()]
     assert sorted(got, key=str) == sorted(plain(rows, width, percent), key=str)
 
 
