@@ -4,8 +4,10 @@ Rules give base spans of four kinds. A network of two character LSTMs, one per
 direction, scores tags (outside, and begin/inside of each kind), and a CRF's
 transitions turn the scores into paths. It is trained in numpy on the driver from
 the rule-labelled windows of a bounded sample (``TRAIN_DOCS`` documents,
-``TRAIN_WINDOWS`` windows), part of them with blanks put around the at sign, a
-spelling that the rules miss.
+``TRAIN_WINDOWS`` windows). Windows with blanks put around the at sign, a spelling
+that the rules miss, are added; up to ``TRAIN_SPACED`` places are theirs before
+others, so their number does not fall as the input grows. Within both kinds a hash
+of text and window decides, so all parts of a text are drawn alike.
 
 Decoding is one map over all texts. Windows of ``WIDTH`` characters lie every
 ``WIDTH // 2``, so that a span of half a window is whole in some window. A span
@@ -51,6 +53,7 @@ EMBED = 12
 TAGS = 1 + 2 * len(KINDS)
 TRAIN_DOCS = 1000
 TRAIN_WINDOWS = 1500
+TRAIN_SPACED = 500
 EPOCHS = 25
 BATCH = 64
 RATE = 0.02
@@ -432,11 +435,13 @@ def spans_of(texts: list[str], p: Params | None) -> list[list[tuple[str, int, in
 # -- Spark --------------------------------------------------------------------
 
 
-def labelled_windows(text: str, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Windows of a text with the rules' tags, some with a spaced at sign."""
+def labelled_windows(
+    text: str, rng: np.random.Generator
+) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Windows of a text with the rules' tags, and whether one has a spaced at sign."""
     spans = base_spans(text)
     for start in window_starts(text):
-        yield cut(text, [start])[0], tags_of(spans, start)
+        yield cut(text, [start])[0], tags_of(spans, start), False
     for kind, a, b in spans:
         if kind == "email" and rng.random() < 0.5:
             left, _, right = text[a:b].partition("@")
@@ -446,7 +451,7 @@ def labelled_windows(text: str, rng: np.random.Generator) -> Iterator[tuple[np.n
             span = [("email", a - start, a - start + len(spaced))]
             near = [(k, x - start, y - start) for k, x, y in spans if y <= a]
             near += [(k, x - start + 2, y - start + 2) for k, x, y in spans if x >= b]
-            yield cut(changed[:WIDTH], [0])[0], tags_of(span + near, 0)
+            yield cut(changed[:WIDTH], [0])[0], tags_of(span + near, 0), True
 
 
 def learn(docs: DataFrame) -> Params | None:
@@ -464,20 +469,25 @@ def learn(docs: DataFrame) -> Params | None:
             rows = []
             for at, text in zip(part.column(0).to_pylist(), strings(part), strict=True):
                 rng = np.random.default_rng(abs(at))
-                for k, (w, t) in enumerate(labelled_windows(text, rng)):
-                    rows.append((at, k, w.astype(np.uint8).tobytes(), t.astype(np.uint8).tobytes()))
+                for k, (w, t, spaced) in enumerate(labelled_windows(text, rng)):
+                    w, t = (x.astype(np.uint8).tobytes() for x in (w, t))
+                    rows.append((at, k, w, t, spaced))
             if rows:
-                names = ["at", "k", "w", "t"]
+                names = ["at", "k", "w", "t", "spaced"]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
 
     # Documents of equal text are one example.
     sample = marked.where(F.col("at") <= last).dropDuplicates(["at"])
-    rows = (
-        sample.mapInArrow(run, "at long, k long, w binary, t binary")
-        .orderBy("k", "at")
-        .limit(TRAIN_WINDOWS)
-        .collect()
-    )
+    windows = sample.mapInArrow(run, "at long, k long, w binary, t binary, spaced boolean")
+
+    def drawn(of: DataFrame) -> DataFrame:
+        return of.orderBy(F.xxhash64("at", "k"), "at", "k").limit(TRAIN_WINDOWS)
+
+    found = drawn(windows.where("spaced")).union(drawn(windows.where("not spaced"))).collect()
+    spaced, others = ([r for r in found if r["spaced"] == x] for x in (True, False))
+    places = max(TRAIN_SPACED, TRAIN_WINDOWS - len(others))
+    rows = spaced[:places]
+    rows += others[: TRAIN_WINDOWS - len(rows)]
     if not any(any(r["t"]) for r in rows):
         return None
     params = train(

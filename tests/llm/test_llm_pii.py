@@ -102,6 +102,15 @@ def test_the_network_adds_what_the_rules_miss(spark):
     }
 
 
+def test_windows_of_many_long_texts_teach_spaced_at_signs(spark):
+    lead = " ".join(f"item {i} of the alpha and beta" for i in range(12))
+    rows = [(i, f"{lead} {text} {lead}") for i, text in people(1200)]
+    params = pii.learn(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    text = "gamma delta and the alpha beta77 @ gamma.com of the beta and delta alpha the gamma of"
+    (spans,) = pii.spans_of([text], params)
+    assert [text[s[1] : s[2]] for s in spans if not s[4]] == ["beta77 @ gamma.com"]
+
+
 def test_without_labels_there_are_base_spans_only(spark):
     docs = spark.createDataFrame([(1, "no data"), (2, None)], "doc_id long, text string")
     assert pii.learn(docs) is None
