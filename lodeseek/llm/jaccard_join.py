@@ -220,8 +220,19 @@ def _counts(raw: list[bytes]) -> np.ndarray:
     ).reshape(len(raw), width)
 
 
+def _flat_gaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """L1 distances of pairs of class counts, all at ``CLASSES``: one metric for all sizes."""
+    short = bytes(CLASSES)
+    both = [np.array([_counts([r, short])[0] for r in raw], np.uint8) for raw in (left, right)]
+    return _gap(*(x.reshape(-1, CLASSES) for x in both))
+
+
 def _gaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """L1 distances of pairs of class counts, each pair at the fewer classes of the two."""
+    """L1 distances of pairs of class counts, each pair at the fewer classes of the two.
+
+    Those of long sets are on a finer scale, so two of them do not obey the triangle
+    inequality with those of shorter ones; ``_flat_gaps`` do.
+    """
     out = np.empty(len(left), np.int64)
     short = np.array([len(a) == len(b) == CLASSES for a, b in zip(left, right, strict=True)], bool)
     at = np.flatnonzero(short)
@@ -239,25 +250,30 @@ def _possible(gap: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, percent: int, path: str) -> DataFrame:
-    """(pivot, node, gap, total, possible) of the pairs, from class counts."""
+    """(pivot, node, gap, flat, total, possible) of the pairs, from class counts.
+
+    ``gap`` is the finest bound of a pair, ``flat`` is on one scale for all pairs.
+    """
     rows = centred(pairs, nodes, ["n", "counts"], path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            gap = _gaps(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            gap = _gaps(left, right)
             yield pa.record_batch(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array(gap),
+                    pa.array(_flat_gaps(left, right)),
                     pa.array(total),
                     pa.array(_possible(gap, total, percent)),
                 ],
-                ["pivot", "node", "gap", "total", "possible"],
+                ["pivot", "node", "gap", "flat", "total", "possible"],
             )
 
-    kinds = "pivot long, node long, gap long, total long, possible boolean"
+    kinds = "pivot long, node long, gap long, flat long, total long, possible boolean"
     rows = rows.select("pivot", "node", "n", "p_n", "counts", "p_counts")
     return saved(rows.mapInArrow(run, kinds), path)
 
@@ -499,7 +515,8 @@ def linked_nodes(
     )
     apart = members.join(bounds, ["pivot", "node"]).withColumn("outside", ~F.col("possible"))
     widest = F.max("total") * ((100 - percent) / (100 + percent)) * 2
-    live = beyond(apart, total, "gap", widest, f"{folder}/first")
+    # Windows compare distances of different pairs, so these must be on one scale.
+    live = beyond(apart, total, "flat", widest, f"{folder}/first")
     near = bounds.where("possible")
     sure = near.select("node").union(near.select("pivot")).distinct()
     # Nodes that are wanted anyway need no comparison with each other.

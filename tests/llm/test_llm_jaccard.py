@@ -85,6 +85,18 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, width, percent, l
     assert sorted(got, key=str) == sorted(plain(rows, width, percent), key=str)
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_links_across_the_border_of_long_sets(spark, seed):
+    names = iter(range(100_000))
+    new = lambda n: [f"s{seed}n{next(names)}" for _ in range(n)]
+    a, b = new(1002), new(1002)
+    texts = [a + b, a + b + new(60), *(half + new(1078) for half in (a, b) for _ in range(6))]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in jj.jaccard_groups(docs, work_path(spark, "jj"), 1, 80, 1).collect()]
+    assert sorted(got) == sorted(plain(rows, 1, 80))
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jj.jaccard_groups(docs, work_path(spark, "jj")).collect() == []
