@@ -61,12 +61,13 @@ def chunk_texts(
 
 
 def chunk_files(
-    files: DataFrame, max_file_bytes: int, max_chunk_chars: int = MAX_CHUNK_CHARS
+    files: DataFrame, max_file_bytes: int | None, max_chunk_chars: int = MAX_CHUNK_CHARS
 ) -> DataFrame:
-    """Chunk a (path, size, content) table; oversize and unknown files give no rows."""
+    """Chunk a (path, size, content) table; unknown files, and those over a limit, give no rows."""
+    if max_file_bytes is not None:
+        files = files.where(F.col("size") <= max_file_bytes)
     texts = (
-        files.where(F.col("size") <= max_file_bytes)
-        .withColumn("lang", tx.detect_lang(F.col("path")))
+        files.withColumn("lang", tx.detect_lang(F.col("path")))
         .where(F.col("lang").isNotNull() & F.col("content").isNotNull())
         .select("path", "lang", tx.decode_utf8(F.col("content")).alias("text"))
     )

@@ -70,10 +70,11 @@ def index_contents(
     """Index (path, size, content) rows and commit them; returns the saved run.
 
     All paths in `files` count as touched: rows of those that now give no
-    chunk are dropped.
+    chunk are dropped. Contents of any size are taken; a caller with a limit
+    leaves larger files out of both tables, so that these keep their rows.
     """
     table = chunk_table(spark, cfg)
-    chunks = chunk_files(contents, cfg.index.max_file_bytes, cfg.index.max_chunk_chars)
+    chunks = chunk_files(contents, None, cfg.index.max_chunk_chars)
     run = saved(
         embed_chunks(chunks, table, files.select("path"), cfg, use_cache),
         work or work_path(spark, "run"),
@@ -114,7 +115,10 @@ def index_repo(
         runs = []
         for i in range(parts):
             mine = files.where(path_bucket(F.col("path"), parts) == i) if parts > 1 else files
-            contents = read_contents(mine, cfg.target, cfg.index.max_file_bytes)
+            # Files over the limit are counted and keep the rows that they have.
+            over = F.coalesce(F.col("size") > cfg.index.max_file_bytes, F.lit(False))
+            mine = mine.where(~over)
+            contents = read_contents(mine, cfg.target)
             runs.append(
                 index_contents(spark, cfg, mine, contents, use_cache, f"{work}/run-{i}")
             )

@@ -97,7 +97,7 @@ def apply_changes(spark: SparkSession, cfg: Config, changes: DataFrame) -> None:
     """Bring the table up to date with one batch of changes.
 
     Deleted and vanished files lose their rows and the others are replaced, in
-    one commit. A batch that is replayed after a failure gives the same table.
+    one commit; files over `index.max_file_bytes` keep theirs. A batch that is replayed after a failure gives the same table.
     """
     include = cfg.index.include_globs
     exclude = [*cfg.index.exclude_globs, *submodule_globs(cfg.target)]
@@ -106,7 +106,10 @@ def apply_changes(spark: SparkSession, cfg: Config, changes: DataFrame) -> None:
     try:
         latest = saved(latest_changes(ours), f"{work}/latest")
         live = latest.where(F.col("change") != "deleted")
-        contents = read_contents(live, cfg.target)
+        read = saved(read_contents(live, cfg.target), f"{work}/contents")
+        contents = read.where(F.col("size") <= cfg.index.max_file_bytes)
+        over = read.where(F.col("size") > cfg.index.max_file_bytes).select("path")
+        latest = latest.join(over, "path", "left_anti")
         # A restart or a touched file asks for no vector again where the content is the same.
         index_contents(spark, cfg, latest, contents, use_cache=True, work=f"{work}/run")
     finally:

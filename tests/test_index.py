@@ -9,6 +9,7 @@ from lodeseek.operators import embed as em
 from lodeseek.plans import index as ix
 from lodeseek.plans import search as se
 from lodeseek.sources.repo import list_tree, submodule_globs
+from lodeseek.streaming.watch import apply_changes
 from test_embed import Picky
 
 TREE = {
@@ -87,6 +88,26 @@ def test_index_search_prune(spark, project):
     assert ix.index_repo(spark, cfg)["files"] == 5
 
 
+def test_texts_over_a_megabyte_are_indexed(spark, project):
+    cfg = project({})
+    text = "".join(f"def f{i}():\n    return {i}\n\n" for i in range(40_000))
+    files = spark.createDataFrame([("a.py", len(text), text.encode())], "path string, size long, content binary")
+    assert len(text) > cfg.index.max_file_bytes
+    ix.index_contents(spark, cfg, files, files)
+    assert len(symbols(spark, cfg)) == 40_000
+
+
+def test_files_that_grow_over_the_limit_keep_their_rows(spark, project):
+    cfg = project({"a.py": "def alpha():\n    return 1\n", "b.py": "def b(): pass\n"}, max_file_bytes=500)
+    ix.index_repo(spark, cfg)
+    (Path(cfg.target) / "a.py").write_text("def other():\n    return 1\n" * 100)
+    want = [("a.py", "alpha"), ("b.py", "b")]
+    assert ix.index_repo(spark, cfg)["chunker_skipped_files"] == 1 and symbols(spark, cfg) == want
+    changes = spark.createDataFrame([("modified", "a.py", 1), ("modified", "b.py", 1)], "change string, path string, seq long")
+    apply_changes(spark, cfg, changes.selectExpr("change", "path", "current_timestamp() AS ts", "seq"))
+    assert symbols(spark, cfg) == want
+
+
 def test_search_without_a_table(spark, project):
     cfg = project({})
     assert se.semantic_search(spark, cfg, "x").collect() == []
