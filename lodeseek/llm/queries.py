@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import ann, cotrain, jaccard_join, lang_id, line_dedup, pii, qgram_decon, sp_sample, token_bin, warc
+from lodeseek.llm import (
+    ann,
+    cotrain,
+    jaccard_join,
+    lang_id,
+    line_dedup,
+    packing,
+    periodic,
+    pii,
+    qgram_decon,
+    resample,
+    sp_sample,
+    token_bin,
+    warc,
+)
 from lodeseek.workspace import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,3 +196,138 @@ SELECT l.doc_id,
 FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no
 GROUP BY l.doc_id
 """
+
+
+@query
+def op11_radix_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, drawn towards the benchmark's words."""
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resample.resample(docs, target, work_path(spark, "resample"))
+
+
+# The checksum of a word's bytes is folded over the table of 256 remainders.
+LLM_EXPECTED["op11_radix_resample"] = r"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) t(i))
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), aims AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark
+), pairs AS (
+  SELECT r, word, count(*) AS n FROM (SELECT r, unnest(words) AS word FROM docs) GROUP BY ALL
+), named AS (
+  SELECT word, xor(list_reduce(
+      list_prepend(4294967295::BIGINT,
+        [CAST('0x' || substr(hex(encode(word)), 2 * k + 1, 2) AS BIGINT)
+         FOR k IN range(octet_length(encode(word)))]),
+      lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word FROM pairs UNION SELECT word FROM aims), crc_table
+), source AS (
+  SELECT bucket, sum(n) AS s FROM pairs JOIN named USING (word) GROUP BY bucket
+), target AS (
+  SELECT bucket, count(*) AS t FROM aims JOIN named USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(
+      CAST((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM source) + 10000) AS DOUBLE)
+      / CAST((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM target) + 10000) AS DOUBLE)))
+    AS BIGINT) AS gain
+  FROM source FULL JOIN target USING (bucket)
+), sums AS (
+  SELECT r, sum(n * gain) AS total, sum(n) AS n FROM pairs JOIN named USING (word)
+  JOIN gains USING (bucket) GROUP BY r
+), weighed AS (
+  SELECT r, doc_id, len(words) AS n_features,
+         CAST(coalesce(floor(CAST(total AS DOUBLE) / CAST(n AS DOUBLE)), 0) AS BIGINT) AS weight
+  FROM docs LEFT JOIN sums USING (r)
+), scored AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln(
+      (CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))
+    AS BIGINT) AS score
+  FROM weighed
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) OVER (PARTITION BY n_features >= 20) AS total
+  FROM scored
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= total * 10 // 100 THEN place END AS rank
+FROM ranked
+"""
+
+
+@query
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4,096 ids, by the pieces of each."""
+    model = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_pieces(table(spark, sf_dir, "documents"), model)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every document, one document in ten ending in a loop."""
+    return periodic.find_runs(table(spark, sf_dir, "documents"), shape=periodic.looped)
+
+
+# Runs by pairs of equal stretches of six words: those of one period form islands.
+LLM_EXPECTED["op13_periodic_runs"] = r"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) t(i))
+), split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         xor(list_reduce(
+           list_prepend(4294967295::BIGINT, [CAST(ascii(substr(doc_id::VARCHAR, CAST(k AS BIGINT), 1)) AS BIGINT)
+                                             FOR k IN range(1, len(doc_id::VARCHAR) + 1)]),
+           lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM documents, crc_table
+), placed AS (
+  SELECT *, len(words) AS n, (h // 10) % greatest(len(words), 1) AS a FROM split
+), shaped AS (
+  SELECT doc_id, n, CASE WHEN h % 10 <> 0 OR n = 0 THEN words
+    ELSE [words[CAST(CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END
+                     + 1 AS BIGINT)] FOR i IN range(n)] END AS words
+  FROM placed
+), word AS (
+  SELECT doc_id, i - 1 AS i, words[i] AS w
+  FROM (SELECT doc_id, words, unnest(range(1, n + 1)) AS i FROM shaped)
+), grams AS (
+  SELECT doc_id, i, hash(g) AS g FROM (
+    SELECT doc_id, i, list(w) OVER (PARTITION BY doc_id ORDER BY i
+                                    ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS g FROM word)
+  WHERE len(g) = 6
+), pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y
+  ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i
+), islands AS (
+  SELECT doc_id, q, min(i) AS start, max(i) - min(i) + 6 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs)
+  GROUP BY doc_id, q, island
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM islands
+  WHERE length >= greatest(12, 2 * q) GROUP BY doc_id, start, length
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), collapsed AS (
+  SELECT word.doc_id, string_agg(w, ' ' ORDER BY word.i) AS kept
+  FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i GROUP BY word.doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+         first({'s': start, 'n': length, 'q': period} ORDER BY length DESC, start, period) AS best
+  FROM runs GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.n AS length, best.q AS period,
+       1000 * best.n // best.q AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM shaped LEFT JOIN listed USING (doc_id) LEFT JOIN collapsed USING (doc_id)
+"""
