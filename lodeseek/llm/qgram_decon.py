@@ -9,6 +9,8 @@ its q-grams with it, on diagonals (text position less window position) that diff
 by e at most. Shared q-grams are therefore counted per window in bands of 2 (e + 1)
 diagonals, one every e + 1, so that any such stretch lies whole in a band. Bands that
 reach the bound are verified by an alignment within the band; the filter loses nothing.
+Texts of a slice are searched as one array, but grams are counted per text and an
+alignment ends where its text ends, so a text's result does not depend on its neighbours.
 
 The q-gram index of a block of benchmark texts, about ``BLOCK_CHARS`` characters, goes
 to all tasks; larger benchmarks are searched block by block. Documents are not
@@ -18,8 +20,9 @@ Both sides are compared in lower case (where that is one character) with white s
 as single blanks; positions that are reported count characters of the text itself.
 
 Defined cases: null and empty texts are clean; null or empty benchmark texts, and
-those of under ``LEAST`` characters, which any text might share by chance, find
-nothing; shorter items than a window are one window; equal benchmark texts each
+those of under ``least`` characters (``LEAST`` unless set, as any text might share less by
+chance), find nothing; where ``least`` is smaller, items under ``LEAST`` characters have to
+be equal to a part of the text; shorter items than a window are one window; equal benchmark texts each
 report; rows without id are searched and reported with a null id; repeated rows are
 reported each; texts of any length are searched whole; extra columns are not read,
 and ``clean`` passes them on.
@@ -33,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +51,7 @@ _BREAK = np.uint32(0xFFFFFFFF)
 _STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03))
 _SPREAD = np.uint64(0x8CB92BA72F3D8DD7)
 _VERIFY = 4096
+_NEVER = 10_000
 
 
 @functools.cache
@@ -92,7 +97,7 @@ def grams(points: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Windows of a block and where each q-gram stands in them."""
+    """Windows of a block and where each q-gram stands in them; items too short for a q-gram."""
 
     items: np.ndarray  # number of the item of each window
     ids: list
@@ -104,15 +109,20 @@ class Index:
     window: np.ndarray
     offset: np.ndarray
     mask: np.ndarray
+    tiny: list[tuple[int, str]]
 
 
-def build(items: list[tuple[int | None, str]]) -> Index:
-    """The index of benchmark texts."""
-    cut, owner, kept = [], [], []
+def build(items: list[tuple[int | None, str]], least: int = LEAST) -> Index:
+    """The index of benchmark texts of at least ``least`` characters."""
+    cut, owner, kept, tiny = [], [], [], []
     for item_id, text in items:
         points = normal([text or ""])[0][:-1]
         n = len(points)
-        if n < LEAST:
+        if n < max(1, least):
+            continue
+        if n < Q:
+            tiny.append((len(kept), _text(points)))
+            kept.append(item_id)
             continue
         starts = list(range(0, max(1, n - WINDOW + 1), WINDOW // 2))
         if n > WINDOW and starts[-1] != n - WINDOW:
@@ -133,15 +143,21 @@ def build(items: list[tuple[int | None, str]]) -> Index:
     keys, first = np.unique(flat[order], return_index=True)
     mask = np.zeros(1 << _BITS, bool)
     mask[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    edits = np.minimum(sizes // 10, (sizes - Q) // Q)
+    edits = np.where(sizes < LEAST, 0, np.minimum(sizes // 10, (sizes - Q) // Q))
     return Index(
         np.array(owner, np.int64), kept, windows, sizes, edits, keys,
-        np.append(first, len(flat)), which[order], offset[order], mask,
+        np.append(first, len(flat)), which[order], offset[order], mask, tiny,
     )
 
 
-def candidates(points: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """(window, first diagonal) of the bands that share enough q-grams."""
+def _text(points: np.ndarray) -> str:
+    return points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def candidates(
+    points: np.ndarray, borders: np.ndarray, index: Index
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, window, first diagonal) of the bands that share enough q-grams with one text."""
     h = grams(points)
     at = np.flatnonzero(index.mask[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
     found = np.searchsorted(index.keys, h[at])
@@ -151,26 +167,39 @@ def candidates(points: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray
     n = index.first[found + 1] - index.first[found]
     post = np.repeat(index.first[found] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     window = index.window[post]
-    diagonal = np.repeat(at, n) - index.offset[post] + WINDOW
+    owner = np.searchsorted(borders, at, side="right") - 1
+    # Diagonals count from the text's begin, so that bands do not depend on other texts.
+    diagonal = np.repeat(at - borders[owner], n) - index.offset[post] + WINDOW
+    owner = np.repeat(owner, n)
     # Each diagonal lies in two bands, the one that begins at it or before and the one before.
-    step = index.edits[window] + 1
-    band = diagonal // step
-    span = len(points) + 2 * WINDOW
-    key = np.concatenate((window * span + band + 1, window * span + band))
-    key.sort()
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else key
-    count = np.diff(np.append(starts, len(key)))
-    window, band = key[starts] // span, key[starts] % span - 1
+    band = diagonal // (index.edits[window] + 1)
+    owner, window = np.tile(owner, 2), np.tile(window, 2)
+    band = np.concatenate((band, band - 1))
+    order = np.lexsort((band, window, owner))
+    owner, window, band = owner[order], window[order], band[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(owner) != 0) | (np.diff(window) != 0) | (np.diff(band) != 0)
+    starts = np.flatnonzero(new)
+    count = np.diff(np.append(starts, len(order)))
+    owner, window, band = owner[starts], window[starts], band[starts]
     sizes, edits = index.sizes[window], index.edits[window]
     enough = count >= np.maximum(1, sizes - Q + 1 - Q * edits)
-    window, band = window[enough], band[enough]
-    return window, band * (index.edits[window] + 1) - WINDOW
+    owner, window, band = owner[enough], window[enough], band[enough]
+    return owner, window, borders[owner] + band * (index.edits[window] + 1) - WINDOW
 
 
 def align(
-    points: np.ndarray, window: np.ndarray, diagonal: np.ndarray, index: Index
+    points: np.ndarray,
+    borders: np.ndarray,
+    owner: np.ndarray,
+    window: np.ndarray,
+    diagonal: np.ndarray,
+    index: Index,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Fewest edits of each window in its band, and the place after the aligned part."""
+    """Fewest edits of each window in its band and text, and the place after the aligned part.
+
+    Parts that begin before their text or end behind it cost more than any.
+    """
     widest = int(index.edits.max()) if len(index.edits) else 0
     width = 2 * (widest + 1) + 2 * widest + 1
     best = np.empty(len(window), np.int64)
@@ -181,13 +210,20 @@ def align(
     for lo in range(0, len(window), _VERIFY):
         w = window[lo : lo + _VERIFY]
         base = diagonal[lo : lo + _VERIFY] - widest + pad
-        cost = np.zeros((len(w), width), np.int16)
+        # Numbers of characters from a row's base to the ends of its text.
+        own = owner[lo : lo + _VERIFY]
+        first, last = borders[own] + pad - base, borders[own + 1] - 1 + pad - base
+        outside = (shift < first[:, None]) | (shift > last[:, None])
+        cost = np.where(outside, _NEVER, 0).astype(np.int16)
         done, sizes = np.empty((len(w), width), np.int16), index.sizes[w]
         for i in range(int(sizes.max())):
             there = text[base[:, None] + i + shift]
             step = cost + (there != index.windows[w, i][:, None])
             step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
-            cost = (np.minimum.accumulate(step - shift, axis=1) + shift).astype(np.int16)
+            step[i + 1 + shift > last[:, None]] = _NEVER
+            cost = np.minimum.accumulate(step - shift, axis=1) + shift
+            cost = np.minimum(cost, _NEVER).astype(np.int16)
+            cost[i + 1 + shift > last[:, None]] = _NEVER
             full = sizes == i + 1
             done[full] = cost[full]
         at = done.argmin(1)
@@ -198,21 +234,29 @@ def align(
 
 def find(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, windows, edits, start, end): items found in texts, with the fewest edits."""
-    if not len(index.sizes):
+    if not len(index.sizes) and not index.tiny:
         return []
     points, place, borders = normal(texts)
-    window, diagonal = candidates(points, index)
-    edits, end = align(points, window, diagonal, index)
-    good = edits <= index.edits[window]
-    window, edits, end = window[good], edits[good], end[good]
-    start = np.maximum(end - index.sizes[window], 0)
-    text = np.searchsorted(borders, np.maximum(end - 1, 0), side="right") - 1
     rows: dict[tuple[int, int], list] = {}
-    for t, w, e, a, b in zip(*(x.tolist() for x in (text, window, edits, start, end)), strict=True):
-        first, last = max(a, int(borders[t])), min(b, int(borders[t + 1]) - 1)
-        own = rows.setdefault((t, int(index.items[w])), [set(), e, first, last])
-        own[0].add(w)
-        own[1:] = [min(own[1], e), min(own[2], first), max(own[3], last)]
+    if len(index.sizes):
+        text, window, diagonal = candidates(points, borders, index)
+        edits, end = align(points, borders, text, window, diagonal, index)
+        good = edits <= index.edits[window]
+        text, window, edits, end = text[good], window[good], edits[good], end[good]
+        start = np.maximum(end - index.sizes[window], borders[text])
+        found = zip(*(x.tolist() for x in (text, window, edits, start, end)), strict=True)
+        for t, w, e, a, b in found:
+            own = rows.setdefault((t, int(index.items[w])), [set(), e, a, b])
+            own[0].add(w)
+            own[1:] = [min(own[1], e), min(own[2], a), max(own[3], b)]
+    if index.tiny:
+        whole = _text(np.where(points == _BREAK, 0, points))
+        for item, word in index.tiny:
+            at = whole.find(word)
+            while at >= 0:
+                t = int(np.searchsorted(borders, at, side="right")) - 1
+                rows.setdefault((t, item), [{-1}, 0, at, at + len(word)])[3] = at + len(word)
+                at = whole.find(word, at + 1)
     return [
         (t, item, len(ws), e, int(place[a]), int(place[max(b - 1, a)]) + 1)
         for (t, item), (ws, e, a, b) in sorted(rows.items())
@@ -222,7 +266,7 @@ def find(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int,
 # -- Spark --------------------------------------------------------------------
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Index]:
+def blocks(benchmark: DataFrame, least: int) -> Iterator[Index]:
     """Indexes of the benchmark's blocks, one at a time."""
     texts = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -230,16 +274,16 @@ def blocks(benchmark: DataFrame) -> Iterator[Index]:
     for b in range(n):
         own = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
         rows = own.orderBy("item_id", "text").collect()
-        yield build([(r["item_id"], r["text"]) for r in rows])
+        yield build([(r["item_id"], r["text"]) for r in rows], least)
 
 
 _KINDS = "doc_id long, item_id long, n_windows int, edits int, start int, end int"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, n_windows, edits, start, end) of every document and item that it holds."""
     spark, out = docs.sparkSession, None
-    for index in blocks(benchmark):
+    for index in blocks(benchmark, least):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -262,18 +306,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item of the benchmark."""
-    width = len(docs.columns)
-    schema = docs.schema
-    for index in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item of the benchmark.
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, "_scan_text"):
-                bad = {row[0] for row in find(strings(part, "_scan_text"), shared.value)}
-                own = pa.record_batch(part.columns[:width], part.schema.names[:width])
-                yield own.filter(pa.array([i not in bad for i in range(part.num_rows)]))
-
-        docs = docs.select(*docs.columns, F.col("text").alias("_scan_text")).mapInArrow(run, schema)
+    Only texts go to Python, and one truth value per text comes back.
+    """
+    for index in blocks(benchmark, least):
+        docs = docs.where(_holds_none(docs.sparkSession.sparkContext.broadcast(index))(F.col("text")))
     return docs
+
+
+def _holds_none(shared: Broadcast):
+    @F.arrow_udf("boolean")
+    def holds_none(texts: pa.Array) -> pa.Array:
+        out = []
+        for part in slices([pa.record_batch([texts], ["text"])]):
+            bad = {row[0] for row in find(strings(part), shared.value)}
+            out += [i not in bad for i in range(part.num_rows)]
+        return pa.array(out, pa.bool_())
+
+    return holds_none

@@ -97,3 +97,56 @@ def test_leaks_and_clean_texts(spark, monkeypatch):
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 9])
 def test_grams_of_short_texts(n):
     assert len(qd.grams(np.arange(n, dtype=np.uint32))) == max(0, n - qd.Q + 1)
+
+
+def found_in(texts, index, size):
+    """Results of texts searched ``size`` at a time."""
+    out = []
+    for at in range(0, len(texts), size):
+        out += [(t + at, *rest) for t, *rest in qd.find(texts[at : at + size], index)]
+    return out
+
+
+def test_texts_that_end_or_begin_in_a_window():
+    rng = np.random.default_rng(8)
+    items = [prose(40, rng) for _ in range(4)]
+    texts = []
+    for b, item in enumerate(items):
+        for cut in range(9):
+            texts += [f"{prose(12, rng)} {item[: qd.WINDOW - cut]}".strip(), prose(30, rng)]
+            texts += [f"{item[-qd.WINDOW + cut :].strip()} {prose(12, rng)}", item[cut : qd.WINDOW].strip()]
+    texts.append(items[0][: qd.WINDOW - 5].strip())
+    index = qd.build(list(enumerate(items)))
+    whole = qd.find(texts, index)
+    assert {(t, b) for t, b, *_ in whole} == plain(texts, items)
+    assert {t for t, *_ in whole} >= {0, len(texts) - 1}
+    for size in (1, 2, 7):
+        assert found_in(texts, index, size) == whole
+
+
+def test_periodic_texts():
+    items = ["-" * 80, "ab" * 50, "ha ha " * 20]
+    index = qd.build(list(enumerate(items)))
+    texts = ["-" * 200, "ab" * 100, "ha ha " * 20, "-" * 60, "", "-" * 20, "ba" * 31, "-" * 59]
+    for order in (texts, texts[::-1]):
+        assert {(t, b) for t, b, *_ in qd.find(order, index)} == plain(order, items)
+        for size in (1, 3):
+            assert found_in(order, index, size) == qd.find(order, index)
+
+
+def test_short_items_by_choice():
+    items = ["yes", "twelve chars", "a rather longer sentence than those"]
+    index = qd.build(list(enumerate(items)), least=1)
+    texts = ["no", "oh YES yes", "twelve  chars", "twelve charts", "twelve", "say yes"]
+    got = {(t, index.ids[b]) for t, b, *_ in qd.find(texts, index)}
+    assert got == {(1, 0), (2, 1), (5, 0)}
+    assert qd.find(texts, qd.build(list(enumerate(items)))) == []
+
+
+def test_columns_of_any_name_pass(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").selectExpr(
+        "doc_id", "text", "'x' AS _scan_text", "'y' AS text_0"
+    )
+    bench = spark.createDataFrame([(1, prose(30))], "item_id long, text string")
+    left = qd.clean(docs, bench)
+    assert left.columns == docs.columns and left.count() == 2
