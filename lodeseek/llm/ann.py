@@ -1,7 +1,10 @@
 """Nearest neighbours by inner product: p-stable hashing with success-ordered probes.
 
 Vectors get one more component, so that the largest inner product is the smallest
-distance. Each of ``TABLES`` hash tables projects on ``HASHES`` random directions (the
+distance. As that component fills a vector up to the longest length, vectors are indexed
+by bands of length: a band spans an octave at most, beginning with the longest vector
+left, so that a few long ones do not crowd all others together (where over ``BANDS``
+would arise, the shortest vectors share the last). In each band, each of ``TABLES`` hash tables projects on ``HASHES`` random directions (the
 normal distribution is 2-stable) and cuts each projection into ``SLABS`` slabs. A
 query visits its own bucket and perturbed ones: for each bucket the chance that it
 holds a neighbour is the product of the slabs' normal probabilities around where the
@@ -11,11 +14,12 @@ the query, where exact inner products rank them.
 
 The fit uses ``SAMPLE`` vectors at most: they set the slabs' widths, and from the
 nearest of their pairs, as large a share as k is of all vectors, where neighbours
-project. Every vector is indexed. Equal vectors are one entry with its k + 1 smallest
+project; each band has a sample of its own. A query goes on visiting until it has seen
+k + 1 entries of each table, or all of them, so that it never returns fewer than there are. Every vector is indexed. Equal vectors are one entry with its k + 1 smallest
 ids, which is all that k neighbours and the query itself can take.
 
 Where the work goes: the directory of buckets, at most ``TABLES * SLABS ** HASHES``
-counts, is broadcast. Buckets of over ``BLOCK`` entries are split, and entries and
+counts a band, is broadcast. Buckets of over ``BLOCK`` entries are split, and entries and
 probes meet in cells of about ``CELL`` entries, of which a task holds one. A query is
 sent once to each cell that holds a bucket it visits. Nothing is capped: all entries
 of a visited bucket are measured.
@@ -43,6 +47,7 @@ TABLES = 2
 HASHES = 6
 SLABS = 4
 RECALL = 0.995
+BANDS = 8
 SAMPLE = 4096
 SAMPLE_QUERIES = 128
 SAMPLE_PAIRS = 512
@@ -53,7 +58,7 @@ _QUERY_BLOCK = 256
 
 @dataclass
 class Index:
-    """What the fit found.
+    """What the fit of a band found.
 
     ``directions`` (tables, dims + 1, hashes); ``edges``: inner borders of the slabs;
     neighbours project to ``slope`` times the query's projection plus ``shift``, give or
@@ -67,9 +72,42 @@ class Index:
     spread: np.ndarray
     longest: float
     codes: np.ndarray
+    counts: np.ndarray
+
+
+@dataclass
+class Bands:
+    """Indexes by rising length of their longest vector, and the directory of all their buckets."""
+
+    indexes: list[Index]
+    limits: np.ndarray
+    codes: np.ndarray
     blocks: np.ndarray
     cells: int
 
+    def of(self, length: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.limits, length), len(self.limits) - 1)
+
+
+_STRIDE = TABLES * SLABS**HASHES
+
+
+def limits_of(bins: list[tuple[int, float]]) -> list[float]:
+    """Lengths at which bands end, rising, from (sixteenth of an octave, longest length in it)."""
+    out: list[float] = []
+    first = 0
+    for bin_, longest in sorted(bins, reverse=True):
+        if not out or bin_ <= first - 16:
+            if len(out) == BANDS:
+                break
+            out.append(longest)
+            first = bin_
+    return out[::-1]
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1))
+
 
 def _extended(x: np.ndarray, longest: float) -> np.ndarray:
     rest = np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))
@@ -97,12 +135,16 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(1.5976 * x + 0.07056 * x**3, -60, 60)))
 
 
-def probes(queries: np.ndarray, index: Index) -> list[np.ndarray]:
-    """The buckets that each (aimed) query visits, of all tables, in order of success per table."""
+def probes(queries: np.ndarray, index: Index, least: int = 0) -> list[np.ndarray]:
+    """The buckets that each (aimed) query visits, of all tables, in order of success per table.
+
+    They hold ``least`` entries of each table, or all of them.
+    """
     goal = 1 - (1 - RECALL) ** (1 / TABLES)
     visits: list[list[np.ndarray]] = [[] for _ in queries]
     for t, directions in enumerate(index.directions):
-        own = index.codes[index.codes // SLABS**HASHES == t]
+        mine = index.codes // SLABS**HASHES == t
+        own, sizes = index.codes[mine], index.counts[mine]
         digits = (own[:, None] // SLABS ** np.arange(HASHES)) % SLABS
         projected = queries @ directions
         centre = index.slope[t] * projected + index.shift[t]
@@ -118,6 +160,8 @@ def probes(queries: np.ndarray, index: Index) -> list[np.ndarray]:
         success = np.exp(np.take_along_axis(total, order, 1))
         reached = np.cumsum(success, axis=1)
         count = (reached < goal * reached[:, -1:]).sum(1) + 1
+        seen = np.cumsum(sizes[order], axis=1)
+        count = np.minimum(np.maximum(count, (seen < least).sum(1) + 1), len(own))
         for i, n in enumerate(count):
             visits[i].append(own[order[i, :n]])
     return [np.concatenate(v) for v in visits]
@@ -134,17 +178,18 @@ def _matrix(column: pa.Array, kind: str = "f8") -> np.ndarray:
 
 
 def packed(rows: DataFrame, names: list[str]) -> DataFrame:
-    """The vectors as bytes of doubles, beside the columns ``names``."""
+    """The vectors as bytes of doubles, and their lengths, beside the columns ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column(batch.num_columns - 1)
             flat = v.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(v), -1)
             raw = pa.array([x.tobytes() for x in flat], pa.binary())
-            yield pa.record_batch([*batch.columns[:-1], raw], [*names, "vector"])
+            length = pa.array(_lengths(flat))
+            yield pa.record_batch([*batch.columns[:-1], raw, length], [*names, "vector", "length"])
 
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    return rows.select(*names, "vector").mapInArrow(run, f"{kinds}, vector binary")
+    return rows.select(*names, "vector").mapInArrow(run, f"{kinds}, vector binary, length double")
 
 
 def _spreads(
@@ -173,12 +218,27 @@ def _spreads(
     return slope, shift, spread
 
 
-def fit(entries: DataFrame, k: int, seed: int = 17) -> Index:
+def fit(entries: DataFrame, k: int, seed: int = 17) -> Bands:
+    """The bands of length and the index of each."""
+    bin_ = F.floor(F.log2("length") * 16)
+    bins = entries.groupBy(bin_.alias("bin")).agg(F.max("length")).collect()
+    limits = limits_of([(r[0], r[1]) for r in bins]) or [1.0]
+    indexes = []
+    for i, limit in enumerate(limits):
+        own = entries.where(F.col("length") <= limit)
+        if i:
+            own = own.where(F.col("length") > limits[i - 1])
+        indexes.append(fit_band(own, k, limit, seed))
+    counts = np.concatenate([ix.counts for ix in indexes])
+    codes = np.concatenate([ix.codes + i * _STRIDE for i, ix in enumerate(indexes)])
+    cells = max(1, -(-int(counts.sum()) // CELL))
+    return Bands(indexes, np.array(limits), codes, -(-counts // BLOCK), cells)
+
+
+def fit_band(entries: DataFrame, k: int, longest: float, seed: int) -> Index:
     """Directions, slabs and spreads from the sample; the directory of all buckets."""
     spark = entries.sparkSession
     total = entries.count()
-    lengths = entries.select("vector").mapInArrow(_longest, "longest double")
-    longest = lengths.agg(F.max("longest")).first()[0] or 1.0
     rows = entries.select("u", "vector").orderBy("u").limit(SAMPLE).collect()
     rng = np.random.default_rng(seed)
     raw = np.array([np.frombuffer(r["vector"], "f8") for r in rows]).reshape(
@@ -199,11 +259,11 @@ def fit(entries: DataFrame, k: int, seed: int = 17) -> Index:
             edges[t, :, s] = projected.mean(0) + step * (s - (SLABS - 2) / 2 + 0.5 * shift)
     slope, shift, spread = _spreads(raw, points, directions, longest, k / max(1, total - 1))
     none = np.empty(0, np.int64)
-    index = Index(directions, edges, slope, shift, spread, longest, none, none, 1)
+    index = Index(directions, edges, slope, shift, spread, longest, none, none)
     shared = spark.sparkContext.broadcast(index)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(TABLES * SLABS**HASHES, np.int64)
+        n = np.zeros(_STRIDE, np.int64)
         for batch in batches:
             if batch.num_rows:
                 codes = _codes(_extended(_matrix(batch.column(0)), shared.value.longest), shared.value)
@@ -213,19 +273,10 @@ def fit(entries: DataFrame, k: int, seed: int = 17) -> Index:
 
     counted = entries.select("vector").mapInArrow(count, "code long, n long")
     found = counted.groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
-    index.codes = found["code"].to_numpy()
-    index.blocks = -(-found["n"].to_numpy() // BLOCK)
-    index.cells = max(1, -(-TABLES * total // CELL))
+    index.codes, index.counts = found["code"].to_numpy(), found["n"].to_numpy()
     return index
 
 
-def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x = _matrix(batch.column(0))
-            yield pa.record_batch([[float(np.sqrt((x * x).sum(1).max()))]], ["longest"])
-
-
 def _cells(codes: np.ndarray, block: np.ndarray, cells: int) -> np.ndarray:
     h = mix64(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + block.astype(np.uint64))
     return (h % np.uint64(cells)).astype(np.int64)
@@ -241,7 +292,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], _NAMES)
 
 
-def placed_entries(entries: DataFrame, index: Index) -> DataFrame:
+def placed_entries(entries: DataFrame, index: Bands) -> DataFrame:
     """Each entry (u, low, vector) in the cell of its bucket's block, once per table."""
     shared = entries.sparkSession.sparkContext.broadcast(index)
 
@@ -251,7 +302,12 @@ def placed_entries(entries: DataFrame, index: Index) -> DataFrame:
             if not batch.num_rows:
                 continue
             u, vectors = batch.column(0).to_numpy(), batch.column(2)
-            for codes in _codes(_extended(_matrix(vectors), ix.longest), ix):
+            x, band = _matrix(vectors), ix.of(batch.column(3).to_numpy())
+            placed = np.empty((TABLES, len(u)), np.int64)
+            for i in np.unique(band):
+                own, part = ix.indexes[i], band == i
+                placed[:, part] = _codes(_extended(x[part], own.longest), own) + i * _STRIDE
+            for codes in placed:
                 blocks = ix.blocks[np.searchsorted(ix.codes, codes)]
                 block = (mix64(u.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
                 cells = _cells(codes, block, ix.cells)
@@ -261,11 +317,14 @@ def placed_entries(entries: DataFrame, index: Index) -> DataFrame:
                     [pa.array(cells), kind, batch.column(0), batch.column(1), raw, vectors], _NAMES
                 )
 
-    return entries.select("u", "low", "vector").mapInArrow(run, _KINDS)
+    return entries.select("u", "low", "vector", "length").mapInArrow(run, _KINDS)
 
 
-def placed_queries(queries: DataFrame, index: Index) -> DataFrame:
-    """Each query (u, vector) in every cell that it visits, with the buckets it visits there."""
+def placed_queries(queries: DataFrame, index: Bands, least: int) -> DataFrame:
+    """Each query (u, vector) in every cell that it visits, with the buckets it visits there.
+
+    In each band, it visits ``least`` entries of each table at least.
+    """
     shared = queries.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +333,12 @@ def placed_queries(queries: DataFrame, index: Index) -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 vectors = part.column(1).to_pylist()
-                visits = probes(_aimed(_matrix(part.column(1)), ix.longest), ix)
+                x = _matrix(part.column(1))
+                by_band = [
+                    [codes + i * _STRIDE for codes in probes(_aimed(x, own.longest), own, least)]
+                    for i, own in enumerate(ix.indexes)
+                ]
+                visits = map(np.concatenate, zip(*by_band, strict=True))
                 rows = []
                 for u, v, codes in zip(part.column(0).to_pylist(), vectors, visits, strict=True):
                     n = ix.blocks[np.searchsorted(ix.codes, codes)]
@@ -388,7 +452,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, folder: str) -> DataFr
     )
     index = fit(entries, k)
     queries = asked.join(entries, "u").select("u", "vector")
-    placed = placed_entries(entries, index).union(placed_queries(queries, index))
+    placed = placed_entries(entries, index).union(placed_queries(queries, index, k + 1))
     met = meet(placed, k + 1).groupBy("query", "candidate").agg(
         F.max("score").alias("score"), F.min("low").alias("low")
     )

@@ -79,3 +79,21 @@ def test_lookups_keep_every_row(spark):
     for total in (200, 10_000_000):
         got = sorted((r["i"], r["v"]) for r in attach(frame, groups, "k", ["v"], "n", total).collect())
         assert got == [(i, {0: "a", 1: "b"}.get(k)) for k, i in rows]
+
+
+def test_vectors_of_very_unlike_length(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 16))
+    one_long = [(i, v * (1000 if i == 77 else 1)) for i, v in enumerate(x)]
+    check(search(spark, one_long), plain(one_long, 20), 0.9)
+    spread = [(i, v * 2.0 ** rng.integers(-30, 30)) for i, v in enumerate(x[:400])]
+    got = search(spark, spread, 5)
+    assert {q: len(hits) for q, hits in got.items()} == {q: 5 for q in range(0, 400, 20)}
+
+
+def test_bands_span_an_octave():
+    bins = [(160, 1000.0), (3, 1.1), (0, 1.0), (-12, 0.6), (-13, 0.57), (-40, 0.1)]
+    assert ann.limits_of(bins) == [0.1, 0.57, 1.1, 1000.0]
+    many = [(16 * i, float(i)) for i in range(40)]
+    assert ann.limits_of(many) == [float(i) for i in range(32, 40)]
+    assert ann.limits_of([]) == []
