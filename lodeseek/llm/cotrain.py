@@ -27,7 +27,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm.common import release, slices, strings
@@ -146,15 +147,22 @@ def meta_features(part: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-def viewed(docs: DataFrame) -> DataFrame:
-    """What both views read, under names of their own, behind the columns of ``docs``."""
-    return docs.select(
-        *docs.columns,
-        F.col("text").alias("_text"),
-        F.xxhash64(F.coalesce("source", F.lit("\x00"))).bitwiseAND(0x7FFFFFFF).alias("_source"),
-        F.xxhash64(F.coalesce("lang", F.lit("\x00"))).bitwiseAND(0x7FFFFFFF).alias("_lang"),
-        F.col("n_chars").cast("double").alias("_chars"),
-    )
+_VIEWED = ["_text", "_source", "_lang", "_chars"]
+
+
+def _read() -> list[Column]:
+    """What both views read of a document."""
+    named = (F.xxhash64(F.coalesce(F.col(c), F.lit("\x00"))) for c in ("source", "lang"))
+    return [
+        F.col("text"),
+        *(h.bitwiseAND(0x7FFFFFFF) for h in named),
+        F.col("n_chars").cast("double"),
+    ]
+
+
+def viewed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and what both views read, under names of its own."""
+    return docs.select(*keep, *(c.alias(n) for c, n in zip(_read(), _VIEWED, strict=True)))
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +274,7 @@ def _collect(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
                 ["doc_id", "tag", "t", "m"],
             )
 
-    rows = viewed(docs).mapInArrow(run, "doc_id long, tag int, t binary, m binary").toArrow()
+    rows = viewed(docs, ["doc_id", "tag"]).mapInArrow(run, "doc_id long, tag int, t binary, m binary").toArrow()
     rows = rows.sort_by("doc_id")
 
     def matrix(name: str, width: int) -> np.ndarray:
@@ -339,8 +347,7 @@ def _judge(part: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.nd
 def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with text_score, meta_score, score and whether to ``keep`` it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = viewed(docs.select(*dict.fromkeys([*keep, "text", "source", "lang", "n_chars"])))
-    rows = rows.select(*keep, "_text", "_source", "_lang", "_chars")
+    rows = viewed(docs, keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,14 +364,18 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``LEAST`` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    width = len(docs.columns)
+    """The rows of ``docs``, all columns, that score ``LEAST`` or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
-            _, _, s = _judge(part, shared.value)
-            own = pa.record_batch(part.columns[:width], part.schema.names[:width])
-            yield own.filter(pa.array(s >= LEAST))
+    Only what the views read goes to Python, and one truth value per row comes back.
+    """
+    return docs.where(_passes(docs.sparkSession.sparkContext.broadcast(model))(*_read()))
+
+
+def _passes(shared: Broadcast):
+    @F.arrow_udf("boolean")
+    def passes(text: pa.Array, source: pa.Array, lang: pa.Array, chars: pa.Array) -> pa.Array:
+        part = pa.record_batch([text, source, lang, chars], _VIEWED)
+        judged = [_judge(p, shared.value)[2] >= LEAST for p in _parts([part])]
+        return pa.array(np.concatenate(judged) if judged else np.empty(0, bool))
 
-    return viewed(docs).mapInArrow(run, docs.schema)
+    return passes
