@@ -366,8 +366,15 @@ each AS (SELECT *, {_brace_each()} AS content FROM fs),
 joined AS (SELECT path, nth, count(*) AS k,
                   string_agg('  ' || content, {NL} ORDER BY i) AS body FROM each GROUP BY ALL),
 p AS (SELECT path, nth, 'f' || i AS symbol, CASE nth WHEN 5 THEN 'method' ELSE 'function' END
-             AS kind, i + 2 AS start_line, i + 2 AS end_line,
-             CASE nth WHEN 3 THEN substr(content, 8) ELSE content END AS content FROM each
+             AS kind, i + 2 AS start_line, i + 2 AS end_line, content FROM each
+      UNION ALL
+      SELECT path, nth, 'module@1', 'module', 1, 1,
+             CASE WHEN nth IN (1, 6) THEN 'package a' ELSE '// {{' END
+      FROM joined WHERE nth NOT IN (0, 5)
+      UNION ALL
+      SELECT path, nth, 'module@' || (k + 2), 'module', k + 2, k + 2,
+             CASE WHEN nth IN (2, 3, 4) THEN '"}}"' ELSE '// end }}' END
+      FROM joined WHERE nth <> 5
       UNION ALL
       SELECT path, nth, 'D', 'class', 1, k + 2,
              'class D {{' || {NL} || body || {NL} || '}}' FROM joined WHERE nth = 5),

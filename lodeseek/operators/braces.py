@@ -32,8 +32,8 @@ MASKS = {
 # A rule without a kind marks a class-like body that is no chunk itself.
 _RUST_VIS = r"^[ \t]*(?P<start>(?:pub(?:\s*\([^)]*\))?\s+)?"
 _RUST_FN = r'(?:default\s+|const\s+|async\s+|unsafe\s+|extern\s+(?:"[^"]*"\s*)?|extern\s+)*'
-_JS_FUNCTION = r"(?P<start>(?:async\s+)?function\s+(?P<name>[\w$]+)\s*[<(])"
-_JS_LEAD = r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:declare\s+)?"
+_JS_LEAD = r"^[ \t]*(?P<start>(?:export\s+)?(?:default\s+)?(?:declare\s+)?"
+_JS_FUNCTION = r"(?:async\s+)?function\s+(?P<name>[\w$]+)\s*[<(])"
 _JS_MEMBER = (
     r"^[ \t]*+(?!(?:if|for|while|switch|catch|with|function|return|new|await|typeof)\b)"
     r"(?P<start>(?:(?:public|private|protected|static|override|readonly|async|get|set)\s+)*"
@@ -52,12 +52,12 @@ _KOTLIN_LEAD = (
 )
 _JS_RULES = [
     ("function", True, False, _JS_LEAD + _JS_FUNCTION),
-    ("class", True, False, _JS_LEAD + r"(?P<start>class\s+(?P<name>[\w$]+))"),
+    ("class", True, False, _JS_LEAD + r"class\s+(?P<name>[\w$]+))"),
     ("method", True, False, _JS_MEMBER),
 ]
 _TS_RULES = [
     *_JS_RULES,
-    ("class", True, False, _JS_LEAD + r"(?P<start>interface\s+(?P<name>[\w$]+))"),
+    ("class", True, False, _JS_LEAD + r"interface\s+(?P<name>[\w$]+))"),
 ]
 _RULES = {
     "rust": [
