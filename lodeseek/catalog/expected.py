@@ -449,6 +449,24 @@ FROM documents""",
     "index_run": f"""WITH {TEXTS}, {_markdown_pieces()}, {_packed(MAX_CHUNK_CHARS)}
 SELECT {CHUNK_ID} AS id, path, symbol, start_line::INT AS start_line, end_line::INT AS end_line,
        sha256(content) AS content_hash FROM c WHERE {HAS_WORDS}""",
+    "index_commits": f"""WITH {TEXTS}, {_markdown_pieces()}, {_packed(MAX_CHUNK_CHARS)}
+SELECT {CHUNK_ID} AS id, path, symbol, sha256(content) AS content_hash FROM c WHERE {HAS_WORDS}""",
+    "table_upsert_path": f"""WITH {STORED}, {INCOMING},
+merged AS (SELECT path, symbol, content FROM stored WHERE path NOT IN (SELECT path FROM incoming)
+           UNION ALL SELECT path, symbol, content FROM incoming)
+SELECT {ROW_ID} AS id, path, sha256(content) AS content_hash FROM merged""",
+    "table_upsert_id": f"""WITH {STORED},
+incoming AS (SELECT path, CASE WHEN toxic = 1 THEN 'toxic' ELSE symbol END AS symbol, content
+             FROM stored JOIN documents d ON path = 'src/' || d.source || '/' || d.doc_id || '.md'
+             JOIN labels USING (doc_id)),
+old AS (SELECT *, {ROW_ID} AS id FROM stored), new AS (SELECT *, {ROW_ID} AS id FROM incoming)
+SELECT id, path, sha256(content) AS content_hash FROM old
+WHERE NOT EXISTS (FROM new WHERE new.id = old.id)
+UNION ALL SELECT id, path, sha256(content) FROM new""",
+    "table_delete_path": f"""WITH {STORED}
+SELECT {ROW_ID} AS id, path FROM stored WHERE path <> 'src/src0/0.md'""",
+    "table_grown": f"""WITH {STORED}
+SELECT {ROW_ID} AS id, path, sha256(content) AS content_hash FROM stored""",
     "index_update": _second_run(
         f"""SELECT {CHUNK_ID} AS id, path, symbol, content_hash FROM first_run
 WHERE path NOT IN (SELECT path FROM incoming)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,7 @@ from lodeseek.operators.markdown import is_heading_only, numbered_sections
 from lodeseek.operators.pack import pack_piece
 from lodeseek.operators.rank import nearest, nearest_to_each, rerank, squared_l2
 from lodeseek.operators.structural import structural_search
-from lodeseek.plans.index import chunk_table, index_contents, write_skip_log
+from lodeseek.plans.index import chunk_table, index_contents, index_in_parts, write_skip_log
 from lodeseek.plans.search import prefilter, semantic_search_each
 from lodeseek.plans.search import semantic_search as search_stored
 from lodeseek.plans.store import ChunkTable
@@ -482,6 +483,57 @@ def index_run(spark, sf_dir):
     )
 
 
+@query
+def index_commits(spark, sf_dir):
+    """The same run in three commits, each of a third of the paths."""
+    cfg = _index_config(spark, "index-commits")
+    cfg = dataclasses.replace(cfg, index=dataclasses.replace(cfg.index, commits=3))
+    files = tb.document_files(tb.document_texts(spark, sf_dir))
+    index_in_parts(spark, cfg, files, lambda f: f, False, work_path(spark, "parts"))
+    return chunk_table(spark, cfg).rows().select("id", "path", "symbol", "content_hash")
+
+
+def _document_table(spark, sf_dir, name: str) -> ChunkTable:
+    """A stored table with one row per document."""
+    table = ChunkTable(spark, f"{work_path(spark, name)}/chunks", buckets=8)
+    table.upsert(tb.all_columns(tb.stored_documents(spark, sf_dir)))
+    return table
+
+
+@query
+def table_upsert_path(spark, sf_dir):
+    """The stored table after labelled documents replaced their paths' rows."""
+    table = _document_table(spark, sf_dir, "upsert-path")
+    table.upsert(tb.all_columns(tb.incoming_documents(spark, sf_dir)))
+    return table.rows().select("id", "path", "content_hash")
+
+
+@query
+def table_upsert_id(spark, sf_dir):
+    """The same with new names for toxic documents' chunks, whose old rows stay."""
+    table = _document_table(spark, sf_dir, "upsert-id")
+    table.upsert(tb.all_columns(tb.renamed_documents(spark, sf_dir)), key="id")
+    return table.rows().select("id", "path", "content_hash")
+
+
+@query
+def table_delete_path(spark, sf_dir):
+    """The stored table without two paths, of which one was never in it."""
+    table = _document_table(spark, sf_dir, "delete-path")
+    table.delete_for_path("src/src0/0.md")
+    table.delete_for_path("src/none.md")
+    return table.rows().select("id", "path")
+
+
+@query
+def table_grown(spark, sf_dir):
+    """The stored table after it grew from the labelled documents to all, buckets added on the way."""
+    table = ChunkTable(spark, f"{work_path(spark, 'grown')}/chunks", buckets=2, bucket_rows=50)
+    table.upsert(tb.all_columns(tb.incoming_documents(spark, sf_dir)))
+    table.upsert(tb.all_columns(tb.stored_documents(spark, sf_dir)))
+    return table.rows().select("id", "path", "content_hash")
+
+
 @query
 def stored_search(spark, sf_dir):
     """One text against the stored chunks below a path, with all that a hit shows."""

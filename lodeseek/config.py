@@ -65,8 +65,10 @@ class EmbeddingConfig:
 class StoreConfig:
     path: str = f"{CONFIG_DIR}/index"
     table: str = "chunks"
-    # Paths are hashed into this many buckets; a commit rewrites touched ones only.
+    # A new table begins with this many buckets and gets more where they hold over
+    # `bucket_rows` rows on average.
     buckets: int = 64
+    bucket_rows: int = 200_000
 
 
 @dataclass(frozen=True)

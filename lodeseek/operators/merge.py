@@ -30,6 +30,40 @@ def delete_path(stored: DataFrame, path: str) -> DataFrame:
     return stored.where(F.col("path") != path)
 
 
+def live_rows(rows: DataFrame, deletes: DataFrame, small: bool = True) -> DataFrame:
+    """Rows (path, id, commit, ..) that no later delete (path, id, commit) names.
+
+    A delete without an id names all rows of its path. Where the deletes are known to be
+    few they are broadcast, and the rows are filtered where they lie.
+    """
+    hint = F.broadcast if small else (lambda df: df)
+    last = F.max("commit")
+    paths = deletes.where("id IS NULL").groupBy("path").agg(last.alias("_path_gone"))
+    ids = deletes.where("id IS NOT NULL").groupBy("id").agg(last.alias("_id_gone"))
+    gone = F.greatest(F.coalesce("_path_gone", F.lit(-1)), F.coalesce("_id_gone", F.lit(-1)))
+    return (
+        rows.join(hint(paths), "path", "left")
+        .join(hint(ids), "id", "left")
+        .where(F.col("commit") >= gone)
+        .select(*rows.columns)
+    )
+
+
+def stale_keys(stored: DataFrame, touched: DataFrame, run: DataFrame) -> DataFrame:
+    """(path, id) of stored rows that go after a run over the `touched` paths.
+
+    `run` has id, `cached` and `skip_reason`. Of touched paths, stored rows stay whose
+    content is unchanged or whose new embedding failed. Only names are joined.
+    """
+    kept = run.where(F.col("cached") | F.col("skip_reason").isNotNull()).select("id").distinct()
+    return (
+        stored.select("path", "id")
+        .join(touched.select("path").distinct(), "path", "left_semi")
+        .join(kept, "id", "left_anti")
+        .select("path", "id")
+    )
+
+
 def indexed_paths(stored: DataFrame) -> DataFrame:
     return stored.select("path").distinct()
 
@@ -93,16 +127,15 @@ def reconcile(stored: DataFrame, touched: DataFrame, run: DataFrame) -> DataFram
     unchanged, and stored rows whose new embedding failed. Symbols that are
     gone lose their rows.
     """
-    kept_ids = run.where(F.col("cached") | F.col("skip_reason").isNotNull()).select("id").distinct()
-    fresh = run.where(~F.col("cached") & F.col("skip_reason").isNull())
-    stale = touched.select("path").distinct().withColumn("_touched", F.lit(True))
-    kept = kept_ids.withColumn("_kept", F.lit(True))
-    remaining = (
-        stored.join(stale, "path", "left")
-        .join(kept, "id", "left")
-        .where(F.col("_touched").isNull() | F.col("_kept").isNotNull())
+    gone = stale_keys(stored, touched, run).select("id")
+    return stored.join(gone, "id", "left_anti").unionByName(
+        fresh_rows(run).select(*stored.columns)
     )
-    return remaining.select(*stored.columns).unionByName(fresh.select(*stored.columns))
+
+
+def fresh_rows(run: DataFrame) -> DataFrame:
+    """The rows of a run that were embedded."""
+    return run.where(~F.col("cached") & F.col("skip_reason").isNull())
 
 
 def run_stats(files: DataFrame, run: DataFrame, max_file_bytes: int) -> DataFrame:

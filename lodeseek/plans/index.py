@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from pathlib import Path
 
@@ -16,8 +17,9 @@ from lodeseek.operators.embed import embed_rows, provider_factory, skipped_rows
 from lodeseek.operators.merge import (
     existing_hashes,
     flag_cached,
-    reconcile,
+    fresh_rows,
     run_stats,
+    stale_keys,
     with_identity,
 )
 from lodeseek.plans.store import ChunkTable
@@ -27,7 +29,7 @@ from lodeseek.workspace import discard, saved, work_path
 
 
 def chunk_table(spark: SparkSession, cfg: Config) -> ChunkTable:
-    return ChunkTable(spark, cfg.table_path, cfg.store.buckets)
+    return ChunkTable(spark, cfg.table_path, cfg.store.buckets, cfg.store.bucket_rows)
 
 
 def discover_files(spark: SparkSession, cfg: Config, since: str | None = None) -> DataFrame:
@@ -79,12 +81,28 @@ def index_contents(
         embed_chunks(chunks, table, files.select("path"), cfg, use_cache),
         work or work_path(spark, "run"),
     )
-    touched = table.touched(files)
-    stored = table.read(touched).drop("bucket")
-    table.replace_buckets(reconcile(stored, files.select("path"), run), touched)
+    stored = table.read(table.touched(files)).select("path", "id")
+    table.change(fresh_rows(run), stale_keys(stored, files.select("path"), run))
     return run
 
 
+def index_in_parts(
+    spark: SparkSession,
+    cfg: Config,
+    files: DataFrame,
+    contents: Callable[[DataFrame], DataFrame],
+    use_cache: bool,
+    work: str,
+) -> DataFrame:
+    """Index in `index.commits` parts by path, each complete in itself; returns all their rows."""
+    parts = max(1, cfg.index.commits)
+    runs = []
+    for i in range(parts):
+        mine = files.where(path_bucket(F.col("path"), parts) == i) if parts > 1 else files
+        runs.append(index_contents(spark, cfg, mine, contents(mine), use_cache, f"{work}/run-{i}"))
+    return reduce(DataFrame.unionByName, runs)
+
+
 def write_skip_log(run: DataFrame, path: str) -> bool:
     """Overwrite the skip log with this run's skips; leaves it alone without any."""
     skips = skipped_rows(run)
@@ -110,19 +128,12 @@ def index_repo(
     work = work_path(spark, "index")
     try:
         files = saved(discover_files(spark, cfg, since), f"{work}/files")
-        parts = max(1, cfg.index.commits)
         use_cache = since is not None and not force
-        runs = []
-        for i in range(parts):
-            mine = files.where(path_bucket(F.col("path"), parts) == i) if parts > 1 else files
-            # Files over the limit are counted and keep the rows that they have.
-            over = F.coalesce(F.col("size") > cfg.index.max_file_bytes, F.lit(False))
-            mine = mine.where(~over)
-            contents = read_contents(mine, cfg.target)
-            runs.append(
-                index_contents(spark, cfg, mine, contents, use_cache, f"{work}/run-{i}")
-            )
-        run = reduce(DataFrame.unionByName, runs)
+        # Files over the limit are counted and keep the rows that they have.
+        over = F.coalesce(F.col("size") > cfg.index.max_file_bytes, F.lit(False))
+        run = index_in_parts(
+            spark, cfg, files.where(~over), lambda f: read_contents(f, cfg.target), use_cache, work
+        )
         write_skip_log(run, cfg.skip_log_path)
         return run_stats(files, run, cfg.index.max_file_bytes).first().asDict()
     finally:

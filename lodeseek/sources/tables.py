@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as tx
 from lodeseek.functions.ident import chunk_id, content_hash
+from lodeseek.schemas import STORED_COLUMNS, STORED_SCHEMA
 from lodeseek.workspace import spread
 
 KINDS = ("function", "method", "class", "impl", "module", "section")
@@ -158,8 +159,24 @@ def incoming_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_stored(texts.withColumn("text", changed.otherwise(F.col("text"))))
 
 
-def _as_stored(texts: DataFrame) -> DataFrame:
-    symbol = tx.file_stem(F.col("path"))
+def renamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled documents, toxic ones under another symbol and thus another id."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    docs = document_texts(spark, sf_dir).join(labels, "doc_id")
+    symbol = F.when(F.col("toxic") == 1, F.lit("toxic")).otherwise(tx.file_stem(F.col("path")))
+    return _as_stored(docs, symbol)
+
+
+def all_columns(rows: DataFrame) -> DataFrame:
+    """Rows of a chunk table with nulls for what they do not have."""
+    missing = [f for f in STORED_SCHEMA.fields if f.name not in rows.columns]
+    return rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).select(
+        *STORED_COLUMNS
+    )
+
+
+def _as_stored(texts: DataFrame, symbol: Column | None = None) -> DataFrame:
+    symbol = tx.file_stem(F.col("path")) if symbol is None else symbol
     line = F.lit(1)
     return texts.select(
         chunk_id(F.col("path"), symbol, line).alias("id"),
