@@ -284,11 +284,16 @@ SELECT id, symbol, round(distance, 6) AS distance FROM d ORDER BY d.distance, id
 SELECT id, path, lang, round(distance, 6) AS distance FROM d
 WHERE lang = 'typescript' AND starts_with(path, 'lib3/') ORDER BY d.distance, id LIMIT 10""",
     "knn_batch": f"""WITH {VECTORS},
-qs AS (SELECT label AS query_id, arg_min(vec, id) AS qv FROM v GROUP BY label),
+qs AS (SELECT id AS query_id, vec AS qv FROM v WHERE id % 20 = 0),
 nd AS (SELECT query_id, id, list_distance(vec, qv) ** 2 AS x FROM v CROSS JOIN qs)
 SELECT query_id, id, round(x, 6) AS distance,
        row_number() OVER (PARTITION BY query_id ORDER BY x, id)::INT AS rank
 FROM nd QUALIFY rank <= 10""",
+    "knn_all": f"""WITH {VECTORS},
+nd AS (SELECT q.id AS query_id, v.id, list_distance(v.vec, q.vec) ** 2 AS x FROM v CROSS JOIN v AS q)
+SELECT query_id, id, round(x, 6) AS distance,
+       row_number() OVER (PARTITION BY query_id ORDER BY x, id)::INT AS rank
+FROM nd QUALIFY rank <= 3""",
     "rerank_hits": f"""WITH {VECTORS},
 near AS (SELECT * FROM d ORDER BY distance, id LIMIT 60),
 scored AS (SELECT *, {_rerank(QUERY_TOKENS)} AS score FROM near)

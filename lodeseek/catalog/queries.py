@@ -21,7 +21,7 @@ from lodeseek.operators.pack import pack_piece
 from lodeseek.operators.rank import nearest, nearest_to_each, rerank, squared_l2
 from lodeseek.operators.structural import structural_search
 from lodeseek.plans.index import chunk_table, index_contents, index_in_parts, write_skip_log
-from lodeseek.plans.search import prefilter, semantic_search_each
+from lodeseek.plans.search import prefilter, search_stored_each, semantic_search_each
 from lodeseek.plans.search import semantic_search as search_stored
 from lodeseek.plans.store import ChunkTable
 from lodeseek.sources import tables as tb
@@ -76,14 +76,22 @@ def knn_filtered(spark, sf_dir):
 
 @query
 def knn_batch(spark, sf_dir):
-    chunks = tb.vector_chunks(spark, sf_dir).select("id", "label", "vector")
-    queries = chunks.groupBy(F.col("label").alias("query_id")).agg(
-        F.min_by("vector", "id").alias("vector")
-    )
+    """The nearest of every twentieth vector."""
+    chunks = tb.vector_chunks(spark, sf_dir).select("id", "vector")
+    queries = chunks.where(F.col("id") % 20 == 0).withColumnRenamed("id", "query_id")
     near = nearest_to_each(chunks, queries, 10)
     return near.select("query_id", "id", six("_distance").alias("distance"), "rank")
 
 
+@query
+def knn_all(spark, sf_dir):
+    """The nearest of every vector, in blocks of queries within one job."""
+    chunks = tb.vector_chunks(spark, sf_dir).select("id", "vector")
+    queries = chunks.withColumnRenamed("id", "query_id")
+    near = nearest_to_each(chunks, queries, 3, block_bytes=100_000)
+    return near.select("query_id", "id", six("_distance").alias("distance"), "rank")
+
+
 @query
 def rerank_hits(spark, sf_dir):
     chunks = tb.vector_chunks(spark, sf_dir)
@@ -121,11 +129,17 @@ def semantic_search(spark, sf_dir):
     return _five_best(spark, sf_dir, saved(rows, work_path(spark, "chunks")))
 
 
-def _five_best(spark, sf_dir, rows: DataFrame) -> DataFrame:
-    queries = tb.table(spark, sf_dir, "benchmark").select(
+def _benchmark_queries(spark, sf_dir) -> DataFrame:
+    return tb.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
-    hits = semantic_search_each(queries, rows, HASHED, k=5)
+
+
+def _five_best(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    return _five(semantic_search_each(_benchmark_queries(spark, sf_dir), rows, HASHED, k=5))
+
+
+def _five(hits: DataFrame) -> DataFrame:
     return hits.select(
         "query_id",
         "rank",
@@ -546,9 +560,7 @@ def stored_search(spark, sf_dir):
 def stored_search_each(spark, sf_dir):
     """Every benchmark text against the stored chunks."""
     cfg, _ = first_index(spark, sf_dir, "stored-each")
-    rows = chunk_table(spark, cfg).rows()
-    rows = rows.select("id", "path", "symbol", "kind", "start_line", "vector")
-    return _five_best(spark, sf_dir, rows)
+    return _five(search_stored_each(spark, cfg, _benchmark_queries(spark, sf_dir), k=5))
 
 
 @query

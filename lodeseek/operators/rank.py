@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from typing import Any
 
@@ -13,7 +14,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodeseek.functions.tokens import symbol_tokens
-from lodeseek.workspace import saved, work_path
 
 # Factors on the distance, lower is better.
 FUNCTION_FACTOR = 0.85
@@ -25,7 +25,7 @@ COVERAGE_HALF_FACTOR = 0.92
 # Fixed value: candidates fetched per wanted hit before the second ranking.
 OVERFETCH = 3
 
-# Query vectors held by one task at a time. Larger query sets take turns.
+# Query vectors held by one task, and at most so many go by way of the driver.
 QUERY_BLOCK_BYTES = 64 << 20
 
 
@@ -108,6 +108,18 @@ def _task_top_k(queries: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]):
     return ids, dist
 
 
+def _hits(names: list, queries: np.ndarray, k: int, batches, arrow: pa.Schema):
+    """Each query's nearest of some batches, as rows."""
+    ids, dist = _task_top_k(queries, k, batches)
+    for q, found in enumerate(ids):
+        if found is not None:
+            columns = [[names[q]] * len(found), found.tolist(), dist[q]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)],
+                schema=arrow,
+            )
+
+
 def _nearest_to_block(
     rows: DataFrame, block: list[tuple[Any, list[float]]], k: int, schema: T.StructType
 ) -> DataFrame:
@@ -116,18 +128,63 @@ def _nearest_to_block(
     arrow = to_arrow_schema(schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, dist = _task_top_k(vectors, k, batches)
-        for q, found in enumerate(ids):
-            if found is not None:
-                columns = [[names[q]] * len(found), found.tolist(), dist[q]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)],
-                    schema=arrow,
-                )
+        yield from _hits(names, vectors, k, batches, arrow)
 
     return rows.mapInArrow(search, schema)
 
 
+def _nearest_to_blocks(
+    rows: DataFrame, queries: DataFrame, blocks: int, k: int, schema: T.StructType
+) -> DataFrame:
+    """The same for any number of query blocks, in one job and without the driver.
+
+    Rows are dealt into as many shares as there are cores, queries into blocks; a task gets
+    one share and one block, the block's queries first. Each row is sent once per block,
+    each query once per share.
+    """
+    shares = max(1, rows.sparkSession.sparkContext.defaultParallelism // 2)
+    key, vector = rows.columns
+    none = F.lit(None)
+    data = rows.select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        F.pmod(F.xxhash64(key), F.lit(shares)).cast("int").alias("share"),
+        F.lit(1).alias("kind"),
+        none.cast(schema["query_id"].dataType).alias("query_id"),
+        F.col(key).alias("key"),
+        F.col(vector).alias("vector"),
+    )
+    asked = queries.select(
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"),
+        F.lit(0).alias("kind"),
+        "query_id",
+        none.cast(schema[1].dataType).alias("key"),
+        F.col("vector").cast(rows.schema[vector].dataType).alias("vector"),
+    )
+    arrow = to_arrow_schema(schema)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = [], []
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            n = int(np.searchsorted(batch.column(2).to_numpy(), 1))
+            if n:
+                asks = batch.slice(0, n)
+                names += asks.column(3).to_pylist()
+                held += asks.column(5).to_pylist()
+            if n < batch.num_rows:
+                rest = [batch.slice(n)]
+                break
+        if not names:
+            return
+        data = (b.select([4, 5]) for b in itertools.chain(rest, batches))
+        yield from _hits(names, np.asarray(held, dtype=np.float64), k, data, arrow)
+
+    place = (F.col("block") * shares + F.col("share")).cast("int")
+    dealt = data.unionByName(asked).repartitionById(blocks * shares, place)
+    return dealt.sortWithinPartitions("kind").mapInArrow(search, schema)
+
+
 def nearest_to_each(
     rows: DataFrame,
     queries: DataFrame,
@@ -138,10 +195,10 @@ def nearest_to_each(
 ) -> DataFrame:
     """(query_id, key, _distance, rank) of the k nearest rows of every query.
 
-    `queries` has (query_id, vector). The queries go to the data, never the
-    data to the queries: one scan serves a whole block of them and each task
-    returns at most k rows per query. A query set over the byte limit is run
-    block by block, each block's hits written out before the next is read.
+    `queries` has (query_id, vector). A query set of up to `block_bytes` goes to the data:
+    one scan without a shuffle, of which each task returns at most k rows per query. A
+    larger one is dealt into blocks of about that size, and tasks pair a block with a
+    share of the rows, all in one job.
     """
     schema = T.StructType(
         [
@@ -152,25 +209,14 @@ def nearest_to_each(
     )
     slim = rows.select(key, vector)
     usable = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
-    size = usable.agg(F.sum(F.size("vector") * 8).alias("n"), F.max(F.size("vector"))).first()
-    if size[0] is None:
+    size = usable.agg(F.sum(F.size("vector") * 8)).first()[0]
+    if size is None:
         return slim.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    blocks = -(-size[0] // block_bytes)
-    parts = []
-    for i in range(blocks):
-        # A hash block may run over its even share, but only by a small factor.
-        mine = usable.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        block = [(r["query_id"], r["vector"]) for r in mine.collect()]
-        if not block:
-            continue
-        hits = _ranked(_nearest_to_block(slim, block, k, schema), k, key)
-        if blocks > 1:
-            hits = saved(hits, work_path(slim.sparkSession, "nearest"))
-        parts.append(hits)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    blocks = -(-size // block_bytes)
+    if blocks > 1:
+        return _ranked(_nearest_to_blocks(slim, usable, blocks, k, schema), k, key)
+    block = [(r["query_id"], r["vector"]) for r in usable.collect()]
+    return _ranked(_nearest_to_block(slim, block, k, schema), k, key)
 
 
 def _ranked(hits: DataFrame, k: int, key: str) -> DataFrame:

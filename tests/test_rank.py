@@ -113,3 +113,14 @@ def test_top_k_needs_no_full_sort(spark):
     _, df = vectors(spark)
     plan = nearest(df, [0.0] * 8, 3)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_blocks_of_queries_are_one_plan(spark):
+    _, df = vectors(spark)
+    _, queries = vectors(spark, n=40, seed=3)
+    queries = queries.withColumnRenamed("id", "query_id")
+    plan = nearest_to_each(df, queries, 3, block_bytes=500)._jdf.queryExecution().executedPlan().toString()
+    # One exchange deals rows and queries out, one brings the hits of a query together.
+    assert plan.count("MapInArrow") == 1 and "Union" in plan and "BroadcastExchange" not in plan
+    narrow = spark.createDataFrame([("q", None), ("r", [1.0, 2.0])], "query_id string, vector array<float>")
+    assert nearest_to_each(df, narrow, 3, block_bytes=4).count() == 0

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from lodeseek.operators.lexical import is_binary, lexical_search
 from lodeseek.operators.token_match import pattern_tokens, token_hits
 from lodeseek.operators.structural import parse_pattern, python_hits, required_words, structural_search
+from lodeseek.plans import index as ix
+from lodeseek.plans.search import search_stored_each, semantic_search
 
 TEXTS = [
     ("a.py", "python", "x = 1\ndef foo():\n    return foo_bar(x)\n"),
@@ -160,3 +162,17 @@ def test_bad_patterns():
     with pytest.raises(ValueError):
         parse_pattern("")
     assert required_words("foo($A, bar.baz, 'txt')") == ["bar", "baz", "foo"]
+
+
+def test_searches_of_many_texts_open_the_winners_buckets_only(spark, project):
+    files = {f"src/m{i}.py": f"def fee_{i}(x):\n    return x + {i}\n" for i in range(12)}
+    cfg = project(files)
+    ix.index_repo(spark, cfg)
+    queries = spark.createDataFrame([(1, "fee_3"), (2, "fee_7"), (3, None), (4, " ")], "query_id int, query string")
+    hits = search_stored_each(spark, cfg, queries, k=1, use_rerank=False)
+    got = {r["query_id"]: r["path"] for r in hits.collect()}
+    single = {q: semantic_search(spark, cfg, t, 1, use_rerank=False).first()["path"] for q, t in ((1, "fee_3"), (2, "fee_7"))}
+    assert got == single
+    opened = {f.split("bucket=")[1].split("/")[0] for f in hits.inputFiles() if "bucket=" in f}
+    assert 1 <= len(opened) <= 2
+    assert search_stored_each(spark, cfg, queries, lang="rust").count() == 0
