@@ -36,6 +36,8 @@ def numbered_pieces(pieces: Column, first_line: Column) -> Column:
     """(text, start_line, end_line) of pieces that follow one another without a gap.
 
     A piece that ends inside a line leaves the next one in that line. NULL stays NULL.
+    Marked as nondeterministic: of an array that is exploded, the optimizer would infer a
+    filter and evaluate it a second time below any exchange, on as few cores as the scan has.
     """
-    number = F.arrow_udf("array<struct<text:string,start_line:int,end_line:int>>")(_numbered)
+    number = F.arrow_udf("array<struct<text:string,start_line:int,end_line:int>>")(_numbered).asNondeterministic()
     return number(pieces, first_line)
