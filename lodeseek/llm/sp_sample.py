@@ -152,8 +152,9 @@ class Lattice:
     """Edges by start; places are ordered by their distance from the word's end.
 
     ``begin``: place of each word's start; ``first``: first edge of each place (one
-    more: the end); per edge: ``end`` place, probability ``p``, its sums ``upto`` among
-    the edges of the place, and where its ids stand in ``ids``.
+    more: the end); per edge: ``end`` place, probability ``p``, its logarithm and that of
+    1 - p, the sums ``upto`` of p among the edges of the place, and where its ids stand in
+    ``ids``.
     """
 
     begin: np.ndarray
@@ -161,23 +162,33 @@ class Lattice:
     first: np.ndarray
     end: np.ndarray
     p: np.ndarray
+    log: np.ndarray
+    log_rest: np.ndarray
     upto: np.ndarray
     ids: np.ndarray
     id_starts: np.ndarray
     id_of: np.ndarray
 
 
+def _joined(words: pa.Array) -> str:
+    """All words one after another, as they lie in the array."""
+    if not len(words):
+        return ""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32)[[words.offset, words.offset + len(words)]]
+    return data.slice(int(at[0]), int(at[1] - at[0])).to_pybytes().decode() if data else ""
+
+
 def build(words: pa.Array, v: Vocabulary) -> Lattice:
     """The lattice of distinct words."""
-    text = words.to_pylist()
-    lengths = np.array([len(w) for w in text], np.int64)
+    lengths = pc.utf8_length(words).to_numpy().astype(np.int64)
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     total = int(ends[-1]) + 1 if len(ends) else 0
     points = np.full(total, _END, np.int64)
     inside = np.ones(total, bool)
     inside[ends] = False
-    points[inside] = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points[inside] = np.frombuffer(_joined(words).encode("utf-32-le"), np.uint32)
     distance = np.repeat(ends, lengths + 1) - np.arange(total)
 
     # Pieces from every place, longer and longer.
@@ -246,7 +257,12 @@ def build(words: pa.Array, v: Vocabulary) -> Lattice:
         slot = first[:-1][count > j] + j
         upto[slot] += upto[slot - 1]
     upto[first[1:][count > 0] - 1] = np.inf
-    return Lattice(rank[starts], sorted_distance, first, end, prob, upto, ids, id_starts, id_of)
+    log = np.log(np.maximum(prob, 1e-300))
+    with np.errstate(divide="ignore"):
+        log_rest = np.log1p(-np.minimum(prob, 1.0))
+    return Lattice(
+        rank[starts], sorted_distance, first, end, prob, log, log_rest, upto, ids, id_starts, id_of
+    )
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -316,8 +332,7 @@ def _open(
     The sets left later and later have ever less mass. Once k nodes lie above what the
     mass still ahead can reach with the largest variable, the rest is never needed.
     """
-    p = lattice.p[path]
-    log = np.log(np.maximum(p, 1e-300))
+    log, log_rest = lattice.log[path], lattice.log_rest[path]
     upto = np.cumsum(log)
     with np.errstate(over="ignore"):
         place = _U(text.seed) ^ (_U(turn + 1) * _NODE)
@@ -325,7 +340,7 @@ def _open(
     def values(stop: int) -> tuple[np.ndarray, np.ndarray]:
         own = slice(since, stop)
         with np.errstate(divide="ignore", over="ignore"):
-            mass = (upto - log)[own] + np.log1p(-np.minimum(p[own], 1.0))
+            mass = (upto - log)[own] + log_rest[own]
             h = place + np.arange(since, stop, dtype=np.uint64) * _STEP
         shifted = mass + _gumbel(_uniform(h))
         return shifted, np.where(np.isfinite(mass), -np.logaddexp(-bound, -shifted), -np.inf)
@@ -366,7 +381,7 @@ def _branch(lattice: Lattice, text: Text, turn: int) -> bool:
     used = text.left.setdefault((j, t), [int(path[t])])
     place = int(np.searchsorted(lattice.first, path[t], side="right")) - 1
     edges = np.arange(lattice.first[place], lattice.first[place + 1])
-    free = edges[~np.isin(edges, used)]
+    free = edges[(edges[:, None] != used).all(1)]
     p = lattice.p[free]
     with np.errstate(over="ignore"):
         base = _U(text.seed) + _U(turn) * _SAMPLE
@@ -421,7 +436,10 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         borders = np.cumsum([0, *map(len, parts)])
         coded = pa.array([w for p in parts for w in p], pa.string()).dictionary_encode()
     else:
-        marked = pc.replace_substring_regex(texts, f"{BLANK}+", f"{mark}\\0")
+        if BLANK + BLANK in joined:
+            marked = pc.replace_substring_regex(texts, f"{BLANK}+", f"{mark}\\0")
+        else:
+            marked = pc.replace_substring(texts, BLANK, mark + BLANK)
         split = pc.split_pattern(marked, mark)
         flat = split.flatten()
         filled = pc.binary_length(flat).to_numpy() > 0
@@ -458,14 +476,18 @@ def sample_texts(
         if not going:
             break
         _finish(lattice, going, turn, [[] for _ in going], k)
-    out = []
+    paths = [path for text in searches for path in text.paths]
+    edges = np.concatenate(paths) if paths else np.empty(0, np.int64)
+    ids, starts = gather(lattice.ids, lattice.id_starts, lattice.id_of[edges])
+    stops = starts[np.cumsum([len(path) for path in paths], dtype=np.int64)].tolist()
+    out, at, j = [], 0, 0
     for text in searches:
         threshold = _best(text)[0]
         rows = []
-        for path, log, value in zip(text.paths, text.logs, text.values, strict=True):
-            ids, _ = gather(lattice.ids, lattice.id_starts, lattice.id_of[path])
+        for log, value in zip(text.logs, text.values, strict=True):
             score = float(-np.expm1(-np.exp(log - threshold))) if np.isfinite(threshold) else 1.0
-            rows.append((ids, log, value, score))
+            rows.append((ids[at : stops[j]], log, value, score))
+            at, j = stops[j], j + 1
         out.append(rows)
     return out
 
