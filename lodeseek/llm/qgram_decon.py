@@ -173,15 +173,15 @@ def candidates(
     owner = np.repeat(owner, n)
     # Each diagonal lies in two bands, the one that begins at it or before and the one before.
     band = diagonal // (index.edits[window] + 1)
-    owner, window = np.tile(owner, 2), np.tile(window, 2)
-    band = np.concatenate((band, band - 1))
-    order = np.lexsort((band, window, owner))
-    owner, window, band = owner[order], window[order], band[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(owner) != 0) | (np.diff(window) != 0) | (np.diff(band) != 0)
-    starts = np.flatnonzero(new)
-    count = np.diff(np.append(starts, len(order)))
-    owner, window, band = owner[starts], window[starts], band[starts]
+    # One number names text, window and band: they are of one slice, and far from 2**63.
+    span = int(band.max()) + 2 if len(band) else 1
+    key = (owner * len(index.sizes) + window) * span + band
+    key = np.concatenate((key, key + 1))
+    key.sort()
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else key
+    count = np.diff(np.append(starts, len(key)))
+    band = key[starts] % span - 1
+    owner, window = np.divmod(key[starts] // span, len(index.sizes))
     sizes, edits = index.sizes[window], index.edits[window]
     enough = count >= np.maximum(1, sizes - Q + 1 - Q * edits)
     owner, window, band = owner[enough], window[enough], band[enough]
