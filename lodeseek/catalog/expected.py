@@ -477,6 +477,13 @@ SELECT {ROW_ID} AS id, path, sha256(content) AS content_hash FROM stored""",
 WHERE path NOT IN (SELECT path FROM incoming)
 UNION ALL SELECT {CHUNK_ID}, path, symbol, content_hash FROM second_run WHERE {HAS_WORDS}"""
     ),
+    "change_apply": _second_run(
+        f"""SELECT {CHUNK_ID} AS id, path, symbol, content_hash FROM first_run
+WHERE path NOT IN (SELECT path FROM incoming)
+UNION ALL SELECT {CHUNK_ID}, path, symbol, content_hash FROM second_run WHERE {HAS_WORDS}
+AND path NOT IN (SELECT {DOC_PATH} FROM documents JOIN labels USING (doc_id)
+                 WHERE quality = 0 AND coalesce(toxic, 0) = 0)"""
+    ),
     "index_stats": _second_run(
         f"""SELECT (SELECT count(*) FROM incoming) AS files,
        (SELECT count(*) FROM second_run) AS chunks,

@@ -27,7 +27,12 @@ from lodeseek.plans.store import ChunkTable
 from lodeseek.sources import tables as tb
 from lodeseek.sources.git import union_changes
 from lodeseek.sources.repo import list_modules
-from lodeseek.streaming.watch import latest_changes, listing_changes, stream_latest_changes
+from lodeseek.streaming.watch import (
+    apply_changes,
+    latest_changes,
+    listing_changes,
+    stream_latest_changes,
+)
 from lodeseek.workspace import saved, work_path
 
 # Fixed parameters of the registered queries; the expected results use the same.
@@ -572,6 +577,22 @@ def index_update(spark, sf_dir):
     return chunk_table(spark, cfg).rows().select("id", "path", "symbol", "content_hash")
 
 
+@query
+def change_apply(spark, sf_dir):
+    """The table after a batch of changes: poor pages go, other labelled ones are read again.
+
+    The batch comes twice; the second time it is already there.
+    """
+    cfg, _ = first_index(spark, sf_dir, "change-apply")
+    files = _reviewed_files(spark, sf_dir)
+    changes = tb.label_changes(spark, sf_dir)
+    for _ in range(2):
+        apply_changes(
+            spark, cfg, changes, ("labels", 0), lambda live: files.join(live, "path", "left_semi")
+        )
+    return chunk_table(spark, cfg).rows().select("id", "path", "symbol", "content_hash")
+
+
 @query
 def index_stats(spark, sf_dir):
     """The counters of that second run."""

@@ -68,6 +68,7 @@ def index_contents(
     contents: DataFrame,
     use_cache: bool = False,
     work: str | None = None,
+    batch: tuple[str, int] | None = None,
 ) -> DataFrame:
     """Index (path, size, content) rows and commit them; returns the saved run.
 
@@ -82,7 +83,7 @@ def index_contents(
         work or work_path(spark, "run"),
     )
     stored = table.read(table.touched(files)).select("path", "id")
-    table.change(fresh_rows(run), stale_keys(stored, files.select("path"), run))
+    table.change(fresh_rows(run), stale_keys(stored, files.select("path"), run), batch)
     return run
 
 

@@ -20,6 +20,9 @@ yet. When buckets hold over ``bucket_rows`` rows on average, as many are added a
 takes, and only the buckets that they part from are rewritten. So a bucket stays within a
 factor of two of the others however the table grows, and no growth rewrites it all.
 
+**Batches.** A commit may name the stream and the number of the batch that it applies.
+A batch whose number the table has already seen of that stream is not applied again.
+
 Readers see a commit whole or not at all: a job that dies halfway leaves files that no
 record refers to. Every commit writes into folders of its own, so that of two writers
 which began with the same state the second fails at its record and harms nothing. There
@@ -31,7 +34,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +85,7 @@ class State:
     base: int
     buckets: int
     of: dict[int, Bucket] = field(default_factory=dict)
+    applied: dict[str, int] = field(default_factory=dict)  # stream -> its last batch
 
     @property
     def live(self) -> int:
@@ -94,7 +98,7 @@ class State:
     def apply(self, entries: list[dict]) -> None:
         """What a commit did: its entries hold a bucket's new pieces and numbers."""
         for e in entries:
-            self.base, self.buckets = e["base"], e["buckets"]
+            self.base, self.buckets, self.applied = e["base"], e["buckets"], e["applied"]
             if e["bucket"] < 0:
                 continue
             if e["whole"] or e["bucket"] not in self.of:
@@ -114,6 +118,7 @@ def _entry(state: State, bucket: int, b: Bucket, rows, deletes, whole: bool) ->
     return {
         "base": state.base,
         "buckets": state.buckets,
+        "applied": state.applied,
         "bucket": bucket,
         "rows": rows,
         "deletes": deletes,
@@ -270,13 +275,26 @@ class ChunkTable:
         if not self.exists():
             self._record(0, State(self._new_buckets, self._new_buckets), [])
 
-    def change(self, rows: DataFrame | None, keys: DataFrame | None) -> int:
+    def has_batch(self, batch: tuple[str, int]) -> bool:
+        """Whether the table has this batch (stream, number) of a stream, or a later one."""
+        return self._current().applied.get(batch[0], -1) >= batch[1]
+
+    def change(
+        self,
+        rows: DataFrame | None,
+        keys: DataFrame | None,
+        batch: tuple[str, int] | None = None,
+    ) -> int:
         """Commit new `rows`, and take away the stored rows that `keys` (path, id) name.
 
         A key without an id names all rows of its path. Both tables are read more than
-        once. Returns the number of new rows.
+        once. A `batch` that the table has is left alone. Returns the number of new rows.
         """
+        if batch and self.has_batch(batch):
+            return 0
         state = self._current()
+        if batch:
+            state = replace(state, applied={**state.applied, batch[0]: batch[1]})
         commit, gen = self._next_commit(), uuid.uuid4().hex
         work = work_path(self.spark, "change")
         try:
@@ -306,7 +324,7 @@ class ChunkTable:
                 place = [(commit, gen)]
                 deletes = place if b in hits and b not in whole else []
                 entries.append(_entry(state, b, new, place if n else [], deletes, b in whole))
-            if entries:
+            if entries or batch:
                 self._record(commit, state, entries)
                 self._tend()
         finally:
@@ -422,7 +440,7 @@ class ChunkTable:
         state = self._current()
         parents = {linear_home(b, state.base, state.buckets) for b in range(state.buckets, wanted)}
         sources = {b for b in {*buckets, *parents} if b in state.of}
-        after = State(state.base, wanted)
+        after = State(state.base, wanted, applied=state.applied)
         commit, gen = self._next_commit(), uuid.uuid4().hex
         counts: dict[int, int] = {}
         if any(state.of[b].live for b in sources):

@@ -150,14 +150,16 @@ def read_contents(files: DataFrame, root: str | Path, max_bytes: int | None = No
 
     Only names are shuffled: an even spread of the listing gives every task
     about as many files, however the tree groups them. Files that the listing
-    shows as oversize are never opened. The listing is measured first, so pass
+    shows as oversize are left out; of a listing without sizes they give their size
+    and no content, and are not read either. The listing is measured first, so pass
     one that is cheap to read twice.
     """
     base = str(root)
     wanted = files
-    if max_bytes is not None:
+    measured = "size" in files.columns
+    if max_bytes is not None and measured:
         wanted = files.where(F.col("size") <= max_bytes)
-    size = F.sum("size") if "size" in files.columns else F.lit(0)
+    size = F.sum("size") if measured else F.lit(0)
     total = wanted.agg(F.count("*").alias("n"), F.coalesce(size, F.lit(0)).alias("b")).first()
     need = max(-(-total["b"] // BYTES_PER_TASK), -(-total["n"] // FILES_PER_TASK), 1)
     tasks = min(need, MAX_TASKS)
@@ -169,6 +171,10 @@ def read_contents(files: DataFrame, root: str | Path, max_bytes: int | None = No
             for path in batch.column(0).to_pylist():
                 try:
                     with open(os.path.join(base, path), "rb") as f:
+                        size = os.fstat(f.fileno()).st_size
+                        if max_bytes is not None and not measured and size > max_bytes:
+                            rows.append({"path": path, "size": size, "content": None})
+                            continue
                         content = f.read()
                 except FileNotFoundError:
                     continue

@@ -159,6 +159,18 @@ def incoming_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_stored(texts.withColumn("text", changed.otherwise(F.col("text"))))
 
 
+def label_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as changes: documents that are poor but not toxic are deleted, others modified."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    gone = (F.col("quality") == 0) & (F.coalesce("toxic", F.lit(0)) == 0)
+    return document_texts(spark, sf_dir).join(labels, "doc_id").select(
+        F.when(gone, "deleted").otherwise("modified").alias("change"),
+        "path",
+        F.timestamp_seconds(F.lit(0)).alias("ts"),
+        F.col("doc_id").alias("seq"),
+    )
+
+
 def renamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled documents, toxic ones under another symbol and thus another id."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")

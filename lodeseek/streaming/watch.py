@@ -9,6 +9,7 @@ checkpointed and changes made while nobody was watching are caught up.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodeseek.config import Config
 from lodeseek.functions.globs import selected
-from lodeseek.plans.index import discover_files, index_contents
+from lodeseek.plans.index import chunk_table, discover_files, index_contents
 from lodeseek.schemas import CHANGE_SCHEMA, FILE_SCHEMA
 from lodeseek.sources.repo import read_contents, submodule_globs
 from lodeseek.workspace import discard, saved, work_path
@@ -93,12 +94,24 @@ def record_changes(
     return spark.read.schema(CHANGE_SCHEMA).json(log_path).where(F.col("seq") == step)
 
 
-def apply_changes(spark: SparkSession, cfg: Config, changes: DataFrame) -> None:
-    """Bring the table up to date with one batch of changes.
+def apply_changes(
+    spark: SparkSession,
+    cfg: Config,
+    changes: DataFrame,
+    batch: tuple[str, int] | None = None,
+    read: Callable[[DataFrame], DataFrame] | None = None,
+) -> bool:
+    """Bring the table up to date with one batch of changes; whether it was not there yet.
 
     Deleted and vanished files lose their rows and the others are replaced, in
-    one commit; files over `index.max_file_bytes` keep theirs. A batch that is replayed after a failure gives the same table.
+    one commit; files over `index.max_file_bytes` keep theirs and are not opened. A commit
+    records the `batch` (stream, number), so that a replayed one is left out whole. `read`
+    gives (path, size, content) of (path, ..), by default from the source tree.
     """
+    if batch and chunk_table(spark, cfg).has_batch(batch):
+        return False
+    limit = cfg.index.max_file_bytes
+    read = read or (lambda live: read_contents(live, cfg.target, limit))
     include = cfg.index.include_globs
     exclude = [*cfg.index.exclude_globs, *submodule_globs(cfg.target)]
     ours = changes.where(selected(F.col("path"), include, exclude))
@@ -106,12 +119,15 @@ def apply_changes(spark: SparkSession, cfg: Config, changes: DataFrame) -> None:
     try:
         latest = saved(latest_changes(ours), f"{work}/latest")
         live = latest.where(F.col("change") != "deleted")
-        read = saved(read_contents(live, cfg.target), f"{work}/contents")
-        contents = read.where(F.col("size") <= cfg.index.max_file_bytes)
-        over = read.where(F.col("size") > cfg.index.max_file_bytes).select("path")
+        found = saved(read(live), f"{work}/contents")
+        contents = found.where(F.col("size") <= limit)
+        over = found.where(F.col("size") > limit).select("path")
         latest = latest.join(over, "path", "left_anti")
         # A restart or a touched file asks for no vector again where the content is the same.
-        index_contents(spark, cfg, latest, contents, use_cache=True, work=f"{work}/run")
+        index_contents(
+            spark, cfg, latest, contents, use_cache=True, work=f"{work}/run", batch=batch
+        )
+        return True
     finally:
         discard(spark, work)
 
@@ -123,12 +139,16 @@ def watch_changes(
     checkpoint: str,
     once: bool = False,
 ) -> StreamingQuery:
-    """Start following the change log. Stop it with `query.stop()`."""
+    """Start following the change log. Stop it with `query.stop()`.
+
+    Each batch is applied once: its number goes into the commit, beside the checkpoint's
+    place, which names the stream.
+    """
     stream = spark.readStream.schema(CHANGE_SCHEMA).json(log_path)
 
-    def apply(batch: DataFrame, _batch_id: int) -> None:
+    def apply(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            apply_changes(batch.sparkSession, cfg, batch)
+            apply_changes(batch.sparkSession, cfg, batch, (checkpoint, batch_id))
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     if once:

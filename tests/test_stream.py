@@ -119,3 +119,38 @@ def test_changes_that_were_not_logged_are_logged_by_the_next_run(spark, project,
     wt.discover_files(spark, cfg).write.parquet(f"{work}/state/step=1")
     again = wt.record_changes(spark, cfg, f"{work}/log", f"{work}/state", 2)
     assert [(r["change"], r["path"]) for r in again.collect()] == [("added", "b.py")]
+
+
+def test_a_batch_is_applied_once(spark, project, tmp_path_factory):
+    cfg = project({"a.py": "def a(): pass", "b.py": "def b(): pass"})
+    ix.index_repo(spark, cfg)
+    root = Path(cfg.target)
+    changes = spark.createDataFrame(
+        [("deleted", "a.py", None, 1), ("modified", "b.py", None, 2)], wt.CHANGE_SCHEMA
+    )
+    (root / "b.py").write_text("def b2(): pass")
+    assert wt.apply_changes(spark, cfg, changes, ("log", 4))
+    before = ix.chunk_table(spark, cfg)._current()
+    assert before.applied == {"log": 4} and paths(spark, cfg) == ["b.py"]
+    (root / "a.py").write_text("def a(): pass")
+    (root / "b.py").write_text("def b3(): pass")
+    # Replayed and older batches leave the table as it is; the next one does not.
+    for n in (4, 3):
+        assert not wt.apply_changes(spark, cfg, changes, ("log", n))
+    assert ix.chunk_table(spark, cfg)._current() == before
+    added = spark.createDataFrame([("added", "a.py", None, 3)], wt.CHANGE_SCHEMA)
+    assert wt.apply_changes(spark, cfg, added, ("log", 5))
+    assert wt.apply_changes(spark, cfg, added, ("other", 0))
+    state = ix.chunk_table(spark, cfg)._current()
+    assert state.applied == {"log": 5, "other": 0} and paths(spark, cfg) == ["a.py", "b.py"]
+    ix.chunk_table(spark, cfg).compact()
+    assert ix.chunk_table(spark, cfg)._current().applied == state.applied
+
+
+def test_a_large_file_is_not_opened(spark, project):
+    cfg = project({"a.py": "def a(): pass"}, max_file_bytes=100)
+    ix.index_repo(spark, cfg)
+    (Path(cfg.target) / "a.py").write_text("def big(): pass\n" * 50)
+    changes = spark.createDataFrame([("modified", "a.py", None, 1)], wt.CHANGE_SCHEMA)
+    assert wt.apply_changes(spark, cfg, changes)
+    assert [r["symbol"] for r in ix.chunk_table(spark, cfg).rows().collect()] == ["a"]
