@@ -221,30 +221,35 @@ def removed_lines(docs: DataFrame, folder: str) -> DataFrame:
 def dedup_lines(docs: DataFrame, folder: str, drop_empty: bool = False) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``, and their number as ``_removed``.
 
-    With ``drop_empty``, rows go that lost lines and have only blank ones left, and
+    Where the table has a column of that name, the number's gets one more ``_``. With ``drop_empty``, rows go that lost lines and have only blank ones left, and
     the columns are those of ``docs``.
     """
-    gone = saved(removed_lines(docs, folder), f"{folder}/removed").select(
-        F.col("id").alias("_line_id"), F.col("mark").alias("_line_mark"), "removed"
-    )
-    own = docs.withColumns({"_line_id": _id(), "_line_mark": F.xxhash64("text")})
-    joined = own.join(
-        gone.withColumnRenamed("removed", "_line_gone"), ["_line_id", "_line_mark"], "left"
+    gone = saved(removed_lines(docs, folder), f"{folder}/removed")
+    # The columns of the table go along in one, so that no name of theirs can clash.
+    own = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"),
+        F.col("text"),
+        _id().alias("id"),
+        F.xxhash64("text").alias("mark"),
     )
-    lines = F.split("text", "\n", -1)
-    numbers = F.sequence(F.lit(0), F.size("_line_all") - 1)
+    joined = own.join(gone, ["id", "mark"], "left")
+    lines = F.when(F.col("removed").isNotNull(), F.split("text", "\n", -1))
+    numbers = F.sequence(F.lit(0), F.size("lines") - 1)
     kept = F.transform(
-        F.array_except(numbers, F.col("_line_gone")), lambda i: F.get(F.col("_line_all"), i)
+        F.array_except(numbers, F.col("removed")), lambda i: F.get(F.col("lines"), i)
     )
-    rest = F.array_join(kept, "\n")
-    text = F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(rest)
-    touched = F.when(F.col("_line_gone").isNotNull(), lines)
-    out = joined.withColumn("_line_all", touched).withColumn("_line_text", text)
+    rest = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = joined.withColumn("lines", lines).withColumn("rest", rest)
     if drop_empty:
-        out = out.where(F.col("_line_gone").isNull() | F.col("_line_text").rlike(_VISIBLE.replace("^", r"^\n")))
+        visible = _VISIBLE.replace("^", r"^\n")
+        out = out.where(F.col("removed").isNull() | F.col("rest").rlike(visible))
     columns = [
-        F.col("_line_text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns
+        F.col("rest").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c)
+        for c in docs.columns
     ]
     if not drop_empty:
-        columns.append(F.coalesce(F.size("_line_gone"), F.lit(0)).cast("long").alias("_removed"))
+        name = "_removed"
+        while name in docs.columns:
+            name += "_"
+        columns.append(F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias(name))
     return out.select(*columns)

@@ -62,7 +62,9 @@ def test_lines_are_removed_as_by_comparing_all(spark, seed):
     rows = list(lines(seed, 60))
     rows += [(100, None), (101, ""), (102, " \n\t\n"), (None, rows[5][1] + "\nlast one of all"), (103, rows[7][1])]
     rows += [(200 + i, f"a very common line of text\nown line number {i} here") for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS removed", "2 AS name", "3 AS id")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "*", "1 AS removed", "2 AS name", "3 AS id", "4 AS _line_id", "5 AS _line_mark", "6 AS row", "7 AS lines"
+    )
     out = ld.dedup_lines(docs.repartition(5), work_path(spark, "ld"))
     assert out.columns == [*docs.columns, "_removed"]
     got = [(r["doc_id"], r["text"], r["_removed"]) for r in out.collect()]
@@ -91,3 +93,10 @@ def test_documents_left_empty_can_go(spark):
         1: rows[0][1], 3: "", 4: None, 5: "new and other line",
     }
     assert ld.dedup_lines(docs.where("false"), work_path(spark, "ld")).collect() == []
+
+
+def test_a_count_beside_a_column_of_its_name(spark):
+    docs = spark.createDataFrame([(1, "a line of text\na line of text")], "doc_id long, text string")
+    out = ld.dedup_lines(docs.selectExpr("*", "'x' AS _removed"), work_path(spark, "ld"))
+    assert [tuple(r) for r in out.collect()] == [(1, "a line of text", "x", 1)]
+    assert out.columns == ["doc_id", "text", "_removed", "_removed_"]
