@@ -27,6 +27,8 @@ spans are all; extra columns are not read. Offsets are code points, end exclusiv
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -369,16 +371,18 @@ def candidates(p: Params, windows: np.ndarray) -> list[tuple[int, str, int, int,
 def reconcile(found: dict[Span, float], base: list[Span]) -> list[tuple[str, int, int, float]]:
     """Disjoint spans of the largest total score that touch no base span."""
     taken = sorted((a, b) for _, a, b in base)
-    free = [
+    begins = [a for a, _ in taken]
+    reach = [0, *itertools.accumulate((b for _, b in taken), max)]
+    # Of the base spans that begin before the end, the one that ends last must end in time.
+    free = sorted(
         (b, a, kind, score)
         for (kind, a, b), score in found.items()
-        if not any(x < b and a < y for x, y in taken)
-    ]
-    free.sort()
+        if reach[bisect.bisect_left(begins, b)] <= a
+    )
     ends = [x[0] for x in free]
     best = [0.0] * (len(free) + 1)
     for i, (_, a, _, score) in enumerate(free):
-        before = int(np.searchsorted(ends, a, side="right"))
+        before = bisect.bisect_right(ends, a)
         best[i + 1] = max(best[i], best[min(before, i)] + score)
     out, i = [], len(free)
     while i:
@@ -387,7 +391,7 @@ def reconcile(found: dict[Span, float], base: list[Span]) -> list[tuple[str, int
             continue
         b, a, kind, score = free[i - 1]
         out.append((kind, a, b, score))
-        i = min(int(np.searchsorted(ends, a, side="right")), i - 1)
+        i = min(bisect.bisect_right(ends, a), i - 1)
     return out[::-1]
 
 

@@ -116,3 +116,18 @@ def test_without_labels_there_are_base_spans_only(spark):
     assert pii.learn(docs) is None
     assert pii.learn(docs.where("false")) is None
     assert [r["spans"] for r in pii.find_spans(docs, None, ["doc_id"]).collect()] == [[], []]
+
+
+def test_reconciling_is_linear_and_exact():
+    rng = np.random.default_rng(9)
+    starts = rng.integers(0, 4000, 600)
+    base = [("ip", int(a), int(a + n)) for a, n in zip(starts[:200], rng.integers(1, 30, 200))]
+    found = {("card", int(a), int(a + n)): float(s) for a, n, s in zip(starts[200:], rng.integers(1, 9, 400), rng.random(400))}
+    got = pii.reconcile(found, base)
+    assert all(b <= x or y <= a for _, a, b, _ in got for _, x, y in base)
+    assert all(p[2] <= q[1] for p, q in zip(got, got[1:]))
+    free = sorted((b, a, s) for (_, a, b), s in found.items() if all(b <= x or y <= a for _, x, y in base))
+    best = {0: 0.0}
+    for end in range(1, 4100):
+        best[end] = max([best[end - 1], *(best[a] + s for b, a, s in free if b == end)])
+    assert abs(sum(s for *_, s in got) - best[4099]) < 1e-9
