@@ -142,6 +142,34 @@ def op8_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(docs, work_path(spark, "jaccard"), width=3, percent=90)
 
 
+LLM_EXPECTED["op8_jaccard_metric_join"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(
+    CASE WHEN len(w) = 0 THEN []
+         WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS s
+  FROM split
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v
+  FROM items a JOIN items b
+  ON a.item = b.item AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT doc_id AS node, doc_id AS root FROM sets
+  UNION
+  SELECT v, root FROM reached JOIN links ON u = node WHERE root < v
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(root) AS component_id
+FROM sets JOIN reached ON node = doc_id GROUP BY doc_id, s
+"""
+
+
 @query
 def op9_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth vector, by inner product."""
