@@ -7,8 +7,8 @@ The tree must be visible to the executors under the same path.
 
 from __future__ import annotations
 
-import configparser
 import os
+import subprocess
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 from zlib import crc32
@@ -31,18 +31,20 @@ BYTES_PER_TASK, FILES_PER_TASK, MAX_TASKS = 256 << 20, 500, 100_000
 
 
 def submodule_globs(root: str | Path) -> list[str]:
-    """Exclude globs for the submodules that `.gitmodules` declares."""
-    parser = configparser.ConfigParser(interpolation=None, strict=False)
+    """Exclude globs for the submodules that `.gitmodules` declares, as git itself reads it.
+
+    Without the file, with one that git refuses, or without git, nothing is excluded.
+    """
+    listed = ["git", "config", "-f", str(Path(root) / ".gitmodules"), "-z"]
+    listed += ["--get-regexp", r"^submodule\..*\.path$"]
     try:
-        parser.read(Path(root) / ".gitmodules", encoding="utf-8")
-    except (configparser.Error, OSError, UnicodeDecodeError):
+        done = subprocess.run(listed, capture_output=True, check=False)
+    except OSError:
         return []
-    paths = (
-        parser.get(section, "path", fallback="").strip().strip("/")
-        for section in parser.sections()
-        if section.startswith("submodule ")
-    )
-    return [f"{p}/**" for p in paths if p]
+    # One entry is the key, a line break, the value and a null.
+    entries = done.stdout.decode(errors="surrogateescape").split("\0") if not done.returncode else []
+    values = (e.partition("\n")[2].strip(" /") for e in entries)
+    return sorted({f"{v}/**" for v in values if v})
 
 
 class _Shard(InputPartition):
