@@ -442,6 +442,20 @@ slots AS (SELECT unnest(range({q.HASHED.dim})) AS slot)
 SELECT paths.path, slots.slot::INT AS slot, round(coalesce(x, 0), 6) AS weight
 FROM (SELECT DISTINCT path FROM e) paths CROSS JOIN slots
 LEFT JOIN e ON e.path = paths.path AND e.slot = slots.slot""",
+    "embed_once": f"""WITH {DOCS}, {_hashed('docs', 'path', 'text', 'e')},
+slots AS (SELECT unnest(range({q.HASHED.dim})) AS slot)
+SELECT paths.path, slots.slot::INT AS slot, round(coalesce(x, 0), 6) AS weight
+FROM (SELECT DISTINCT path FROM e) paths CROSS JOIN slots
+LEFT JOIN e ON e.path = paths.path AND e.slot = slots.slot""",
+    "embed_calls": """SELECT count(DISTINCT text) AS calls, CAST(count(text) AS BIGINT) AS documents
+FROM documents""",
+    "embed_precomputed": f"""WITH docs AS (
+    SELECT {DOC_PATH} AS path, doc_id, sha256(text) AS content_hash FROM documents),
+given AS (SELECT content_hash, arg_min(embedding, vec_id) AS vector
+          FROM embeddings JOIN docs ON vec_id = doc_id WHERE doc_id % 2 = 0 GROUP BY content_hash)
+SELECT path, round(CAST(vector[1] AS DOUBLE), 6) AS first,
+       CASE WHEN vector IS NULL THEN 'precomputed: no vector of this content' END AS skip_reason
+FROM docs LEFT JOIN given USING (content_hash)""",
     "skip_log": """WITH rs AS (
     SELECT url AS path, CASE WHEN url LIKE '%#%'
         THEN regexp_replace(html, '[a-zA-Z0-9]+', '', 'g') ELSE html END AS content FROM pages)

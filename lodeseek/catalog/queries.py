@@ -14,7 +14,7 @@ from lodeseek.functions.globs import matches_globs, selected
 from lodeseek.functions.tokens import query_tokens, symbol_tokens
 from lodeseek.operators import merge
 from lodeseek.operators.chunk import chunk_texts, whole_piece
-from lodeseek.operators.embed import embed_rows, skipped_rows
+from lodeseek.operators.embed import distinct_vectors, embed_distinct, embed_rows, skipped_rows
 from lodeseek.operators.lexical import lexical_search
 from lodeseek.operators.markdown import is_heading_only, numbered_sections
 from lodeseek.operators.pack import pack_piece
@@ -447,6 +447,44 @@ def embed_stage(spark, sf_dir):
     )
 
 
+@query
+def embed_once(spark, sf_dir):
+    """The same through one call per distinct text."""
+    docs = tb.stored_documents(spark, sf_dir).select("path", "content", "content_hash")
+    embedded = embed_distinct(docs, HASHED, work_path(spark, "embed-once"))
+    embedded = embedded.where(F.col("vector").isNotNull())
+    return embedded.select("path", F.posexplode("vector").alias("slot", "weight")).select(
+        "path", "slot", F.round(F.col("weight").cast("double"), 6).alias("weight")
+    )
+
+
+@query
+def embed_calls(spark, sf_dir):
+    """How many texts a provider gets, and for how many documents."""
+    docs = tb.stored_documents(spark, sf_dir).select("content", "content_hash")
+    return distinct_vectors(docs, HASHED).agg(
+        F.count("*").alias("calls"), F.sum("n").alias("documents")
+    )
+
+
+@query
+def embed_precomputed(spark, sf_dir):
+    """Documents with the vectors of a table: those of `embeddings` whose id is their own."""
+    docs = tb.stored_documents(spark, sf_dir).select("path", "content_hash", "symbol")
+    given = tb.table(spark, sf_dir, "embeddings").join(
+        docs.where("symbol % 2 = 0").select(F.col("symbol").cast("long").alias("vec_id"), "content_hash"),
+        "vec_id",
+    )
+    first = given.groupBy("content_hash").agg(F.min_by("embedding", "vec_id").alias("vector"))
+    path = work_path(spark, "precomputed")
+    first.write.parquet(path)
+    cfg = EmbeddingConfig(provider="precomputed", endpoint=path, dim=64)
+    out = embed_distinct(docs, cfg, work_path(spark, "embed-precomputed"))
+    return out.select(
+        "path", F.round(F.col("vector")[0].cast("double"), 6).alias("first"), "skip_reason"
+    )
+
+
 @query
 def skip_log(spark, sf_dir):
     """Chunks of the pages' link texts; those without a word cannot be embedded."""

@@ -58,6 +58,8 @@ class EmbeddingConfig:
     endpoint: str = "http://localhost:11434"
     batch_size: int = 32
     dim: int = 768
+    # Each distinct content of a run is embedded once; worth two joins where a model is slow.
+    distinct: bool = False
     timeout_seconds: float = 60.0
 
 

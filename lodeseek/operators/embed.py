@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.config import EmbeddingConfig
+from lodeseek.workspace import saved
 
 
 class Embedded(NamedTuple):
@@ -143,9 +144,23 @@ class HashProvider:
         return [self._one(t) for t in texts]
 
 
+class PrecomputedProvider:
+    """Vectors that lie in a table by content, see `embed_distinct`; new texts have none."""
+
+    name = "precomputed"
+
+    def __init__(self, cfg: EmbeddingConfig):
+        self.dim = cfg.dim
+        self.batch_size = max(1, cfg.batch_size)
+
+    def embed(self, texts: list[str]) -> list[Embedded]:
+        return [Embedded(None, "precomputed: no vector of this content") for _ in texts]
+
+
 PROVIDERS: dict[str, Callable[[EmbeddingConfig], EmbeddingProvider]] = {
     "ollama": HttpProvider,
     "hash": HashProvider,
+    "precomputed": PrecomputedProvider,
 }
 
 
@@ -230,6 +245,77 @@ def embed_rows(
     )
 
 
+# A content that at least one row in so many has is hot: there are no more hot ones than this.
+HOT_SHARE = 1024
+
+
+def with_vectors(rows: DataFrame, vectors: DataFrame, total: int, key: str = "content_hash") -> DataFrame:
+    """`rows` with the vector and skip_reason of their key, NULL where `vectors` has none.
+
+    `vectors` has (key, n, vector, skip_reason), n being how many of `total` rows ask for
+    it; its keys are unique and not NULL. Hot keys, 1,024 at most by that count, are
+    broadcast; rows of others are joined by a shuffle, which is even without the hot ones.
+    Both tables are read twice.
+    """
+    named = vectors.withColumnRenamed(key, "_key")
+    is_hot = F.col("n") * HOT_SHARE >= F.lit(total)
+    hot = F.broadcast(named.where(is_hot).drop("n"))
+    cold = named.where(~is_hot).drop("n")
+    # Rows without a key are dealt out by themselves, since NULL is equal to nothing.
+    known = rows.where(F.col(key).isNotNull())
+    none = rows.where(F.col(key).isNull())
+    same = F.col(key) == F.col("_key")
+    return (
+        known.join(hot, same)
+        .unionByName(known.join(hot, same, "left_anti").join(cold, same, "left"), allowMissingColumns=True)
+        .drop("_key")
+        .unionByName(none, allowMissingColumns=True)
+    )
+
+
+def distinct_vectors(
+    rows: DataFrame, cfg: EmbeddingConfig, text: str = "content", key: str = "content_hash"
+) -> DataFrame:
+    """(key, n, vector, skip_reason): each distinct key's text goes to the provider once.
+
+    Equal texts meet map-side first, so a text that very many rows have is sent once per task.
+    """
+    wanted = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    texts = wanted.groupBy(key).agg(F.min(text).alias("_text"), F.count("*").alias("n"))
+    return embed_rows(texts, cfg, "_text").drop("_text")
+
+
+def embed_distinct(
+    rows: DataFrame,
+    cfg: EmbeddingConfig,
+    folder: str,
+    text: str = "content",
+    key: str = "content_hash",
+    where: Column | None = None,
+) -> DataFrame:
+    """As `embed_rows`, with each distinct content embedded once; `rows` is read three times.
+
+    With the provider "precomputed" nothing is embedded: vectors come from the Parquet table
+    at `cfg.endpoint`, (content_hash, vector), and a content without one is skipped.
+    """
+    asks = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    asked, rest = rows.where(asks), rows.where(~asks)
+    if cfg.provider.lower() == "precomputed":
+        given = rows.sparkSession.read.parquet(cfg.endpoint).select(
+            F.col("content_hash").alias(key), F.col("vector").cast("array<float>").alias("vector")
+        )
+        fits = F.size("vector") == cfg.dim
+        counts = asked.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNotNull())
+        vectors = counts.join(given.where(fits).dropDuplicates([key]), key, "left").withColumn(
+            "skip_reason", F.when(F.col("vector").isNull(), "precomputed: no vector of this content")
+        )
+    else:
+        vectors = distinct_vectors(asked, cfg, text, key)
+    vectors = saved(vectors, f"{folder}/vectors")
+    total = vectors.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return with_vectors(asked, vectors, total, key).unionByName(rest, allowMissingColumns=True)
+
+
 def skipped_rows(embedded: DataFrame) -> DataFrame:
     """What the skip log records of every chunk without a vector."""
     return embedded.where(F.col("skip_reason").isNotNull()).select(

@@ -13,7 +13,12 @@ from lodeseek.config import CONFIG_DIR, Config, save_config
 from lodeseek.functions.globs import selected
 from lodeseek.functions.ident import path_bucket
 from lodeseek.operators.chunk import chunk_files
-from lodeseek.operators.embed import embed_rows, provider_factory, skipped_rows
+from lodeseek.operators.embed import (
+    embed_distinct,
+    embed_rows,
+    provider_factory,
+    skipped_rows,
+)
 from lodeseek.operators.merge import (
     existing_hashes,
     flag_cached,
@@ -48,7 +53,12 @@ def prune_index(spark: SparkSession, cfg: Config) -> int:
 
 
 def embed_chunks(
-    chunks: DataFrame, table: ChunkTable, paths: DataFrame, cfg: Config, use_cache: bool
+    chunks: DataFrame,
+    table: ChunkTable,
+    paths: DataFrame,
+    cfg: Config,
+    use_cache: bool,
+    work: str,
 ) -> DataFrame:
     """Chunks with identity, vector, skip_reason and whether they were cached."""
     if use_cache:
@@ -56,7 +66,11 @@ def embed_chunks(
         chunks = flag_cached(chunks, known)
     else:
         chunks = chunks.withColumn("cached", F.lit(False))
-    run = embed_rows(chunks, cfg.embedding, where=~F.col("cached"))
+    if cfg.embedding.distinct or cfg.embedding.provider.lower() == "precomputed":
+        chunks = saved(chunks, f"{work}/chunks")
+        run = embed_distinct(chunks, cfg.embedding, work, where=~F.col("cached"))
+    else:
+        run = embed_rows(chunks, cfg.embedding, where=~F.col("cached"))
     model = f"{cfg.embedding.provider}/{cfg.embedding.model}/{cfg.embedding.dim}"
     return with_identity(run, model)
 
@@ -78,10 +92,11 @@ def index_contents(
     """
     table = chunk_table(spark, cfg)
     chunks = chunk_files(contents, None, cfg.index.max_chunk_chars)
+    work = work or work_path(spark, "run")
     run = saved(
-        embed_chunks(chunks, table, files.select("path"), cfg, use_cache),
-        work or work_path(spark, "run"),
+        embed_chunks(chunks, table, files.select("path"), cfg, use_cache, f"{work}-steps"), work
     )
+    discard(spark, f"{work}-steps")
     stored = table.read(table.touched(files)).select("path", "id")
     table.change(fresh_rows(run), stale_keys(stored, files.select("path"), run), batch)
     return run

@@ -121,3 +121,43 @@ def test_cached_provider():
     cfg = EmbeddingConfig(provider="hash", dim=8)
     assert em.cached_provider(cfg) is em.cached_provider(EmbeddingConfig(provider="hash", dim=8))
     assert em.cached_provider(cfg) is not em.cached_provider(EmbeddingConfig(provider="hash", dim=9))
+
+
+def test_each_content_is_embedded_once(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.touch()
+
+    class Counting:
+        name, dim, batch_size = "counting", 2, 8
+
+        def __init__(self, cfg):
+            pass
+
+        def embed(self, texts):
+            with open(log, "a") as f:
+                f.writelines(f"{t}\n" for t in texts)
+            return [em.Embedded(None, "bad") if t == "bad" else em.Embedded([float(len(t)), 1.0]) for t in texts]
+
+    em.register_provider("counting", Counting)
+    cfg = EmbeddingConfig(provider="counting", dim=2)
+    rows = [(i, "hot", "h") for i in range(300)] + [(i, f"text{i % 7}", f"k{i % 7}") for i in range(300, 400)]
+    rows += [(500, "bad", "b"), (501, "bad", "b"), (502, None, "n"), (503, "x", None), (504, "not asked", "q")]
+    df = spark.createDataFrame(rows, "i int, content string, content_hash string").repartition(3)
+    got = em.embed_distinct(df, cfg, str(tmp_path / "w"), where=em.F.col("i") != 504).collect()
+    assert sorted(log.read_text().split()) == sorted(["hot", "bad", *(f"text{k}" for k in range(7))])
+    by = {r["i"]: (r["vector"], r["skip_reason"]) for r in got}
+    assert len(got) == len(rows) == len(by)
+    assert by[0] == ([3.0, 1.0], None) and by[301] == ([5.0, 1.0], None)
+    assert by[500] == by[501] == (None, "bad")
+    assert by[502] == by[503] == by[504] == (None, None)
+
+
+def test_vectors_that_are_there_already(spark, tmp_path):
+    given = [("a", [1.0, 2.0]), ("b", [1.0]), ("c", [3.0, 4.0]), ("c", [3.0, 4.0])]
+    spark.createDataFrame(given, "content_hash string, vector array<double>").write.parquet(str(tmp_path / "v"))
+    cfg = EmbeddingConfig(provider="precomputed", endpoint=str(tmp_path / "v"), dim=2)
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "a")], "i int, content_hash string")
+    got = {r["i"]: r for r in em.embed_distinct(df, cfg, str(tmp_path / "w")).collect()}
+    assert [got[i]["vector"] for i in (1, 2, 3, 4, 5)] == [[1.0, 2.0], None, [3.0, 4.0], None, [1.0, 2.0]]
+    assert all((got[i]["skip_reason"] is None) == (i in (1, 3, 5)) for i in got)
+    assert em.get_provider(cfg).embed(["x"])[0].vector is None
