@@ -3,32 +3,35 @@
 The *text* view sees frequencies of character-class n-grams (letters by case, digits,
 white space; other signs as they are) and a few measures of lines and words. The
 *metadata* view sees source, language and length as the table gives them. Each view
-has a logistic classifier. In each round, each view labels the documents of an
-unlabelled pool that it is surest of, good and bad in the share of the labels, and
-hands them to the other view's training set. A held-out fifth of the labels then
-calibrates each view (Platt's scaling), and the calibrated log odds are added, with
-the prior counted once, as the views' independence asks.
-
-Training is on the driver, from bounded samples: ``LABELLED`` labelled documents and
-a pool of ``POOL`` others, both the smallest by hash. Scoring is one map over all
-documents with the weights broadcast, some kilobytes.
+has a logistic classifier. In each round, both views score all documents without a
+label, and each hands those that it is surest of, good and bad in the share of the
+labels and ``PER_ROUND`` in all, to the other view's training set. A held-out fifth of
+the labels then calibrates each view (Platt's scaling), and the calibrated log odds are
+added, with the prior counted once, as the views' independence asks.
+
+Training is on the driver, from ``LABELLED`` labelled documents, the smallest by hash,
+and from what the rounds hand over. A round is a map over all documents; what is sure
+in it is shuffled as numbers only, and tasks rank their own before one task ranks
+theirs. Documents of equal content count once there, so that copies cannot fill a
+round. Scoring is one map over all documents with the weights broadcast, some kilobytes.
 
 Defined cases: a null text is the empty text; null source, language or length are
 values of their own; labels that are null or name no document teach nothing, and a
 document with contradicting labels takes the majority, in a tie none; without labels
 of both kinds every score is 1 and every document is kept; repeated rows are judged
-each; ids may be null. Extra columns are passed on by ``accepted`` and not read.
+each; of rows that share a labelled id, that with the smallest hash of its content
+teaches; ids may be null, such rows are judged but teach nothing. Extra columns are passed on by ``accepted`` and not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.llm.common import release, slices, strings
@@ -37,7 +40,6 @@ from lodeseek.llm.lang_id import buckets
 BITS = 10
 SIZES = (1, 2, 3)
 LABELLED = 4000
-POOL = 3000
 ROUNDS = 4
 PER_ROUND = 200
 SURE = 0.9
@@ -220,109 +222,197 @@ def _calibrate(view: View, x: np.ndarray, y: np.ndarray) -> None:
     view.slope, view.shift = (a, b) if a > 0 else (0.0, float(np.log((good + 1) / (bad + 1))))
 
 
+@dataclass
+class Lesson:
+    """Documents that a view labels for the other one: content keys, labels, both views' features."""
+
+    keys: np.ndarray
+    labels: np.ndarray
+    features: tuple[np.ndarray, np.ndarray]
+
+
+#: From both views, the keys that each has handed over, and how many good and bad documents
+#: to take at most: a lesson of each view.
+Surest = Callable[[list[View], list[np.ndarray], int, int], list[Lesson]]
+
+
 def train(
-    text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray,
-    pool_text: np.ndarray, pool_meta: np.ndarray,
+    text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, surest: Surest
 ) -> Model | None:
-    """Co-train on labelled rows that are not ``held`` and the pool, calibrate on the held rows."""
+    """Co-train on labelled rows that are not ``held`` and on lessons, calibrate on the held rows."""
     if len(y) == 0 or min(y[~held].sum(), (1 - y[~held]).sum()) < 1:
         return None
     base, views = y[~held], (text, meta)
-    pools = (pool_text, pool_meta)
     share = base.mean()
-    added: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    good, bad = round(PER_ROUND * share), round(PER_ROUND * (1 - share))
+    lessons: tuple[list[Lesson], list[Lesson]] = ([], [])
     fitted: list[View] = []
     for turn in range(ROUNDS + 1):
         fitted = []
         for v in range(2):
-            own = np.array(sorted(added[v]), np.int64)
-            x = np.concatenate((views[v][~held], pools[v][own]))
-            labels = np.concatenate((base, [added[v][i] for i in own]))
+            heard = lessons[1 - v]
+            x = np.concatenate((views[v][~held], *(part.features[v] for part in heard)))
+            labels = np.concatenate((base, *(part.labels for part in heard)))
             # Taught labels count half of given ones.
-            weight = np.concatenate((np.ones(len(base)), np.full(len(own), 0.5)))
+            weight = np.where(np.arange(len(labels)) < len(base), 1.0, 0.5)
             fitted.append(_fit(x, labels, weight))
-        if turn == ROUNDS or not len(pool_text):
+        if turn == ROUNDS:
             break
-        for v in range(2):
-            p = _sigmoid(fitted[v].raw(pools[v]))
-            order = np.argsort(-p, kind="stable")
-            good = [i for i in order if p[i] >= SURE and i not in added[1 - v]]
-            bad = [i for i in order[::-1] if p[i] <= 1 - SURE and i not in added[1 - v]]
-            for i in good[: round(PER_ROUND * share)]:
-                added[1 - v][int(i)] = 1
-            for i in bad[: round(PER_ROUND * (1 - share))]:
-                added[1 - v][int(i)] = 0
+        done = [np.concatenate((np.empty(0, np.int64), *(p.keys for p in own))) for own in lessons]
+        new = surest(fitted, done, good, bad)
+        if not any(len(part.keys) for part in new):
+            break
+        for own, part in zip(lessons, new, strict=True):
+            own.append(part)
     check = held if 0 < y[held].sum() < held.sum() else ~held
     for v in range(2):
         _calibrate(fitted[v], views[v][check], y[check])
     return Model(fitted[0], fitted[1], float(np.log(share / (1 - share))))
 
 
-def _collect(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
-    """Features of a bounded set of documents, and their ``tag`` column."""
+def content_key() -> Column:
+    """Names what both views read of a document, so that copies have one name."""
+    named = (F.coalesce(F.col(c), F.lit("\x00")) for c in ("source", "lang"))
+    chars = F.coalesce(F.col("n_chars").cast("double"), F.lit(-1.0))
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), *named, chars)
+
+
+def _column(part: pa.RecordBatch, name: str) -> np.ndarray:
+    return part.column(part.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+def _features(docs: DataFrame) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The names in order, and features of the row of each ``name`` with the smallest ``key``.
+
+    For a bounded number of names. A task holds one row of each, whatever number of rows
+    they have, and as many are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[int, bytes, bytes]] = {}
         for part in _parts(batches):
-            t, m = text_features(strings(part, "_text")), meta_features(part)
-            yield pa.record_batch(
-                [
-                    part.column(part.schema.get_field_index("doc_id")),
-                    part.column(part.schema.get_field_index("tag")),
-                    pa.array([r.tobytes() for r in t], pa.binary()),
-                    pa.array([r.tobytes() for r in m], pa.binary()),
-                ],
-                ["doc_id", "tag", "t", "m"],
-            )
-
-    rows = viewed(docs, ["doc_id", "tag"]).mapInArrow(run, "doc_id long, tag int, t binary, m binary").toArrow()
-    rows = rows.sort_by("doc_id")
+            names, keys = _column(part, "name"), _column(part, "key")
+            order = np.lexsort((keys, names))
+            order = order[np.r_[True, np.diff(names[order]) != 0]]
+            new = [i for i in order if names[i] not in best or keys[i] < best[names[i]][0]]
+            if new:
+                part = part.take(pa.array(new))
+                t, m = text_features(strings(part, "_text")), meta_features(part)
+                for i, j in enumerate(new):
+                    best[int(names[j])] = (int(keys[j]), t[i].tobytes(), m[i].tobytes())
+        rows = [(name, *row) for name, row in best.items()]
+        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.record_batch(
+            [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
+            ["name", "key", "t", "m"],
+        )
+
+    rows = (
+        viewed(docs, ["name", "key"])
+        .mapInArrow(run, "name long, key long, t binary, m binary")
+        .groupBy("name")
+        .agg(F.min_by(F.struct("t", "m"), "key").alias("row"))
+        .select("name", "row.t", "row.m")
+        .toArrow()
+        .sort_by("name")
+    )
 
     def matrix(name: str, width: int) -> np.ndarray:
         return np.frombuffer(b"".join(rows[name].to_pylist()), np.float32).reshape(-1, width)
 
-    tags = list(zip(rows["doc_id"].to_pylist(), rows["tag"].to_pylist(), strict=True))
-    return matrix("t", (1 << BITS) + _MEASURES), matrix("m", (1 << _META_BITS) + 34), tags
+    names = np.array(rows["name"].to_pylist(), np.int64)
+    return names, (matrix("t", (1 << BITS) + _MEASURES), matrix("m", (1 << _META_BITS) + 34))
+
+
+def _sure(docs: DataFrame, views: list[View], done: list[np.ndarray]) -> DataFrame:
+    """(doc_id, key, view, label, odds) of every document and view that is sure of it."""
+    shared = docs.sparkSession.sparkContext.broadcast((views, done))
+    least = float(np.log(SURE / (1 - SURE)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted, handed = shared.value
+        for part in _parts(batches):
+            keys = _column(part, "key")
+            x = (text_features(strings(part, "_text")), meta_features(part))
+            for v in range(2):
+                # Odds are cut to four digits, so that ties do not hang on how rows meet in batches.
+                raw = np.round(fitted[v].raw(x[v]).astype(np.float64), 4)
+                at = np.flatnonzero((np.abs(raw) >= least) & ~np.isin(keys, handed[v]))
+                yield pa.record_batch(
+                    [
+                        part.column(part.schema.get_field_index("doc_id")).take(pa.array(at)),
+                        pa.array(keys[at]),
+                        pa.array(np.full(len(at), v, np.int32)),
+                        pa.array((raw[at] > 0).astype(np.int32)),
+                        pa.array(np.abs(raw[at])),
+                    ],
+                    ["doc_id", "key", "view", "label", "odds"],
+                )
+
+    return viewed(docs, ["doc_id", "key"]).mapInArrow(
+        run, "doc_id long, key long, view int, label int, odds double"
+    )
+
+
+def _surest_of(docs: DataFrame, known: DataFrame) -> Surest:
+    """Lessons from all of ``docs``, with their ``key``, whose ids are not among the ``known``."""
+    spark = docs.sparkSession
+
+    def surest(
+        views: list[View], done: list[np.ndarray], good: int, bad: int
+    ) -> list[Lesson]:
+        ranked = Window.partitionBy("view", "label").orderBy(F.desc("odds"), "key")
+        rows = (
+            _sure(docs, views, done)
+            .join(known, "doc_id", "left_anti")
+            .groupBy("view", "label", "key")
+            .agg(F.max("odds").alias("odds"))
+            .withColumn("place", F.row_number().over(ranked))
+            .where(F.col("place") <= PER_ROUND)
+            .where(F.col("place") <= F.when(F.col("label") == 1, good).otherwise(bad))
+            .collect()
+        )
+        # At most twice PER_ROUND keys go to all tasks.
+        picked = spark.createDataFrame(sorted({(r["key"],) for r in rows}), "key long")
+        held = docs.join(F.broadcast(picked), "key").withColumn("name", F.col("key"))
+        names, features = _features(held)
+        lessons = []
+        for v in range(2):
+            own = {r["key"]: r["label"] for r in rows if r["view"] == v}
+            at = np.flatnonzero(np.isin(names, list(own)))
+            labels = np.array([own[int(k)] for k in names[at]], np.float64)
+            lessons.append(Lesson(names[at], labels, (features[0][at], features[1][at])))
+        return lessons
+
+    return surest
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
-    """Fit on the bounded samples of (doc_id, text, source, lang, n_chars) and (doc_id, label)."""
-    columns = ["doc_id", "text", "source", "lang", "n_chars"]
+    """Fit on (doc_id, text, source, lang, n_chars) and a bounded sample of (doc_id, label)."""
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.avg(label).alias("mean"))
     )
-    at = F.xxhash64("doc_id")
-    named = docs.where(F.col("doc_id").isNotNull())
+    columns = [F.col(c) for c in ("doc_id", "text", "source", "lang", "n_chars")]
+    named = docs.where(F.col("doc_id").isNotNull()).select(*columns, content_key().alias("key"))
     given = (
         known.where("mean <> 0.5")
         .join(named.select("doc_id").distinct(), "doc_id", "left_semi")
         .select("doc_id", (F.col("mean") > 0.5).cast("int").alias("tag"))
-        .orderBy(at, "doc_id")
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(LABELLED)
         .collect()
     )
-    free = (
-        named.select("doc_id").distinct().join(known, "doc_id", "left_anti")
-        .orderBy(at, "doc_id").limit(POOL).collect()
-    )
-    spark = docs.sparkSession
-    # At most LABELLED + POOL ids go to all tasks.
-    picked = spark.createDataFrame(
-        [(r["doc_id"], r["tag"]) for r in given] + [(r["doc_id"], -1) for r in free],
-        "doc_id long, tag int",
-    )
-    chosen = (
-        named.select(*columns).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    )
-    text, meta, tags = _collect(chosen)
-    tag = np.array([t for _, t in tags], np.int64)
-    fold = np.array([hash_fold(d) for d, _ in tags], np.int64)
-    have = tag >= 0
-    model = train(
-        text[have], meta[have], tag[have].astype(np.float64), fold[have] == 0,
-        text[~have], meta[~have],
-    )
+    # At most LABELLED ids go to all tasks.
+    picked = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in given], "name long")
+    chosen = named.join(F.broadcast(picked), F.col("doc_id") == F.col("name"))
+    names, (text, meta) = _features(chosen)
+    tags = {r["doc_id"]: r["tag"] for r in given}
+    y = np.array([tags[int(d)] for d in names], np.float64)
+    held = np.array([hash_fold(int(d)) == 0 for d in names], bool)
+    model = train(text, meta, y, held, _surest_of(named, known.select("doc_id")))
     release()
     return model
 
