@@ -12,9 +12,9 @@ of text and window decides, so all parts of a text are drawn alike.
 Decoding is one map over all texts. Windows of ``WIDTH`` characters lie every
 ``WIDTH // 2``, so that a span of half a window is whole in some window. A span
 must hold a digit or an at sign; windows without one can hold no span and are
-left out, which changes nothing. A candidate that touches a border inside the text
-is left to the next window. Over the whole text, the candidates of all windows
-are then reconciled: equal ones are united with their best score, the set of
+left out. Candidates that a border inside the text cuts are joined over neighbouring
+windows into whole spans, as long as each of these holds a digit or an at sign. Over
+the whole text, the candidates of all windows are then reconciled: equal ones are united with their best score, the set of
 disjoint ones with the largest total is taken, and what overlaps a base span goes.
 Base spans always stay. An added span needs every tag's marginal probability
 to reach ``LEAST`` and the kind's own check (Luhn, parts up to 255, digits).
@@ -343,9 +343,23 @@ def train(windows: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, seed: int
 # -- decoding -----------------------------------------------------------------
 
 
-def candidates(p: Params, windows: np.ndarray) -> list[tuple[int, str, int, int, float]]:
-    """(window, kind, start, end, score) of the spans on each window's best path."""
-    out = []
+def stretches(row: np.ndarray) -> Iterator[tuple[str, int, int, bool]]:
+    """(kind, start, end, begun) of a path's spans; one that the window's begin cuts is not begun."""
+    begins = np.flatnonzero(row % 2 == 1).tolist()
+    if row[0] and row[0] % 2 == 0:
+        begins.insert(0, 0)
+    for s in begins:
+        begun = bool(row[s] % 2)
+        inside, end = row[s] + begun, s + 1
+        while end < len(row) and row[end] == inside:
+            end += 1
+        yield KINDS[inside // 2 - 1], s, end, begun
+
+
+def candidates(
+    p: Params, windows: np.ndarray
+) -> Iterator[tuple[int, str, int, int, bool, float]]:
+    """(window, kind, start, end, begun, score) of the spans on each window's best path."""
     trans = p["trans"] + _FORBIDDEN
     for at in range(0, len(windows), DECODE_BATCH):
         ids = windows[at : at + DECODE_BATCH].T
@@ -358,13 +372,30 @@ def candidates(p: Params, windows: np.ndarray) -> list[tuple[int, str, int, int,
         sure = np.exp(a + b - total[:, None])
         for j, w in enumerate(hit):
             row = path[w]
-            begins = np.flatnonzero(row % 2 == 1)
-            for s in begins:
-                k, end = row[s], s + 1
-                while end < WIDTH and row[end] == k + 1:
-                    end += 1
+            for kind, s, end, begun in stretches(row):
                 own = sure[np.arange(s, end), j, row[s:end]]
-                out.append((at + int(w), KINDS[k // 2], int(s), int(end), float(own.min())))
+                yield at + int(w), kind, s, end, begun, float(own.min())
+
+
+def joined(cut: list[tuple[int, int, str, float, bool, bool]]) -> dict[Span, float]:
+    """Whole spans from the parts that borders of windows cut off, with their least score.
+
+    A part is (start, end, kind, score, cut on the left, cut on the right). Parts of one
+    kind that overlap and are cut where they meet are one span, over any number of windows;
+    one that never ends, or never begins, is none.
+    """
+    out: dict[Span, float] = {}
+    running: dict[str, tuple[int, int, float]] = {}
+    for a, b, kind, score, left, right in sorted(cut):
+        if left:
+            before = running.pop(kind, None)
+            if before is None or a >= before[1]:
+                continue
+            a, b, score = before[0], max(b, before[1]), min(score, before[2])
+        if right:
+            running[kind] = (a, b, score)
+        else:
+            out[kind, a, b] = max(score, out.get((kind, a, b), 0.0))
     return out
 
 
@@ -399,21 +430,28 @@ def spans_of(texts: list[str], p: Params | None) -> list[list[tuple[str, int, in
     """(kind, start, end, score, base) of each text, by kind and start."""
     bases = [base_spans(t) if _TRIGGER.search(t) else [] for t in texts]
     found: list[dict[Span, float]] = [{} for _ in texts]
+    borders: dict[int, list[tuple[int, int, str, float, bool, bool]]] = {}
     held: list[tuple[int, int]] = []
     parts: list[np.ndarray] = []
 
+    def put(doc: int, span: Span, score: float) -> None:
+        piece = texts[doc][span[1] : span[2]]
+        if _TRIGGER.search(piece) and valid(span[0], piece):
+            found[doc][span] = max(score, found[doc].get(span, 0.0))
+
     def decode() -> None:
-        for w, kind, s, e, score in candidates(p, np.concatenate(parts)):
+        for w, kind, s, e, begun, score in candidates(p, np.concatenate(parts)):
             doc, start = held[w]
             text = texts[doc]
             cut_left = s == 0 and start > 0
             cut_right = e == WIDTH and start + e < len(text)
-            if cut_left or cut_right or score < LEAST or start + e > len(text):
+            if score < LEAST or start + e > len(text) or not (begun or cut_left):
                 continue
-            span = (kind, start + s, start + e)
-            piece = text[span[1] : span[2]]
-            if _TRIGGER.search(piece) and valid(kind, piece):
-                found[doc][span] = max(score, found[doc].get(span, 0.0))
+            if cut_left or cut_right:
+                part = (start + s, start + e, kind, score, cut_left, cut_right)
+                borders.setdefault(doc, []).append(part)
+            else:
+                put(doc, (kind, start + s, start + e), score)
         held.clear()
         parts.clear()
 
@@ -428,6 +466,9 @@ def spans_of(texts: list[str], p: Params | None) -> list[list[tuple[str, int, in
                     decode()
         if held:
             decode()
+    for doc, cuts in borders.items():
+        for span, score in joined(cuts).items():
+            put(doc, span, score)
     out = []
     for base, extra in zip(bases, found, strict=True):
         spans = [(*s, 1.0, True) for s in base]

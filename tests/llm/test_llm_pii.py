@@ -131,3 +131,52 @@ def test_reconciling_is_linear_and_exact():
     for end in range(1, 4100):
         best[end] = max([best[end - 1], *(best[a] + s for b, a, s in free if b == end)])
     assert abs(sum(s for *_, s in got) - best[4099]) < 1e-9
+
+
+def test_cut_spans_are_joined():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        spans, at, size = [], 0, int(rng.integers(300, 900))
+        while True:
+            a = at + int(rng.integers(0, 60))
+            b = a + int(rng.choice([1, 9, 47, 48, 49, 96, 97, 200]))
+            if b > size:
+                break
+            spans.append((str(rng.choice(pii.KINDS)), a, b))
+            at = b + 1
+        whole, cut = {}, []
+        final = max(0, -(-(size - pii.WIDTH) // pii.STEP))
+        for start in range(0, final * pii.STEP + 1, pii.STEP):
+            for kind, s, e, begun in pii.stretches(pii.tags_of(spans, start)):
+                left = s == 0 and start > 0
+                right = e == pii.WIDTH and start + e < size
+                assert begun or left
+                if left or right:
+                    cut.append((start + s, start + e, kind, 0.9, left, right))
+                else:
+                    whole[kind, start + s, start + e] = 0.9
+        assert set(whole) | set(pii.joined(cut)) == set(spans)
+    # What never ends, never begins, or is of another kind is none.
+    open_end, no_begin = (10, 96, "ip", 0.9, False, True), (96, 130, "ip", 0.9, True, False)
+    assert pii.joined([open_end, no_begin]) == {}
+    assert pii.joined([open_end, (48, 120, "card", 0.9, True, False)]) == {}
+    assert pii.joined([open_end, (48, 120, "ip", 0.7, True, False)]) == {("ip", 10, 120): 0.7}
+
+
+def test_long_spans_come_whole_from_many_windows(monkeypatch):
+    name = ".".join(["anna7", "maria8", "berg9"] * 8)
+    address = f"{name} @ mail5.example6.host7.org"
+    assert len(address) > pii.WIDTH + pii.STEP
+    text = "word " * 7 + f"please write to {address} today or call 12"
+    a = text.index(address)
+    starts = pii.window_starts(text)
+
+    def marked(p, windows):
+        for w, start in enumerate(starts):
+            row = pii.tags_of([("email", a, a + len(address))], start)
+            for kind, s, e, begun in pii.stretches(row):
+                yield w, kind, s, e, begun, 0.9
+
+    monkeypatch.setattr(pii, "candidates", marked)
+    (spans,) = pii.spans_of([text], {})
+    assert ("email", a, a + len(address), 0.9, False) in spans
