@@ -313,6 +313,10 @@ SELECT p_partkey, unnest({_symbol_tokens('symbol')}) AS token FROM s""",
 SELECT doc_id, unnest({_query_tokens('text')}) AS token FROM documents""",
     "lexical_top": f"WITH {LINE_HITS} SELECT * FROM hits ORDER BY path, line LIMIT 50",
     "lexical_all": f"WITH {LINE_HITS} SELECT * FROM hits",
+    "lexical_indexed": f"""WITH {DOCS},
+ls AS (SELECT path, unnest({_lines('text')}) AS snippet,
+              generate_subscripts({_lines('text')}, 1)::INT AS line FROM docs)
+SELECT path, line, snippet FROM ls WHERE regexp_matches(snippet, '{q.INDEX_PATTERN}')""",
     "lexical_per_file_cap": f"""WITH {LINE_HITS}
 SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY path ORDER BY line) <= 2""",
     "lexical_pages": f"""WITH pg AS (SELECT {PAGE_PATH} AS path, html FROM pages),

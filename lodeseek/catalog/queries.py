@@ -21,6 +21,7 @@ from lodeseek.operators.pack import pack_piece
 from lodeseek.operators.rank import nearest, nearest_to_each, rerank, squared_l2
 from lodeseek.operators.structural import structural_search
 from lodeseek.plans.index import chunk_table, index_contents, index_in_parts, write_skip_log
+from lodeseek.plans.line_index import LineIndex
 from lodeseek.plans.search import prefilter, search_stored_each, semantic_search_each
 from lodeseek.plans.search import semantic_search as search_stored
 from lodeseek.plans.store import ChunkTable
@@ -38,6 +39,7 @@ from lodeseek.workspace import saved, work_path
 # Fixed parameters of the registered queries; the expected results use the same.
 QUERY_VECTOR = 7
 QUERY_TEXT = "the small ring of a red gear"
+INDEX_PATTERN = r"(ation|tions) [a-z]+"
 WORD_PATTERN = r"(^| )(the|les?) [a-z]{9,}"
 PAGE_PATTERN = "<h[1-6]>"
 PAGE_GLOB = "**/*.example.com/**"
@@ -185,6 +187,14 @@ def lexical_all(spark, sf_dir):
     return lexical_search(tb.document_texts(spark, sf_dir), WORD_PATTERN, max_results=None)
 
 
+@query
+def lexical_indexed(spark, sf_dir):
+    """Lines of the files of texts whose trigram summaries hold the pattern's literals."""
+    texts = tb.document_texts(spark, sf_dir)
+    index = LineIndex.build(texts, work_path(spark, "line-index"))
+    return index.search(INDEX_PATTERN)
+
+
 @query
 def lexical_per_file_cap(spark, sf_dir):
     texts = tb.document_texts(spark, sf_dir)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as tx
 from lodeseek.functions.globs import matches_globs
+from lodeseek.functions.literals import required_literals
 
 # Word characters are Unicode's and only a newline ends a line.
 _FLAGS = "dU"
@@ -17,6 +18,17 @@ _FLAGS = "dU"
 _LINE_BOUND = re.compile(r"\(\?[=!<>]|\\[AzZG]|[*+?}]\+")
 
 
+def holds_literals(text: Column, clauses: list[list[str]]) -> Column:
+    """Whether a text has one literal of each list; a plain search of bytes."""
+    out = F.lit(True)
+    for clause in clauses:
+        one = F.lit(False)
+        for literal in clause:
+            one = one | F.contains(text, F.lit(literal))
+        out = out & one
+    return out
+
+
 def line_matches(text: Column, pattern: str, per_file: int | None = None) -> Column:
     """Array of (line, snippet) of matching lines, the first `per_file` of them.
 
@@ -37,14 +49,15 @@ def line_matches(text: Column, pattern: str, per_file: int | None = None) -> Col
 
 def matching_lines(texts: DataFrame, pattern: str, per_file: int | None = None) -> DataFrame:
     """(path, line, snippet) of every match in a (path, text) table, unordered."""
-    # Most texts match nowhere; one scan of the whole text drops them before
-    # they are cut into lines.
-    # They are searched as they are shown, without carriage returns at line ends.
+    # Most texts match nowhere; one look at the whole text drops them before they are
+    # cut into lines. Where the pattern requires literals, these are looked for alone.
+    clauses = required_literals(pattern, 3)
+    # Else the text is searched as it is shown, without carriage returns at line ends.
     text = F.when(
         F.contains("text", F.lit("\r")), F.regexp_replace("text", r"\r+(?=\n|\z)", "")
     ).otherwise(F.col("text"))
-    if re.fullmatch(r"[\w ]+", pattern):
-        texts = texts.where(F.contains(F.col("text"), F.lit(pattern)))
+    if clauses:
+        texts = texts.where(holds_literals(F.col("text"), clauses))
     elif not _LINE_BOUND.search(pattern):
         texts = texts.where(text.rlike(f"(?m{_FLAGS}){pattern}"))
     return texts.select(
