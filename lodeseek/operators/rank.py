@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +42,15 @@ def _matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return (rows, m) if sound.all() else (np.asarray(rows)[sound], m[sound])
 
 
+def _query_matrix(vectors: pa.Array) -> np.ndarray:
+    """Query vectors as float64, a null component as no number; all have one length."""
+    (dim, *others) = pc.unique(vectors.value_lengths()).to_pylist()
+    if others:
+        raise ValueError("query vectors are of several lengths")
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(vectors), dim)
+
+
 def squared_l2(vector: Column, query: list[float]) -> Column:
     """Squared Euclidean distance to one query; NULL for other vector lengths."""
     target = np.asarray(query, dtype=np.float64)
@@ -73,16 +84,13 @@ def nearest(
     )
 
 
-def _best(ids: np.ndarray, distances: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, distances))[:k]
-
-
 def _task_top_k(queries: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]):
     """Running exact top-k of every query over the batches of one task."""
     n, dim = queries.shape
     square = (queries * queries).sum(1)
     ids: list[Any] = [None] * n
     dist: list[Any] = [np.empty(0)] * n
+    worst = np.full(n, np.inf)
     for batch in batches:
         rows, m = _matrix(batch.column(1), dim)
         if not len(rows):
@@ -93,18 +101,26 @@ def _task_top_k(queries: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]):
         for at in range(0, n, 256):
             block = slice(at, at + 256)
             # The product form only preselects; survivors are measured exactly.
-            rough = norms - 2.0 * queries[block] @ m.T + square[block, None]
-            for q in range(at, min(at + 256, n)):
-                row = rough[q - at]
-                bound = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-                if len(dist[q]) == k:
-                    bound = min(bound, dist[q][-1])
-                near = np.flatnonzero(row <= bound + slack + 1e-9 * square[q])
-                gap = m[near] - queries[q]
+            rough = queries[block] @ m.T
+            rough *= -2.0
+            rough += norms
+            rough += square[block, None]
+            bound = worst[block].copy()
+            new = np.flatnonzero(np.isinf(bound))
+            if len(new) and len(m) > k:
+                bound[new] = np.partition(rough[new], k - 1, axis=1)[:, k - 1]
+            bound += slack + 1e-9 * square[block]
+            asked, near = np.nonzero(rough <= bound[:, None])
+            ends = np.searchsorted(asked, np.arange(len(bound) + 1))
+            for i in np.flatnonzero(np.diff(ends)):
+                q, mine = at + i, near[ends[i] : ends[i + 1]]
+                gap = m[mine] - queries[q]
                 d = np.concatenate([dist[q], np.einsum("ij,ij->i", gap, gap)])
-                i = keys[near] if ids[q] is None else np.concatenate([ids[q], keys[near]])
-                best = _best(i, d, k)
-                ids[q], dist[q] = i[best], d[best]
+                names = keys[mine] if ids[q] is None else np.concatenate([ids[q], keys[mine]])
+                best = np.lexsort((names, d))[:k]
+                ids[q], dist[q] = names[best], d[best]
+                if len(best) == k:
+                    worst[q] = dist[q][-1]
     return ids, dist
 
 
@@ -133,16 +149,26 @@ def _nearest_to_block(
     return rows.mapInArrow(search, schema)
 
 
+def _grid(size: int, block_bytes: int, cores: int) -> tuple[int, int]:
+    """(query blocks, shares of the rows) of a search for `size` bytes of query vectors.
+
+    What is shuffled are the rows once per block and the queries once per share. So there
+    are no more of either than it takes to keep the cores busy, however small a block could
+    be; more blocks are made only where these would hold over ``QUERY_BLOCK_BYTES``.
+    """
+    side = math.ceil(math.sqrt(2 * cores))
+    blocks = -(-size // block_bytes)
+    return min(blocks, max(side, -(-size // QUERY_BLOCK_BYTES))), side
+
+
 def _nearest_to_blocks(
-    rows: DataFrame, queries: DataFrame, blocks: int, k: int, schema: T.StructType
+    rows: DataFrame, queries: DataFrame, blocks: int, shares: int, k: int, schema: T.StructType
 ) -> DataFrame:
     """The same for any number of query blocks, in one job and without the driver.
 
-    Rows are dealt into as many shares as there are cores, queries into blocks; a task gets
-    one share and one block, the block's queries first. Each row is sent once per block,
-    each query once per share.
+    Rows are dealt into shares, queries into blocks; a task gets one share and one block,
+    the block's queries first.
     """
-    shares = max(1, rows.sparkSession.sparkContext.defaultParallelism // 2)
     key, vector = rows.columns
     none = F.lit(None)
     data = rows.select(
@@ -171,14 +197,14 @@ def _nearest_to_blocks(
             if n:
                 asks = batch.slice(0, n)
                 names += asks.column(3).to_pylist()
-                held += asks.column(5).to_pylist()
+                held.append(_query_matrix(asks.column(5)))
             if n < batch.num_rows:
                 rest = [batch.slice(n)]
                 break
         if not names:
             return
         data = (b.select([4, 5]) for b in itertools.chain(rest, batches))
-        yield from _hits(names, np.asarray(held, dtype=np.float64), k, data, arrow)
+        yield from _hits(names, np.concatenate(held), k, data, arrow)
 
     place = (F.col("block") * shares + F.col("share")).cast("int")
     dealt = data.unionByName(asked).repartitionById(blocks * shares, place)
@@ -197,7 +223,7 @@ def nearest_to_each(
 
     `queries` has (query_id, vector). A query set of up to `block_bytes` goes to the data:
     one scan without a shuffle, of which each task returns at most k rows per query. A
-    larger one is dealt into blocks of about that size, and tasks pair a block with a
+    larger one is dealt into blocks of that size or more, and tasks pair a block with a
     share of the rows, all in one job.
     """
     schema = T.StructType(
@@ -212,9 +238,10 @@ def nearest_to_each(
     size = usable.agg(F.sum(F.size("vector") * 8)).first()[0]
     if size is None:
         return slim.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    blocks = -(-size // block_bytes)
-    if blocks > 1:
-        return _ranked(_nearest_to_blocks(slim, usable, blocks, k, schema), k, key)
+    if size > block_bytes:
+        cores = slim.sparkSession.sparkContext.defaultParallelism
+        blocks, shares = _grid(size, block_bytes, cores)
+        return _ranked(_nearest_to_blocks(slim, usable, blocks, shares, k, schema), k, key)
     block = [(r["query_id"], r["vector"]) for r in usable.collect()]
     return _ranked(_nearest_to_block(slim, block, k, schema), k, key)
 

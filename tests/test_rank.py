@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodeseek.functions.tokens import query_tokens
+from lodeseek.operators import rank
 from lodeseek.operators.rank import nearest, nearest_to_each, rerank
 
 HIT = "id int, _distance double, kind string, symbol string"
@@ -124,3 +126,28 @@ def test_blocks_of_queries_are_one_plan(spark):
     assert plan.count("MapInArrow") == 1 and "Union" in plan and "BroadcastExchange" not in plan
     narrow = spark.createDataFrame([("q", None), ("r", [1.0, 2.0])], "query_id string, vector array<float>")
     assert nearest_to_each(df, narrow, 3, block_bytes=4).count() == 0
+
+
+def test_rows_are_not_sent_once_per_small_block():
+    # The rows are shuffled once per block; 512 blocks of 100 kB did so 512 times.
+    for size in (5_000_000, 50_000_000, 300_000_000):
+        blocks, shares = rank._grid(size, 100_000, 12)
+        assert blocks == shares == 5
+    assert rank._grid(700 << 20, 100_000, 12)[0] == 11
+    assert rank._grid(250_000, 100_000, 12)[0] == 3
+
+
+@pytest.mark.parametrize("k", [1, 4, 60])
+def test_running_top_k_over_batches_of_any_size(k):
+    rng = np.random.default_rng(7)
+    m = rng.integers(-2, 3, (200, 6)).astype(np.float32)
+    queries = rng.integers(-2, 3, (300, 6)).astype(float)
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array(range(a, b)), pa.array(m[a:b].tolist(), pa.list_(pa.float32()))], ["id", "v"]
+        )
+        for a, b in ((150, 153), (0, 90), (90, 150), (153, 200))
+    ]
+    ids, dist = rank._task_top_k(queries, k, iter(batches))
+    for q in (0, 255, 256, 299):
+        assert list(zip(ids[q].tolist(), dist[q])) == brute(m.astype(float), queries[q], k)
