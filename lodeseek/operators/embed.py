@@ -9,7 +9,6 @@ import math
 import re
 import urllib.error
 import urllib.request
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple, Protocol
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.config import EmbeddingConfig
+from lodeseek.functions.batches import slices
 from lodeseek.workspace import saved
 
 
@@ -112,6 +112,19 @@ class HttpProvider:
         return out
 
 
+class _Slots(dict):
+    """Token -> slot, worked out once; the caller empties it when it has grown too large."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self._dim = dim
+
+    def __missing__(self, token: str) -> int:
+        digest = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
+        slot = self[token] = int(digest[:8], 16) % self._dim
+        return slot
+
+
 class HashProvider:
     """Normalised word counts, hashed into the vector's slots; needs no server."""
 
@@ -120,24 +133,17 @@ class HashProvider:
     def __init__(self, cfg: EmbeddingConfig):
         self.dim = cfg.dim
         self.batch_size = max(1, cfg.batch_size)
-        self._slots: dict[str, int] = {}
-
-    def _slot(self, token: str) -> int:
-        slot = self._slots.get(token)
-        if slot is None:
-            if len(self._slots) >= 1 << 16:
-                self._slots.clear()
-            digest = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
-            slot = self._slots[token] = int(digest[:8], 16) % self.dim
-        return slot
+        self._slots = _Slots(cfg.dim)
+        self._words = re.compile("[a-z0-9]+").findall
 
     def _one(self, text: str) -> Embedded:
-        vector = np.zeros(self.dim)
-        for token, n in Counter(re.findall("[a-z0-9]+", text.lower())).items():
-            vector[self._slot(token)] += n
-        norm = np.sqrt((vector * vector).sum())
-        if norm == 0:
+        slots = [*map(self._slots.__getitem__, self._words(text.lower()))]
+        if len(self._slots) > 1 << 16:
+            self._slots.clear()
+        if not slots:
             return Embedded(None, "protocol: no words to embed")
+        vector = np.bincount(slots, minlength=self.dim).astype(np.float64)
+        norm = np.sqrt((vector * vector).sum())
         return Embedded((vector / norm).astype(np.float32).tolist())
 
     def embed(self, texts: list[str]) -> list[Embedded]:
@@ -195,7 +201,8 @@ def embed_column(text: Column, cfg: EmbeddingConfig) -> Column:
     """Struct of (vector, skip_reason); both NULL where the text is NULL.
 
     Only the text crosses to Python. Tasks hand it to the provider in its own
-    batch size; a vector of the wrong length counts as skipped.
+    batch size; a vector of the wrong length counts as skipped. However many texts an
+    Arrow batch has, a megabyte of them is taken at a time.
     """
     # The factory travels with the task, so providers registered on the driver
     # work on executors too.
@@ -205,32 +212,38 @@ def embed_column(text: Column, cfg: EmbeddingConfig) -> Column:
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         provider = factory(cfg)
         for batch in batches:
-            texts = batch.to_pylist()
-            wanted = [i for i, t in enumerate(texts) if t is not None]
-            out: list[dict | None] = [{"vector": None, "skip_reason": None}] * len(texts)
-            step = max(1, provider.batch_size)
-            for at in range(0, len(wanted), step):
-                rows = wanted[at : at + step]
-                results = provider.embed([texts[i] for i in rows])
-                if len(results) != len(rows):
-                    raise RuntimeError(
-                        f"provider {provider.name} gave {len(results)} results "
-                        f"for {len(rows)} texts"
-                    )
-                for i, r in zip(rows, results, strict=True):
-                    out[i] = _row(r, provider.dim)
-            yield pa.array(out, type=_ARROW_EMBEDDED)
+            done = [_embedded(provider, some.to_pylist()) for some in slices(batch)]
+            yield pa.concat_arrays(done) if done else pa.array([], type=_ARROW_EMBEDDED)
 
     return embed.asNondeterministic()(text)
 
 
-def _row(result: Embedded, dim: int) -> dict:
+def _embedded(provider: EmbeddingProvider, texts: list[str | None]) -> pa.Array:
+    wanted = [i for i, t in enumerate(texts) if t is not None]
+    vectors: list[list[float] | None] = [None] * len(texts)
+    reasons: list[str | None] = [None] * len(texts)
+    step = max(1, provider.batch_size)
+    for at in range(0, len(wanted), step):
+        rows = wanted[at : at + step]
+        results = provider.embed([texts[i] for i in rows])
+        if len(results) != len(rows):
+            raise RuntimeError(
+                f"provider {provider.name} gave {len(results)} results for {len(rows)} texts"
+            )
+        for i, r in zip(rows, results, strict=True):
+            vectors[i], reasons[i] = _checked_result(r, provider.dim)
+    return pa.StructArray.from_arrays(
+        [pa.array(vectors, pa.list_(pa.float32())), pa.array(reasons, pa.string())],
+        fields=list(_ARROW_EMBEDDED),
+    )
+
+
+def _checked_result(result: Embedded, dim: int) -> tuple[list[float] | None, str | None]:
     if result.vector is None:
-        return {"vector": None, "skip_reason": result.skip_reason or "unknown"}
+        return None, result.skip_reason or "unknown"
     if len(result.vector) != dim:
-        reason = f"protocol: vector length {len(result.vector)}, expected {dim}"
-        return {"vector": None, "skip_reason": reason}
-    return {"vector": result.vector, "skip_reason": None}
+        return None, f"protocol: vector length {len(result.vector)}, expected {dim}"
+    return result.vector, None
 
 
 def embed_rows(

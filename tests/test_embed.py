@@ -4,10 +4,12 @@ import sys
 import urllib.error
 import urllib.request
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 
 from lodeseek.config import EmbeddingConfig
+from lodeseek.functions.batches import slices
 from lodeseek.operators import embed as em
 
 CFG = EmbeddingConfig(dim=3, batch_size=2, endpoint="http://embedder.invalid/")
@@ -161,3 +163,31 @@ def test_vectors_that_are_there_already(spark, tmp_path):
     assert [got[i]["vector"] for i in (1, 2, 3, 4, 5)] == [[1.0, 2.0], None, [3.0, 4.0], None, [1.0, 2.0]]
     assert all((got[i]["skip_reason"] is None) == (i in (1, 3, 5)) for i in got)
     assert em.get_provider(cfg).embed(["x"])[0].vector is None
+
+
+def test_a_large_batch_is_taken_a_megabyte_at_a_time(spark):
+    class Wide:
+        name, dim, batch_size = "wide", 1, 1_000_000
+
+        def __init__(self, cfg):
+            pass
+
+        def embed(self, texts):
+            return [em.Embedded([float(sum(map(len, texts)))]) for _ in texts]
+
+    em.register_provider("wide", Wide)
+    try:
+        rows = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('x', 2000) AS content")
+        out = em.embed_rows(rows, EmbeddingConfig(provider="wide", dim=1)).select("id", "vector").collect()
+    finally:
+        em.PROVIDERS.pop("wide")
+    assert [r["id"] for r in out] == list(range(3000))
+    assert max(r["vector"][0] for r in out) <= 1 << 20
+
+
+def test_slices_are_the_array():
+    texts = pa.array(["ab" * i for i in range(60)] + [None] * 9 + ["", "x" * 5000, "y"])
+    for some in (texts, texts.slice(7), texts.slice(2, 0)):
+        parts = list(slices(some, 500))
+        assert [t for p in parts for t in p.to_pylist()] == some.to_pylist()
+        assert all(len(p) == 1 or sum(len(t or "") for t in p.to_pylist()) <= 500 for p in parts)
