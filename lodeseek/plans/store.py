@@ -389,10 +389,16 @@ class ChunkTable:
         order = ["bucket", "path", *(["start_line"] if kind == "data" else [])]
         folder = f"{self.path}/{kind}/commit={commit}/gen={gen}"
         # Rows are brought together by bucket for few, large files; adaptive
-        # execution splits a bucket that a hot path makes too large for a task.
+        # execution splits a bucket that a hot path makes too large for a task. Names are
+        # so few that it would leave one task to write the files of all buckets, and so
+        # bounded that a task can take those of a hot path.
+        if kind == "deletes":
+            tasks = 2 * self.spark.sparkContext.defaultParallelism
+            dealt = out.repartition(min(state.buckets, tasks), "bucket")
+        else:
+            dealt = out.hint("rebalance", "bucket")
         (
-            out.hint("rebalance", "bucket")
-            .sortWithinPartitions(*order)
+            dealt.sortWithinPartitions(*order)
             .write.mode("errorifexists")
             .partitionBy("bucket")
             .parquet(folder)

@@ -10,6 +10,7 @@ from lodeseek.operators import merge
 from lodeseek.plans import store
 from lodeseek.plans.store import ChunkTable
 from lodeseek.schemas import CHUNK_COLUMNS, STORED_COLUMNS
+from lodeseek.sources.tables import all_columns
 
 CHUNK = "path string, symbol string, start_line int, content_hash string, vector array<float>"
 
@@ -272,3 +273,25 @@ def test_filters_and_columns_reach_the_scan(table, spark):
     plan = nearest(slim, [0.0, 0.0], 3)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,x)" in plan and "StringStartsWith(path,src/)" in plan
     assert "content" not in plan
+
+
+def test_names_of_many_buckets_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    table = store.ChunkTable(spark, f"{tmp_path}/t", buckets=64)
+    seen = []
+    write = store.ChunkTable._write
+
+    def counting(self, kind, rows, commit, gen, state):
+        out = write(self, kind, rows, commit, gen, state)
+        files = spark.read.parquet(f"{self.path}/{kind}/commit={commit}/gen={gen}").inputFiles()
+        seen.append((kind, {f.rsplit("/", 1)[1].split("-")[1] for f in files}))
+        return out
+
+    monkeypatch.setattr(store.ChunkTable, "_write", counting)
+    rows = spark.range(200).selectExpr(
+        "cast(id AS string) AS id", "concat('p', id) AS path", "'x' AS content"
+    )
+    rows = all_columns(rows)
+    table.upsert(rows)
+    table.upsert(rows)
+    assert table.rows().count() == 200
+    assert len(dict(seen)["deletes"]) > 2
