@@ -118,6 +118,8 @@ def squares(automaton: Automaton) -> Iterator[tuple[int, int]]:
                     yield i, gap
                 deep.pop()
                 colour.pop()
+                if longest == reach:  # the next segment's strings are all longer
+                    break
             deep.append(reach)
             colour.append(i)
             state = link[top]

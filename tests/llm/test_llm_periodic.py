@@ -51,6 +51,16 @@ def test_stretches_lose_no_run(texts):
         assert got.get(k, []) == plain_runs(t)
 
 
+def test_periods_are_the_smallest():
+    words = [0, 0, 0, 0, 1, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 1]
+    assert periodic.runs_of(words, 2) == plain_runs(words, 2)
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        parts = [rng.integers(0, 2, rng.integers(1, 8)).tolist() * int(rng.integers(1, 6)) for _ in range(5)]
+        words = sum(parts, []) * 2
+        assert periodic.runs_of(words) == plain_runs(words)
+
+
 def test_long_loops():
     loop = list(range(1000))
     assert periodic.runs_of(loop * 4 + [5]) == [(0, 4000, 1000)]
