@@ -1,17 +1,24 @@
-"""Line numbers of consecutive pieces of a text, in time linear in their number."""
+"""Line numbers of consecutive pieces of a text, in time linear in their number, and parts at line breaks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodeseek.functions.batches import slices
+from lodeseek.functions.text import RARE_BREAKS
+
 # The line breaks of `text.LINE_BREAK` as Arrow's regular expressions spell them.
 _BREAK = r"[\n\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 _BREAKS = rf"\r\n|\r|{_BREAK}"
 _ENDED = rf"(?:\r|{_BREAK})\z"
+# The breaks that end a line whatever follows.
+_LONE = ("\n", *(c for c in RARE_BREAKS if c != "\r"))
 
 _PIECE = pa.struct([("text", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())])
 
@@ -41,3 +48,50 @@ def numbered_pieces(pieces: Column, first_line: Column) -> Column:
     """
     number = F.arrow_udf("array<struct<text:string,start_line:int,end_line:int>>")(_numbered).asNondeterministic()
     return number(pieces, first_line)
+
+
+def _parts(text: str, cap: int) -> Iterator[str]:
+    """A text's parts of up to `cap` characters, see `numbered_parts`."""
+    breaks = [c for c in _LONE if c in text]
+    returns = "\r" in text
+    at, size = 0, len(text)
+    while size - at > cap:
+        stop = at + cap
+        end = max([at, *(text.rfind(c, at, stop) + 1 for c in breaks)])
+        if returns:
+            # Behind the last of the others only one before the window's end can precede a newline.
+            own = text.rfind("\r", end, stop) + 1
+            if own and text.startswith("\n", own):
+                own = text.rfind("\r", end, own - 1) + 1
+            end = max(end, own)
+        if end == at:
+            if text.startswith("\r\n", stop - 1):
+                end = stop + 1
+            elif text.startswith("\r\n", stop):
+                end = stop + 2
+            else:
+                end = stop + (text[stop] == "\r" or text[stop] in _LONE)
+        yield text[at:end]
+        at = end
+    if at < size:
+        yield text[at:]
+
+
+def numbered_parts(text: Column, first_line: Column, cap: int) -> Column:
+    """(text, start_line, end_line) of the parts of `cap` characters, at line breaks if possible.
+
+    A part has as many whole lines as fit; an overlong line is cut and goes on in the next
+    part; a break right behind a cut stays with the cut. NULL stays NULL. Nondeterministic
+    for the reason that `numbered_pieces` is.
+    """
+
+    @F.arrow_udf("array<struct<text:string,start_line:int,end_line:int>>")
+    def split(texts: pa.Array, first: pa.Array) -> pa.Array:
+        done, at = [], 0
+        for some in slices(texts):
+            parts = [t if t is None else [*_parts(t, cap)] for t in some.to_pylist()]
+            done.append(_numbered(pa.array(parts, pa.list_(pa.string())), first.slice(at, len(some))))
+            at += len(some)
+        return pa.concat_arrays(done) if done else pa.array([], pa.list_(_PIECE))
+
+    return split.asNondeterministic()(text, first_line)

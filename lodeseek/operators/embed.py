@@ -6,11 +6,11 @@ import hashlib
 import http.client
 import json
 import math
-import re
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple, Protocol
 
 import numpy as np
@@ -112,6 +112,10 @@ class HttpProvider:
         return out
 
 
+# Bytes of words as they are, all others as blanks.
+_IN_WORDS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+
+
 class _Slots(dict):
     """Token -> slot, worked out once; the caller empties it when it has grown too large."""
 
@@ -119,9 +123,9 @@ class _Slots(dict):
         super().__init__()
         self._dim = dim
 
-    def __missing__(self, token: str) -> int:
-        digest = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
-        slot = self[token] = int(digest[:8], 16) % self._dim
+    def __missing__(self, token: bytes) -> int:
+        digest = hashlib.md5(token, usedforsecurity=False).digest()
+        slot = self[token] = int.from_bytes(digest[:4]) % self._dim
         return slot
 
 
@@ -134,20 +138,26 @@ class HashProvider:
         self.dim = cfg.dim
         self.batch_size = max(1, cfg.batch_size)
         self._slots = _Slots(cfg.dim)
-        self._words = re.compile("[a-z0-9]+").findall
 
-    def _one(self, text: str) -> Embedded:
-        slots = [*map(self._slots.__getitem__, self._words(text.lower()))]
+    def embed(self, texts: list[str]) -> list[Embedded]:
+        # Words are parted as bytes and counted for all texts at once.
+        lowered = (t.lower().encode("utf-8", "surrogatepass") for t in texts)
+        words = [t.translate(_IN_WORDS).split() for t in lowered]
+        count = np.fromiter(map(len, words), np.int64, len(words))
+        slots = np.fromiter(
+            map(self._slots.__getitem__, chain.from_iterable(words)), np.int64, int(count.sum())
+        )
         if len(self._slots) > 1 << 16:
             self._slots.clear()
-        if not slots:
-            return Embedded(None, "protocol: no words to embed")
-        vector = np.bincount(slots, minlength=self.dim).astype(np.float64)
-        norm = np.sqrt((vector * vector).sum())
-        return Embedded((vector / norm).astype(np.float32).tolist())
-
-    def embed(self, texts: list[str]) -> list[Embedded]:
-        return [self._one(t) for t in texts]
+        slots += np.repeat(np.arange(len(words)) * self.dim, count)
+        found = np.bincount(slots, minlength=len(words) * self.dim).reshape(-1, self.dim)
+        vectors = found.astype(np.float64)
+        norms = np.sqrt((vectors * vectors).sum(axis=1))
+        vectors /= np.maximum(norms, 1.0)[:, None]
+        return [
+            Embedded(v) if n else Embedded(None, "protocol: no words to embed")
+            for v, n in zip(vectors.astype(np.float32).tolist(), count.tolist(), strict=True)
+        ]
 
 
 class PrecomputedProvider:

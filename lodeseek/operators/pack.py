@@ -6,27 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as tx
-from lodeseek.functions.lines import numbered_pieces
+from lodeseek.functions.lines import numbered_parts
 from lodeseek.schemas import PIECE_SCHEMA
 
-def part_pattern(cap: int) -> str:
-    """One greedy part: as many whole lines as fit, else the next `cap` characters of a line.
-
-    Quantified up to `cap` code points and forced to stop behind a line break,
-    the first branch backs off to the last break that fits, which is what
-    filling a buffer line by line arrives at. It needs no state across lines,
-    so the split stays one JVM expression. An overlong line is cut and goes on
-    in the next part; a break right behind a cut stays with the cut.
-    """
-    fits = rf".{{1,{cap}}}(?:(?<=[{tx.LONE_BREAKS}])|(?<=\r)(?!\n)|\z)"
-    overlong = rf"[^{tx.BREAK_CHARS}]{{1,{cap}}}+(?:{tx.LINE_BREAK})?"
-    return f"(?s){fits}|{overlong}|{tx.LINE_BREAK}"
-
-
-def split_parts(content: Column, cap: int) -> Column:
-    """Array of the raw parts of a text, in order, nothing left out."""
-    return F.regexp_extract_all(content, F.lit(part_pattern(cap)), F.lit(0))
-
 
 def _strip_newlines(text: Column) -> Column:
     # General trimming visits every character; most texts end in one newline.
@@ -43,7 +25,7 @@ def pack_piece(piece: Column, cap: int) -> Column:
         raise ValueError(f"a part needs room for characters, not {cap}")
     content = piece["content"]
     over = F.length(content) > cap
-    parts = numbered_pieces(F.when(over, split_parts(content, cap)), piece["start_line"])
+    parts = numbered_parts(F.when(over, F.make_valid_utf8(content)), piece["start_line"], cap)
 
     def part(p: Column, i: Column) -> Column:
         return F.struct(

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import time
 
 import pytest
@@ -249,3 +250,26 @@ def test_another_parser_can_be_plugged_in(spark):
 def test_chunk_plan_has_no_shuffle(spark):
     df = spark.createDataFrame([("a.md", "markdown", "# A\nx")], "path string, lang string, text string")
     assert "Exchange" not in chunk_texts(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_are_cut_without_backtracking(spark):
+    df = spark.createDataFrame([(("s", "k", 1, 0, "a"),)], f"p {PIECE_SCHEMA.simpleString()}")
+    plan = df.select(pack_piece(F.col("p"), 2500))._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan
+
+
+@pytest.mark.parametrize("cap", [1, 3, 4])
+def test_breaks_at_the_end_of_a_part(spark, cap):
+    texts = ["abcd\r\nab", "abc\r\nab", "\r\n\r\n\r\n", "ab\rc\r\r\nd", "a bcdefg\n", "ab\x85\r\n\n"]
+    got = packed(spark, texts, cap)
+    for i, t in enumerate(texts):
+        parts = re.findall(_part(cap), t) if len(t) > cap else [t]
+        mine = [c["content"] for _, c in sorted((k[1], c) for k, c in got.items() if k[0] == i)]
+        assert mine == ([p.rstrip("\n") for p in parts] if len(t) > cap else parts)
+
+
+def _part(cap):
+    """One part as a regular expression; tried from each place, it backs off to a break."""
+    lone, every = (f"{c}\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029" for c in ("", "\r"))
+    fits = rf".{{1,{cap}}}(?:(?<=[{lone}])|(?<=\r)(?!\n)|\Z)"
+    return rf"(?s:{fits}|[^{every}]{{1,{cap}}}+(?:\r\n|[{every}])?|\r\n|[{every}])"

@@ -1,5 +1,8 @@
+import hashlib
 import io
 import json
+import math
+import re
 import sys
 import urllib.error
 import urllib.request
@@ -191,3 +194,20 @@ def test_slices_are_the_array():
         parts = list(slices(some, 500))
         assert [t for p in parts for t in p.to_pylist()] == some.to_pylist()
         assert all(len(p) == 1 or sum(len(t or "") for t in p.to_pylist()) <= 500 for p in parts)
+
+
+def test_words_are_counted_for_many_texts_at_once():
+    texts = ["a b a", "", "Kelvin K0 été", "--", "x" * 50, "a"]
+    cfg = EmbeddingConfig(provider="hash", dim=8)
+    provider = em.get_provider(cfg)
+    got = provider.embed(texts)
+    # Of bytes, so that no string is made of each word.
+    assert provider._slots and all(isinstance(w, bytes) for w in provider._slots)
+    assert got == [one for t in texts for one in em.get_provider(cfg).embed([t])]
+    assert [g.vector is None for g in got] == [not re.findall("[a-z0-9]+", t.lower()) for t in texts]
+    for t, g in zip(texts, got, strict=True):
+        counts = [0] * 8
+        for w in re.findall("[a-z0-9]+", t.lower()):
+            counts[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8] += 1
+        norm = math.sqrt(sum(c * c for c in counts))
+        assert g.vector is None or g.vector == pytest.approx([c / norm for c in counts], abs=1e-6)
