@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,18 +12,38 @@ from pyspark.sql import functions as F
 from lodeseek.llm import cotrain, jaccard_join, line_dedup, qgram_decon, sp_sample
 from lodeseek.workspace import saved, work_path
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+# Bytes of an Arrow batch, which a task holds as it fills it and its worker as it reads it;
+# by Spark's own 64 MB they take as much memory as what the stages do with them.
+BATCH = "8m"
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage with smaller Arrow batches; the session keeps them, results do not depend on them."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@in_small_batches
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained views do not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return cotrain.accepted(docs, cotrain.learn(docs, labels))
 
 
+@in_small_batches
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has, and without those left empty by that."""
     return line_dedup.dedup_lines(docs, work_path(spark, "pipeline-lines"), drop_empty=True)
 
 
+@in_small_batches
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id.
 
@@ -30,11 +53,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return jaccard_join.representatives(docs, work_path(spark, "pipeline-near"), rounds=1)
 
 
+@in_small_batches
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no part of a benchmark text."""
     return qgram_decon.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@in_small_batches
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of each document, where it has as many."""
     model = public_tokenizers.path("piece_bpe_32k.model")

@@ -47,7 +47,8 @@ from lodeseek.llm.common import mix64, slices
 from lodeseek.llm.runs import gather
 
 SAMPLES = 2
-SLICE = 1_000_000
+# Bytes of text that have a lattice at a time: arrays of some 200 bytes for each.
+SLICE = 150_000
 BLANK = "▁"
 _END = 0x1FFFFF
 _MARKS = ("\x00", "\x01", "\x02", "￿")

@@ -1,4 +1,6 @@
 import itertools
+import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -109,3 +111,16 @@ def test_rows_and_round_trip(spark):
     same = {r["sample"]: r["ids"] for r in drawn.where("doc_id = 5").collect()}
     again = sp.sample(docs.where("doc_id = 5"), MODEL, ["doc_id"], k=3).collect()
     assert same == {r["sample"]: r["ids"] for r in again}
+
+
+def test_a_slice_takes_little_memory():
+    rng = random.Random(3)
+    texts, size = [], 0
+    while size < sp.SLICE:
+        texts.append(" ".join("".join(rng.choices("etaoinshrd", k=rng.randint(2, 9))) for _ in range(300)))
+        size += len(texts[-1])
+    tracemalloc.start()
+    sp.sample_texts(texts, keys(len(texts)), V, 2, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6

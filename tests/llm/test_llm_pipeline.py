@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry_point
@@ -45,3 +46,15 @@ def test_each_stage_takes_the_rows_of_the_one_before(spark, tmp_path):
             bench = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
             assert qgram_decon.leaks(out, bench).count() == 0
         docs, before = out, ids
+
+
+def test_stages_take_small_arrow_batches(spark):
+    corpus_pipeline.in_small_batches(lambda spark, docs, sf_dir: docs)(spark, None, "")
+    text = spark.range(0, 60, 1, 1).selectExpr("repeat('x', 1000000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], ["n"])
+
+    got = [r["n"] for r in text.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 60e6 and max(got) < 12e6
