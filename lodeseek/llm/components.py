@@ -3,7 +3,7 @@
 Every step is an aggregation (combined before the shuffle) and a lookup that deals
 hot nodes out (``common.attach``); edges are written after each step, so a lost
 executor costs one step. No list of links or components reaches the driver: it
-sees a count and a checksum per step.
+sees a count per step, of nodes that do not hang on a centre yet.
 """
 
 from __future__ import annotations
@@ -25,29 +25,39 @@ def _lowest(edges: DataFrame, path: str) -> DataFrame:
     return attach(edges, lows, "u", ["low"], "n", total)
 
 
+def _unsettled(edges: DataFrame) -> int:
+    """How many nodes of (u, v) edges, v < u, have several lower neighbours, or lower and higher ones.
+
+    Without any, the edges are stars around their lowest nodes.
+    """
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("lower"), F.lit(0).alias("higher"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1)))
+    met = ends.groupBy("node").agg(F.sum("lower").alias("lower"), F.max("higher").alias("higher"))
+    return met.where("lower > 1 OR lower + higher > 1").count()
+
+
 def components(links: DataFrame, folder: str) -> DataFrame:
     """(node, root) for every node of (u, v) links; a root is its component's lowest node.
 
     Links of a node with itself add the node; repeated links count once; an empty
     table gives no row.
     """
+    given = saved(links.select("u", "v").distinct(), f"{folder}/0")
+    nodes = given.select(F.col("u").alias("node")).union(given.select("v")).distinct()
     both = F.col("u") != F.col("v")
-    edges = saved(links.select("u", "v").distinct(), f"{folder}/0")
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    state, step = None, 0
-    while True:
+    lower = (F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = given.where(both).select(*lower).distinct()
+    step = 0
+    while _unsettled(edges):
         step += 1
-        turned = edges.where(both).union(edges.where(both).select("v", "u"))
         large = (
-            _lowest(turned.toDF("u", "v"), f"{folder}/{step}-large")
+            _lowest(edges.union(edges.select("v", "u")), f"{folder}/{step}-large")
             .where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("low").alias("v"))
             .distinct()
         )
         large = saved(large, f"{folder}/{step}-l")
-        down = large.where(both).select(
-            F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-        )
+        down = large.where(both).select(*lower)
         small = _lowest(down, f"{folder}/{step}-small")
         edges = saved(
             small.select(F.col("v").alias("u"), F.col("low").alias("v"))
@@ -56,10 +66,6 @@ def components(links: DataFrame, folder: str) -> DataFrame:
             .distinct(),
             f"{folder}/{step}-s",
         )
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == state:
-            break
-        state = now
     root = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low"))
     return nodes.join(root, "node", "left").select(
         "node", F.coalesce("low", "node").alias("root")

@@ -25,6 +25,7 @@ teaches; ids may be null, such rows are judged but teach nothing. Extra columns
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -177,10 +178,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150) -> View:
-    """Weighted logistic regression with a quadratic penalty, by Adam on all rows."""
+    """Weighted logistic regression with a quadratic penalty, by Adam on all rows; scales ``x`` in place."""
     mean, std = x.mean(0), x.std(0)
     scale = np.where(std > 1e-6, 1 / np.maximum(std, 1e-6), 0).astype(np.float32)
-    z = ((x - mean) * scale).astype(np.float32)
+    x -= mean
+    x *= scale
+    z = x.astype(np.float32, copy=False)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     weight = weight / weight.sum()
@@ -281,6 +284,19 @@ def _column(part: pa.RecordBatch, name: str) -> np.ndarray:
     return part.column(part.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
+def _packed(row: np.ndarray) -> bytes:
+    """A row of features for its way to the driver: most of them are zero."""
+    return zlib.compress(row.tobytes(), 1)
+
+
+def _matrix(rows: pa.Table, name: str, width: int) -> np.ndarray:
+    """The packed rows of a column, unpacked one by one into one array."""
+    out = np.empty((rows.num_rows, width), np.float32)
+    for i, row in enumerate(rows[name]):
+        out[i] = np.frombuffer(zlib.decompress(row.as_py()), np.float32)
+    return out
+
+
 def _features(docs: DataFrame) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """The names in order, and features of the row of each ``name`` with the smallest ``key``.
 
@@ -299,7 +315,7 @@ def _features(docs: DataFrame) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray
                 part = part.take(pa.array(new))
                 t, m = text_features(strings(part, "_text")), meta_features(part)
                 for i, j in enumerate(new):
-                    best[int(names[j])] = (int(keys[j]), t[i].tobytes(), m[i].tobytes())
+                    best[int(names[j])] = (int(keys[j]), _packed(t[i]), _packed(m[i]))
         rows = [(name, *row) for name, row in best.items()]
         columns = zip(*rows, strict=True) if rows else ([], [], [], [])
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -317,12 +333,9 @@ def _features(docs: DataFrame) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray
         .toArrow()
         .sort_by("name")
     )
-
-    def matrix(name: str, width: int) -> np.ndarray:
-        return np.frombuffer(b"".join(rows[name].to_pylist()), np.float32).reshape(-1, width)
-
     names = np.array(rows["name"].to_pylist(), np.int64)
-    return names, (matrix("t", (1 << BITS) + _MEASURES), matrix("m", (1 << _META_BITS) + 34))
+    text = _matrix(rows, "t", (1 << BITS) + _MEASURES)
+    return names, (text, _matrix(rows, "m", (1 << _META_BITS) + 34))
 
 
 def _sure(docs: DataFrame, views: list[View], done: list[np.ndarray]) -> DataFrame:

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from lodeseek.llm import cotrain
@@ -128,3 +130,16 @@ def test_odd_rows(spark):
     none = cotrain.learn(docs, labels.where("quality = 1"))
     assert none is None and cotrain.accepted(docs, none).count() == len(rows)
     assert cotrain.learn(docs.where("false"), labels) is None
+
+
+def test_training_holds_few_copies():
+    """Fitting takes one more array of the features' size at a time, not three."""
+    rng = np.random.default_rng(4)
+    x, y = rng.random((2000, 500), np.float32), rng.integers(0, 2, 2000).astype(float)
+    want = cotrain._fit(x.copy(), y, np.ones(2000), steps=3)
+    tracemalloc.start()
+    got = cotrain._fit(x, y, np.ones(2000), steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * x.nbytes
+    assert np.array_equal(got.weights, want.weights) and got.bias == want.bias

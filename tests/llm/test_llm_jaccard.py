@@ -1,3 +1,4 @@
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -148,3 +149,15 @@ def test_bounds_never_exceed_the_difference(monkeypatch):
             (gap,) = jj._gaps([jj._class_counts(x)], [jj._class_counts(y)])
             assert abs(n - m) <= gap <= apart
         assert jj._gaps([jj._class_counts(x)], [jj._class_counts(x)])[0] == 0
+
+
+def test_stars_take_no_step(spark):
+    """Links that are stars already need no step, a chain ends with the step that makes it one."""
+    for links, want, steps in (
+        ([(1, 2), (3, 1), (7, 9), (5, 5)], {1: 1, 2: 1, 3: 1, 7: 7, 9: 7, 5: 5}, 0),
+        ([(1, 2), (2, 3)], {1: 1, 2: 1, 3: 1}, 1),
+    ):
+        path = work_path(spark, "cc")
+        rows = components(spark.createDataFrame(links, "u long, v long"), path).collect()
+        assert {r["node"]: r["root"] for r in rows} == want
+        assert len([d for d in os.listdir(path) if d.endswith("-s")]) == steps
