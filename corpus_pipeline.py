@@ -18,12 +18,20 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 # by Spark's own 64 MB they take as much memory as what the stages do with them.
 BATCH = "8m"
 
+# What a step has shuffled goes when it is written. Else it lies on the executors' disks until
+# the driver happens to collect its garbage, which many steps of a large run come before.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def in_small_batches(stage: Stage) -> Stage:
-    """The stage with smaller Arrow batches; the session keeps them, results do not depend on them."""
+    """The stage with smaller Arrow batches, and shuffled rows that go with the step they are for.
+
+    The session keeps both settings, results do not depend on them.
+    """
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(CLEANUP, "true")
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
         return stage(spark, docs, sf_dir)
 

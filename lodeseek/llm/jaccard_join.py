@@ -41,7 +41,8 @@ heavy ones; the summed classes, 2 MB, go to all tasks.
 Sizes: documents move once as slim rows of (id, size, node, counts, first shingles);
 texts of possible partners move once more. Pairs are stars, so their number follows
 the members of regions. Hot nodes, regions and pivots are dealt out
-(``common.attach``). Hashes have 64 bits, nodes in addition their size.
+(``common.attach``). Hashes have 64 bits, nodes in addition their size. Intermediate
+files go as soon as no later step reads them.
 
 Defined cases: a null text, or one without words, has the empty set and links with
 nothing; a row without id is counted but takes no part and has a null component;
@@ -63,7 +64,7 @@ from pyspark.sql import functions as F
 from lodeseek.llm.common import attach, mix64, release, slices
 from lodeseek.llm.components import components
 from lodeseek.llm.shingles import shingles
-from lodeseek.workspace import saved
+from lodeseek.workspace import discard, saved
 
 SKETCH_BITS = 21
 ROUNDS = 2
@@ -311,7 +312,9 @@ def close_pairs(
 
     A region of more than ``LEAF`` nodes is dealt out as pairs of its blocks. Rows
     arrive sorted by such cells; a task holds one cell and compares a block of rows
-    with all others in numpy, except for nodes of one ``part``.
+    with all others in numpy, except for nodes of one ``part``. Long sets are compared
+    by their finer counts with each other: on the scale of shorter ones unrelated long
+    sets seem near.
     """
     sized = saved(live.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), path)
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -340,6 +343,10 @@ def close_pairs(
         if (part == part[0]).all():
             return found
         counts = _counts(raw)
+        long = np.flatnonzero(np.array([len(r) for r in raw]) > counts.shape[1])
+        fine = _counts([raw[i] for i in long])
+        at = np.full(len(ids), -1)
+        at[long] = np.arange(len(long))
         for i in range(len(ids) - 1):
             size = n[i + 1 :]
             fit = np.flatnonzero(
@@ -348,7 +355,12 @@ def close_pairs(
             )
             if len(fit):
                 gap = _gap(counts[i + 1 + fit], counts[i])
-                for j in fit[_possible(gap, size[fit] + n[i], percent)]:
+                fit = fit[_possible(gap, size[fit] + n[i], percent)]
+                if at[i] >= 0:
+                    other = at[i + 1 + fit]
+                    gap = _gap(fine[other], fine[at[i]])
+                    fit = fit[(other < 0) | _possible(gap, size[fit] + n[i], percent)]
+                for j in fit:
                     found.append((int(ids[i]), int(ids[i + 1 + j])))
         return found
 
@@ -459,11 +471,9 @@ def beyond(
     )
 
 
-def linked_nodes(
-    docs: DataFrame, named: DataFrame, folder: str, width: int, percent: int, rounds: int
-) -> DataFrame:
-    """Links (u, v) that join all nodes of a component; ``named`` is from ``name_sets``."""
-    nodes = saved(
+def distinct_nodes(named: DataFrame, path: str) -> DataFrame:
+    """(node, doc_id, n, counts, heavy, first) of each node of ``name_sets``, its least doc_id."""
+    return saved(
         named.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
         .groupBy("node")
         .agg(
@@ -473,8 +483,22 @@ def linked_nodes(
             F.first("heavy").alias("heavy"),
             F.first("first").alias("first"),
         ),
-        f"{folder}/nodes",
+        path,
     )
+
+
+def linked_nodes(
+    docs: DataFrame, nodes: DataFrame, folder: str, width: int, percent: int, rounds: int
+) -> DataFrame:
+    """Links (u, v) that join all nodes of a component.
+
+    ``nodes`` are the ``distinct_nodes`` at ``folder``/nodes, which go with the first step.
+    """
+
+    def drop(*names: str) -> None:
+        for name in names:
+            discard(docs.sparkSession, f"{folder}/{name}")
+
     # Sizes of linked sets differ by one step at most; each ring has RING steps.
     at = F.log(F.col("n").cast("double")) / math.log(100 / percent)
     ring = F.floor(at / RING)
@@ -501,6 +525,8 @@ def linked_nodes(
         ),
         f"{folder}/met",
     )
+    facts = saved(nodes.select("node", "doc_id", "n", "counts"), f"{folder}/facts")
+    drop("nodes", "sizes")
 
     def regions(of: DataFrame) -> DataFrame:
         return of.select(
@@ -508,7 +534,6 @@ def linked_nodes(
         )
 
     # Which nodes may have a link at all, by bounds.
-    facts = nodes.select("node", "n", "counts")
     members, total = stars(regions(central), f"{folder}/first")
     bounds = bounded(
         members.select("pivot", "node").distinct(), facts, percent, f"{folder}/first-bounds"
@@ -526,8 +551,10 @@ def linked_nodes(
         .distinct()
     )
     wanted = saved(
-        wanted.join(nodes.select("node", "doc_id"), "node"), f"{folder}/wanted"
+        wanted.join(facts.select("node", "doc_id"), "node"), f"{folder}/wanted"
     )
+    passing = ["members", "pivots", "bounds", "bounds-stars", "nearest", "live", "placed", "several", "parted"]
+    drop(*(f"first-{name}" for name in (*passing, "cells")))
 
     # The links themselves, exactly.
     sets = saved(sets_of(docs, wanted, width), f"{folder}/sets")
@@ -558,6 +585,9 @@ def linked_nodes(
         live = beyond(apart, total, "d", F.lit(1 - percent / 100 + 1e-9), at)
         roots = components(functools.reduce(DataFrame.union, links), f"{at}-components")
         live = parted(live, roots.withColumnRenamed("root", "part"), at)
+        drop(*(f"round{step}-{name}" for name in (*passing[:-1], "measured-stars", "components")))
+        if step:
+            drop(f"round{step - 1}-parted")
     last = close_pairs(live, facts, percent, False, f"{folder}/last-cells")
     exact = measured(saved(last, f"{folder}/last"), sets, f"{folder}/last-measured")
     links.append(
@@ -577,8 +607,11 @@ def jaccard_groups(
     ``width``-word shingles; a component's id is its smallest doc_id.
     """
     classes = frequency_classes(docs, width)
-    named = saved(name_sets(docs, classes, width, percent), f"{folder}/named")
-    links = linked_nodes(docs, named, folder, width, percent, rounds)
+    wide = saved(name_sets(docs, classes, width, percent), f"{folder}/wide")
+    named = saved(wide.select("doc_id", "n", "node"), f"{folder}/named")
+    nodes = distinct_nodes(wide, f"{folder}/nodes")
+    discard(docs.sparkSession, f"{folder}/wide")
+    links = linked_nodes(docs, nodes, folder, width, percent, rounds)
     roots = components(links, f"{folder}/components")
     nodes = named.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("low"), F.count("*").alias("copies")
@@ -619,11 +652,12 @@ def representatives(
     Rows without id, and texts without words, stay. An id that stands on several rows
     is one document: its rows go when one of them does.
     """
-    groups = jaccard_groups(docs.select("doc_id", "text"), folder, width, percent, rounds)
+    groups = jaccard_groups(docs.select("doc_id", "text"), f"{folder}/groups", width, percent, rounds)
     gone = saved(
         groups.where(F.col("component_id") < F.col("doc_id"))
         .select(F.col("doc_id").alias("_copy_id"))
         .distinct(),
         f"{folder}/gone",
     )
+    discard(docs.sparkSession, f"{folder}/groups")
     return docs.join(gone, docs["doc_id"] == gone["_copy_id"], "left_anti")

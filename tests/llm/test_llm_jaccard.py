@@ -161,3 +161,25 @@ def test_stars_take_no_step(spark):
         rows = components(spark.createDataFrame(links, "u long, v long"), path).collect()
         assert {r["node"]: r["root"] for r in rows} == want
         assert len([d for d in os.listdir(path) if d.endswith("-s")]) == steps
+
+
+def test_unrelated_long_sets_are_told_apart_beside_short_ones(spark):
+    rng = np.random.default_rng(3)
+    sizes = [2500, 3000, 3500, 4000, 4000, 4500, 40, 40]
+    own = [rng.integers(1, 1 << 63, n, dtype=np.uint64) for n in sizes]
+    own += [np.concatenate([own[0][:-20], rng.integers(1, 1 << 63, 20, dtype=np.uint64)]), own[6][:-1]]
+    rows = [(i, len(x), jj._class_counts(x)) for i, x in enumerate(own)]
+    nodes = spark.createDataFrame(rows, "node long, n long, counts binary")
+    live = nodes.selectExpr("7L AS region", "node", "node AS part")
+    pairs = jj.close_pairs(live, nodes, 80, False, work_path(spark, "jj")).collect()
+    assert sorted(map(tuple, pairs)) == [(0, 8), (6, 9)]
+
+
+def test_only_the_names_of_copies_stay_on_disk(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, *(f"n{i}x{k}" for k in range(i % 3))])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = work_path(spark, "jj")
+    left = jj.representatives(docs, path)
+    assert os.listdir(path) == ["gone"]
+    assert [r["doc_id"] for r in left.collect()] == [0]

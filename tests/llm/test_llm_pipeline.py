@@ -1,3 +1,6 @@
+import time
+from pathlib import Path
+
 import pyarrow as pa
 import pytest
 
@@ -6,6 +9,7 @@ import corpus_pipeline
 from compare import difference, duck
 from lodeseek.llm import jaccard_join, line_dedup, qgram_decon
 from lodeseek.llm.queries import LLM_EXPECTED, LLM_QUERIES
+from lodeseek.workspace import saved
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -58,3 +62,19 @@ def test_stages_take_small_arrow_batches(spark):
 
     got = [r["n"] for r in text.mapInArrow(sizes, "n long").collect()]
     assert sum(got) > 60e6 and max(got) < 12e6
+
+
+def test_what_a_step_shuffled_goes_with_it(spark, tmp_path):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [Path(f.getPath()) for f in disk.localDirs()]
+
+    def files():
+        return {f for d in folders for f in d.rglob("shuffle_*.data")}
+
+    docs = corpus_pipeline.in_small_batches(lambda spark, docs, sf_dir: docs)(spark, spark.range(1000), "")
+    before = files()
+    saved(docs.groupBy((docs["id"] % 7).alias("k")).count(), f"{tmp_path}/step")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
